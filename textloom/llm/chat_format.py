@@ -148,8 +148,8 @@ WITH turns AS (
     SELECT conv_id, count(*) AS n_turns,
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
-        sum(15 + length(role) + length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '###', ''))) // 3
-            + (length(text) - length(replace(text, '</turn>', ''))) // 7) - count(*) AS chars
+        sum(14 + length(role) + length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '###', ''))) // 3
+            + (length(text) - length(replace(text, '</turn>', ''))) // 7) AS chars
     FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, cast(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, cast(chars AS BIGINT) AS formatted_chars FROM joined
