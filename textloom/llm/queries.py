@@ -1,9 +1,13 @@
 """The registered queries of this subpackage and their SQL."""
 
+from textloom.llm.ann import op10_ann
 from textloom.llm.byte_bpe import op7_byte_bpe
 from textloom.llm.chat_format import OP1_SQL, op1_chat_format
+from textloom.llm.lm_scoring import op2_lm_scoring
 from textloom.llm.packing import op5_packing
 from textloom.llm.quality import op6_quality_rules
+from textloom.llm.simhash_dedup import op3_simhash_dedup
+from textloom.llm.warc import OP4_SQL, op4_warc
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op5_packing, op6_quality_rules, op7_byte_bpe)}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_lm_scoring, op3_simhash_dedup, op4_warc, op5_packing, op6_quality_rules, op7_byte_bpe, op10_ann)}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op4_warc": OP4_SQL}
