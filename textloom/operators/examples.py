@@ -32,17 +32,29 @@ def _parts(entry: Objective, text: Column, room: int) -> tuple[Column, Column, C
     raise ValueError(f"{entry.name} is not a plain expression; see textloom.operators.spans")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once a row, also if the body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _deshuffled(text: Column, share: float, seed: object) -> Column:
     """Permutes a share of the characters among their places; places and order follow from hashes of the text and the place."""
-    chars = F.split(text, "")
-    k = F.floor(F.size(chars) * F.lit(share)).cast("int")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))
-    places = lambda salt: F.transform(F.array_sort(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.struct(F.md5(F.concat(F.lit(salt), key, F.lit(":"), i.cast("string")).cast("binary")).alias("h"), i.alias("i")))), lambda s: s["i"])
-    chosen = F.slice(places("a"), F.lit(1), k)
-    # the j-th chosen place takes the character of the j-th chosen place in another order
-    moved = F.transform(F.array_sort(F.transform(chosen, lambda i: F.struct(F.md5(F.concat(F.lit("b"), key, F.lit(":"), i.cast("string")).cast("binary")).alias("h"), i.alias("i")))), lambda s: s["i"])
-    source = F.map_from_arrays(F.array_sort(chosen), moved)
-    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.element_at(chars, F.coalesce(F.element_at(source, i), i))), "")).otherwise(text)
+    ordered = lambda places, salt, key: F.transform(F.array_sort(F.transform(places, lambda i: F.struct(F.md5(F.concat(F.lit(salt), key, F.lit(":"), i.cast("string")).cast("binary")).alias("h"), i.alias("i")))), lambda s: s["i"])
+
+    def mix(chars: Column, key: Column) -> Column:
+        every = F.sequence(F.lit(1), F.size(chars))
+        k = F.floor(F.size(chars) * F.lit(share)).cast("int")
+
+        def move(chosen: Column) -> Column:
+            # the j-th chosen place takes the character of the j-th in another order; the others keep theirs
+            moved = F.arrays_zip(F.array_sort(chosen).alias("i"), ordered(chosen, "b", key).alias("of"))
+            kept = F.transform(F.array_except(every, chosen), lambda i: F.struct(i.alias("i"), i.alias("of")))
+            return F.array_join(F.transform(F.array_sort(F.concat(F.transform(moved, lambda m: F.struct(m["i"].alias("i"), m["of"].alias("of"))), kept)), lambda m: F.get(chars, m["of"] - 1)), "")
+
+        return _let(F.slice(ordered(every, "a", key), F.lit(1), k), move)
+
+    mixed = _let(F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary")), lambda key: _let(F.split(text, ""), lambda chars: mix(chars, key)))
+    return F.when(F.length(text) > 0, mixed).otherwise(text)
 
 
 def build(df: DataFrame, entry: Objective, text: str = "text") -> DataFrame:

@@ -105,7 +105,7 @@ def dense_rows(placed: DataFrame, length: int = 1024, start_id: int = START_ID)
     names = ("input_ids", "label_ids", "segment_ids", "attention_mask")
     parts = placed.select("shard", "pack_id", "segment", F.struct(*(c.alias(k) for k, c in segment_arrays(F.col("input_ids"), F.col("label_ids"), F.col("segment"), start_id).items())).alias("part"))
     rows = parts.groupBy("shard", "pack_id").agg(F.array_sort(F.collect_list(F.struct("segment", "part"))).alias("parts"))
-    flat = {k: F.flatten(F.transform("parts", lambda p, k=k: p["part"][k])) for k in names}
+    flat = {k: F.flatten(F.col("parts.part").getField(k)) for k in names}
     pad = {"input_ids": 0, "label_ids": IGNORE, "segment_ids": 0, "attention_mask": 0}
     return rows.select("shard", "pack_id", *(F.concat(v, F.array_repeat(F.lit(pad[k]), F.lit(length) - F.size(v))).alias(k) for k, v in flat.items()))
 

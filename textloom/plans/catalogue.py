@@ -323,8 +323,8 @@ def worstfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latent_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = packing.latent_arrays(F.col("input_ids"), F.col("label_ids"), 8, 98, F.lit(1))
-    got = placed(spark, sf_dir, ids=True).select("doc_id", *(v.alias(k) for k, v in laid.items() if k in ("input_ids", "position_ids")))
-    return got.select("doc_id", long(F.size("input_ids")).alias("slots"), digest(F.col("input_ids")).alias("input_md5"), digest(F.col("position_ids")).alias("position_md5"))
+    got = placed(spark, sf_dir, ids=True).select("doc_id", laid["input_ids"].alias("laid_ids"), laid["position_ids"].alias("laid_positions"))
+    return got.select("doc_id", long(F.size("laid_ids")).alias("slots"), digest(F.col("laid_ids")).alias("input_md5"), digest(F.col("laid_positions")).alias("position_md5"))
 
 
 # ---- walks ----------------------------------------------------------------------------------------------------------
@@ -343,7 +343,7 @@ def deshuffle_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def walk_sql(prompt: int, mean: float, rate: float, shortest: float, longest: float, prefix: bool, most: int, attempts: int = 100) -> str:
     """The walk as recursion: a row per document and step, attempts one after another. `used` counts what labels take."""
-    hole = "(11 + length(cast(spans AS VARCHAR)))"
+    hole = "(10 + length(cast(spans AS VARCHAR)))"
     added = "span" if prefix else f"{hole} + span"
     one = 1 if prefix else 0
     from textloom.functions.hashrand import poisson_table
@@ -454,10 +454,10 @@ def fulfilled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 DAILY_SQL = "d AS (SELECT event_type AS obj_key, cast(ts AS DATE) AS day, avg(value) AS loss FROM events GROUP BY ALL), l AS (SELECT *, lag(loss) OVER (PARTITION BY obj_key ORDER BY day) AS old FROM d)"
 
 
-@query(f"WITH {DAILY_SQL} SELECT obj_key, day, round(loss, 6) AS loss, round(greatest(-1, least(1, coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0))), 5) AS reward FROM (SELECT *, -100 * tanh(sqrt(loss * old) * pow((loss - old) / (old + 1e-8), 3) * exp(1)) * exp(1) AS r FROM l WHERE old IS NOT NULL)")
+@query(f"WITH {DAILY_SQL} SELECT obj_key, cast(day AS VARCHAR) AS day, round(loss, 6) AS loss, round(greatest(-1, least(1, coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0))), 5) + 0.0 AS reward FROM (SELECT *, -100 * tanh(sqrt(loss * old) * pow((loss - old) / (old + 1e-8), 3) * exp(1)) * exp(1) AS r FROM l WHERE old IS NOT NULL)")
 def reward_from_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = losses(spark, sf_dir).groupBy("obj_key", F.to_date("ts").alias("day")).agg(F.avg("loss").alias("loss"))
-    return feedback.rewards(daily, step="day").select("obj_key", "day", F.round("loss", 6).alias("loss"), F.round("reward", 5).alias("reward"))
+    return feedback.rewards(daily, step="day").select("obj_key", F.col("day").cast("string").alias("day"), F.round("loss", 6).alias("loss"), (F.round("reward", 5) + F.lit(0.0)).alias("reward"))
 
 
 @query(f"SELECT cast(i AS BIGINT) AS step, round(CASE WHEN i < 50 THEN 0.9 ELSE greatest(0.05, least(0.8, 0.425 + 0.375 * cos(pi() * least(greatest(i - 100, 0), 1899) / 1899.0))) END, 6) AS rate, {sql_uniform("'0:' || i")} < CASE WHEN i < 50 THEN 0.9 ELSE greatest(0.05, least(0.8, 0.425 + 0.375 * cos(pi() * least(greatest(i - 100, 0), 1899) / 1899.0))) END AS explore FROM range(128000) t(i)")
