@@ -7,37 +7,41 @@ the next shorter context, in which the symbols of the longer one are excluded. S
 of its suffix, what exclusion takes away is a sum per node, so each level of the trie is a table, and the
 code lengths of all (context, symbol) pairs follow from one join per level.
 
-Documents are dealt to blocks of bounded size. A block tells which pairs and words it holds and how often it learns
-them; these are summed over the corpus, coded, and go back to the blocks that hold them: the model grows with the corpus and
-is never broadcast, and no block needs more of it than it uses.
+A block is a run of rows of a stored table, so it is the same in every pass. A block tells which pairs and words it holds and how
+often it learns them; these are summed over the corpus, coded, and go back to the blocks that hold them: the model grows with
+the corpus and is never broadcast, and no block needs more of it than it uses. Only the HEAD most frequent pairs, a fixed
+number, are given to all tasks, which spares their way back. Words travel as 63-bit hashes.
 
 Defined results: a null text is an empty one (the end alone). A null doc_id counts as the empty string in the fold, which
 holds it out. Repeated rows are learned and scored each by itself. Without documents to learn from, every byte costs 8
-bits. An empty table gives no rows. Other columns are not read.
+bits. An empty table gives no rows. Other columns are not read. Documents that don't come from files are stored first.
 """
 
 from __future__ import annotations
 
 import gc
-import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm._common import cut, read, slices
+from textloom.llm._common import Memo, cut, read, slices
 
 #: Bytes of context.
 ORDER = 5
 END = b"\n"
 ALPHABET = 256
-#: Bytes of text in a block, about.
-BLOCK_BYTES = 24_000_000
+#: Rows of a block, pairs given to all tasks, and characters worked on at once.
+BLOCK_ROWS = 8192
+HEAD = 1 << 18
+CHARS = 1_500_000
 #: Fixed value of the base score: what is added to each count.
 ADDED = 0.1
 
@@ -61,44 +65,49 @@ def _codes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return code[np.arange(len(owner)) + ORDER * owner], owner
 
 
+def _word_key(word: bytes) -> int:
+    """A negative number for a word; codes of pairs are not negative."""
+    return -1 - (xxhash.xxh64_intdigest(word) >> 1)
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per block: its distinct (context, symbol) codes and words, with how often documents to learn from have them."""
     gc.disable()
-    codes: dict[int, list[pd.Series]] = {}
-    words: dict[int, Counter] = {}
-    for batch in slices(batches):
+    at: int | None = None
+    codes: list[pd.Series] = []
+    words: Counter = Counter()
+
+    def out() -> Iterator[pa.RecordBatch]:
+        total = pd.concat(codes).groupby(level=0, sort=False).sum()
+        key = np.concatenate([total.index.to_numpy(np.int64), np.fromiter(map(_word_key, words), dtype=np.int64, count=len(words))])
+        n = np.concatenate([total.to_numpy(np.int64), np.fromiter(words.values(), dtype=np.int64, count=len(words))])
+        for i in range(0, len(key), 100_000):
+            k = key[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), at, dtype=np.int64)), pa.array(k), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
+
+    for batch in slices(batches, CHARS):
         blocks = batch.column("block").to_numpy()
         learn = np.asarray(batch.column("learn").to_pylist(), dtype=np.int64)
         lists = [_words(t) for t in batch.column("text").to_pylist()]
-        for block in np.unique(blocks).tolist():
-            mine = np.flatnonzero(blocks == block).tolist()
-            code, owner = _codes([lists[i] for i in mine])
+        turns = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+        for x, y in zip(turns[:-1], turns[1:], strict=True):
+            if blocks[x] != at:
+                if at is not None:
+                    yield from out()
+                at, codes, words = int(blocks[x]), [], Counter()
+            code, owner = _codes(lists[x:y])
             inverse, found = pd.factorize(code)
-            codes.setdefault(block, []).append(pd.Series(np.bincount(inverse, weights=learn[mine][owner], minlength=len(found)).astype(np.int64), index=found))
-            if len(codes[block]) > 7:
-                codes[block] = [pd.concat(codes[block]).groupby(level=0, sort=False).sum()]
-            held = words.setdefault(block, Counter())
-            for i in mine:
-                if learn[i]:
-                    held.update(lists[i])
-                    held[END] += 1
-                else:
-                    held.update(dict.fromkeys([*lists[i], END], 0))
-    for block in codes:
-        total = pd.concat(codes[block]).groupby(level=0, sort=False).sum()
-        n, m = len(total), len(words[block])
-        none = lambda k, t: pa.nulls(k, t)
-        both = [
-            [pa.array(np.full(n, block)), none(n, pa.binary()), pa.array(total.index.to_numpy(np.int64)), pa.array(total.to_numpy(np.int64))],
-            [pa.array(np.full(m, block)), pa.array(list(words[block]), type=pa.binary()), none(m, pa.int64()), pa.array(list(words[block].values()), type=pa.int64())],
-        ]
-        for columns in both:
-            for at in range(0, len(columns[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in columns], names=["block", "word", "code", "n"])
+            codes.append(pd.Series(np.bincount(inverse, weights=learn[x:y][owner], minlength=len(found)).astype(np.int64), index=found))
+            if len(codes) > 7:
+                codes = [pd.concat(codes).groupby(level=0, sort=False).sum()]
+            for i in range(x, y):
+                words.update([*lists[i], END] if learn[i] else dict.fromkeys([*lists[i], END], 0))
+    if at is not None:
+        yield from out()
 
 
 def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(code, n) of distinct context-and-symbol codes to (code, value): the log10 probability of the symbol in its context."""
+    """(code, n) of distinct context-and-symbol codes to (code, n, value): the log10 probability of the symbol in its context."""
     mask = lambda k: (1 << 8 * (k + 1)) - 1
     levels = counts.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col("code").bitwiseAND(F.lit(mask(k))).alias("key")) for k in range(order + 1)))).alias("at"), "n")
     levels = levels.groupBy("at.k", "at.key").agg(F.sum("n").alias("n")).withColumn("node", F.shiftright("key", 8))
@@ -118,49 +127,58 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
         below = own.select("key", "n", "total", "distinct", g.alias("g"))
     all_of = (F.col("total") + F.col("distinct")).cast("double")
     top = F.when(seen, F.log10(F.greatest(F.col("n"), F.lit(1)) / all_of)).otherwise(F.when(F.col("distinct") > 0, F.log10(F.col("distinct") / all_of)).otherwise(0.0) + F.col("g"))
-    return below.select(F.col("key").alias("code"), top.alias("value"))
-
-
-def score(docs: DataFrame, learn: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Scores docs(doc_id, text, learn boolean): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
-    held = cut(dealt.mapInArrow(_gather, "block long, word binary, code long, n long"), "lm-gathered")
-    words = cut(held.where(F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    tokens, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    codes = code_lengths(held.where(F.col("code").isNotNull()).groupBy("code").agg(F.sum("n").alias("n")))
-    book = held.where(F.col("word").isNotNull()).select("block", "word").join(words, "word").select("block", "word", F.lit(None).cast("long").alias("code"), F.col("n").cast("double").alias("value"))
-    book = book.unionByName(held.where(F.col("code").isNotNull()).select("block", "code").join(codes, "code").select("block", F.lit(None).cast("binary").alias("word"), "code", "value"))
-    all_of = math.log10(tokens + ADDED * (known + 1))
+    return below.select(F.col("key").alias("code"), "n", top.alias("value"))
+
+
+def score(docs: DataFrame, learn: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Scores stored docs(doc_id, text, learn boolean): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    row = (F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / block_rows))
+    text, learned = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn")
+    try:
+        dealt = docs.select("doc_id", text, learned, F.xxhash64(*row).alias("block"))
+    except AnalysisException:  # not a table of files
+        dealt = cut(docs.select("doc_id", text, learned), "lm-docs").select("doc_id", "text", "learn", F.xxhash64(*row).alias("block"))
+    held = cut(dealt.select("text", "learn", "block").mapInArrow(_gather, "block long, key long, n long"), "lm-gathered")
+    pairs, words = held.where("key >= 0"), held.where("key < 0")
+    codes = cut(code_lengths(pairs.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))), "lm-codes")
+    top = codes.orderBy(F.desc("n"), "code").limit(HEAD).select("code", "value").toPandas()
+    head, head_values = top["code"].to_numpy(np.int64), top["value"].to_numpy(np.float64)
+    rare = pairs.join(F.broadcast(held.sparkSession.createDataFrame(top[["code"]])), F.col("key") == F.col("code"), "left_anti")
+    by_word = Window.partitionBy("key")
+    counted = words.select("block", "key", F.sum("n").over(by_word).alias("value"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
+    book = rare.join(codes.select("code", "value"), F.col("key") == F.col("code")).select("block", "key", "value").unionByName(counted.select("block", "key", F.col("value").cast("double").alias("value")))
 
     def rate(mine: pa.Table, has: pa.Table) -> pa.Table:
         gc.disable()
-        word, code, value = (has.column(c) for c in ("word", "code", "value"))
-        is_word = word.is_valid()
-        count = dict(zip(word.filter(is_word).to_pylist(), value.filter(is_word).to_numpy().astype(np.int64).tolist(), strict=True))
-        is_code = code.is_valid()
-        keys, values = code.filter(is_code).to_numpy(), value.filter(is_code).to_numpy()
+        key, value = has.column("key").to_numpy(), has.column("value").to_numpy()
+        is_word = key < 0
+        count = dict(zip(key[is_word].tolist(), value[is_word].astype(np.int64).tolist(), strict=True))
+        known = Memo(lambda word: count[_word_key(word)], 1 << 62)  # a block's words at most
+        keys, values = np.concatenate([head, key[~is_word]]), np.concatenate([head_values, value[~is_word]])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
         out: list[list] = [[], [], [], []]
-        for batch in slices(mine.combine_chunks().to_batches()):
+        for batch in slices(mine.select(["text"]).to_batches(), CHARS):
             lists = [_words(t) for t in batch.column("text").to_pylist()]
             at, owner = _codes(lists)
             inverse, found = pd.factorize(at)
-            out[3] += np.bincount(owner, weights=values[np.searchsorted(keys, found)][inverse], minlength=len(lists)).tolist()
+            place = np.searchsorted(keys, found)
+            if (place == len(keys)).any() or (keys[place] != found).any():
+                raise ValueError("a block holds pairs that it did not tell of")
+            out[3] += np.bincount(owner, weights=values[place][inverse], minlength=len(lists)).tolist()
             for ws in lists:
-                c = np.fromiter(map(count.__getitem__, [*ws, END]), dtype=np.int64, count=len(ws) + 1)
+                c = np.fromiter(map(known.__getitem__, [*ws, END]), dtype=np.int64, count=len(ws) + 1)
                 out[0].append(len(c))
                 out[1].append(int((c > 0).sum()))
-                out[2].append(float((np.log10(c + ADDED) - all_of).sum()))
-        columns = [mine.column("doc_id"), mine.column("learn"), pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.int64()), pa.array([tokens] * mine.num_rows, type=pa.int64()), pa.array(out[2], type=pa.float64()), pa.array(out[3], type=pa.float64())]
-        return pa.Table.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("block").cogroup(book.groupBy("block")).applyInArrow(rate, f"doc_id {kind}, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+                out[2].append(float(np.log10(c + ADDED).sum()))
+        columns = [mine.column("doc_id"), mine.column("learn"), pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.int64()), pa.array(out[2], type=pa.float64()), pa.array(out[3], type=pa.float64())]
+        return pa.Table.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "raw", "score"])
+
+    rated = dealt.groupBy("block").cogroup(book.groupBy("block")).applyInArrow(rate, f"doc_id {kind}, learn boolean, n_tokens long, n_known long, raw double, score double")
+    totals = counted.where("first").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("value") > 0).alias("train_words"))
+    base = F.col("raw") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.lit(ADDED) * (F.col("train_words") + 1))
+    return rated.crossJoin(F.broadcast(totals)).select("doc_id", "learn", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
