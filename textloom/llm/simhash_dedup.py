@@ -11,6 +11,10 @@ Equal fingerprints count once. A bucket gives only a spanning forest of its link
 fingerprints is dealt to block pairs of bounded size, over as many tasks. Components come from rounds of
 large-star and small-star joins over tables in the shared folder; only counts reach the driver.
 
+Four bits are narrow for edited copies: two texts whose five-word shingles agree by 0.8 differ in ten bits or so of a shingle
+fingerprint. `keep_one` therefore takes fingerprints of the set of a text's words, which edits move little, one for each of
+several hash seeds, and joins texts that lie within the radius under any of them.
+
 Defined results: a null or wordless text has the fingerprint 0, which links like any other. Null doc_ids are ignored when the
 smallest is sought; a component of null ids has a null component_id. Repeated rows come back as often as they
 are there. An empty table gives no rows. Columns other than doc_id and text are not read.
@@ -33,6 +37,8 @@ from textloom.llm._common import cut, fresh, read, slices
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+#: Seeds of the fingerprints of word sets.
+SEEDS = (42, 43, 44, 45)
 #: Ring of segments: first bit and width of each, and how the second of a chain is halved.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of a bucket that are compared in one cell.
@@ -41,32 +47,38 @@ CELL = 2048
 FEW = 6
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS) -> int:
-    """The SimHash of one text's shingles, as an unsigned 64-bit number."""
+def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
+    """The SimHash of one text's shingles (shingle 0: of its distinct words), as an unsigned 64-bit number."""
     words = text.encode("utf-8").lower().split() if text else []
     if not words:
         return 0
-    line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts, n = np.concatenate(([0], ends[:-1])).tolist(), max(1, len(words) - shingle + 1)
-    stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts[:n], stops, strict=True)), dtype=np.uint64, count=n)
+    if shingle:
+        line = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words])
+        starts, n = np.concatenate(([0], ends[:-1])).tolist(), max(1, len(words) - shingle + 1)
+        stops = (ends[min(shingle, len(words)) - 1 :] - 1).tolist()
+        hashes = np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), dtype=np.uint64, count=n)
+    else:
+        distinct = set(words)
+        n = len(distinct)
+        hashes = np.fromiter((digest(w, seed) for w in distinct), dtype=np.uint64, count=n)
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, n, 65536):
         ones += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, into: str, text: str = "text", shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """docs with the fingerprint of a text column as a (signed) long."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType(), False)])
+def with_fingerprints(docs: DataFrame, into: tuple[str, ...], text: str = "text", shingle: int = SHINGLE_WORDS, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """docs with the fingerprints of a text column, one per seed, as (signed) longs."""
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in into)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in slices(batches, column=text):
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, into])
+            texts = batch.column(text).to_pylist()
+            prints = [np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64) for seed in seeds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, prints)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -117,7 +129,7 @@ def _forest(a: np.ndarray, b: np.ndarray | None, start: int, radius: int) -> lis
     for at in range(0, len(a), 256):
         rows, cols = _linked(a[at : at + 256], other, start, radius)
         ends = np.flatnonzero(np.diff(rows, append=-1)) + 1
-        for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        for x, y in zip([0, *ends.tolist()], ends.tolist(), strict=False):
             row, near = int(rows[x]) + at, cols[x:y] + shift
             for i in np.unique(root[near], return_index=True)[1].tolist():  # one link to each tree that it touches
                 if (p := find(row)) != (q := find(int(near[i]))):
@@ -129,11 +141,13 @@ def _forest(a: np.ndarray, b: np.ndarray | None, start: int, radius: int) -> lis
 
 
 def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
-    """(a, b) pairs of distinct fingerprints (column fp) within the radius whose components are those of all such pairs."""
-    if radius * 2 >= 2 * len(SEGMENTS):
+    """(seed, a, b) pairs of distinct fingerprints (columns seed and fp) of one seed within the radius, whose components are
+    those of all such pairs."""
+    if radius >= len(SEGMENTS):
         raise ValueError("the chains here are complete up to a radius of 4 bits")
     masks = _chain_keys()
-    keyed = prints.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks))).alias("kind", "key"))
+    keyed = prints.select("fp", "seed", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks))).alias("place", "key"))
+    keyed = keyed.select("fp", (F.col("seed") * len(masks) + F.col("place")).alias("kind"), "key")
     many = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int"))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block)))")
@@ -143,7 +157,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
         gc.disable()
         rest = None
 
-        def forest(part: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+        def forest(part: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
             n = len(part["fp"])
             if not n:
                 return []
@@ -158,21 +172,20 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
                 x = np.flatnonzero((run[step:] == run[:-step]) & (length[step:] <= FEW) & (part["lo"][step:] == part["hi"][step:]))
                 one, two = part["fp"][x].view(np.uint64), part["fp"][x + step].view(np.uint64)
                 near = np.bitwise_count(one ^ two) <= radius
-                edges += zip(one[near].tolist(), two[near].tolist(), strict=True)
+                edges += zip((part["kind"][x][near] // len(masks)).tolist(), one[near].tolist(), two[near].tolist(), strict=True)
             many_rows = (sizes > FEW) | ((sizes > 1) & (part["lo"][cuts[:-1]] != part["hi"][cuts[:-1]]))
             for x, y in zip(cuts[:-1][many_rows].tolist(), cuts[1:][many_rows].tolist(), strict=True):
                 if y - x > 1:
-                    fp, start = part["fp"][x:y].view(np.uint64), masks[int(part["kind"][x])][1]
-                    if part["lo"][x] == part["hi"][x]:
-                        edges += _forest(fp, None, start, radius)
-                    else:
-                        low = part["block"][x:y] == part["lo"][x]
-                        edges += _forest(fp[low], fp[~low], start, radius)
+                    seed, place = divmod(int(part["kind"][x]), len(masks))
+                    fp, start = part["fp"][x:y].view(np.uint64), masks[place][1]
+                    low = part["block"][x:y] == part["lo"][x]
+                    found = _forest(fp, None, start, radius) if part["lo"][x] == part["hi"][x] else _forest(fp[low], fp[~low], start, radius)
+                    edges += ((seed, p, q) for p, q in found)
             return edges
 
-        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            both = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        def out(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            three = np.array(edges, dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(three[:, i]) for i in range(3)], names=["seed", "a", "b"])
 
         for batch in batches:
             part = {c: batch.column(c).to_numpy() for c in batch.schema.names}
@@ -189,11 +202,11 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
             yield out(forest(rest))
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "kind", "key", "lo", "hi").sortWithinPartitions("kind", "key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+    return cells.repartition(n, "kind", "key", "lo", "hi").sortWithinPartitions("kind", "key", "lo", "hi").mapInArrow(run, "seed long, a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b): root is the smallest node of its component.
+    """(node, root) for every node of the undirected edges (a, b) that is not the smallest of its component, which is the root.
     Rounds of large-star and small-star; each is one table in the shared folder."""
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
@@ -214,27 +227,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp, component_id for docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType
-    marked = cut(with_fingerprint(docs.select("doc_id", "text"), "fp", shingle=shingle).select("doc_id", "fp"), "fingerprints")
+    marked = cut(with_fingerprints(docs.select("doc_id", "text"), ("fp",), shingle=shingle).select("doc_id", "fp"), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    roots = components(links(nodes.select("fp", F.lit(0).alias("seed")), radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").cast(kind).alias("component_id"))
     by_print = placed.join(ids, "root").select("fp", "component_id")
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """The document of the smallest id of each component, with all its columns. Of rows that share this id, one stays;
-    of a component of null ids, one."""
+def keep_one(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """The document of the smallest id of each group of near copies, with all its columns. Of rows that share this id, one
+    stays; of a group of null ids, one. Groups: texts whose sets of words lie within the radius under any of the seeds."""
     order = F.xxhash64(*(F.col(c) for c in docs.columns))
-    hashed = fresh(docs, "row_hash")
-    mine = docs.select("doc_id", "text", order.alias(hashed))
-    fp = fresh(mine, "fp")
-    marked = cut(with_fingerprint(mine, fp, shingle=shingle).select(F.col("doc_id").alias("id"), F.col(hashed).alias("hash"), F.col(fp).alias("fp")), "fingerprints")
-    nodes = cut(marked.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
+    mine = docs.select(F.col("doc_id").alias("id"), F.col("text"), order.alias("hash"))
+    names = tuple(f"fp{i}" for i in range(len(seeds)))
+    marked = cut(with_fingerprints(mine, names, shingle=0, seeds=seeds).drop("text"), "fingerprints")
+    # texts are named by their first fingerprint, and a fingerprint of another seed by the smallest such name
+    several = marked.select(F.col("fp0").alias("node"), F.posexplode(F.array(*names)).alias("seed", "fp"))
+    named = cut(several.groupBy("seed", "fp").agg(F.min("node").alias("name")), "named")
+    found = links(named.select("seed", "fp"), radius)
+    one, two = (named.select("seed", F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
+    near = found.join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    same = several.where("seed > 0").distinct().join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
+    roots = components(near.unionByName(same))
+    nodes = marked.groupBy(F.col("fp0").alias("fp")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
     kept = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("id"), F.col("least.hash").alias("hash"))
+    hashed = fresh(docs, "row_hash")
     found = docs.withColumn(hashed, order)
     found = found.join(kept, found["doc_id"].eqNullSafe(kept["id"]) & (found[hashed] == kept["hash"]), "left_semi")
     twice = marked.join(kept, marked["id"].eqNullSafe(kept["id"]) & (marked["hash"] == kept["hash"]), "left_semi").groupBy("id", "hash").count().where("count > 1")
