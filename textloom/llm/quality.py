@@ -117,3 +117,26 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fresh(docs, "measured")
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_share")
     return docs.select("doc_id", measures().alias(m)).select("doc_id", *(F.col(m)[n].alias(n) for n in names))
+
+
+def _sql() -> str:
+    """The same figures and verdict in DuckDB's SQL."""
+    phrases = "|".join(p.replace(" ", r"\s+").replace("-", r"\-") for p in BOILERPLATE)
+    fails = rf"""(length(regexp_replace(l, '[^#*$%&|<>{{}}~^=_\\]+', '', 'g')) > {MAX_LINE_SYMBOLS} * length(l) OR length(regexp_replace(l, '[^|»›·•]+', '', 'g')) >= {MIN_SEPARATORS}
+        OR (upper(l) = l AND length(regexp_replace(l, '[^\p{{L}}]+', '', 'g')) >= {MIN_CAPITALS}) OR regexp_matches(l, '(?i)({phrases})'))"""
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) AS lines FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(words) - {WINDOW - 2})) AS i, unnest(list_transform(range(1, len(words) - {WINDOW - 2}), lambda i: md5(array_to_string(words[i : i + {WINDOW - 1}], ' ')))) AS h FROM d WHERE len(words) >= {WINDOW}),
+w AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM g),
+s AS (SELECT doc_id, least({WINDOW}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {WINDOW})) AS covered FROM w WHERE c > 1),
+r AS (SELECT doc_id, cast(sum(covered) AS BIGINT) AS n_repeat_words FROM s GROUP BY doc_id),
+m AS (SELECT doc_id, cast(len(words) AS BIGINT) AS n_words, cast(length(array_to_string(words, '')) AS BIGINT) AS word_chars, cast(length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols,
+    cast(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    cast(coalesce(list_sum(list_transform(lines, lambda l: CASE WHEN {fails} THEN length(l) ELSE 0 END)), 0) AS DOUBLE) / greatest(1, coalesce(list_sum(list_transform(lines, lambda l: length(l))), 0)) AS lost_share FROM d LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words AS base_failed,
+    NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED_PERCENT} * n_words) AND lost_share <= {MAX_LOST} AS kept, lost_share FROM m
+"""
+
+
+OP6_SQL = _sql()
