@@ -235,8 +235,9 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with a score of at least `least`, with all their columns."""
+def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
+    """The documents with a language that holds at least the share `least` of their words, with all their columns. Switching
+    between languages is no reason to go; a text without words of any learned language is."""
     model = fit(docs, F.lit(True))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     return predict(docs, model, into=(lang, score)).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
