@@ -144,7 +144,7 @@ def score(docs: DataFrame, learn: str, block_rows: int = BLOCK_ROWS) -> DataFram
     codes = cut(code_lengths(pairs.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))), "lm-codes")
     top = codes.orderBy(F.desc("n"), "code").limit(HEAD).select("code", "value").toPandas()
     head, head_values = top["code"].to_numpy(np.int64), top["value"].to_numpy(np.float64)
-    rare = pairs.join(F.broadcast(held.sparkSession.createDataFrame(top[["code"]])), F.col("key") == F.col("code"), "left_anti")
+    rare = pairs.join(F.broadcast(held.sparkSession.createDataFrame(top[["code"]], "code long")), F.col("key") == F.col("code"), "left_anti")
     by_word = Window.partitionBy("key")
     counted = words.select("block", "key", F.sum("n").over(by_word).alias("value"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
     book = rare.join(codes.select("code", "value"), F.col("key") == F.col("code")).select("block", "key", "value").unionByName(counted.select("block", "key", F.col("value").cast("double").alias("value")))
