@@ -52,33 +52,44 @@ def _search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: n
     lines = _lines(data.shape[1])
     places = np.column_stack([data, rest]) @ lines
     order = np.ascontiguousarray(np.argsort(places, axis=0, kind="stable").T)
-    values = np.take_along_axis(np.ascontiguousarray(places.T), order, axis=1)
     asked = np.column_stack([queries, np.zeros(len(queries))]) @ lines
+    # the sorted arrays end to end, moved apart so that one search serves all lines
+    gap = 4 * float(np.abs(places).max() + np.abs(asked).max()) + 1.0
+    shift = gap * np.arange(places.shape[1])
+    flat = (np.take_along_axis(np.ascontiguousarray(places.T), order, axis=1) + shift[:, None]).ravel()
+    order = order.ravel()
     spread = float(places.std()) or 1.0
+    single, largest = data.astype(np.float32), float(np.sqrt((data * data).sum(axis=1).max()))
     n, m = places.shape
+    first = n * np.arange(m)
     found = []
     for own, query, at in zip(query_ids, queries, asked, strict=True):
         counts = np.zeros(n, dtype=np.int64)
-        low = [int(np.searchsorted(values[j], at[j])) for j in range(m)]
-        high, width = list(low), FIRST_WIDTH * spread
+        low = np.clip(np.searchsorted(flat, at + shift), first, first + n)
+        high, width = low.copy(), FIRST_WIDTH * spread
         verified = np.zeros(n, dtype=bool)
         near_ids, near = np.zeros(0, dtype=np.int64), np.zeros(0)
         length = float(np.sqrt((query * query).sum()))
         while True:
-            gained = []  # only what a window gains is counted
-            for j in range(m):
-                a, b = values[j].searchsorted((at[j] - width, at[j] + width)).tolist()
-                a, b = min(a, low[j]), max(b, high[j])
-                gained += [order[j, a : low[j]], order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(gained), minlength=n)
+            reach = min(width, gap / 2)
+            a, b = np.searchsorted(flat, at - reach + shift), np.searchsorted(flat, at + reach + shift, side="right")
+            # only what a window gains is counted; a window doesn't leave its line
+            a, b = np.clip(np.minimum(a, low), first, first + n), np.clip(np.maximum(b, high), first, first + n)
+            gained = [order[x:y] for x, y in zip(np.concatenate([a, high]).tolist(), np.concatenate([low, b]).tolist(), strict=True) if x < y]
+            low, high = a, b
+            if gained:
+                counts += np.bincount(np.concatenate(gained), minlength=n)
             new = np.flatnonzero((counts >= COLLISIONS) & ~verified)
             verified[new] = True
             new = new[ids[new] != own]
+            if len(new) > k:  # single precision tells which of them can't be among the best; those left are worked out in full
+                rough = single[new] @ query.astype(np.float32)
+                floor = max(float(np.partition(rough, -k)[-k]), near[k - 1] if len(near) >= k else -np.inf)
+                new = new[rough >= floor - 1e-5 * largest * length]
             near_ids = np.concatenate([near_ids, ids[new]])
             near = np.concatenate([near, (data[new] * query).sum(axis=1)])
             best = np.lexsort((near_ids, -near))[:k]
-            whole = all(low[j] == 0 and high[j] == n for j in range(m))
+            whole = bool((high - low == n).all())
             if whole or (len(best) == k and REACH * math.sqrt(max(0.0, radius**2 + length**2 - 2 * near[best[-1]])) <= width):
                 found.append((near_ids[best], near[best]))
                 break
