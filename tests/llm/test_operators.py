@@ -169,7 +169,7 @@ def test_simhash_equals_brute_force(spark):
     assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=key) == want
     kept = simhash_dedup.keep_one(frame)
     assert kept.columns == frame.columns
-    sets = [[simhash_dedup.fingerprint(r["text"], 0, seed) for seed in simhash_dedup.SEEDS] for r in rows]
+    sets = [simhash_dedup.word_fingerprints(r["text"]) for r in rows]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
