@@ -44,6 +44,8 @@ SEEDS = tuple(range(42, 50))
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of a bucket that are compared in one cell.
 CELL = 2048
+#: Rows of the table of large buckets up to which it is broadcast.
+BROADCAST = 200_000
 #: Buckets of at most so many are compared row by row; they hold few pairs.
 FEW = 6
 #: Fixed values of the splitmix64 generator: its step and the multipliers of its output.
@@ -175,10 +177,12 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     starts = np.array([i for _, i in masks])
     keyed = prints.select("fp", "seed", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(_signed(m))) for m, _ in masks))).alias("place", "key"))
     keyed = keyed.select("fp", (F.col("seed") * len(masks) + F.col("place")).alias("kind"), "key")
-    many = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).withColumn("blocks", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int"))
+    large = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell // 2)
+    large = cut(large.select("kind", "key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks")), "large-buckets")
+    dealt = keyed.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block)))")
-    cells = keyed.join(many.drop("n"), ["kind", "key"]).withColumn("block", block).select("fp", "kind", "key", "block", F.explode(pairs).alias("cell")).select("fp", "kind", "key", "block", "cell.lo", "cell.hi")
+    cells = dealt.withColumn("block", block).select("fp", "kind", "key", "block", F.explode(pairs).alias("cell")).select("fp", "kind", "key", "block", "cell.lo", "cell.hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
