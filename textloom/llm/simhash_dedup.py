@@ -15,6 +15,10 @@ Four bits are narrow for edited copies: two texts whose five-word shingles agree
 fingerprint. `keep_one` therefore takes fingerprints of the set of a text's words, which edits move little, one for each of
 several hash seeds, and joins texts that lie within the radius under any of them.
 
+Fingerprints alone miss copies that were cut, extended or spliced. `keep_one_similar`, the pipeline's stage, takes their links as
+candidates only, adds those of a prefix filter over five-word shingles, which no pair of LEAST or more escapes whatever the
+edit, and confirms each by the exact similarity of the two sets of shingles.
+
 Defined results: a null or wordless text has the fingerprint 0, which links like any other. Null doc_ids are ignored when the
 smallest is sought; a component of null ids has a null component_id. Repeated rows come back as often as they
 are there. An empty table gives no rows. Columns other than doc_id and text are not read.
@@ -28,7 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +42,7 @@ SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
 #: Seeds of the fingerprints of word sets. Edited copies of a five-word similarity of 0.8 or more lie within the radius under one
-#: seed in four cases of five, so that eight leave hardly any out.
+#: seed in four cases of five if single words differ; cut, extended and spliced copies far less often.
 SEEDS = tuple(range(42, 50))
 #: Ring of segments: first bit and width of each, and how the second of a chain is halved.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -48,6 +52,11 @@ CELL = 2048
 BROADCAST = 200_000
 #: Buckets of at most so many are compared row by row; they hold few pairs.
 FEW = 6
+#: Words of the shingles by which the stage calls two texts similar, and the least Jaccard similarity as a fraction.
+SIMILAR_WORDS = 5
+LEAST = (4, 5)
+#: Rows (by hash) and shingles that tell common shingles from rare ones; they only order the prefixes.
+COMMON_ROWS, COMMON = 20_000, 65_536
 #: Fixed values of the splitmix64 generator: its step and the multipliers of its output.
 STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -269,6 +278,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def _least_of(docs: DataFrame, order: Column, marked: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of docs that are the least of each root of placed(least, root)."""
+    kept = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("id"), F.col("least.hash").alias("hash"))
+    hashed = fresh(docs, "row_hash")
+    found = docs.withColumn(hashed, order)
+    found = found.join(kept, found["doc_id"].eqNullSafe(kept["id"]) & (found[hashed] == kept["hash"]), "left_semi")
+    twice = marked.join(kept, marked["id"].eqNullSafe(kept["id"]) & (marked["hash"] == kept["hash"]), "left_semi").groupBy("id", "hash").count().where("count > 1")
+    if not twice.isEmpty():  # equal in every column: any of them is the one
+        found = found.dropDuplicates([hashed, "doc_id"])
+    return found.drop(hashed)
+
+
 def keep_one(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """The document of the smallest id of each group of near copies, with all its columns. Of rows that share this id, one
     stays; of a group of null ids, one. Groups: texts whose sets of words lie within the radius under any of the seeds."""
@@ -286,14 +307,128 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEE
     roots = components(near.unionByName(same))
     nodes = marked.groupBy(F.col("fp0").alias("fp")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    kept = placed.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.id").alias("id"), F.col("least.hash").alias("hash"))
-    hashed = fresh(docs, "row_hash")
-    found = docs.withColumn(hashed, order)
-    found = found.join(kept, found["doc_id"].eqNullSafe(kept["id"]) & (found[hashed] == kept["hash"]), "left_semi")
-    twice = marked.join(kept, marked["id"].eqNullSafe(kept["id"]) & (marked["hash"] == kept["hash"]), "left_semi").groupBy("id", "hash").count().where("count > 1")
-    if not twice.isEmpty():  # equal in every column: any of them is the one
-        found = found.dropDuplicates([hashed, "doc_id"])
-    return found.drop(hashed)
+    return _least_of(docs, order, marked, placed)
+
+
+def shingles(text: str | None) -> set[str]:
+    """The five-word shingles of a text; one of fewer words is its own only shingle."""
+    words = text.lower().split() if text else []
+    return {" ".join(words[i : i + SIMILAR_WORDS]) for i in range(max(1, len(words) - SIMILAR_WORDS + 1))}
+
+
+def similar(a: set[str], b: set[str]) -> bool:
+    """Whether two sets have a Jaccard similarity of LEAST or more."""
+    both = len(a & b)
+    return both * LEAST[1] >= LEAST[0] * (len(a) + len(b) - both)
+
+
+def _hashes(text: str | None) -> np.ndarray:
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)), dtype=np.uint64).view(np.int64))
+
+
+def _common(marked: DataFrame) -> dict[int, int]:
+    """Shingles that occur often among a bounded sample of texts, with their counts."""
+    total = marked.count()
+    some = marked.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, COMMON_ROWS / max(1, total)))).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_hashes(t) for t in batch.column("text").to_pylist()]))], names=["key"])
+
+    often = some.mapInArrow(run, "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(COMMON)
+    return {r["key"]: r["count"] for r in often.collect()}
+
+
+def prefixes(nodes: DataFrame, common: dict[int, int]) -> DataFrame:
+    """(node, root, size, place, key): the first shingles of each text in one order of all shingles, common ones last. Two sets
+    of LEAST or more share one of these: were all of a set's first size - ceil(LEAST * size) + 1 foreign to the other, too few would remain."""
+    keys = np.array(sorted(common), dtype=np.int64)
+    counts = np.array([common[k] for k in keys.tolist()], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        for batch in slices(batches):
+            parts = []
+            for text in batch.column("text").to_pylist():
+                h = _hashes(text)
+                often = np.zeros(len(h), dtype=np.int64)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                    often = np.where(keys[at] == h, counts[at], 0)
+                parts.append((h[np.lexsort((h, often))][: len(h) + LEAST[0] * len(h) // -LEAST[1] + 1], len(h)))
+            sizes = [len(first) for first, _ in parts]
+            row = np.repeat(np.arange(len(parts)), sizes)
+            columns = [*(batch.column(c).take(pa.array(row)) for c in ("node", "root")), pa.array(np.repeat(np.array([n for _, n in parts]), sizes)), pa.array(np.concatenate([np.arange(n) for n in sizes])), pa.array(np.concatenate([f for f, _ in parts]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "size", "place", "key"])
+
+    return nodes.select("node", "root", "text").mapInArrow(run, "node long, root long, size long, place long, key long")
+
+
+def shared_prefixes(rows: DataFrame, cell: int = CELL) -> DataFrame:
+    """Distinct pairs (a, b) of nodes with different roots that share a row of `prefixes` and can be similar by their sizes and places.
+    Keys of many nodes are dealt to block pairs."""
+    rows = cut(rows.distinct(), "prefixes")
+    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("roots")).where("roots > 1").select("key", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("blocks"))
+    dealt = cut(rows.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shared-prefixes")
+    cells = F.expr("explode(transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block))))")
+    both = dealt.select("key", "node", "root", "size", "place", "block", cells.alias("cell")).select("*", "cell.lo", "cell.hi").drop("cell")
+    one, two = both.where("block = lo").alias("x"), both.where("block = hi").alias("y")
+    p, q = LEAST
+    near = f"""x.root <> y.root and (x.lo < x.hi or x.node < y.node) and {q} * least(x.size, y.size) >= {p} * greatest(x.size, y.size)
+        and {p + q} * (1 + least(x.size - x.place - 1, y.size - y.place - 1)) >= {p} * (x.size + y.size)"""
+    same = "x.key = y.key and x.lo = y.lo and x.hi = y.hi"
+    return one.join(two, F.expr(f"{same} and {near}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+
+
+def confirmed(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts have a similarity of LEAST or more."""
+    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = marked.join(asked, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        last, mine = None, set()
+        for batch in slices(batches, column="b_text"):
+            ids, others, holds = batch.column("a").to_pylist(), batch.column("b_text"), []
+            firsts = batch.column("a_text")
+            for i, a in enumerate(ids):
+                if a != last:
+                    last, mine = a, shingles(firsts[i].as_py())
+                holds.append(similar(mine, shingles(others[i].as_py())))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(holds)), batch.column("b").filter(pa.array(holds))], names=["a", "b"])
+
+    return pairs.join(two, "b").join(one, "a").sortWithinPartitions("a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+
+
+def _node(text: str | None) -> int:
+    return xxhash.xxh64_intdigest(" ".join(text.lower().split()), SEED) if text else xxhash.xxh64_intdigest("", SEED)
+
+
+def keep_one_similar(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """The document of the smallest id of each group of near copies, with all its columns; ties as in `keep_one`. Groups: texts
+    linked by an exact similarity of LEAST or more of their five-word shingles, whatever edit made them. Texts of the same words
+    are one node, named by a 64-bit hash."""
+    order = F.xxhash64(*(F.col(c) for c in docs.columns))
+    mine = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), order.alias("hash"))
+    names = tuple(f"fp{i}" for i in range(len(seeds)))
+    marked = cut(with_fingerprints(mine, ("node", *names), lambda t: [_node(t), *word_fingerprints(t, seeds)]), "fingerprints")
+    several = marked.select("node", F.posexplode(F.array(*names)).alias("seed", "fp"))
+    named = cut(several.groupBy("seed", "fp").agg(F.min("node").alias("name")), "named")
+    found = links(named.select("seed", "fp"), radius)
+    one, two = (named.select("seed", F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
+    near = found.join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    same = several.distinct().join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
+    sure = cut(confirmed(near.unionByName(same), marked), "confirmed")
+    roots = components(sure)
+    # pairs that fingerprints have joined need no second look
+    rooted = marked.select("node", "text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rest = confirmed(shared_prefixes(prefixes(rooted, _common(marked))), marked)
+    roots = components(sure.unionByName(rest))
+    nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
+    placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    return _least_of(docs, order, marked, placed)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
