@@ -1,4 +1,4 @@
-"""The pipeline's stages do their whole job: near copies of any edit pattern."""
+"""The pipeline's stages do their whole job: near copies of any edit pattern, foreign and random texts."""
 
 import numpy as np
 
@@ -39,3 +39,25 @@ def test_buckets_of_many_texts_are_cut(spark):
     frame = spark.createDataFrame(rows, "node long, root long, size long, place long, key long")
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
     assert {(r["a"], r["b"]) for r in simhash_dedup.shared_prefixes(frame, cell=4).collect()} == want
+
+
+FOREIGN = {
+    "pl": "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem " * 3,
+    "fi": "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto " * 3,
+    "ru": "все люди рождаются свободными и равными в своем достоинстве и правах они наделены разумом и совестью " * 3,
+}
+
+
+def test_language_stage_rejects_foreign_and_random_letters(spark):
+    rng = np.random.default_rng(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = [r["text"] for r in docs.where("text is not null").orderBy("doc_id").limit(60).collect()]
+    mixed = [" ".join(a.split()[:50] + b.split()[:50]) for a, b in zip(clean[:20], clean[20:40], strict=True)]
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(120)) for _ in range(5)]
+    more = [(10**9 + i, t, None, "s", len(t)) for i, t in enumerate([*FOREIGN.values(), *junk, *mixed])]
+    both = docs.unionByName(spark.createDataFrame(more, SCHEMA).select(docs.columns))
+    for known in (both, both.where("lang is null or lang in ('en', 'fr')")):  # the number of labels doesn't matter
+        ids = {r["doc_id"] for r in corpus_pipeline.language(spark, known, "").collect()}
+        assert not {10**9 + i for i in range(8)} & ids
+    ids = {r["doc_id"] for r in corpus_pipeline.language(spark, both, "").collect()}
+    assert {10**9 + i for i in range(8, 28)} <= ids and len(ids) >= 0.99 * docs.count()

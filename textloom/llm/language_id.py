@@ -9,6 +9,10 @@ The field is fitted on a bounded sample of labelled rows: about SAMPLE documents
 a place that a hash chooses; segments of different documents are put in one sequence, so that switches are learned. Prediction
 covers every word of every whole text; it is one pass without shuffles.
 
+The score compares learned labels with each other, so it can't tell that a text is in none of them. `keep_known` therefore judges
+by evidence: the mean log-likelihood of a letter under the byte trigrams of the language that suits each word best. Each word
+has its own language, so switching costs little, and the bound comes from texts held out of the sample, not from the number of labels.
+
 Defined results: `und` with score 0 for a null text, one without a letter, and if there was nothing to learn from. Equal
 probabilities go to the language that sorts first. Rows are judged each by itself, so repeated rows agree. Rows with a null
 language are not learned from. At most MAX_LABELS languages (the most frequent) are learned. Other columns are passed on
@@ -41,6 +45,10 @@ EPOCHS = 40
 RATE = 0.3
 DECAY = 1e-4
 UNKNOWN = "und"
+#: Evidence: weight of an unseen trigram; how far below the median of held-out texts a text may lie (natural logarithms a letter),
+#: and how much farther if it is short (over the root of its length).
+UNSEEN = 0.05
+MARGIN, SHORT = 1.0, 4.0
 LETTERS = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,6 +59,9 @@ class Model:
     weights: np.ndarray  # 2**BITS x labels
     transitions: np.ndarray  # labels x labels, logarithms
     start: np.ndarray
+    trigrams: np.ndarray | None = None  # 2**BITS x labels, logarithms of counts
+    pairs: np.ndarray | None = None  # 2**16 x labels, of the bytes before
+    usual: float = 0.0  # median evidence of held-out texts
 
 
 def words_of(text: str | None) -> list[str]:
@@ -83,6 +94,46 @@ def _emissions(weights: np.ndarray, index: np.ndarray, belongs: np.ndarray, n: i
     return np.stack([np.bincount(belongs, weights=weights[index, j], minlength=n) for j in range(weights.shape[1])], axis=1)
 
 
+def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words' byte trigrams and of the pairs that begin them, and the word of each."""
+    raw = [b"\x02" + w.encode("utf-8") + b"\x03" for w in words]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint64)
+    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
+    code = data[:-2] << np.uint64(16) | data[1:-1] << np.uint64(8) | data[2:]
+    inside = owner[:-2] == owner[2:]
+    code = code[inside]
+    return (code * _MIX >> np.uint64(64 - BITS)).astype(np.int64), (code >> np.uint64(8)).astype(np.int64), owner[:-2][inside]
+
+
+def _tables(rows: list[tuple[int, list[str]]], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of smoothed trigram and pair counts of (label, words) rows."""
+    three, two = np.zeros((1 << BITS, m)), np.zeros((1 << 16, m))
+    for label, words in rows:
+        if words:
+            t, p, _ = _trigrams(words)
+            three[:, label] += np.bincount(t, minlength=1 << BITS)
+            two[:, label] += np.bincount(p, minlength=1 << 16)
+    return np.log(three + UNSEEN).astype(np.float32), np.log(two + UNSEEN * 256).astype(np.float32)
+
+
+def _evidence(tables: tuple[np.ndarray, np.ndarray], words: list[str]) -> np.ndarray:
+    """Of each word: the log-likelihood under the label that suits it best, and the number of its trigrams."""
+    t, p, owner = _trigrams(words)
+    each = np.stack([np.bincount(owner, weights=tables[0][t, j] - tables[1][p, j], minlength=len(words)) for j in range(tables[0].shape[1])], axis=1)
+    return np.stack([each.max(axis=1), np.bincount(owner, minlength=len(words))], axis=1)
+
+
+def _usual(rows: list[tuple[int, list[str]]], m: int) -> float:
+    """The median evidence of texts under tables of other texts; of the same ones if there is but one."""
+    rows = list({tuple(ws): (label, ws) for label, ws in rows if ws}.values())
+    halves = [rows[0::2], rows[1::2]] if len(rows) > 1 else [rows, rows]
+    means = []
+    for mine, other in (halves, halves[::-1]):
+        tables = _tables(other, m)
+        means += [e[0] / e[1] for e in (_evidence(tables, ws).sum(axis=0) for _, ws in mine)]
+    return float(np.median(means))
+
+
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Label probabilities of all words of many sequences laid end to end; also the scaled forward and backward messages.
     All sequences go forward in step, the longest first, so a step costs little however many there are."""
@@ -150,7 +201,8 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
         for value, total, slope in zip((weights, trans, start), sums, slopes, strict=True):
             total += slope * slope
             value += RATE * slope / np.sqrt(total)
-    return Model(labels, weights.astype(np.float32), trans, start)
+    texts = [(labels.index(lang), words_of(text)) for lang, text in rows]
+    return Model(labels, weights.astype(np.float32), trans, start, *_tables(texts, m), _usual(texts, m))
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
@@ -167,12 +219,12 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
 
 
 class _Scorer:
-    """Words' emissions, remembered for at most `most` words."""
+    """Words' emissions, and behind them their evidence if asked, remembered for at most `most` words."""
 
-    def __init__(self, model: Model, most: int = 300_000):
-        self.model, self.most = model, most
+    def __init__(self, model: Model, evidence: bool = False, most: int = 300_000):
+        self.model, self.evidence, self.most = model, evidence, most
         self.known: dict[str, int] = {}
-        self.emit = np.zeros((0, len(model.labels)))
+        self.emit = np.zeros((0, len(model.labels) + 2 * evidence))
 
     def of(self, words: list[str]) -> np.ndarray:
         known = self.known
@@ -185,18 +237,20 @@ class _Scorer:
             parts = [self.emit]
             for at in range(0, len(new), 20_000):
                 part = new[at : at + 20_000]
-                parts.append(_emissions(self.model.weights, *_features(part), len(part)))
+                found = _emissions(self.model.weights, *_features(part), len(part))
+                parts.append(np.hstack([found, _evidence((self.model.trigrams, self.model.pairs), part)]) if self.evidence else found)
             self.emit = np.concatenate(parts)
         return self.emit[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), spans: str | None = None) -> DataFrame:
-    """docs with the predicted language and its score; spans: also a column of runs of words (first word, words, language)."""
-    if {*into, spans} & set(docs.columns):
+def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), spans: str | None = None, evidence: str | None = None) -> DataFrame:
+    """docs with the predicted language and its score; spans: also a column of runs of words (first word, words, language);
+    evidence: also how far a text's evidence lies above the bound (below it: negative; without words: null)."""
+    if {*into, spans, evidence} & set(docs.columns):
         raise ValueError("docs has one of the new columns already")
     fields = [*docs.schema.fields, T.StructField(into[0], T.StringType(), False), T.StructField(into[1], T.DoubleType(), False)]
     kind = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    schema = T.StructType([*fields, *([T.StructField(spans, kind)] if spans else [])])
+    schema = T.StructType([*fields, *([T.StructField(spans, kind)] if spans else []), *([T.StructField(evidence, T.DoubleType())] if evidence else [])])
 
     def runs(best: np.ndarray) -> list[dict]:
         at = np.flatnonzero(np.diff(best, prepend=-1))
@@ -204,16 +258,23 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        scorer = _Scorer(model) if model else None
+        scorer = _Scorer(model, bool(evidence)) if model else None
         for batch in slices(batches, chars=8_000_000, column=text):
             lists = [words_of(t) if model else [] for t in batch.column(text).to_pylist()]
             lengths = np.array([len(ws) for ws in lists])
             some = np.flatnonzero(lengths)
             lang, score = [UNKNOWN] * len(lists), np.zeros(len(lists))
             switched: list[list[dict]] = [[] for _ in lists]
+            above: list[float | None] = [None] * len(lists)
             if len(some):
                 n = lengths[some]
-                chance = forward_backward(scorer.of([w for ws in lists for w in ws]), n, model.transitions, model.start)[0]
+                words = scorer.of([w for ws in lists for w in ws])
+                if evidence:
+                    total, grams = np.add.reduceat(words[:, -2:], np.cumsum(n) - n, axis=0).T
+                    for i, e in zip(some.tolist(), (total / grams - model.usual + MARGIN + SHORT / np.sqrt(grams)).tolist(), strict=True):
+                        above[i] = e
+                    words = words[:, :-2]
+                chance = forward_backward(words, n, model.transitions, model.start)[0]
                 mean = np.add.reduceat(chance, np.cumsum(n) - n, axis=0) / n[:, None]
                 best = mean.argmax(axis=1)
                 score[some] = np.minimum(mean[np.arange(len(some)), best], 1)
@@ -225,6 +286,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
             columns = [*batch.columns, pa.array(lang), pa.array(score)]
             if spans:
                 columns.append(pa.array(switched, type=pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
+            if evidence:
+                columns.append(pa.array(above, type=pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -235,12 +298,12 @@ def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """The documents with a language that holds at least the share `least` of their words, with all their columns. Switching
-    between languages is no reason to go; a text without words of any learned language is."""
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The documents in learned languages, with all their columns. Switching between them is no reason to go; a text whose words
+    look like none of them is, whatever the number of languages."""
     model = fit(docs, F.lit(True))
-    lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    return predict(docs, model, into=(lang, score)).where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).drop(lang, score)
+    lang, score, above = fresh(docs, "lang_pred"), fresh(docs, "lang_score"), fresh(docs, "lang_evidence")
+    return predict(docs, model, into=(lang, score), evidence=above).where((F.col(lang) != UNKNOWN) & (F.col(above) >= 0)).drop(lang, score, above)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
