@@ -61,3 +61,25 @@ def test_language_stage_rejects_foreign_and_random_letters(spark):
         assert not {10**9 + i for i in range(8)} & ids
     ids = {r["doc_id"] for r in corpus_pipeline.language(spark, both, "").collect()}
     assert {10**9 + i for i in range(8, 28)} <= ids and len(ids) >= 0.99 * docs.count()
+
+
+HINDI = "सभी मनुष्य जन्म से स्वतंत्र तथा मर्यादा और अधिकारों में समान होते हैं वे तर्क और विवेक से संपन्न हैं तथा उन्हें भ्रातृत्व की भावना से परस्पर के प्रति कार्य करना चाहिए।"
+PROSE = "This is a sentence with quite a few different words in it, that go on and on until it ends here somewhere."
+
+
+def kept(spark, texts):
+    return {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, frame_of(spark, texts), "").collect()}
+
+
+def test_quality_rules_know_scripts_without_case_and_punctuation(spark):
+    words = " ".join(f"word{i}a" for i in range(30))
+    texts = [HINDI, PROSE, PROSE.upper(), words, " ".join(f"w{i} ?!?!?!" for i in range(30)), f"{words}."]
+    assert kept(spark, texts) == {0, 1, 5}
+
+
+def test_quality_rules_are_relative_to_the_line(spark):
+    long = " ".join(f"word{i}a" for i in range(200))
+    quotes = ["« un mot »", "»Wort«", "«palabra»", "col·lecció paral·lel il·lusió"]
+    fine = [f"{long} {q} and then, {q} {q} and so on." for q in quotes] + [f"{long} read more in these few words."]
+    menu = "\n".join(f"Home {s} About us {s} Contact {s} Shop number {i} {s} Help" for i, s in enumerate("|»›·•|"))
+    assert kept(spark, [*fine, menu, "\n".join(f"Click here to read more number {i}." for i in range(9))]) == set(range(5))

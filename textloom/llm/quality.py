@@ -4,6 +4,10 @@ Every line is judged by itself: lines of symbols or without sentence punctuation
 boilerplate lines fail. Failed lines are removed; a document that loses more than `max_lost` of its characters is
 rejected. Document-wide figures (words, symbols, repeated lines and passages) come with the verdict.
 
+There are two sets of line rules. `FIXED` is what the query op6_quality_rules and its SQL agree on: absolute counts, and capitals
+told by upper(line) = line. `RELATIVE` is what the pipeline uses: capitals only where a script has them, punctuation by its share,
+separators by the word, and phrases only where they make up a line.
+
 Defined results: a null text has no words (all figures 0) and fails; an empty text likewise. Repeated rows are judged
 alike, each by itself. Nothing depends on other rows, so there are no ties and no shuffles. Columns other than
 the text are not read, whatever their names.
@@ -50,6 +54,13 @@ BOILERPLATE = (
     "spdx-license-identifier",
     "lorem ipsum",
 )
+#: Relative rules: over this share of punctuation fails; so does a line of words with letter cases and no mark in at least so many words.
+MAX_PUNCTUATION = 0.3
+MIN_UNMARKED_WORDS = 20
+#: Navigation: at most so many words a separator. Boilerplate: a phrase fails a line of at most so many words, or over this share of it.
+WORDS_A_SEPARATOR = 5
+PHRASE_WORDS, PHRASE_SHARE = 12, 0.2
+FIXED, RELATIVE = "fixed", "relative"
 #: A document goes if its failed lines hold over this share of its characters.
 MAX_LOST = 0.5
 
@@ -59,7 +70,29 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _line_fails(line: str) -> str:
+def _relative_line_fails(line: str) -> str:
+    phrases = "|".join(p.replace(" ", r"\\s+").replace("-", r"\\-") for p in BOILERPLATE)
+    size = lambda pattern, of=line: f"length(regexp_replace({of}, '{pattern}', ''))"
+    words = f"size(regexp_extract_all({line}, '[^ \\\\t\\\\x0B\\\\f\\\\r]*[\\\\p{{L}}\\\\p{{N}}][^ \\\\t\\\\x0B\\\\f\\\\r]*', 0))"
+    # closing quotes answer opening ones, or touch a letter or a mark; a dot between letters is one of them
+    menu = f"regexp_replace({line}, '[«‹][^«»‹›]*[»›]|[»›][^«»‹›]*[«‹]|(?<=[\\\\p{{L}}\\\\p{{N}}.,;:!?…])[»›·]|[»›·](?=[\\\\p{{L}}\\\\p{{N}}])', '')"
+    count = size("[^|»›·•]+", menu)
+    held = f"length({line}) - {size(f'(?i)({phrases})')}"
+    cased = f"lower({line}) <> upper({line})"
+    rules = [
+        f"{size('[^#*$%&|<>{}~^=_' + chr(92) * 4 + ']+')} > {MAX_LINE_SYMBOLS} * length({line})",
+        f"({line} rlike '[|»›·•]' and {count} >= {MIN_SEPARATORS} and {words} <= {WORDS_A_SEPARATOR} * {count})",
+        f"(upper({line}) = {line} and lower({line}) <> {line} and {size('[^' + chr(92) * 2 + 'p{L}]+')} >= {MIN_CAPITALS})",
+        f"{size('[^' + chr(92) * 2 + 'p{P}]+')} > {MAX_PUNCTUATION} * {size('[ ' + chr(92) * 2 + 't' + chr(92) * 2 + 'r]+')}",
+        f"(not {line} rlike '{chr(92) * 2}p{{P}}' and {cased} and {words} >= {MIN_UNMARKED_WORDS})",
+        f"({line} rlike '(?i)({phrases})' and ({words} <= {PHRASE_WORDS} or {held} > {PHRASE_SHARE} * length({line})))",
+    ]
+    return "(" + " or ".join(rules) + ")"
+
+
+def _line_fails(line: str, rules: str = FIXED) -> str:
+    if rules == RELATIVE:
+        return _relative_line_fails(line)
     phrases = "|".join(p.replace(" ", r"\\s+").replace("-", r"\\-") for p in BOILERPLATE)
     rules = [
         rf"length(regexp_replace({line}, '[^#*$%&|<>{{}}~^=_\\\\]+', '')) > {MAX_LINE_SYMBOLS} * length({line})",
@@ -81,7 +114,7 @@ def _repeated_words() -> str:
     return _let(hashes, "h", f"if(size(array_distinct(h)) = size(h), 0L, {count})")
 
 
-def measures(text: Column | str = "text", max_lost: float = MAX_LOST) -> Column:
+def measures(text: Column | str = "text", max_lost: float = MAX_LOST, rules: str = FIXED) -> Column:
     """One struct of figures and verdict for a text column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, lost_share. It is a single expression, so a filter on it works it out once a row."""
     body = f"""named_struct(
@@ -90,7 +123,7 @@ def measures(text: Column | str = "text", max_lost: float = MAX_LOST) -> Column:
         'n_symbols', cast(length(regexp_replace(t, '[^{SYMBOLS}]+', '')) as bigint),
         'n_dup_lines', cast(size(lines) - size(array_distinct(lines)) as bigint),
         'n_repeat_words', {_repeated_words()},
-        'lost_share', aggregate(lines, 0L, (a, l) -> a + if({_line_fails("l")}, length(l), 0)) / greatest(1L, aggregate(lines, 0L, (a, l) -> a + length(l))))"""
+        'lost_share', aggregate(lines, 0L, (a, l) -> a + if({_line_fails("l", rules)}, length(l), 0)) / greatest(1L, aggregate(lines, 0L, (a, l) -> a + length(l))))"""
     lines = r"filter(split(t, '\\n'), l -> l rlike '[^ \\t\\n\\x0B\\f\\r]')"
     words = "filter(split(t, '" + WORD_BREAK.replace("\\", "\\\\") + "+'), w -> w <> '')"
     failed = f"(m.n_words < {MIN_WORDS} or 100 * m.n_repeat_words > {MAX_REPEATED_PERCENT} * m.n_words)"
@@ -102,14 +135,14 @@ def measures(text: Column | str = "text", max_lost: float = MAX_LOST) -> Column:
     return F.expr(_let(f"coalesce(cast(`{name}` as string), '')", "t", _let(words, "words", _let(lines, "lines", _let(body, "m", verdict)))))
 
 
-def clean_text(text: str = "text") -> Column:
+def clean_text(text: str = "text", rules: str = FIXED) -> Column:
     """The text without its failed lines (null stays null)."""
-    return F.expr(rf"array_join(filter(split(`{text}`, '\\n'), l -> not {_line_fails('l')}), '\n')")
+    return F.expr(rf"array_join(filter(split(`{text}`, '\\n'), l -> not {_line_fails('l', rules)}), '\n')")
 
 
-def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, rules: str = FIXED) -> DataFrame:
     """The documents that pass, with all their columns."""
-    return docs.where(measures(text, max_lost).getField("kept"))
+    return docs.where(measures(text, max_lost, rules).getField("kept"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
