@@ -83,3 +83,9 @@ def test_quality_rules_are_relative_to_the_line(spark):
     fine = [f"{long} {q} and then, {q} {q} and so on." for q in quotes] + [f"{long} read more in these few words."]
     menu = "\n".join(f"Home {s} About us {s} Contact {s} Shop number {i} {s} Help" for i, s in enumerate("|»›·•|"))
     assert kept(spark, [*fine, menu, "\n".join(f"Click here to read more number {i}." for i in range(9))]) == set(range(5))
+
+
+def test_quality_stage_removes_failed_lines(spark):
+    text = f"{PROSE}\nHome | About | Shop | Help\nAnother one follows, with other things to say.\nAll rights reserved."
+    got = corpus_pipeline.quality_rules(spark, frame_of(spark, [text]), "").first()
+    assert got["text"] == f"{PROSE}\nAnother one follows, with other things to say." and got["n_chars"] == len(got["text"])
