@@ -119,8 +119,8 @@ def test_lm_scoring_equals_brute_force(spark, tmp_path):
     frame = docs(spark, [*ODD[:6], *ODD[8:], "The cat sat on the mat", "the cat ran", "A dog sat on THE log"])
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 0
     frame = stored(spark, tmp_path, frame.withColumn("to_learn", ~held))
-    for table in (frame, frame.repartition(3, "text")):  # of files, and not
-        got = lm_scoring.score(table, "to_learn").collect()
+    for table, block_bytes in ((frame, lm_scoring.BLOCK_BYTES), (frame, 1 << 16), (frame.repartition(3, "text"), lm_scoring.BLOCK_BYTES)):  # of files, in many blocks, and not of files
+        got = lm_scoring.score(table, "to_learn", block_bytes).collect()
         rows = frame.collect()
         assert len(got) == len(rows)
         words = [[*(r["text"] or "").encode().lower().split(), b"\n"] for r in rows]
@@ -132,6 +132,19 @@ def test_lm_scoring_equals_brute_force(spark, tmp_path):
     assert {round(r["score"], 3) for r in lm_scoring.score(frame.where("doc_id = 1 and text = ''").withColumn("to_learn", F.lit(False)), "to_learn").collect()} == {round(-np.log10(256), 3)}
 
 
+def test_lm_long_texts_go_in_parts(monkeypatch):
+    texts = ["The Cat  sat\non the mat " * 40, None, "x" * 500, " ".join(f"w{i}" for i in range(300)) + "   ", "a"]
+    whole = list(lm_scoring._parts(texts))
+    monkeypatch.setattr(lm_scoring, "CHARS", 50)
+    groups = list(lm_scoring._grouped(texts))
+    assert len(whole) == len(texts) and len(groups) > 20 and max(sum(len(s) for *_, s in g) for g in groups) < 700
+    codes, rows = (np.concatenate(x) for x in zip(*map(lm_scoring._codes, groups), strict=True))
+    want, owner = lm_scoring._codes(whole)
+    assert (codes == want).all() and (rows == owner).all()
+    words = [[w for g in groups for row, ws, *_ in g if row == i for w in ws] for i in range(len(texts))]
+    assert words == [ws for _, ws, *_ in whole]
+
+
 # ---- 3 --------------------------------------------------------------------------------------------------------------
 def brute_print(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))

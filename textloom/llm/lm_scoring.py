@@ -7,10 +7,12 @@ the next shorter context, in which the symbols of the longer one are excluded. S
 of its suffix, what exclusion takes away is a sum per node, so each level of the trie is a table, and the
 code lengths of all (context, symbol) pairs follow from one join per level.
 
-A block is a run of rows of a stored table, so it is the same in every pass. A block tells which pairs and words it holds and how
-often it learns them; these are summed over the corpus, coded, and go back to the blocks that hold them: the model grows with
-the corpus and is never broadcast, and no block needs more of it than it uses. Only the HEAD most frequent pairs, a fixed
-number, are given to all tasks, which spares their way back. Words travel as 63-bit hashes.
+A block is a run of rows of like length of a stored table, so it is the same in every pass, and a row of length class c is in a run
+of so few rows that a block holds BLOCK_BYTES of text at most, or one text. A block tells which pairs and words it holds and how
+often it learns them, in several parts if it holds many; these are summed over the corpus, coded, and go back to the blocks that
+hold them: the model grows with the corpus and is never broadcast, and no block needs more of it than it uses. Pairs and words that
+are frequent in a bounded sample (the head, HEAD and HEAD_WORDS of fixed number) are told by the task instead of the block and
+given to all tasks, which spares their way; which they are changes no result. Long texts are worked on in parts. Words travel as 63-bit hashes.
 
 Defined results: a null text is an empty one (the end alone). A null doc_id counts as the empty string in the fold, which
 holds it out. Repeated rows are learned and scored each by itself. Without documents to learn from, every byte costs 8
@@ -20,6 +22,7 @@ bits. An empty table gives no rows. Other columns are not read. Documents that d
 from __future__ import annotations
 
 import gc
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,31 +41,62 @@ from textloom.llm._common import Memo, cut, read, slices
 ORDER = 5
 END = b"\n"
 ALPHABET = 256
-#: Rows of a block, pairs given to all tasks, and characters worked on at once.
-BLOCK_ROWS = 8192
-HEAD = 1 << 18
-CHARS = 1_500_000
+#: Bytes of text of a block, rows that are short enough to be in its longest run, and how often classes of length quarter that run.
+BLOCK_BYTES, BLOCK_ROWS, CLASSES = 64 << 20, 8192, 7
+#: Pairs and words given to all tasks; rows (by hash) and their longest length in bytes, from which these are chosen.
+HEAD, HEAD_WORDS, HEAD_ROWS, HEAD_LONGEST = 1 << 18, 1 << 16, 2048, 1 << 16
+#: Bytes worked on at once, and pairs and words held before they are told.
+CHARS, HELD = 1_000_000, 600_000
 #: Fixed value of the base score: what is added to each count.
 ADDED = 0.1
 
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8").lower().split() if text else []
+_BREAK = re.compile(rb"[ \t-\r]")
 
 
-def _codes(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of some documents' streams, context and symbol as one number, and the document it is in."""
-    lead = END * ORDER
-    streams = [b" ".join([*ws, END]) for ws in words]
-    data = np.frombuffer(b"".join(x for s in streams for x in (lead, s)), dtype=np.uint8)
+def _segments(text: str | None, most: int = 0) -> Iterator[tuple[list[bytes], bool]]:
+    """A text's lower-cased words in parts of about `most` bytes, and whether a part is the last."""
+    raw, at = text.encode("utf-8").lower() if text else b"", 0
+    while len(raw) - at > (most or CHARS) and (m := _BREAK.search(raw, at + (most or CHARS))):
+        yield raw[at : m.start()].split(), False
+        at = m.start()
+    yield raw[at:].split() if at else raw.split(), True
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], bytes, bytes]]:
+    """Texts in order, long ones in several parts: row, words (the end behind the last), the context before the part, its stream."""
+    for row, text in enumerate(texts):
+        lead = END * ORDER
+        for words, last in _segments(text):
+            stream = b" ".join([*words, END if last else b""])
+            yield row, [*words, END] if last else words, lead, stream
+            lead = (lead + stream)[-ORDER:]
+
+
+def _grouped(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes], bytes, bytes]]]:
+    """The parts in lists of about CHARS bytes."""
+    some, size = [], 0
+    for part in _parts(texts):
+        some.append(part)
+        size += len(part[3])
+        if size >= CHARS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def _codes(parts: list[tuple[int, list[bytes], bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol of some parts, context and symbol as one number, and the row it is in."""
+    data = np.frombuffer(b"".join(x for _, _, lead, stream in parts for x in (lead, stream)), dtype=np.uint8)
     code = np.zeros(len(data) - ORDER, dtype=np.int64)
     for k in range(ORDER + 1):
         code <<= 8
         code |= data[k : len(data) - ORDER + k]
-    sizes = np.array([len(s) for s in streams])
-    owner = np.repeat(np.arange(len(streams)), sizes)
-    # the symbols of document d stand behind its own lead and the leads and streams before it
-    return code[np.arange(len(owner)) + ORDER * owner], owner
+    sizes = [len(stream) for *_, stream in parts]
+    place = np.repeat(np.arange(len(parts)), sizes)
+    # the symbols of a part stand behind its own lead and the leads and streams before it
+    return code[np.arange(len(place)) + ORDER * place], np.repeat([row for row, *_ in parts], sizes)
 
 
 def _word_key(word: bytes) -> int:
@@ -70,40 +104,88 @@ def _word_key(word: bytes) -> int:
     return -1 - (xxhash.xxh64_intdigest(word) >> 1)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block: its distinct (context, symbol) codes and words, with how often documents to learn from have them."""
-    gc.disable()
-    at: int | None = None
-    codes: list[pd.Series] = []
-    words: Counter = Counter()
-
-    def out() -> Iterator[pa.RecordBatch]:
-        total = pd.concat(codes).groupby(level=0, sort=False).sum()
-        key = np.concatenate([total.index.to_numpy(np.int64), np.fromiter(map(_word_key, words), dtype=np.int64, count=len(words))])
-        n = np.concatenate([total.to_numpy(np.int64), np.fromiter(words.values(), dtype=np.int64, count=len(words))])
-        for i in range(0, len(key), 100_000):
-            k = key[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), at, dtype=np.int64)), pa.array(k), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
-
-    for batch in slices(batches, CHARS):
-        blocks = batch.column("block").to_numpy()
-        learn = np.asarray(batch.column("learn").to_pylist(), dtype=np.int64)
-        lists = [_words(t) for t in batch.column("text").to_pylist()]
-        turns = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
-        for x, y in zip(turns[:-1], turns[1:], strict=True):
-            if blocks[x] != at:
-                if at is not None:
-                    yield from out()
-                at, codes, words = int(blocks[x]), [], Counter()
-            code, owner = _codes(lists[x:y])
-            inverse, found = pd.factorize(code)
-            codes.append(pd.Series(np.bincount(inverse, weights=learn[x:y][owner], minlength=len(found)).astype(np.int64), index=found))
-            if len(codes) > 7:
-                codes = [pd.concat(codes).groupby(level=0, sort=False).sum()]
-            for i in range(x, y):
-                words.update([*lists[i], END] if learn[i] else dict.fromkeys([*lists[i], END], 0))
-    if at is not None:
-        yield from out()
+class _Told:
+    """What a block has gathered and not told yet."""
+
+    def __init__(self, block: int):
+        self.block, self.codes, self.words, self.size = block, [], Counter(), 0
+
+    def add(self, found: np.ndarray, n: np.ndarray) -> None:
+        self.codes.append(pd.Series(n, index=found))
+        if len(self.codes) > 5:
+            self.codes = [pd.concat(self.codes).groupby(level=0, sort=False).sum()]
+        self.size = sum(map(len, self.codes)) + len(self.words)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        total = pd.concat(self.codes).groupby(level=0, sort=False).sum()
+        key = np.concatenate([total.index.to_numpy(np.int64), np.fromiter(self.words, dtype=np.int64, count=len(self.words))])
+        return _rows(self.block, key, np.concatenate([total.to_numpy(np.int64), np.fromiter(self.words.values(), dtype=np.int64, count=len(self.words))]))
+
+
+def _rows(block: int | None, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(key), 100_000):
+        k = key[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([block] * len(k), type=pa.int64()), pa.array(k), pa.array(n[i : i + 100_000])], names=["block", "key", "n"])
+
+
+def _gatherer(head: np.ndarray):
+    """A function that tells, per block, its (context, symbol) codes and words with how often documents to learn from have them,
+    each once or a few times; those of the head (sorted) it tells once per task, with no block."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        often = np.zeros(len(head), dtype=np.int64)
+        place_of = {k: i for i, k in enumerate(head.tolist()) if k < 0}
+        key_of = Memo(_word_key, 200_000)
+        open_now: dict[int, _Told] = {}
+        for batch in slices(batches, CHARS):
+            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            learned = np.asarray(batch.column("learn").to_pylist(), dtype=np.int64)
+            texts = batch.column("text").to_pylist()
+            for block in dict.fromkeys(blocks.tolist()):
+                rows = np.flatnonzero(blocks == block)
+                kind = int(kinds[rows[0]])
+                if kind in open_now and open_now[kind].block != block:
+                    yield from open_now.pop(kind).rows()
+                learn = learned[rows]
+                for parts in _grouped([texts[i] for i in rows]):
+                    told = open_now.setdefault(kind, _Told(block))
+                    code, owner = _codes(parts)
+                    inverse, found = pd.factorize(code)
+                    n = np.bincount(inverse, weights=learn[owner], minlength=len(found)).astype(np.int64)
+                    if len(head):
+                        at = np.minimum(np.searchsorted(head, found), len(head) - 1)
+                        known = head[at] == found
+                        often[at[known]] += n[known]
+                        found, n = found[~known], n[~known]
+                    for row, words, *_ in parts:
+                        for w, c in Counter(words).items():
+                            k = key_of[w]
+                            if (i := place_of.get(k)) is None:
+                                told.words[k] += c * int(learn[row])
+                            else:
+                                often[i] += c * learn[row]
+                    told.add(found, n)
+                    if told.size > HELD // 2 or sum(t.size for t in open_now.values()) > HELD:
+                        for t in open_now.values():
+                            yield from t.rows()
+                        open_now.clear()
+        for t in open_now.values():
+            yield from t.rows()
+        yield from _rows(None, head, often)
+
+    return gather
+
+
+def _head(dealt: DataFrame) -> np.ndarray:
+    """The keys (sorted) that are most frequent among some rows, HEAD pairs and HEAD_WORDS words at most."""
+    share = min(1.0, HEAD_ROWS / max(1, dealt.count()))
+    some = dealt.where(F.octet_length("text") <= HEAD_LONGEST).where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    nothing = np.zeros(0, dtype=np.int64)
+    counts = some.select("text", F.lit(True).alias("learn"), "block", "kind").mapInArrow(_gatherer(nothing), "block long, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = cut(counts.where("n > 1"), "lm-head")
+    best = [counts.where(which).orderBy(F.desc("n"), "key").limit(most).select("key").toPandas()["key"].to_numpy(np.int64) for which, most in (("key >= 0", HEAD), ("key < 0", HEAD_WORDS))]
+    return np.sort(np.concatenate(best))
 
 
 def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
@@ -130,53 +212,62 @@ def code_lengths(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select(F.col("key").alias("code"), "n", top.alias("value"))
 
 
-def score(docs: DataFrame, learn: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def score(docs: DataFrame, learn: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Scores stored docs(doc_id, text, learn boolean): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    row = (F.col("_metadata.file_path"), F.floor(F.col("_metadata.row_index") / block_rows))
+    spark, id_kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     text, learned = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn")
+    short = block_bytes // BLOCK_ROWS  # bytes of a text of class 0; a class quarters the run, its texts are up to four times as long
+    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
+    kind = sum((size > short * 4**c).cast("int") for c in range(CLASSES))
+    run = F.greatest(F.lit(1), F.lit(BLOCK_ROWS) / F.pow(F.lit(4), kind)).cast("long")
+    block = F.xxhash64(F.col("_metadata.file_path"), kind, F.floor(F.col("_metadata.row_index") / run)).alias("block")
     try:
-        dealt = docs.select("doc_id", text, learned, F.xxhash64(*row).alias("block"))
+        dealt = docs.select("doc_id", text, learned, block, kind.alias("kind"))
     except AnalysisException:  # not a table of files
-        dealt = cut(docs.select("doc_id", text, learned), "lm-docs").select("doc_id", "text", "learn", F.xxhash64(*row).alias("block"))
-    held = cut(dealt.select("text", "learn", "block").mapInArrow(_gather, "block long, key long, n long"), "lm-gathered")
+        dealt = cut(docs.select("doc_id", text, learned), "lm-docs").select("doc_id", "text", "learn", block, kind.alias("kind"))
+    head = _head(dealt)
+    held = cut(dealt.select("text", "learn", "block", "kind").mapInArrow(_gatherer(head), "block long, key long, n long"), "lm-gathered")
     pairs, words = held.where("key >= 0"), held.where("key < 0")
     codes = cut(code_lengths(pairs.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))), "lm-codes")
-    top = codes.orderBy(F.desc("n"), "code").limit(HEAD).select("code", "value").toPandas()
-    head, head_values = top["code"].to_numpy(np.int64), top["value"].to_numpy(np.float64)
-    rare = pairs.join(F.broadcast(held.sparkSession.createDataFrame(top[["code"]], "code long")), F.col("key") == F.col("code"), "left_anti")
-    by_word = Window.partitionBy("key")
-    counted = words.select("block", "key", F.sum("n").over(by_word).alias("value"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("first"))
-    book = rare.join(codes.select("code", "value"), F.col("key") == F.col("code")).select("block", "key", "value").unionByName(counted.select("block", "key", F.col("value").cast("double").alias("value")))
+    given = spark.createDataFrame(pd.DataFrame({"code": head}), "code long")  # HEAD + HEAD_WORDS rows at most
+    top = codes.join(F.broadcast(given), "code", "left_semi").select("code", "value").toPandas()
+    said = words.where("block is null").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    head_keys, head_values = np.concatenate([top["code"].to_numpy(np.int64), said["key"].to_numpy(np.int64)]), np.concatenate([top["value"].to_numpy(np.float64), said["n"].to_numpy(np.float64)])
+    counted = words.where("block is not null").select("block", "key", F.sum("n").over(Window.partitionBy("key")).cast("double").alias("value"))
+    book = pairs.where("block is not null").join(codes.select(F.col("code").alias("key"), "value"), "key").select("block", "key", "value").unionByName(counted)
 
     def rate(mine: pa.Table, has: pa.Table) -> pa.Table:
         gc.disable()
-        key, value = has.column("key").to_numpy(), has.column("value").to_numpy()
-        is_word = key < 0
-        count = dict(zip(key[is_word].tolist(), value[is_word].astype(np.int64).tolist(), strict=True))
-        known = Memo(lambda word: count[_word_key(word)], 1 << 62)  # a block's words at most
-        keys, values = np.concatenate([head, key[~is_word]]), np.concatenate([head_values, value[~is_word]])
-        order = np.argsort(keys)
+        keys, values = np.concatenate([head_keys, has.column("key").to_numpy()]), np.concatenate([head_values, has.column("value").to_numpy()])
+        order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
-        out: list[list] = [[], [], [], []]
-        for batch in slices(mine.select(["text"]).to_batches(), CHARS):
-            lists = [_words(t) for t in batch.column("text").to_pylist()]
-            at, owner = _codes(lists)
-            inverse, found = pd.factorize(at)
+        key_of = Memo(_word_key, 200_000)
+
+        def of(found: np.ndarray) -> np.ndarray:
             place = np.searchsorted(keys, found)
             if (place == len(keys)).any() or (keys[place] != found).any():
-                raise ValueError("a block holds pairs that it did not tell of")
-            out[3] += np.bincount(owner, weights=values[place][inverse], minlength=len(lists)).tolist()
-            for ws in lists:
-                c = np.fromiter(map(known.__getitem__, [*ws, END]), dtype=np.int64, count=len(ws) + 1)
-                out[0].append(len(c))
-                out[1].append(int((c > 0).sum()))
-                out[2].append(float(np.log10(c + ADDED).sum()))
-        columns = [mine.column("doc_id"), mine.column("learn"), pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.int64()), pa.array(out[2], type=pa.float64()), pa.array(out[3], type=pa.float64())]
+                raise ValueError("a block holds pairs or words that it did not tell of")
+            return values[place]
+
+        out: list[np.ndarray] = []
+        for batch in slices(mine.select(["text"]).to_batches(), CHARS):
+            rows = np.zeros((4, batch.num_rows))
+            for parts in _grouped(batch.column("text").to_pylist()):
+                code, owner = _codes(parts)
+                inverse, found = pd.factorize(code)
+                rows[3] += np.bincount(owner, weights=of(found)[inverse], minlength=batch.num_rows)
+                owner = np.repeat([row for row, *_ in parts], [len(ws) for _, ws, *_ in parts])
+                inverse, found = pd.factorize(np.fromiter((key_of[w] for _, ws, *_ in parts for w in ws), dtype=np.int64, count=len(owner)))
+                c = of(found)[inverse]
+                for i, each in enumerate((None, c > 0, np.log10(c + ADDED))):
+                    rows[i] += np.bincount(owner, weights=each, minlength=batch.num_rows)
+            out.append(rows)
+        n_tokens, n_known, raw, scores = np.concatenate(out, axis=1) if out else np.zeros((4, 0))
+        columns = [mine.column("doc_id"), mine.column("learn"), pa.array(n_tokens.astype(np.int64)), pa.array(n_known.astype(np.int64)), pa.array(raw), pa.array(scores)]
         return pa.Table.from_arrays(columns, names=["doc_id", "learn", "n_tokens", "n_known", "raw", "score"])
 
-    rated = dealt.groupBy("block").cogroup(book.groupBy("block")).applyInArrow(rate, f"doc_id {kind}, learn boolean, n_tokens long, n_known long, raw double, score double")
-    totals = counted.where("first").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("value") > 0).alias("train_words"))
+    rated = dealt.select("block", "doc_id", "learn", "text").groupBy("block").cogroup(book.groupBy("block")).applyInArrow(rate, f"doc_id {id_kind}, learn boolean, n_tokens long, n_known long, raw double, score double")
+    totals = words.groupBy("key").agg(F.sum("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("n") > 0).alias("train_words"))
     base = F.col("raw") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.lit(ADDED) * (F.col("train_words") + 1))
     return rated.crossJoin(F.broadcast(totals)).select("doc_id", "learn", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 
