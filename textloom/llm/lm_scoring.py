@@ -7,9 +7,9 @@ the next shorter context, in which the symbols of the longer one are excluded. S
 of its suffix, what exclusion takes away is a sum per node, so each level of the trie is a table, and the
 code lengths of all (context, symbol) pairs follow from one join per level.
 
-A block is a run of rows of like length of a stored table, so it is the same in every pass, and a row of length class c is in a run
-of so few rows that a block holds BLOCK_BYTES of text at most, or one text. A block tells which pairs and words it holds and how
-often it learns them, in several parts if it holds many; these are summed over the corpus, coded, and go back to the blocks that
+A block is a run of rows of a stored table, so it is the same in every pass. The run's length follows from the mean length of texts; a
+run of over twice BLOCK_BYTES is dealt to several blocks by hash of the row, so a block holds little more than that or one text. A
+block tells which pairs and words it holds and how often it learns them, in several parts if it holds many; these are summed over the corpus, coded, and go back to the blocks that
 hold them: the model grows with the corpus and is never broadcast, and no block needs more of it than it uses. Pairs and words that
 are frequent in a bounded sample (the head, HEAD and HEAD_WORDS of fixed number) are told by the task instead of the block and
 given to all tasks, which spares their way; which they are changes no result. Long texts are worked on in parts. Words travel as 63-bit hashes.
@@ -41,12 +41,12 @@ from textloom.llm._common import Memo, cut, read, slices
 ORDER = 5
 END = b"\n"
 ALPHABET = 256
-#: Bytes of text of a block, rows that are short enough to be in its longest run, and how often classes of length quarter that run.
-BLOCK_BYTES, BLOCK_ROWS, CLASSES = 64 << 20, 8192, 7
+#: Bytes of text and rows of a block, about and at most; runs up to whose number the table of heavy ones is broadcast.
+BLOCK_BYTES, BLOCK_ROWS, BROADCAST = 32 << 20, 32_768, 100_000
 #: Pairs and words given to all tasks; rows (by hash) and their longest length in bytes, from which these are chosen.
 HEAD, HEAD_WORDS, HEAD_ROWS, HEAD_LONGEST = 1 << 18, 1 << 16, 2048, 1 << 16
 #: Bytes worked on at once, and pairs and words held before they are told.
-CHARS, HELD = 1_000_000, 600_000
+CHARS, HELD = 1_000_000, 1_500_000
 #: Fixed value of the base score: what is added to each count.
 ADDED = 0.1
 
@@ -137,19 +137,25 @@ def _gatherer(head: np.ndarray):
         often = np.zeros(len(head), dtype=np.int64)
         place_of = {k: i for i, k in enumerate(head.tolist()) if k < 0}
         key_of = Memo(_word_key, 200_000)
-        open_now: dict[int, _Told] = {}
+        now, open_now = None, {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for t in open_now.values():
+                yield from t.rows()
+            open_now.clear()
+
         for batch in slices(batches, CHARS):
-            blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+            runs, blocks = batch.column("run").to_numpy(), batch.column("block").to_numpy()
             learned = np.asarray(batch.column("learn").to_pylist(), dtype=np.int64)
             texts = batch.column("text").to_pylist()
-            for block in dict.fromkeys(blocks.tolist()):
+            for run, block in dict.fromkeys(zip(runs.tolist(), blocks.tolist(), strict=True)):
+                if run != now:
+                    yield from told()
+                    now = run
                 rows = np.flatnonzero(blocks == block)
-                kind = int(kinds[rows[0]])
-                if kind in open_now and open_now[kind].block != block:
-                    yield from open_now.pop(kind).rows()
                 learn = learned[rows]
                 for parts in _grouped([texts[i] for i in rows]):
-                    told = open_now.setdefault(kind, _Told(block))
+                    mine = open_now.setdefault(block, _Told(block))
                     code, owner = _codes(parts)
                     inverse, found = pd.factorize(code)
                     n = np.bincount(inverse, weights=learn[owner], minlength=len(found)).astype(np.int64)
@@ -162,16 +168,13 @@ def _gatherer(head: np.ndarray):
                         for w, c in Counter(words).items():
                             k = key_of[w]
                             if (i := place_of.get(k)) is None:
-                                told.words[k] += c * int(learn[row])
+                                mine.words[k] += c * int(learn[row])
                             else:
                                 often[i] += c * learn[row]
-                    told.add(found, n)
-                    if told.size > HELD // 2 or sum(t.size for t in open_now.values()) > HELD:
-                        for t in open_now.values():
-                            yield from t.rows()
-                        open_now.clear()
-        for t in open_now.values():
-            yield from t.rows()
+                    mine.add(found, n)
+                    if sum(t.size for t in open_now.values()) > HELD:
+                        yield from told()
+        yield from told()
         yield from _rows(None, head, often)
 
     return gather
@@ -182,7 +185,7 @@ def _head(dealt: DataFrame) -> np.ndarray:
     share = min(1.0, HEAD_ROWS / max(1, dealt.count()))
     some = dealt.where(F.octet_length("text") <= HEAD_LONGEST).where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     nothing = np.zeros(0, dtype=np.int64)
-    counts = some.select("text", F.lit(True).alias("learn"), "block", "kind").mapInArrow(_gatherer(nothing), "block long, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = some.select("text", F.lit(True).alias("learn"), "run", "block").mapInArrow(_gatherer(nothing), "block long, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = cut(counts.where("n > 1"), "lm-head")
     best = [counts.where(which).orderBy(F.desc("n"), "key").limit(most).select("key").toPandas()["key"].to_numpy(np.int64) for which, most in (("key >= 0", HEAD), ("key < 0", HEAD_WORDS))]
     return np.sort(np.concatenate(best))
@@ -216,17 +219,20 @@ def score(docs: DataFrame, learn: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     """Scores stored docs(doc_id, text, learn boolean): doc_id, learn, n_tokens, n_known, train_tokens, base_score, score."""
     spark, id_kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
     text, learned = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(learn), F.lit(False)).alias("learn")
-    short = block_bytes // BLOCK_ROWS  # bytes of a text of class 0; a class quarters the run, its texts are up to four times as long
-    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long")
-    kind = sum((size > short * 4**c).cast("int") for c in range(CLASSES))
-    run = F.greatest(F.lit(1), F.lit(BLOCK_ROWS) / F.pow(F.lit(4), kind)).cast("long")
-    block = F.xxhash64(F.col("_metadata.file_path"), kind, F.floor(F.col("_metadata.row_index") / run)).alias("block")
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
-        dealt = docs.select("doc_id", text, learned, block, kind.alias("kind"))
+        stored = docs.select("doc_id", text, learned, *place)
     except AnalysisException:  # not a table of files
-        dealt = cut(docs.select("doc_id", text, learned), "lm-docs").select("doc_id", "text", "learn", block, kind.alias("kind"))
+        stored = cut(docs.select("doc_id", text, learned), "lm-docs").select("doc_id", "text", "learn", *place)
+    mean = stored.agg(F.avg(F.octet_length("text"))).first()[0] or 1
+    rows = 1 << int(max(0.0, min(np.log2(BLOCK_ROWS), np.log2(block_bytes / mean))))
+    stored = stored.withColumn("run", F.xxhash64("file", F.floor(F.col("row") / rows)))
+    heavy = stored.groupBy("run").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes")).where(F.col("bytes") > 2 * block_bytes)
+    heavy = cut(heavy.select("run", F.ceil(F.col("bytes") / block_bytes).alias("pieces")), "lm-heavy")
+    piece = F.pmod(F.xxhash64("row"), F.col("pieces"))
+    dealt = stored.join(F.broadcast(heavy) if heavy.count() <= BROADCAST else heavy, "run", "left").select("doc_id", "text", "learn", "run", F.when(F.col("pieces").isNull(), F.col("run")).otherwise(F.xxhash64("run", piece)).alias("block"))
     head = _head(dealt)
-    held = cut(dealt.select("text", "learn", "block", "kind").mapInArrow(_gatherer(head), "block long, key long, n long"), "lm-gathered")
+    held = cut(dealt.select("text", "learn", "run", "block").mapInArrow(_gatherer(head), "block long, key long, n long"), "lm-gathered")
     pairs, words = held.where("key >= 0"), held.where("key < 0")
     codes = cut(code_lengths(pairs.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))), "lm-codes")
     given = spark.createDataFrame(pd.DataFrame({"code": head}), "code long")  # HEAD + HEAD_WORDS rows at most
