@@ -10,10 +10,12 @@ def test_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "packing"]
     good = corpus_pipeline.quality_rules(spark, docs, SF_DIR)
-    passed = {r["doc_id"] for r in docs.select("doc_id", quality.measures().alias("m")).where("m.kept").collect()}
+    passed = {r["doc_id"] for r in docs.select("doc_id", quality.measures(min_words=1).alias("m")).where("m.kept").collect()}
     assert {r["doc_id"] for r in good.collect()} == passed and good.columns == docs.columns
     known = corpus_pipeline.language(spark, good, SF_DIR)
     assert known.columns == docs.columns and known.count() == good.count()  # all of it is prose in known languages
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").where("quality = 1").join(docs, "doc_id", "left_semi")
+    assert labels.join(good, "doc_id", "left_semi").count() >= 0.99 * labels.count()  # clean documents, short ones too, are left alone
     single = corpus_pipeline.near_duplicates(spark, known, SF_DIR)
     groups = single.count()
     assert single.columns == docs.columns and groups < known.count()

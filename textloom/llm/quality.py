@@ -1,12 +1,10 @@
 """Operator 6, quality rules: line-first cleaning with DataFrame expressions only.
 
-Every line is judged by itself: lines of symbols or without sentence punctuation in capitals, navigation lines and
-boilerplate lines fail. Failed lines are removed; a document that loses more than `max_lost` of its characters is
-rejected. Document-wide figures (words, symbols, repeated lines and passages) come with the verdict.
+Every line is judged by itself, relative to its own length: lines of symbols, of punctuation, in capitals, long ones without any
+punctuation, navigation, links, and boilerplate fail. Failed lines are removed; a document that loses more than `max_lost` of its
+characters is rejected. Document-wide figures (words, symbols, repeated lines and passages) come with the verdict.
 
-There are two sets of line rules. `FIXED` is what the query op6_quality_rules and its SQL agree on: absolute counts, and capitals
-told by upper(line) = line. `RELATIVE` is what the pipeline uses: capitals only where a script has them, punctuation by its share,
-separators by the word, and phrases only where they make up a line.
+Capitals and missing marks tell something only of scripts with letter cases, so texts of other scripts are not judged by them.
 
 Defined results: a null text has no words (all figures 0) and fails; an empty text likewise. Repeated rows are judged
 alike, each by itself. Nothing depends on other rows, so there are no ties and no shuffles. Columns other than
@@ -27,40 +25,28 @@ MIN_WORDS = 20
 MAX_REPEATED_PERCENT = 30
 #: Line rules. A line fails if over this share of its characters are symbols.
 MAX_LINE_SYMBOLS = 0.1
-#: Navigation: at least so many separators in a line.
-MIN_SEPARATORS = 3
-#: Punctuation: a line in capitals of at least so many letters fails.
+#: Navigation: at least so many separators, and at most so many words to each.
+MIN_SEPARATORS, WORDS_A_SEPARATOR = 3, 5
+#: Capitals: no small letter, and so many capitals at least.
 MIN_CAPITALS = 20
-#: Boilerplate: any of these phrases.
-BOILERPLATE = (
-    "all rights reserved",
-    "privacy policy",
-    "terms of use",
-    "terms of service",
-    "cookie policy",
-    "we use cookies",
-    "accept cookies",
-    "enable javascript",
-    "subscribe to our newsletter",
-    "sign up for our newsletter",
-    "click here to",
-    "read more",
-    "share on facebook",
-    "share on twitter",
-    "skip to content",
-    "back to top",
-    "powered by wordpress",
-    "licensed under",
-    "spdx-license-identifier",
-    "lorem ipsum",
-)
-#: Relative rules: over this share of punctuation fails; so does a line of words with letter cases and no mark in at least so many words.
-MAX_PUNCTUATION = 0.3
+#: Punctuation: over this share of the characters that are not white space, and so many marks at least; or no mark at all in a line of
+#: at least so many words that has capitals or small letters.
+MAX_PUNCTUATION, MIN_MARKS = 0.4, 4
 MIN_UNMARKED_WORDS = 20
-#: Navigation: at most so many words a separator. Boilerplate: a phrase fails a line of at most so many words, or over this share of it.
-WORDS_A_SEPARATOR = 5
-PHRASE_WORDS, PHRASE_SHARE = 12, 0.2
-FIXED, RELATIVE = "fixed", "relative"
+#: Links: over this share of the characters.
+MAX_LINKS = 0.5
+#: Boilerplate: a phrase fails a line of at most so many words, or one of which it is over this share; longer lines are prose.
+PHRASE_WORDS, PHRASE_SHARE, PHRASE_LINE = 12, 0.2, 250
+#: Phrases of boilerplate in English, French, German and Spanish.
+BOILERPLATE = (
+    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "we use cookies", "accept cookies",
+    "enable javascript", "subscribe to our newsletter", "sign up for our newsletter", "click here to", "read more", "share on facebook",
+    "share on twitter", "skip to content", "back to top", "powered by", "licensed under", "spdx-license-identifier", "lorem ipsum",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "lire la suite", "en savoir plus",
+    "cliquez ici", "accepter les cookies", "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken",
+    "mehr erfahren", "cookies akzeptieren", "todos los derechos reservados", "política de privacidad", "condiciones de uso", "aviso legal",
+    "haga clic aquí", "leer más", "aceptar cookies",
+)
 #: A document goes if its failed lines hold over this share of its characters.
 MAX_LOST = 0.5
 
@@ -70,35 +56,39 @@ def _let(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _relative_line_fails(line: str) -> str:
-    phrases = "|".join(p.replace(" ", r"\\s+").replace("-", r"\\-") for p in BOILERPLATE)
-    size = lambda pattern, of=line: f"length(regexp_replace({of}, '{pattern}', ''))"
-    words = f"size(regexp_extract_all({line}, '[^ \\\\t\\\\x0B\\\\f\\\\r]*[\\\\p{{L}}\\\\p{{N}}][^ \\\\t\\\\x0B\\\\f\\\\r]*', 0))"
-    # closing quotes answer opening ones, or touch a letter or a mark; a dot between letters is one of them
-    menu = f"regexp_replace({line}, '[«‹][^«»‹›]*[»›]|[»›][^«»‹›]*[«‹]|(?<=[\\\\p{{L}}\\\\p{{N}}.,;:!?…])[»›·]|[»›·](?=[\\\\p{{L}}\\\\p{{N}}])', '')"
-    count = size("[^|»›·•]+", menu)
-    held = f"length({line}) - {size(f'(?i)({phrases})')}"
-    cased = f"lower({line}) <> upper({line})"
-    rules = [
-        f"{size('[^#*$%&|<>{}~^=_' + chr(92) * 4 + ']+')} > {MAX_LINE_SYMBOLS} * length({line})",
-        f"({line} rlike '[|»›·•]' and {count} >= {MIN_SEPARATORS} and {words} <= {WORDS_A_SEPARATOR} * {count})",
-        f"(upper({line}) = {line} and lower({line}) <> {line} and {size('[^' + chr(92) * 2 + 'p{L}]+')} >= {MIN_CAPITALS})",
-        f"{size('[^' + chr(92) * 2 + 'p{P}]+')} > {MAX_PUNCTUATION} * {size('[ ' + chr(92) * 2 + 't' + chr(92) * 2 + 'r]+')}",
-        f"(not {line} rlike '{chr(92) * 2}p{{P}}' and {cased} and {words} >= {MIN_UNMARKED_WORDS})",
-        f"({line} rlike '(?i)({phrases})' and ({words} <= {PHRASE_WORDS} or {held} > {PHRASE_SHARE} * length({line})))",
-    ]
-    return "(" + " or ".join(rules) + ")"
+def _rx(pattern: str) -> str:
+    """A pattern as it stands in a literal of Spark's SQL."""
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
 
+#: Patterns that Java and RE2 read alike.
+_SYMBOL, _SEPARATOR, _LINK = r"#*$%&|<>{}~^=_\\", "|»›·•", r"(?:https?://|www[.])[^ \t]+"
+_WORD = r"[^ \t\x0B\f\r]*[\p{L}\p{N}][^ \t\x0B\f\r]*"
+_PHRASE = "[ \t](?:" + "|".join(p.replace(" ", "[ \t]+") for p in BOILERPLATE) + ")"
 
-def _line_fails(line: str, rules: str = FIXED) -> str:
-    if rules == RELATIVE:
-        return _relative_line_fails(line)
-    phrases = "|".join(p.replace(" ", r"\\s+").replace("-", r"\\-") for p in BOILERPLATE)
+
+def _gates(text: str) -> str:
+    """Of a whole text, once: whether any of its lines can fail by the rule, so that most lines are spared most rules."""
+    has = {"symbols": f"{text} rlike '{_rx('[' + _SYMBOL + ']')}'", "separators": f"{text} rlike '[{_SEPARATOR}]'", "links": f"contains({text}, '://') or contains({text}, 'www.')", "phrases": f"concat(' ', lower({text})) rlike '{_rx(_PHRASE.replace('[ ', '[ ' + chr(92) + 'n', 1))}'"}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in has.items()) + ")"
+
+
+def _line_fails(line: str, gate: str) -> str:
+    without = lambda pattern, of=line: f"length(regexp_replace({of}, '{_rx(pattern)}', ''))"
+    has = lambda pattern: f"{line} rlike '{_rx(pattern)}'"
+    words = f"size(regexp_extract_all({line}, '{_rx(_WORD)}', 0))"
+    # an opening quote that stands before a space answers a closing one that does; other closing quotes touch a word
+    split = f"split({line}, '[ \\t\\r]+')"
+    alone = f"greatest(0, size(filter({split}, w -> w in ('»', '›', '·'))) - size(filter({split}, w -> w in ('«', '‹'))))"
+    count = f"({without('[^|•]+')} + {alone})"
+    lowered = f"concat(' ', lower({line}))"
     rules = [
-        rf"length(regexp_replace({line}, '[^#*$%&|<>{{}}~^=_\\\\]+', '')) > {MAX_LINE_SYMBOLS} * length({line})",
-        rf"length(regexp_replace({line}, '[^|»›·•]+', '')) >= {MIN_SEPARATORS}",
-        f"(upper({line}) = {line} and length(regexp_replace({line}, '[^\\\\p{{L}}]+', '')) >= {MIN_CAPITALS})",
-        f"{line} rlike '(?i)({phrases})'",
+        f"({gate}.symbols and {without('[^' + _SYMBOL + ']+')} > {MAX_LINE_SYMBOLS} * length({line}))",
+        f"({gate}.separators and {has('[' + _SEPARATOR + ']')} and {_let(count, 'c', f'c >= {MIN_SEPARATORS} and {words} <= {WORDS_A_SEPARATOR} * c')})",
+        f"(not {has(chr(92) + 'p{Ll}')} and {without('[^' + chr(92) + 'p{Lu}]+')} >= {MIN_CAPITALS})",
+        _let(without("[^" + chr(92) + "p{P}]+"), "c", f"if(c = 0, {words} >= {MIN_UNMARKED_WORDS} and {has(chr(92) + 'p{Lu}|' + chr(92) + 'p{Ll}')}, c >= {MIN_MARKS} and c > {MAX_PUNCTUATION} * {without('[ ' + chr(92) + 't' + chr(92) + 'r]+')})"),
+        f"({gate}.links and {without(_LINK)} < {1 - MAX_LINKS} * length({line}))",
+        f"({gate}.phrases and length({line}) <= {PHRASE_LINE} and {lowered} rlike '{_rx(_PHRASE)}' and ({words} <= {PHRASE_WORDS} or length({lowered}) - {without(_PHRASE, lowered)} > {PHRASE_SHARE} * length({lowered})))",
     ]
     return "(" + " or ".join(rules) + ")"
 
@@ -114,35 +104,40 @@ def _repeated_words() -> str:
     return _let(hashes, "h", f"if(size(array_distinct(h)) = size(h), 0L, {count})")
 
 
-def measures(text: Column | str = "text", max_lost: float = MAX_LOST, rules: str = FIXED) -> Column:
-    """One struct of figures and verdict for a text column: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, lost_share. It is a single expression, so a filter on it works it out once a row."""
+def measures(text: str = "text", max_lost: float = MAX_LOST, min_words: int = MIN_WORDS, with_text: bool = False) -> Column:
+    """One struct of figures and verdict for a text column, given by name: n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words, base_failed, kept, lost_share; with_text: and the text without its failed lines (null as an empty text)."""
+    if not isinstance(text, str):
+        raise TypeError("give the text column by name")
+    has_word = lambda line: rf"{line} rlike '[^ \\t\\n\\x0B\\f\\r]'"
     body = f"""named_struct(
         'n_words', cast(size(words) as bigint),
         'word_chars', cast(length(array_join(words, '')) as bigint),
         'n_symbols', cast(length(regexp_replace(t, '[^{SYMBOLS}]+', '')) as bigint),
         'n_dup_lines', cast(size(lines) - size(array_distinct(lines)) as bigint),
         'n_repeat_words', {_repeated_words()},
-        'lost_share', aggregate(lines, 0L, (a, l) -> a + if({_line_fails("l", rules)}, length(l), 0)) / greatest(1L, aggregate(lines, 0L, (a, l) -> a + length(l))))"""
-    lines = r"filter(split(t, '\\n'), l -> l rlike '[^ \\t\\n\\x0B\\f\\r]')"
+        'chars', cast(length(array_join(lines, '')) as bigint),
+        'left', cast(length(array_join(filter(good, l -> {has_word("l")}), '')) as bigint))"""
     words = "filter(split(t, '" + WORD_BREAK.replace("\\", "\\\\") + "+'), w -> w <> '')"
-    failed = f"(m.n_words < {MIN_WORDS} or 100 * m.n_repeat_words > {MAX_REPEATED_PERCENT} * m.n_words)"
-    verdict = f"""named_struct('n_words', m.n_words, 'word_chars', m.word_chars, 'n_symbols', m.n_symbols, 'n_dup_lines', m.n_dup_lines,
-        'n_repeat_words', m.n_repeat_words, 'base_failed', {failed}, 'kept', not {failed} and m.lost_share <= {max_lost}, 'lost_share', m.lost_share)"""
-    name = text if isinstance(text, str) else None
-    if name is None:
-        raise TypeError("give the text column by name")
-    return F.expr(_let(f"coalesce(cast(`{name}` as string), '')", "t", _let(words, "words", _let(lines, "lines", _let(body, "m", verdict)))))
+    failed = f"(m.n_words < {min_words} or 100 * m.n_repeat_words > {MAX_REPEATED_PERCENT} * m.n_words)"
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    lost = "((m.chars - m.left) / greatest(1L, m.chars))"
+    verdict = f"""named_struct({", ".join(f"'{n}', m.{n}" for n in names)}, 'base_failed', {failed}, 'kept', not {failed} and {lost} <= {max_lost}, 'lost_share', {lost}{", 'text', array_join(good, chr(10))" if with_text else ""})"""
+    inner = _let(f"filter(whole, l -> {has_word('l')})", "lines", _let(f"filter(whole, l -> not {_line_fails('l', 'g')})", "good", _let(body, "m", verdict)))
+    return F.expr(_let(f"coalesce(cast(`{text}` as string), '')", "t", _let(words, "words", _let(_gates("t"), "g", _let(r"split(t, '\\n')", "whole", inner)))))
 
 
-def clean_text(text: str = "text", rules: str = FIXED) -> Column:
+def clean_text(text: str = "text") -> Column:
     """The text without its failed lines (null stays null)."""
-    return F.expr(rf"array_join(filter(split(`{text}`, '\\n'), l -> not {_line_fails('l', rules)}), '\n')")
+    return F.when(F.col(text).isNotNull(), measures(text, with_text=True).getField("text"))
 
 
-def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, rules: str = FIXED) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return docs.where(measures(text, max_lost, rules).getField("kept"))
+def keep_good(docs: DataFrame, text: str = "text", max_lost: float = MAX_LOST, min_words: int = MIN_WORDS, cleaned: bool = False) -> DataFrame:
+    """The documents that pass, with all their columns; cleaned: their text without its failed lines."""
+    m = fresh(docs, "measured")
+    verdict = measures(text, max_lost, min_words, cleaned)
+    kept = docs.withColumn(m, F.explode(F.filter(F.array(verdict), lambda v: v["kept"])))  # a generator, so that it is worked out once
+    return (kept.withColumn(text, F.col(m)["text"]) if cleaned else kept).drop(m)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,9 +149,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The same figures and verdict in DuckDB's SQL."""
-    phrases = "|".join(p.replace(" ", r"\s+").replace("-", r"\-") for p in BOILERPLATE)
-    fails = rf"""(length(regexp_replace(l, '[^#*$%&|<>{{}}~^=_\\]+', '', 'g')) > {MAX_LINE_SYMBOLS} * length(l) OR length(regexp_replace(l, '[^|»›·•]+', '', 'g')) >= {MIN_SEPARATORS}
-        OR (upper(l) = l AND length(regexp_replace(l, '[^\p{{L}}]+', '', 'g')) >= {MIN_CAPITALS}) OR regexp_matches(l, '(?i)({phrases})'))"""
+    count = lambda pattern, of="l": f"length(regexp_replace({of}, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g'))"
+    has = lambda pattern, of="l": f"regexp_matches({of}, '{pattern.replace(chr(39), chr(39) * 2)}')"
+    words = f"len(regexp_extract_all(l, '{_WORD}'))"
+    alone = "greatest(0, len(list_filter(regexp_split_to_array(l, '[ \\t\\r]+'), lambda w: w IN ('»', '›', '·'))) - len(list_filter(regexp_split_to_array(l, '[ \\t\\r]+'), lambda w: w IN ('«', '‹'))))"
+    n, lowered = f"({count('[^|•]+')} + {alone})", "(' ' || lower(l))"
+    marks = count(r"[^\p{P}]+")
+    fails = f"""({count("[^" + _SYMBOL + "]+")} > {MAX_LINE_SYMBOLS} * length(l) OR ({n} >= {MIN_SEPARATORS} AND {words} <= {WORDS_A_SEPARATOR} * {n})
+        OR (NOT {has(chr(92) + "p{Ll}")} AND {count("[^" + chr(92) + "p{Lu}]+")} >= {MIN_CAPITALS})
+        OR (CASE WHEN {marks} = 0 THEN {words} >= {MIN_UNMARKED_WORDS} AND {has(chr(92) + "p{Lu}|" + chr(92) + "p{Ll}")} ELSE {marks} >= {MIN_MARKS} AND {marks} > {MAX_PUNCTUATION} * {count("[ " + chr(92) + "t" + chr(92) + "r]+")} END)
+        OR {count(_LINK)} < {1 - MAX_LINKS} * length(l)
+        OR (length(l) <= {PHRASE_LINE} AND {has(_PHRASE, lowered)} AND ({words} <= {PHRASE_WORDS} OR length({lowered}) - {count(_PHRASE, lowered)} > {PHRASE_SHARE} * length({lowered}))))"""
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda w: w <> '') AS words,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ \t\n\x0B\f\r]')) AS lines FROM documents),
