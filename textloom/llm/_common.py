@@ -20,6 +20,10 @@ WHITE_SPACE = " \t\n\r\x0b\x0c\x85\xa0  -     　"
 PIECES = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 
+#: Longer keys are not remembered.
+LONGEST_KEY = 64
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -60,7 +64,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], chars: int = 2_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts batches so that each holds few rows of long texts; a row is never cut."""
     for batch in batches:
         n, at = batch.num_rows, 0
@@ -73,13 +77,15 @@ def slices(batches: Iterable[pa.RecordBatch], chars: int = 4_000_000, column: st
 
 
 class Memo(dict):
-    """Remembers f(key) for at most `most` keys and then begins anew, so its memory is bounded."""
+    """Remembers f(key) for at most `most` keys of at most LONGEST_KEY characters and then begins anew, so its memory is bounded."""
 
     def __init__(self, f, most: int = 400_000):
         super().__init__()
         self.f, self.most = f, most
 
     def __missing__(self, key):
+        if len(key) > LONGEST_KEY:
+            return self.f(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.f(key)

@@ -259,7 +259,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         scorer = _Scorer(model, bool(evidence)) if model else None
-        for batch in slices(batches, chars=8_000_000, column=text):
+        for batch in slices(batches, chars=1_000_000, column=text):
             lists = [words_of(t) if model else [] for t in batch.column(text).to_pylist()]
             lengths = np.array([len(ws) for ws in lists])
             some = np.flatnonzero(lengths)
