@@ -119,7 +119,7 @@ def test_lm_scoring_equals_brute_force(spark, tmp_path):
     frame = docs(spark, [*ODD[:6], *ODD[8:], "The cat sat on the mat", "the cat ran", "A dog sat on THE log"])
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 0
     frame = stored(spark, tmp_path, frame.withColumn("to_learn", ~held))
-    for table, block_bytes in ((frame, lm_scoring.BLOCK_BYTES), (frame, 1 << 16), (frame.repartition(3, "text"), lm_scoring.BLOCK_BYTES)):  # of files, in many blocks, and not of files
+    for table, block_bytes in ((frame, lm_scoring.BLOCK_BYTES), (frame, 1000), (frame.repartition(3, "text"), lm_scoring.BLOCK_BYTES)):  # of files, in many blocks, and not of files
         got = lm_scoring.score(table, "to_learn", block_bytes).collect()
         rows = frame.collect()
         assert len(got) == len(rows)
@@ -180,16 +180,16 @@ def test_simhash_equals_brute_force(spark):
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     want = sorted(((r["doc_id"], p, least.get(root)) for r, p, root in zip(rows, prints, roots, strict=True)), key=key)
     assert sorted(((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got), key=key) == want
-    kept = simhash_dedup.keep_one(frame)
-    assert kept.columns == frame.columns
-    sets = [simhash_dedup.word_fingerprints(r["text"]) for r in rows]
+    kept = simhash_dedup.keep_one_similar(frame)
+    words = [(r["text"] or "").lower().split() for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     group = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            if any((a ^ b).bit_count() <= 4 for a, b in zip(sets[i], sets[j], strict=True)):
+            if len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j]):
                 p, q = group[i], group[j]
                 group = [min(p, q) if g in (p, q) else g for g in group]
-    assert kept.count() == len(set(group)) <= len(set(roots))
+    assert kept.columns == frame.columns and kept.count() == len(set(group))
     assert simhash_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
@@ -287,6 +287,7 @@ def test_quality_rules(spark):
     assert {r["text"] for r in quality.keep_good(frame).collect()} == kept and quality.keep_good(frame).columns == frame.columns
     assert frame.where("doc_id = 16").select(quality.clean_text().alias("t")).first()["t"] == good
     assert quality.keep_good(frame.limit(0)).count() == 0
+    assert quality.keep_good(frame.withColumn("measured", F.lit(7)), cleaned=True).where("measured = 7").count() == len([t for t in got if t["kept"]])
 
 
 # ---- 8 --------------------------------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from textloom.llm import simhash_dedup
+from textloom.llm import quality, simhash_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -21,7 +21,8 @@ def test_near_duplicates_of_any_edit_pattern(spark):
     spliced = [w[: len(w) // 2] + some(len(w) * 15 // 100) + w[len(w) // 2 :] for w in base]
     far = [w[: len(w) * 60 // 100] for w in base]
     texts = [" ".join(w) for part in (base, cut, longer, spliced, far) for w in part] + ["", None, "one two", "One  two"]
-    sets = [simhash_dedup.shingles(t) for t in texts]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
     group = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
@@ -35,10 +36,22 @@ def test_near_duplicates_of_any_edit_pattern(spark):
 
 
 def test_buckets_of_many_texts_are_cut(spark):
-    rows = [(n, n, 10, 0, n % 3) for n in range(60)]
-    frame = spark.createDataFrame(rows, "node long, root long, size long, place long, key long")
-    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3}
-    assert {(r["a"], r["b"]) for r in simhash_dedup.shared_prefixes(frame, cell=4).collect()} == want
+    sketch = bytes(simhash_dedup.BANDS * simhash_dedup.BAND_ROWS)
+    rows = [(n, [n % 3], sketch if n % 2 else sketch[:10] + b"\1" * 44, 10 + 10 * (n == 7)) for n in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, bands array<long>, sketch binary, size long")
+    roots = spark.createDataFrame([(n, n - 1) for n in range(3, 60, 6)], "node long, root long")
+    root = lambda n: n - 1 if n % 6 == 3 else n
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and a % 2 == b % 2 and 7 not in (a, b) and root(a) != root(b)}
+    for cell in (4, 2048):
+        assert {tuple(sorted(r)) for r in simhash_dedup.band_pairs(nodes, roots, cell=cell).collect()} == want
+
+
+def test_unrelated_long_texts_over_few_words_stay(spark):
+    rng = np.random.default_rng(8)
+    long = [" ".join(f"w{i}" for i in rng.integers(0, 3000, n)) for n in (20_000, 20_000, 10_000, 10_000, 5_000)]
+    copy = long[0].replace("w17 ", "w18 ")
+    docs = frame_of(spark, [*long, copy, "", None, " \n"])
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 1, 2, 3, 4, 6}
 
 
 FOREIGN = {
@@ -67,25 +80,32 @@ HINDI = "सभी मनुष्य जन्म से स्वतंत्
 PROSE = "This is a sentence with quite a few different words in it, that go on and on until it ends here somewhere."
 
 
+CHINESE = "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。"
+ARABIC = "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق وقد وهبوا عقلا وضميرا وعليهم أن يعامل بعضهم بعضا بروح الإخاء ولكل إنسان حق التمتع بكافة الحقوق والحريات"
+
+
 def kept(spark, texts):
     return {r["doc_id"] for r in corpus_pipeline.quality_rules(spark, frame_of(spark, texts), "").collect()}
 
 
 def test_quality_rules_know_scripts_without_case_and_punctuation(spark):
     words = " ".join(f"word{i}a" for i in range(30))
-    texts = [HINDI, PROSE, PROSE.upper(), words, " ".join(f"w{i} ?!?!?!" for i in range(30)), f"{words}."]
-    assert kept(spark, texts) == {0, 1, 5}
+    measured = frame_of(spark, [HINDI, CHINESE, ARABIC]).select("doc_id", quality.measures().alias("m")).select("doc_id", "m.*").orderBy("doc_id").collect()
+    assert [r["lost_share"] for r in measured] == [0, 0, 0] and measured[2]["kept"] and measured[0]["kept"]
+    texts = [HINDI, PROSE, PROSE.upper(), words, " ".join(f"w{i} ?!?!?!" for i in range(30)), f"{words}.", CHINESE, ARABIC, "Et. In. Un."]
+    assert kept(spark, texts) == {0, 1, 5, 6, 7, 8}
 
 
 def test_quality_rules_are_relative_to_the_line(spark):
     long = " ".join(f"word{i}a" for i in range(200))
-    quotes = ["« un mot »", "»Wort«", "«palabra»", "col·lecció paral·lel il·lusió"]
+    quotes = ["« un mot »", "»Wort«", "«palabra»", "col·lecció paral·lel il·lusió", "» Wort «"]
     fine = [f"{long} {q} and then, {q} {q} and so on." for q in quotes] + [f"{long} read more in these few words."]
     menu = "\n".join(f"Home {s} About us {s} Contact {s} Shop number {i} {s} Help" for i, s in enumerate("|»›·•|"))
-    assert kept(spark, [*fine, menu, "\n".join(f"Click here to read more number {i}." for i in range(9))]) == set(range(5))
+    assert kept(spark, [*fine, menu, "\n".join(f"Click here to read more number {i}." for i in range(9))]) == set(range(6))
 
 
 def test_quality_stage_removes_failed_lines(spark):
     text = f"{PROSE}\nHome | About | Shop | Help\nAnother one follows, with other things to say.\nAll rights reserved."
-    got = corpus_pipeline.quality_rules(spark, frame_of(spark, [text]), "").first()
+    more = ["Tous droits réservés. 2020", "Datenschutzerklärung und Impressum", "https://e.com/a www.e.com/b", "Leer  más aquí"]
+    got = corpus_pipeline.quality_rules(spark, frame_of(spark, ["\n".join([text, *more])]), "").first()
     assert got["text"] == f"{PROSE}\nAnother one follows, with other things to say." and got["n_chars"] == len(got["text"])

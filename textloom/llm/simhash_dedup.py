@@ -12,12 +12,11 @@ fingerprints is dealt to block pairs of bounded size, over as many tasks. Compon
 large-star and small-star joins over tables in the shared folder; only counts reach the driver.
 
 Four bits are narrow for edited copies: two texts whose five-word shingles agree by 0.8 differ in ten bits or so of a shingle
-fingerprint. `keep_one` therefore takes fingerprints of the set of a text's words, which edits move little, one for each of
-several hash seeds, and joins texts that lie within the radius under any of them.
-
-Fingerprints alone miss copies that were cut, extended or spliced. `keep_one_similar`, the pipeline's stage, takes their links as
-candidates only, adds those of a prefix filter over five-word shingles, which no pair of LEAST or more escapes whatever the
-edit, and confirms each by the exact similarity of the two sets of shingles.
+fingerprint. `keep_one_similar`, the pipeline's stage, therefore takes fingerprints of the set of a text's words, which edits move little,
+and takes links within the radius as candidates only. To them it adds texts that agree in one of BANDS groups of BAND_ROWS least hashes of
+their five-word shingles, which a pair of LEAST or more does but for (1 - 0.8^3)^18 = 2.5 in a million, whatever the edit. Each
+candidate is confirmed by the similarity of the two sets of shingles. Within a band's bucket texts are first held against one of
+them; only those that this does not join, against each other, by sketches and in cells of bounded size.
 
 Defined results: a null or wordless text has the fingerprint 0, which links like any other. Null doc_ids are ignored when the
 smallest is sought; a component of null ids has a null component_id. Repeated rows come back as often as they
@@ -27,7 +26,7 @@ are there. An empty table gives no rows. Columns other than doc_id and text are
 from __future__ import annotations
 
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,14 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import cut, fresh, read, slices
+from textloom.llm._common import Memo, cut, fresh, read, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-#: Seeds of the fingerprints of word sets. Edited copies of a five-word similarity of 0.8 or more lie within the radius under one
-#: seed in four cases of five if single words differ; cut, extended and spliced copies far less often.
-SEEDS = tuple(range(42, 50))
+#: Seeds of the fingerprints of word sets.
+SEEDS = (42, 43)
 #: Ring of segments: first bit and width of each, and how the second of a chain is halved.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Fingerprints of a bucket that are compared in one cell.
@@ -55,8 +53,9 @@ FEW = 6
 #: Words of the shingles by which the stage calls two texts similar, and the least Jaccard similarity as a fraction.
 SIMILAR_WORDS = 5
 LEAST = (4, 5)
-#: Rows (by hash) and shingles that tell common shingles from rare ones; they only order the prefixes.
-COMMON_ROWS, COMMON = 20_000, 65_536
+#: Bands of least hashes. Two sketches (a byte of each least hash) that agree in fewer than AGREE are not of texts of LEAST: of 54 bytes that
+#: agree by 0.8 each, fewer than 27 do in one of some ten million cases.
+BANDS, BAND_ROWS, AGREE = 18, 3, 27
 #: Fixed values of the splitmix64 generator: its step and the multipliers of its output.
 STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -82,31 +81,27 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED
     return _majority(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), dtype=np.uint64, count=n))
 
 
-def word_fingerprints(text: str | None, seeds: tuple[int, ...] = SEEDS) -> list[int]:
-    """The SimHashes of one text's distinct words, one per seed: a word is hashed once and its hash mixed anew for each seed."""
-    words = set(text.encode("utf-8").lower().split()) if text else ()
-    if not words:
-        return [0] * len(seeds)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), dtype=np.uint64, count=len(words))
-    found = []
-    for seed in seeds:
-        x = hashes + np.uint64(seed * STEP % (1 << 64))
-        x = (x ^ (x >> np.uint64(30))) * MIX_ONE
-        x = (x ^ (x >> np.uint64(27))) * MIX_TWO
-        found.append(_majority(x ^ (x >> np.uint64(31))))
-    return found
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX_ONE
+    x = (x ^ (x >> np.uint64(27))) * MIX_TWO
+    return x ^ (x >> np.uint64(31))
+
 
+def word_fingerprints(hashes: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[int]:
+    """The SimHashes of a set of word hashes, one per seed, for each of which the hashes are mixed anew; of no word: 0."""
+    hashes = np.unique(hashes)
+    return [_majority(_mixed(hashes + np.uint64(seed * STEP % (1 << 64)))) if len(hashes) else 0 for seed in seeds]
 
-def with_fingerprints(docs: DataFrame, into: tuple[str, ...], of: Callable[[str | None], list[int]], text: str = "text") -> DataFrame:
-    """docs with the fingerprints that `of` takes from a text column, as (signed) longs."""
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType(), False) for c in into)])
+
+def with_fingerprint(docs: DataFrame, into: str, shingle: int = SHINGLE_WORDS, text: str = "text") -> DataFrame:
+    """docs with the fingerprint of a text column as a (signed) long."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         for batch in slices(batches, column=text):
-            texts = batch.column(text).to_pylist()
-            prints = np.array([of(t) for t in texts], dtype=np.uint64).reshape(-1, len(into)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(prints[:, i]) for i in range(len(into)))], names=schema.names)
+            prints = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -177,6 +172,38 @@ def _forest(a: np.ndarray, b: np.ndarray | None, start: int, radius: int) -> lis
     return edges
 
 
+def _whole_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Sorted batches as arrays of whole runs of rows equal in `by`, and where runs begin (and the last ends)."""
+    rest = None
+
+    def cuts(part: dict[str, np.ndarray]) -> np.ndarray:
+        n = len(part[by[0]])
+        turn = np.zeros(n, dtype=bool)
+        for c in by:
+            turn[1:] |= part[c][1:] != part[c][:-1]
+        return np.array([0, *np.flatnonzero(turn).tolist(), n])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        if rest is not None:
+            part = {c: np.concatenate([rest[c], v]) for c, v in part.items()}
+        at = cuts(part)
+        keep = int(at[-2])  # the last run may go on in the next batch
+        if keep:
+            yield {c: v[:keep] for c, v in part.items()}, at[:-1]
+        rest = {c: v[keep:] for c, v in part.items()}
+    if rest is not None:
+        yield rest, cuts(rest)
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows with `block` of `blocks` of their bucket, once for each pair of blocks (lo, hi) that they belong to."""
+    pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block)))")
+    return rows.withColumn("cell", F.explode(pairs)).select(*(c for c in rows.columns if c != "blocks"), "cell.lo", "cell.hi")
+
+
 def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """(seed, a, b) pairs of distinct fingerprints (columns seed and fp) of one seed within the radius, whose components are
     those of all such pairs."""
@@ -189,62 +216,37 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     large = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell // 2)
     large = cut(large.select("kind", "key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks")), "large-buckets")
     dealt = keyed.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block)))")
-    cells = dealt.withColumn("block", block).select("fp", "kind", "key", "block", F.explode(pairs).alias("cell")).select("fp", "kind", "key", "block", "cell.lo", "cell.hi")
+    cells = _cells(dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("fp", "kind", "key", "block", "blocks"))
+    by = ("kind", "key", "lo", "hi")
+
+    def forest(part: dict[str, np.ndarray], cuts: np.ndarray) -> list[tuple[int, int, int]]:
+        edges = []
+        sizes = np.diff(cuts)
+        run, length = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
+        for step in range(1, FEW):  # short runs: rows that stand `step` apart in the same run
+            x = np.flatnonzero((run[step:] == run[:-step]) & (length[step:] <= FEW) & (part["lo"][step:] == part["hi"][step:]))
+            one, two = part["fp"][x].view(np.uint64), part["fp"][x + step].view(np.uint64)
+            start, near = starts[part["kind"][x] % len(masks)], np.ones(len(x), dtype=bool)
+            for after in range(len(SEGMENTS)):
+                near &= _within(one ^ two, start, after, radius)
+            edges += zip((part["kind"][x][near] // len(masks)).tolist(), one[near].tolist(), two[near].tolist(), strict=True)
+        many_rows = (sizes > FEW) | ((sizes > 1) & (part["lo"][cuts[:-1]] != part["hi"][cuts[:-1]]))
+        for x, y in zip(cuts[:-1][many_rows].tolist(), cuts[1:][many_rows].tolist(), strict=True):
+            seed, place = divmod(int(part["kind"][x]), len(masks))
+            fp, start = part["fp"][x:y].view(np.uint64), masks[place][1]
+            low = part["block"][x:y] == part["lo"][x]
+            found = _forest(fp, None, start, radius) if part["lo"][x] == part["hi"][x] else _forest(fp[low], fp[~low], start, radius)
+            edges += ((seed, p, q) for p, q in found)
+        return edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        rest = None
-
-        def forest(part: dict[str, np.ndarray]) -> list[tuple[int, int, int]]:
-            n = len(part["fp"])
-            if not n:
-                return []
-            turn = np.zeros(n, dtype=bool)
-            for c in ("kind", "key", "lo", "hi"):
-                turn[1:] |= part[c][1:] != part[c][:-1]
-            edges = []
-            cuts = np.array([0, *np.flatnonzero(turn).tolist(), n])
-            sizes = np.diff(cuts)
-            run, length = np.repeat(np.arange(len(sizes)), sizes), np.repeat(sizes, sizes)
-            for step in range(1, FEW):  # short runs: rows that stand `step` apart in the same run
-                x = np.flatnonzero((run[step:] == run[:-step]) & (length[step:] <= FEW) & (part["lo"][step:] == part["hi"][step:]))
-                one, two = part["fp"][x].view(np.uint64), part["fp"][x + step].view(np.uint64)
-                start, near = starts[part["kind"][x] % len(masks)], np.ones(len(x), dtype=bool)
-                for after in range(len(SEGMENTS)):
-                    near &= _within(one ^ two, start, after, radius)
-                edges += zip((part["kind"][x][near] // len(masks)).tolist(), one[near].tolist(), two[near].tolist(), strict=True)
-            many_rows = (sizes > FEW) | ((sizes > 1) & (part["lo"][cuts[:-1]] != part["hi"][cuts[:-1]]))
-            for x, y in zip(cuts[:-1][many_rows].tolist(), cuts[1:][many_rows].tolist(), strict=True):
-                if y - x > 1:
-                    seed, place = divmod(int(part["kind"][x]), len(masks))
-                    fp, start = part["fp"][x:y].view(np.uint64), masks[place][1]
-                    low = part["block"][x:y] == part["lo"][x]
-                    found = _forest(fp, None, start, radius) if part["lo"][x] == part["hi"][x] else _forest(fp[low], fp[~low], start, radius)
-                    edges += ((seed, p, q) for p, q in found)
-            return edges
-
-        def out(edges: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            three = np.array(edges, dtype=np.uint64).reshape(-1, 3).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(three[:, i]) for i in range(3)], names=["seed", "a", "b"])
-
-        for batch in batches:
-            part = {c: batch.column(c).to_numpy() for c in batch.schema.names}
-            if rest is not None:
-                part = {c: np.concatenate([rest[c], v]) for c, v in part.items()}
-            n = len(part["fp"])
-            same = np.ones(n, dtype=bool)
-            for c in ("kind", "key", "lo", "hi"):
-                same &= part[c] == part[c][-1]
-            keep = n - int(np.argmin(same[::-1])) if not same.all() else 0  # the last run may go on in the next batch
-            yield out(forest({c: v[:keep] for c, v in part.items()}))
-            rest = {c: v[keep:] for c, v in part.items()}
-        if rest is not None:
-            yield out(forest(rest))
+        for part, cuts in _whole_runs(batches, by):
+            three = np.array(forest(part, cuts), dtype=np.uint64).reshape(-1, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(three[:, i]) for i in range(3)], names=["seed", "a", "b"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "kind", "key", "lo", "hi").sortWithinPartitions("kind", "key", "lo", "hi").mapInArrow(run, "seed long, a long, b long").distinct()
+    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "seed long, a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -269,7 +271,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fp, component_id for docs(doc_id, text)."""
     kind = docs.schema["doc_id"].dataType
-    marked = cut(with_fingerprints(docs.select("doc_id", "text"), ("fp",), lambda t: [fingerprint(t, shingle)]).select("doc_id", "fp"), "fingerprints")
+    marked = cut(with_fingerprint(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"), "fingerprints")
     nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp", F.lit(0).alias("seed")), radius))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -290,145 +292,167 @@ def _least_of(docs: DataFrame, order: Column, marked: DataFrame, placed: DataFra
     return found.drop(hashed)
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """The document of the smallest id of each group of near copies, with all its columns. Of rows that share this id, one
-    stays; of a group of null ids, one. Groups: texts whose sets of words lie within the radius under any of the seeds."""
-    order = F.xxhash64(*(F.col(c) for c in docs.columns))
-    mine = docs.select(F.col("doc_id").alias("id"), F.col("text"), order.alias("hash"))
-    names = tuple(f"fp{i}" for i in range(len(seeds)))
-    marked = cut(with_fingerprints(mine, names, lambda t: word_fingerprints(t, seeds)).drop("text"), "fingerprints")
-    # texts are named by their first fingerprint, and a fingerprint of another seed by the smallest such name
-    several = marked.select(F.col("fp0").alias("node"), F.posexplode(F.array(*names)).alias("seed", "fp"))
-    named = cut(several.groupBy("seed", "fp").agg(F.min("node").alias("name")), "named")
-    found = links(named.select("seed", "fp"), radius)
-    one, two = (named.select("seed", F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
-    near = found.join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-    same = several.where("seed > 0").distinct().join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
-    roots = components(near.unionByName(same))
-    nodes = marked.groupBy(F.col("fp0").alias("fp")).agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("least", F.coalesce("root", "fp").alias("root"))
-    return _least_of(docs, order, marked, placed)
-
-
-def shingles(text: str | None) -> set[str]:
-    """The five-word shingles of a text; one of fewer words is its own only shingle."""
-    words = text.lower().split() if text else []
-    return {" ".join(words[i : i + SIMILAR_WORDS]) for i in range(max(1, len(words) - SIMILAR_WORDS + 1))}
-
+#: Odd multipliers: of words by their place in a shingle, and of shingles for each least hash.
+_PLACES = _mixed(np.arange(1, SIMILAR_WORDS + 1, dtype=np.uint64) * np.uint64(STEP)) | np.uint64(1)
+_TURNS = _mixed(np.arange(101, 101 + BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(STEP)) | np.uint64(1)
 
-def similar(a: set[str], b: set[str]) -> bool:
-    """Whether two sets have a Jaccard similarity of LEAST or more."""
-    both = len(a & b)
-    return both * LEAST[1] >= LEAST[0] * (len(a) + len(b) - both)
 
+def words_of(text: str | None) -> list[str]:
+    return text.lower().split() if text else []
 
-def _hashes(text: str | None) -> np.ndarray:
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles(text)), dtype=np.uint64).view(np.int64))
 
+def shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """The set (sorted) of 64-bit hashes of the five-word shingles of a sequence of word hashes; fewer words are one shingle."""
+    k = min(SIMILAR_WORDS, len(words))
+    found = np.full(max(1, len(words) - SIMILAR_WORDS + 1), k, dtype=np.uint64)
+    for i in range(k):
+        found += words[i : i + len(found)] * _PLACES[i]
+    return np.unique(_mixed(found))
 
-def _common(marked: DataFrame) -> dict[int, int]:
-    """Shingles that occur often among a bounded sample of texts, with their counts."""
-    total = marked.count()
-    some = marked.where(F.pmod(F.xxhash64("node"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, COMMON_ROWS / max(1, total)))).select("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_hashes(t) for t in batch.column("text").to_pylist()]))], names=["key"])
-
-    often = some.mapInArrow(run, "key long").groupBy("key").count().where("count >= 4").orderBy(F.desc("count"), "key").limit(COMMON)
-    return {r["key"]: r["count"] for r in often.collect()}
+def _hasher():
+    """A function from words to their hashes."""
+    known = Memo(lambda w: xxhash.xxh64_intdigest(w, SEED), 200_000)
+    return lambda words: np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def prefixes(nodes: DataFrame, common: dict[int, int]) -> DataFrame:
-    """(node, root, size, place, key): the first shingles of each text in one order of all shingles, common ones last. Two sets
-    of LEAST or more share one of these: were all of a set's first size - ceil(LEAST * size) + 1 foreign to the other, too few would remain."""
-    keys = np.array(sorted(common), dtype=np.int64)
-    counts = np.array([common[k] for k in keys.tolist()], dtype=np.int64)
+def with_sketches(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
+    """docs (a text column, and others) with `node`, a hash of the text's words; `prints`, the fingerprints of their set; `bands`, a key for
+    each group of least hashes of its shingles; `sketch`, a byte of each of these; and `size`, the number of shingles."""
+    schema = T.StructType.fromDDL("node long, prints array<long>, bands array<long>, sketch binary, size long")
+    schema = T.StructType([*docs.schema.fields, *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        for batch in slices(batches):
-            parts = []
+        hashed = _hasher()
+        for batch in slices(batches, 1_000_000):
+            node, prints, sets = [], [], []
             for text in batch.column("text").to_pylist():
-                h = _hashes(text)
-                often = np.zeros(len(h), dtype=np.int64)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    often = np.where(keys[at] == h, counts[at], 0)
-                parts.append((h[np.lexsort((h, often))][: len(h) + LEAST[0] * len(h) // -LEAST[1] + 1], len(h)))
-            sizes = [len(first) for first, _ in parts]
-            row = np.repeat(np.arange(len(parts)), sizes)
-            columns = [*(batch.column(c).take(pa.array(row)) for c in ("node", "root")), pa.array(np.repeat(np.array([n for _, n in parts]), sizes)), pa.array(np.concatenate([np.arange(n) for n in sizes])), pa.array(np.concatenate([f for f, _ in parts]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "root", "size", "place", "key"])
-
-    return nodes.select("node", "root", "text").mapInArrow(run, "node long, root long, size long, place long, key long")
-
-
-def shared_prefixes(rows: DataFrame, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (a, b) of nodes with different roots that share a row of `prefixes` and can be similar by their sizes and places.
-    Keys of many nodes are dealt to block pairs."""
-    rows = cut(rows.distinct(), "prefixes")
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("root").alias("roots")).where("roots > 1").select("key", F.ceil(F.col("n") / F.lit(cell)).cast("int").alias("blocks"))
-    dealt = cut(rows.join(several, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "shared-prefixes")
-    cells = F.expr("explode(transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block))))")
-    both = dealt.select("key", "node", "root", "size", "place", "block", cells.alias("cell")).select("*", "cell.lo", "cell.hi").drop("cell")
-    one, two = both.where("block = lo").alias("x"), both.where("block = hi").alias("y")
-    p, q = LEAST
-    near = f"""x.root <> y.root and (x.lo < x.hi or x.node < y.node) and {q} * least(x.size, y.size) >= {p} * greatest(x.size, y.size)
-        and {p + q} * (1 + least(x.size - x.place - 1, y.size - y.place - 1)) >= {p} * (x.size + y.size)"""
-    same = "x.key = y.key and x.lo = y.lo and x.hi = y.hi"
-    return one.join(two, F.expr(f"{same} and {near}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+                words = words_of(text)
+                node.append(xxhash.xxh64_intdigest(" ".join(words), SEED))
+                hashes = hashed(words)
+                prints.append(word_fingerprints(hashes, seeds))
+                sets.append(shingle_hashes(hashes))
+            sizes = np.array([len(x) for x in sets])
+            every, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
+            least = np.stack([np.minimum.reduceat(every * turn, begin) for turn in _TURNS], axis=1)
+            bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
+            for i in range(BAND_ROWS):
+                bands = _mixed(bands + least[:, i::BAND_ROWS])
+            bands = (bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(STEP)).view(np.int64)
+            sketch = (least >> np.uint64(20)).astype(np.uint8)
+            lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], type=pa.int32()), pa.array(rows.ravel()))
+            more = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), lists(np.array(prints, dtype=np.uint64).view(np.int64)), lists(bands), pa.array([row.tobytes() for row in sketch], type=pa.binary()), pa.array(sizes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
 
 
-def confirmed(pairs: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have a similarity of LEAST or more."""
+def confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts have a similarity of LEAST or more; nodes name the row of `marked` that has their text."""
     pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
     asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = marked.join(asked, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    wanted = cut(nodes.join(asked, "node", "left_semi").select(F.col("least.id").alias("wanted_id"), F.col("least.hash").alias("wanted_hash")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    texts = marked.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash")), "left_semi").select("node", "text").dropDuplicates(["node"])
     one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
-        last, mine = None, set()
-        for batch in slices(batches, column="b_text"):
-            ids, others, holds = batch.column("a").to_pylist(), batch.column("b_text"), []
-            firsts = batch.column("a_text")
-            for i, a in enumerate(ids):
+        hashed = _hasher()
+        last, mine = None, np.zeros(0, dtype=np.uint64)
+        for batch in slices(batches, 1_000_000, column="b_text"):
+            ids, firsts, holds = batch.column("a").to_pylist(), batch.column("a_text"), []
+            for i, (a, other) in enumerate(zip(ids, batch.column("b_text").to_pylist(), strict=True)):
                 if a != last:
-                    last, mine = a, shingles(firsts[i].as_py())
-                holds.append(similar(mine, shingles(others[i].as_py())))
+                    last, mine = a, shingle_hashes(hashed(words_of(firsts[i].as_py())))
+                others = shingle_hashes(hashed(words_of(other)))
+                both = len(np.intersect1d(mine, others, assume_unique=True))
+                holds.append(both * LEAST[1] >= LEAST[0] * (len(mine) + len(others) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(holds)), batch.column("b").filter(pa.array(holds))], names=["a", "b"])
 
-    return pairs.join(two, "b").join(one, "a").sortWithinPartitions("a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return cut(pairs.join(two, "b").join(one, "a").sortWithinPartitions("a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "confirmed")
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame, *columns: Column | str) -> DataFrame:
+    """Nodes with their roots, which are themselves where `roots` has none."""
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *columns)
+
+
+def _alike(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b, a_sketch, b_sketch), those whose sketches agree in AGREE places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * BAND_ROWS) for c in ("a_sketch", "b_sketch"))
+            holds = pa.array((one == two).sum(axis=1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(holds), batch.column("b").filter(holds)], names=["a", "b"])
+
+    return pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+
+
+def band_leads(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with the least node of each bucket that it is in, if they may be similar by their sizes and sketches."""
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    leads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
+    pairs = keyed.join(leads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    one, two = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("size").alias(f"{c}_size")) for c in "ab")
+    p, q = LEAST
+    return _alike(pairs.join(one, "a").join(two, "b").where(f"{q} * least(a_size, b_size) >= {p} * greatest(a_size, b_size)"))
+
 
+def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame:
+    """(a, b): nodes of different roots that share a bucket and may be similar by their sizes and sketches."""
+    keyed = _rooted(nodes, roots, F.explode("bands").alias("key"), "sketch", "size")
+    mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks"))
+    dealt = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    by = ("key", "lo", "hi")
+    p, q = LEAST
 
-def _node(text: str | None) -> int:
-    return xxhash.xxh64_intdigest(" ".join(text.lower().split()), SEED) if text else xxhash.xxh64_intdigest("", SEED)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()
+        for part, cuts in _whole_runs(batches, by):
+            edges = [np.zeros((0, 2), dtype=np.int64)]
+            width = BANDS * BAND_ROWS
+            sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, width)
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                low = np.flatnonzero(part["block"][x:y] == part["lo"][x]) + x
+                high = low if part["lo"][x] == part["hi"][x] else np.flatnonzero(part["block"][x:y] == part["hi"][x]) + x
+                for at in range(0, len(low), 64):
+                    some = low[at : at + 64]
+                    near = (part["root"][some][:, None] != part["root"][high]) & (q * np.minimum(part["size"][some][:, None], part["size"][high]) >= p * np.maximum(part["size"][some][:, None], part["size"][high]))
+                    if high is low:
+                        near &= part["node"][some][:, None] < part["node"][high]
+                    i, j = np.nonzero(near)
+                    agree = (sketch[some[i]] == sketch[high[j]]).sum(axis=1) >= AGREE
+                    edges.append(np.stack([part["node"][some[i][agree]], part["node"][high[j][agree]]], axis=1))
+            found = np.concatenate(edges)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = _cells(dealt.select("key", "node", "root", "sketch", "size", "block", "blocks"))
+    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_one_similar(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """The document of the smallest id of each group of near copies, with all its columns; ties as in `keep_one`. Groups: texts
-    linked by an exact similarity of LEAST or more of their five-word shingles, whatever edit made them. Texts of the same words
-    are one node, named by a 64-bit hash."""
+    """The document of the smallest id of each group of near copies, with all its columns. Of rows that share this id, one stays; of a group
+    of null ids, one. Groups: texts linked by a similarity of LEAST or more of their five-word shingles, whatever edit made them,
+    also through others. Texts of the same words are one node, named by a 64-bit hash."""
     order = F.xxhash64(*(F.col(c) for c in docs.columns))
     mine = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), order.alias("hash"))
-    names = tuple(f"fp{i}" for i in range(len(seeds)))
-    marked = cut(with_fingerprints(mine, ("node", *names), lambda t: [_node(t), *word_fingerprints(t, seeds)]), "fingerprints")
-    several = marked.select("node", F.posexplode(F.array(*names)).alias("seed", "fp"))
+    marked = cut(with_sketches(mine, seeds), "sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least")
+    nodes = cut(marked.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("prints", "bands", "sketch", "size"))), "nodes")
+    several = nodes.select("node", F.posexplode("prints").alias("seed", "fp"))
     named = cut(several.groupBy("seed", "fp").agg(F.min("node").alias("name")), "named")
-    found = links(named.select("seed", "fp"), radius)
     one, two = (named.select("seed", F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
-    near = found.join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
-    same = several.distinct().join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
-    sure = cut(confirmed(near.unionByName(same), marked), "confirmed")
-    roots = components(sure)
-    # pairs that fingerprints have joined need no second look
-    rooted = marked.select("node", "text").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rest = confirmed(shared_prefixes(prefixes(rooted, _common(marked))), marked)
-    roots = components(sure.unionByName(rest))
-    nodes = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
-    placed = nodes.join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    return _least_of(docs, order, marked, placed)
+    near = links(named.select("seed", "fp"), radius).join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    same = several.join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
+    sure = confirmed(near.unionByName(same).unionByName(band_leads(nodes)), nodes, marked)
+    # pairs that are joined need no second look
+    sure = sure.unionByName(confirmed(band_pairs(nodes, components(sure)), nodes, marked))
+    placed = _rooted(nodes, components(sure), "least")
+    return _least_of(docs, order, marked.select("id", "hash"), placed)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
