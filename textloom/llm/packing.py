@@ -1,6 +1,6 @@
 """Operator 5, packing: shortest-pack-first over the length histogram.
 
-Documents become token ids with an end id and are cut at multiples of the sequence length; every piece but a document's
+Documents become token ids, those of added tokens included, with an end id and are cut at multiples of the sequence length; every piece but a document's
 last fills a sequence. Only the histogram of piece lengths (at most as many bins as a sequence has tokens) comes to the
 driver. There, lengths are placed longest first, each into the shortest pack that has room; equal packs are counted
 together as patterns, so the plan's size depends on the sequence length alone. Pieces get their rank within their
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from textloom.llm._common import cut, read, slices
@@ -31,12 +32,11 @@ from textloom.llm._public_bpe import public_bpe
 SEQUENCE = 1024
 END_ID = 0
 
-PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-
 
 def pieces(docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, end_id: int = END_ID, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece of a document: where it starts, its length and the checksum of its ids (with_ids: and the ids)."""
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
+    """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens (with_ids: and ids)."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens"))])
+    kind = to_arrow_type(schema["doc_id"].dataType)
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
     last = int(end_id).to_bytes(4, "little")
@@ -48,14 +48,14 @@ def pieces(docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, e
         for batch in slices(batches):
             rows: list[list] = [[] for _ in schema.names]
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = coder.raw(t) + last
+                raw = coder.raw(t, added=True) + last
                 for at in range(0, len(raw), step):
                     part = raw[at : at + step]
                     for column, value in zip(rows, (i, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4, *([np.frombuffer(part, dtype=np.int32)] if with_ids else [])), strict=True):
                         column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in rows[:5]] + [pa.array(c, type=pa.list_(pa.int32())) for c in rows[5:]], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], type=kind)] + [pa.array(c, type=pa.int64()) for c in rows[1:5]] + [pa.array(c, type=pa.list_(pa.int32())) for c in rows[5:]], names=schema.names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
@@ -101,7 +101,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nda
 
 
 def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, buckets: int | None = None) -> DataFrame:
-    """cut_pieces (a stored table with the columns of PIECES_SCHEMA, of which others are passed on) with sequence_id and offset."""
+    """cut_pieces (a stored table as `pieces` gives it; other columns are passed on) with sequence_id and offset."""
     spark = cut_pieces.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = cut_pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
