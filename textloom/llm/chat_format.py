@@ -15,7 +15,6 @@ so its turns meet in one task; turns are encoded before that, wherever they are.
 from __future__ import annotations
 
 import gc
-import hashlib
 import re
 from array import array
 from collections.abc import Iterator
@@ -35,8 +34,8 @@ LEARNED_ROLE = "assistant"
 _ESCAPE_TEXT, _ESCAPE_ROLE = re.compile(r"\\|###|</turn>"), re.compile(r"\\|###|</turn>|:")
 _UNESCAPE = re.compile(r"\\(\\|###|</turn>|:)")
 
-FORMATTED = "conv_id long, input_ids array<int>, loss_mask array<byte>"
-PARSED = "conv_id long, n_turns long, roles array<string>, texts array<string>, loss_text string, formatted string"
+FORMATTED = "conv_id {}, input_ids array<int>, loss_mask array<byte>"
+PARSED = "conv_id {}, n_turns long, roles array<string>, texts array<string>, loss_text string, formatted string"
 
 
 def escape(text: str, role: bool = False) -> str:
@@ -47,6 +46,11 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1", text)
 
 
+def _kind(df: DataFrame) -> str:
+    """The type of conversation ids, which may be any."""
+    return df.schema["conv_id"].dataType.simpleString()
+
+
 def _segments(coder: PublicBpe, role: str, text: str) -> tuple[bytes, bytes]:
     return coder.raw(escape(role, role=True)), coder.raw(escape(text))
 
@@ -61,24 +65,31 @@ def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
             coded = [_segments(coder, r, t) for r, t in zip(roles, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array([hashlib.sha256(t.encode()).digest() for t in texts], type=pa.binary()), pa.array([a for a, _ in coded], type=pa.binary()), pa.array([b for _, b in coded], type=pa.binary())],
-                names=["conv_id", "turn", "role", "tie", "role_ids", "text_ids"],
+                [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array([a for a, _ in coded], type=pa.binary()), pa.array([b for _, b in coded], type=pa.binary())],
+                names=["conv_id", "turn", "role", "role_ids", "text_ids"],
             )
 
-    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, "conv_id long, turn long, role string, tie binary, role_ids binary, text_ids binary")
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"conv_id {_kind(turns)}, turn long, role string, role_ids binary, text_ids binary")
 
 
 def assemble(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """Conversations as token ids with a loss mask (FORMATTED), from encoded turns."""
-    order = F.array_sort(F.collect_list(F.struct("turn", "role", "tie", "role_ids", "text_ids")))
-    whole = coded.groupBy("conv_id").agg(order.alias("turns")).select("conv_id", F.col("turns.role").alias("roles"), F.col("turns.role_ids").alias("role_ids"), F.col("turns.text_ids").alias("text_ids"))
+    order = F.array_sort(F.collect_list(F.struct("turn", "role", "text_ids", "role_ids")))
+    whole = coded.groupBy("conv_id").agg(order.alias("turns")).select("conv_id", F.col("turns.turn").alias("turns"), F.col("turns.role").alias("roles"), F.col("turns.role_ids").alias("role_ids"), F.col("turns.text_ids").alias("text_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = public_bpe(path, pattern).size
+        coder = public_bpe(path, pattern)
+        size = coder.size
         turn, role_end, turn_end = (array("I", [size + i]).tobytes() for i in range(3))
         for batch in slices(batches, column="text_ids"):
             ids, masks = [], []
-            for roles, role_ids, text_ids in zip(*(batch.column(c).to_pylist() for c in ("roles", "role_ids", "text_ids")), strict=True):
+            for turns, roles, role_ids, text_ids in zip(*(batch.column(c).to_pylist() for c in ("turns", "roles", "role_ids", "text_ids")), strict=True):
+                first = 0
+                for i in range(1, len(turns) + 1):  # turns equal in place and role go by their texts
+                    if i == len(turns) or (turns[i], roles[i]) != (turns[first], roles[first]):
+                        if i - first > 1:
+                            text_ids[first:i] = sorted(text_ids[first:i], key=lambda ids: unescape(coder.text(array("I", ids).tolist())))
+                        first = i
                 parts = [p for r, t in zip(role_ids, text_ids, strict=True) for p in (turn, r, role_end, t, turn_end)]
                 ends = np.cumsum([len(p) // 4 for p in parts])
                 steps = np.zeros(ends[-1] + 1, dtype=np.int8)
@@ -89,7 +100,7 @@ def assemble(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 masks.append(np.cumsum(steps[:-1], dtype=np.int8))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ids, type=pa.list_(pa.int32())), pa.array(masks, type=pa.list_(pa.int8()))], names=["conv_id", "input_ids", "loss_mask"])
 
-    return whole.mapInArrow(run, FORMATTED)
+    return whole.mapInArrow(run, FORMATTED.format(_kind(coded)))
 
 
 def format_conversations(turns: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -105,7 +116,7 @@ def parse_conversations(formatted: DataFrame, path: str, pattern: str) -> DataFr
         size = coder.size
         for batch in slices(batches, column="input_ids"):
             rows = []
-            for conv, ids, mask in zip(batch.column("conv_id").to_pylist(), batch.column("input_ids"), batch.column("loss_mask"), strict=True):
+            for ids, mask in zip(batch.column("input_ids"), batch.column("loss_mask"), strict=True):
                 ids, mask = np.asarray(ids.values), np.asarray(mask.values)
                 at = np.flatnonzero(ids >= size)
                 kinds, shown, roles, texts = ids[at] - size, [], [], []
@@ -118,12 +129,12 @@ def parse_conversations(formatted: DataFrame, path: str, pattern: str) -> DataFr
                         texts.append(unescape(between))
                 steps = np.flatnonzero(np.diff(mask, prepend=0, append=0)).reshape(-1, 2)
                 learned = "".join(unescape(coder.text(ids[a:b].tolist())) for a, b in steps.tolist())
-                rows.append((conv, len(texts), roles, texts, learned, "".join(shown)))
-            names = ["conv_id", "n_turns", "roles", "texts", "loss_text", "formatted"]
-            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=names)
+                rows.append((len(texts), roles, texts, learned, "".join(shown)))
+            names = ["n_turns", "roles", "texts", "loss_text", "formatted"]
+            types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types))], names=["conv_id", *names])
 
-    return formatted.mapInArrow(run, PARSED)
+    return formatted.mapInArrow(run, PARSED.format(_kind(formatted)))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +160,8 @@ WITH turns AS (
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
         coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
         sum(14 + length(role) + length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '###', ''))) // 3
-            + (length(text) - length(replace(text, '</turn>', ''))) // 7) AS chars
+            + (length(text) - length(replace(text, '</turn>', ''))) // 7 + (length(role) - length(replace(role, '\', ''))) + (length(role) - length(replace(role, '###', ''))) // 3
+            + (length(role) - length(replace(role, '</turn>', ''))) // 7 + (length(role) - length(replace(role, ':', '')))) AS chars
     FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, cast(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, cast(chars AS BIGINT) AS formatted_chars FROM joined
