@@ -9,11 +9,12 @@ renames when done, so a lost or repeated attempt leaves no half file in place.
 
 Equal payloads are found by SHA-1: the page of the largest id is the response, all others are revisits of it and carry no
 payload. Only digests are shuffled by payload; pages are dealt by id and digest, so a payload that a third of all
-pages share does not meet in one task.
+pages share does not meet in one task. Pages without an id are dealt by their address too.
 
 Defined results: a null html is an empty payload; empty payloads are like any others. A null page_id is written as an
 empty field and read back as null; it counts as smaller than any id. Of rows equal in page_id and payload, one is written as
-the response (if they are it) and the others revisit it. A null url is written as `urn:none`. An empty table
+the response (if they are it) and the others revisit it. The target address is percent-encoded; where that changes it, or it is null
+(`urn:none`) or empty, a field of its own keeps it. An empty table
 gives no rows. Other columns are not read.
 """
 
@@ -26,6 +27,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +43,10 @@ VERSION = "WARC/1.1"
 CRLF = b"\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
+#: What an address holds as it is: printable ASCII but the blank.
+PRINTED = "".join(map(chr, range(33, 127)))
+#: Groups, by address, of pages without an id.
+NO_ID_GROUPS = 256
 #: Smallest payload, in bytes, that another may revisit.
 MIN_PAYLOAD = 0
 #: Bytes of archive that one read task takes.
@@ -71,7 +77,10 @@ def record(page_id: int | None, copy: int, url: str | None, payload: bytes, size
     """One WARC record with its closing blank lines."""
     key = "" if page_id is None else str(page_id)
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key} {copy} {digest}")
-    head = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {json.dumps(url)[1:-1] if url else 'urn:none'}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-Page-ID: {key}"]
+    target = quote(url, safe=PRINTED) if url else "urn:none"
+    head = [VERSION, f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", f"X-Page-ID: {key}"]
+    if target != url:
+        head.append(f"X-Original-Address: {json.dumps(url)}")
     if revisit:
         head += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {'' if refers_to is None else refers_to}"]
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(size).encode() + CRLF + CRLF + (b"" if revisit else payload)
@@ -96,16 +105,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 def plan_records(pages: DataFrame, least: int = MIN_PAYLOAD) -> DataFrame:
     """page_id, url, payload, digest, copy, revisit, refers_to: how each page is to be written."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    pages = pages.withColumn("sha", F.sha1("payload")).withColumn("key", F.struct(F.col("page_id").isNotNull().alias("known"), "page_id"))
+    pages = pages.withColumn("sha", F.sha1("payload")).withColumn("part", F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("url"), F.lit(NO_ID_GROUPS))).otherwise(0))
+    pages = pages.withColumn("key", F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "part"))
     small = pages.select("key", "sha").groupBy("key", "sha").agg(F.count(F.lit(1)).alias("copies"))
     top = small.groupBy("sha").agg(F.max("key").alias("top"))
-    roles = small.join(top, "sha").select(F.col("key.known").alias("known"), F.coalesce("key.page_id", F.lit(0)).alias("id"), "sha", "top")
+    roles = small.join(top, "sha").select(F.col("key.known").alias("known"), F.coalesce("key.page_id", F.lit(0)).alias("id"), F.col("key.part").alias("part"), "sha", "top")
     pages = pages.withColumn("known", F.col("key.known")).withColumn("id", F.coalesce("page_id", F.lit(0)))
-    copy = F.row_number().over(Window.partitionBy("id", "known", "sha").orderBy("url")) - 1
-    got = pages.withColumn("copy", copy).join(roles, ["id", "known", "sha"])
+    copy = F.row_number().over(Window.partitionBy("id", "known", "part", "sha").orderBy("url")) - 1
+    got = pages.withColumn("copy", copy).join(roles, ["id", "known", "part", "sha"])
     alone = F.octet_length("payload") < least
     revisit = ~alone & (~F.col("key").eqNullSafe(F.col("top")) | (F.col("copy") > 0))
-    return got.select("page_id", "url", "payload", "sha", F.col("copy").cast("long").alias("copy"), revisit.alias("revisit"), F.when(revisit, F.col("top.page_id")).alias("refers_to"))
+    return got.select("page_id", "url", "payload", "sha", (F.col("part") * F.lit(1 << 40) + F.col("copy")).cast("long").alias("copy"), revisit.alias("revisit"), F.when(revisit, F.col("top.page_id")).alias("refers_to"))
 
 
 def write_monolithic(planned: DataFrame, folder: str) -> DataFrame:
@@ -135,24 +145,42 @@ def write_monolithic(planned: DataFrame, folder: str) -> DataFrame:
     return planned.mapInArrow(run, "file string, n long")
 
 
+def _inflated(stream, size: int) -> Iterator[bytes]:
+    """A gzip stream of one or more members, inflated once, in parts of `size` bytes at most."""
+    inflate, data = zlib.decompressobj(31), stream.read(size)
+    begun = False
+    while data:
+        out = inflate.decompress(data, size)
+        begun = True
+        yield out
+        data = inflate.unconsumed_tail
+        while not data and not inflate.eof and len(out) == size:  # what it still holds
+            out = inflate.decompress(b"", size)
+            yield out
+        if inflate.eof:
+            data, inflate, begun = inflate.unused_data, zlib.decompressobj(31), False
+        data = data or stream.read(size)
+    if begun:
+        raise ValueError("the stream ends within a member")
+
+
 def records_of(stream, size: int = CHUNK) -> Iterator[bytes]:
-    """The records of a gzip stream, inflated once; holds one record at a time."""
-    inflate, held = zlib.decompressobj(31), b""
-    for chunk in iter(lambda: stream.read(size), b""):
-        while chunk:
-            held += inflate.decompress(chunk)
-            chunk = inflate.unused_data
-            if inflate.eof:
-                inflate = zlib.decompressobj(31)
-            at = 0
-            while (end := held.find(CRLF + CRLF, at)) >= 0:
-                mark = held.rfind(b"Content-Length: ", at, end) + 16
-                whole = end + 4 + int(held[mark:end].split(CRLF)[0]) + 4
-                if whole > len(held):
+    """The records of a gzip stream, inflated once; holds one record and a part of `size` bytes at a time."""
+    held, looked, whole = bytearray(), 0, 0
+    for part in _inflated(stream, size):
+        held += part
+        while True:
+            if not whole:
+                if (end := held.find(CRLF + CRLF, looked)) < 0:
+                    looked = max(0, len(held) - 3)
                     break
-                yield held[at:whole]
-                at = whole
-            held = held[at:]
+                mark = held.rfind(b"Content-Length: ", 0, end) + 16
+                whole = end + 4 + int(held[mark:end].split(CRLF)[0]) + 4
+            if whole > len(held):
+                break
+            yield bytes(held[:whole])
+            del held[:whole]
+            looked = whole = 0
     if held.strip():
         raise ValueError("the stream ends within a record")
 
@@ -199,8 +227,8 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
                     at, stream = file, system.open_input_file(name)
                 fields, payload = parse(gzip.decompress(stream.read_at(length, offset)))
                 number = lambda k: int(fields[k]) if fields.get(k) else None
-                uri = fields["WARC-Target-URI"]
-                rows.append((number("X-Page-ID"), None if uri == "urn:none" else json.loads(f'"{uri}"'), number("X-Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("X-Refers-To-Page"), payload if payloads and fields["WARC-Type"] == "response" else None))
+                url = json.loads(fields["X-Original-Address"]) if "X-Original-Address" in fields else fields["WARC-Target-URI"]
+                rows.append((number("X-Page-ID"), url, number("X-Payload-Length"), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], number("X-Refers-To-Page"), payload if payloads and fields["WARC-Type"] == "response" else None))
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types)], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
