@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import PIECES, WHITE_SPACE, read, slices
+from textloom.llm._common import LONGEST_KEY, PIECES, WHITE_SPACE, read, slices
 
 #: Pre-tokens of over so many bytes get a tree of their own.
 WIDE = 32
@@ -153,7 +153,7 @@ class Merges:
 
 
 class Encoder:
-    """Encodes texts a batch at a time; remembers what pieces and pre-tokens encode to, up to `most` of each."""
+    """Encodes texts a batch at a time; remembers what short pieces and pre-tokens encode to, up to `most` of each."""
 
     def __init__(self, merges: Merges, most: int = 300_000, block: int = 20_000):
         self.merges, self.most, self.block = merges, most, block
@@ -178,6 +178,8 @@ class Encoder:
             self.words[w] = array("I", self.merges.one(b)).tobytes()
         for p, ws in zip(new, split, strict=True):
             self.pieces[p] = b"".join(map(self.words.__getitem__, ws))
+        for w in [w for w in words if len(w) > LONGEST_KEY]:
+            del self.words[w]
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; None counts as empty."""
@@ -189,7 +191,10 @@ class Encoder:
         known = self.pieces
         if new := list({p for ps in cut for p in ps if p not in known}):
             self.learn(new)
-        return [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        coded = [b"".join(map(known.__getitem__, ps)) for ps in cut]
+        for p in [p for p in new if len(p) > LONGEST_KEY]:
+            del known[p]
+        return coded
 
 
 @lru_cache(maxsize=4)

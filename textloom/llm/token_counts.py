@@ -119,7 +119,7 @@ def build_index(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(chars, type=pa.list_(pa.int32())), pa.array(tokens, type=pa.list_(pa.int32())), batch.column("edits")], names=["doc_id", "text", "leaf_chars", "leaf_tokens", "edits"])
 
     edits = F.lit(None) if edits is None else edits
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), edits.cast(EDIT).alias("edits")).mapInArrow(run, f"doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, edits {EDIT}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), edits.cast(EDIT).alias("edits")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text string, leaf_chars array<int>, leaf_tokens array<int>, edits {EDIT}")
 
 
 def attach_edits(index: DataFrame, edits: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def attach_edits(index: DataFrame, edits: DataFrame) -> DataFrame:
 
 def recount(index: DataFrame, path: str, pattern: str) -> DataFrame:
     """The index after its edits, with token counts before and after and the characters that were encoded again."""
-    schema = "doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, n_edits long, tokens_before long, n_tokens long, encoded_again long"
+    schema = f"doc_id {index.schema['doc_id'].dataType.simpleString()}, text string, leaf_chars array<int>, leaf_tokens array<int>, n_edits long, tokens_before long, n_tokens long, encoded_again long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
