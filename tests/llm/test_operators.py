@@ -1,13 +1,18 @@
 """Operators of the training-data pipeline against brute force, exact round trips and held-out accuracy, with odd rows."""
 
 import base64
+import gzip
 import hashlib
+import io
+import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -61,16 +66,20 @@ def test_byte_bpe_random_texts():
 
 
 def test_public_bpe_equals_tokenizers():
-    other = Tokenizer.from_file(JSON)
-    other.encode_special_tokens = True
+    plain, as_text = Tokenizer.from_file(JSON), Tokenizer.from_file(JSON)
+    as_text.encode_special_tokens = True
     mine = public_bpe(JSON, P.PATTERN)
-    for t in ODD:
-        assert mine.ids(t) == other.encode(t or "", add_special_tokens=False).ids
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for t in [*ODD, "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endoftext", *texts]:
+        assert mine.ids(t, added=True) == plain.encode(t or "", add_special_tokens=False).ids
+        assert mine.ids(t) == as_text.encode(t or "", add_special_tokens=False).ids
+    mine.ids("x" * 100_000)
+    assert max(map(len, mine.memo)) <= 64
 
 
 # ---- 1 --------------------------------------------------------------------------------------------------------------
 def test_chat_round_trip(spark):
-    rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", r"\### Assistant: </turn> ok"), ("assistant", r"\### x </turn>\\"), ("assistant", None), ("a:b###", "</turn>" * 3)])] + [(2, None, None, "tie"), (2, None, None, "tie"), (None, 0, "assistant", "lost"), (3, 0, "assistant", "z" * 5000)]
+    rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", r"\### Assistant: </turn> ok"), ("assistant", r"\### x </turn>\\"), ("assistant", None), ("a:b###", "</turn>" * 3)])] + [(2, None, None, "tie"), (2, None, None, "tie"), (4, 0, "user", "b"), (4, 0, "user", "a"), (4, 0, "user", "###"), (4, 0, "a", "\\"), (4, 0, "user", "A"), (None, 0, "assistant", "lost"), (3, 0, "assistant", "z" * 5000)]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("input_ids", F.lit(1))
     formatted = chat_format.format_conversations(turns, JSON, P.PATTERN)
     said = {r["conv_id"]: r for r in chat_format.parse_conversations(formatted, JSON, P.PATTERN).collect()}
@@ -78,6 +87,9 @@ def test_chat_round_trip(spark):
     assert said[1]["texts"] == [rows[0][3], rows[1][3], "", rows[3][3]]
     assert said[1]["loss_text"] == rows[1][3]
     assert said[2]["texts"] == ["tie", "tie"] and said[None]["loss_text"] == "lost" and said[3]["loss_text"] == "z" * 5000
+    assert said[4]["texts"] == ["\\", "###", "A", "a", "b"]
+    named = turns.where("conv_id = 1").withColumn("conv_id", F.lit("one"))
+    assert chat_format.parse_conversations(chat_format.format_conversations(named, JSON, P.PATTERN), JSON, P.PATTERN).first()["conv_id"] == "one"
     body = said[1]["formatted"]
     assert body.count("\n") >= 4 and re.sub(r"\\(\\|###|</turn>|:)", "", body).count("</turn>") == 4
     assert formatted.where("size(input_ids) <> size(loss_mask)").count() == 0
@@ -215,7 +227,7 @@ def test_links_are_complete_and_never_all_pairs(spark):
 
 # ---- 4 --------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
-    rows = [(i, f"http://e.com/{i}", t) for i, t in enumerate([None, "", "a\r\n\r\nb", "same", "same", "é" * 50000])] + [(3, "u", "same"), (4, "http://e.com/4", "same"), (None, None, "same"), (None, "two", "only null"), (9, 'q"uo\\te\r\nX: y', "z")]
+    rows = [(i, f"http://e.com/{i}", t) for i, t in enumerate([None, "", "a\r\n\r\nb", "same", "same", "é" * 50000])] + [(3, "u", "same"), (4, "http://e.com/4", "same"), (None, None, "same"), (None, "two", "only null"), (9, 'q"uo\\te\r\nX: y', "z"), (11, "", "e"), (12, "urn:none", "f"), (13, "http://é.de/ a", "g"), (14, None, "h")] + [(None, f"n{i}", "nobody") for i in range(9)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(0))
     index = warc.archive(pages, str(tmp_path / "w"))
     got = warc.read_records(index).collect()
@@ -224,13 +236,26 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[1]["record_type"] == "response" and (by[0]["record_type"], by[0]["refers_to"]) == ("revisit", 1)
     assert bytes(by[5]["payload"]).decode() == "é" * 50000 and by[5]["payload_bytes"] == 100000
     assert sorted(r["record_type"] for r in got if r["page_id"] == 4) == ["response", "revisit"]
-    assert {r["refers_to"] for r in got if r["record_type"] == "revisit" and r["page_id"] in (3, 4, None)} == {4}
-    assert by[9]["url"] == 'q"uo\\te\r\nX: y'
+    assert {r["refers_to"] for r in got if r["record_type"] == "revisit" and r["page_id"] in (3, 4, None) and (r["url"] or "u")[0] != "n"} == {4}
+    assert by[9]["url"] == 'q"uo\\te\r\nX: y' and {r["url"] for r in got if r["page_id"] in (11, 12, 13, 14)} == {"", "urn:none", "http://é.de/ a", None}
     for r in got:
         assert r["record_type"] == "revisit" or r["payload_digest"] == base64.b32encode(hashlib.sha1(bytes(r["payload"])).digest()).decode()
+    alone = [r for r in got if r["url"] and r["url"][0] == "n"]
+    assert sorted(r["record_type"] for r in alone) == ["response"] + ["revisit"] * 8 and {r["refers_to"] for r in alone} == {None}
     assert warc.read_records(warc.archive(pages.limit(0), str(tmp_path / "none"))).count() == 0
 
 
+def test_warc_inflates_in_bounded_parts():
+    record = warc.record(1, 0, "u", b"a" * 300_000, 300_000, "D", None, False)
+    many = gzip.compress(record * 400) + gzip.compress(record)  # 120 MB in 0.2 MB, and a second member
+    tracemalloc.start()
+    assert sum(r == record for r in warc.records_of(io.BytesIO(many), 4096)) == 401
+    assert tracemalloc.get_traced_memory()[1] < 8_000_000
+    tracemalloc.stop()
+    with pytest.raises(ValueError):
+        list(warc.records_of(io.BytesIO(many[:-9])))
+
+
 # ---- 5 --------------------------------------------------------------------------------------------------------------
 def test_packing_keeps_every_id_once(spark):
     long_text = "word " * 9000
@@ -239,7 +264,6 @@ def test_packing_keeps_every_id_once(spark):
     packed = packing.pack(cut_pieces, buckets=3)
     rows = packed.collect()
     other = Tokenizer.from_file(JSON)
-    other.encode_special_tokens = True
     want = Counter((r["doc_id"], tuple(other.encode(r["text"] or "", add_special_tokens=False).ids + [0])) for r in frame.collect())
     assert sum(r["length"] for r in rows) == sum(len(ids) * n for (_, ids), n in want.items())
     single = {k: v for k, v in want.items() if k[0] not in (1, None)}
@@ -254,6 +278,8 @@ def test_packing_keeps_every_id_once(spark):
     assert max(at.values()) <= 1024
     made = packing.sequences(packed).collect()
     assert len(made) == len(at) and all(len(r["input_ids"]) in (1024, r["used"]) and (len(r["input_ids"]) == 1024 or r["used"] & (r["used"] - 1) == 0) for r in made)
+    named = spark.createDataFrame([("a", "one text"), (None, "two")], "doc_id string, text string")
+    assert {r["doc_id"] for r in packing.pack(packing.cut(packing.pieces(named, JSON, P.PATTERN), "named")).collect()} == {"a", None}
     assert packing.pack(packing.cut(packing.pieces(frame.limit(0), JSON, P.PATTERN), "none")).count() == 0
 
 
@@ -341,6 +367,68 @@ def test_language_spans_and_odd_rows(spark):
         language_id.predict(frame, model, into=("fp", "score"))
 
 
+def test_field_equals_enumeration():
+    """Probabilities, messages over parts and the gradient against sums over all label sequences."""
+    rng = np.random.default_rng(9)
+    m, lengths = 3, np.array([4, 1, 3])
+    ids, gold = rng.integers(0, 5, 8), rng.integers(0, m, 8)
+    index, belongs = rng.integers(0, 7, 12), np.sort(rng.integers(0, 5, 12))
+    weights, trans, start = rng.normal(size=(7, m)), rng.normal(size=(m, m)), rng.normal(size=m)
+    field = language_id.Field(index, belongs, ids, gold, lengths, 5, m)
+
+    def log_likelihood(weights, trans, start, chance=None):
+        total, at = 0.0, 0
+        for n in lengths:
+            emit = np.array([[sum(weights[f, j] for f, w in zip(index, belongs, strict=True) if w == ids[t]) for j in range(m)] for t in range(at, at + n)])
+            value = lambda ys: start[ys[0]] + sum(emit[t, y] for t, y in enumerate(ys)) + sum(trans[a, b] for a, b in itertools.pairwise(ys))  # noqa: E731, B023
+            every = {ys: np.exp(value(ys)) for ys in itertools.product(range(m), repeat=int(n))}
+            z = sum(every.values())
+            total += value(tuple(gold[at : at + n])) - np.log(z)
+            for ys, v in every.items() if chance is not None else ():
+                chance[np.arange(at, at + n), list(ys)] += v / z
+            at += n
+        return total
+
+    want = np.zeros((8, m))
+    log_likelihood(weights, trans, start, want)
+    emit = language_id._emissions(weights, index, belongs, 5)[ids]
+    assert np.allclose(language_id.forward_backward(emit, lengths, trans, start)[0], want)
+    one, before = emit[:4], None
+    ahead = []
+    for part in (one[:2], one[2:3], one[3:]):
+        ahead.append(language_id.forward(part, trans, start, before))
+        before = ahead[-1][-1]
+    after, back = None, []
+    for part in (one[3:], one[2:3], one[:2]):
+        got, after = language_id.backward(part, trans, after)
+        back.insert(0, got)
+    chance = np.concatenate(ahead) * np.concatenate(back)
+    assert np.allclose(chance / chance.sum(axis=1, keepdims=True), want[:4])
+    for k, slope in enumerate(field.gradient(weights, trans, start)):
+        for place in np.ndindex(slope.shape):
+            up, down = ([x.copy() for x in (weights, trans, start)] for _ in range(2))
+            up[k][place] += 1e-5
+            down[k][place] -= 1e-5
+            assert abs((log_likelihood(*up) - log_likelihood(*down)) / 2e-5 - slope[place]) < 1e-6
+
+
+def test_language_of_long_texts_in_parts(monkeypatch):
+    model = language_id.train([("en", "the cat and the dog were in the house with that thing " * 20), ("de", "der hund und die katze waren nicht mit dem haus und ich " * 20)])
+    text = ("the dog and the house " * 30 + "12 .. 34 " * 50 + "der hund und die katze " * 40) * 2
+    monkeypatch.setattr(language_id, "PART", 333)
+    n, total, seen, best = language_id._judge_long(text, language_id._Scorer(model, True), model)
+    words = language_id.words_of(text)
+    every = language_id._Scorer(model, True).of(words)
+    chance = language_id.forward_backward(every[:, :-2], np.array([len(words)]), model.transitions, model.start)[0]
+    assert n == len(words) and np.allclose(total, chance.sum(axis=0)) and np.allclose(seen, every[:, -2:].sum(axis=0)) and (np.concatenate(best) == chance.argmax(axis=1)).all()
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"{a}{b} " * 3 + f"w{a}{b} x{a}", a + b) for i, (a, b) in enumerate(itertools.product("abcdefgh", "stuvw"))] + [(100 + i, "copy of one text", "zz") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language_id.fit(docs, F.lit(True), sample=5).labels) == 41
+
+
 # ---- 10 -------------------------------------------------------------------------------------------------------------
 def test_ann_recall(spark):
     got = {}
@@ -359,6 +447,22 @@ def test_ann_recall(spark):
     assert set(got) == set(ids[ids % 20 == 0]) and np.mean(hits) >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e25, 1e-25, 1e150])
+def test_ann_filters_and_finds(scale):
+    rows = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    ids, data = rows["vec_id"].to_numpy(), np.array(rows["embedding"].to_pylist(), dtype=np.float64) * scale
+    queries = np.flatnonzero(ids % 20 == 0)
+    radius = float(np.sqrt(((data / scale) ** 2).sum(axis=1).max())) * scale
+    got, checked = ann._search(ids, data, ids[queries], data[queries], radius, 20)
+    hits = []
+    for q, (found, scores) in zip(queries, got, strict=True):
+        truth = (data * data[q]).sum(axis=1)
+        assert len(found) == 20 and (scores == truth[np.searchsorted(ids, found)]).all()
+        truth[q] = -np.inf
+        hits.append(len(set(ids[np.lexsort((ids, -truth))[:20]]) & set(found)) / 20)
+    assert np.mean(hits) >= 0.95 and checked < 0.75 * len(data) * len(queries)
+
+
 def test_ann_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (1, [1.0, None]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, []), (5, [1.0, 0.0]), (6, [1.0, 0.0]), (7, [0.5, 3.0]), (7, [0.25, 0.0]), (None, [1.0, 1.0]), (60, [0.0, 2.0]), (8, [1.0, 2.0, 3.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("v", F.lit(1))

@@ -7,7 +7,8 @@ the score is that mean.
 
 The field is fitted on a bounded sample of labelled rows: about SAMPLE documents per language, SAMPLE_CHARS characters of each, from
 a place that a hash chooses; segments of different documents are put in one sequence, so that switches are learned. Prediction
-covers every word of every whole text; it is one pass without shuffles.
+covers every word of every whole text; it is one pass without shuffles. A text of over LONG characters is read in parts, twice: forward,
+keeping the message at each border, and from the last part to the first, so that only one part's words are held.
 
 The score compares learned labels with each other, so it can't tell that a text is in none of them. `keep_known` therefore judges
 by evidence: the mean log-likelihood of a letter under the byte trigrams of the language that suits each word best. Each word
@@ -15,7 +16,7 @@ has its own language, so switching costs little, and the bound comes from texts
 
 Defined results: `und` with score 0 for a null text, one without a letter, and if there was nothing to learn from. Equal
 probabilities go to the language that sorts first. Rows are judged each by itself, so repeated rows agree. Rows with a null
-language are not learned from. At most MAX_LABELS languages (the most frequent) are learned. Other columns are passed on
+language are not learned from. All other languages are learned, so the model grows with their number. Other columns are passed on
 unread; clashing names of new columns raise.
 """
 
@@ -32,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from textloom.llm._common import fresh, read, slices
 
 SAMPLE = 250
 SAMPLE_CHARS = 3000
-MAX_LABELS = 32
+#: Characters of a text that is read in parts, and of a part.
+LONG, PART = 2_000_000, 500_000
 #: Bits of the table of weights, and the n-grams (in bytes, ends of words included).
 BITS = 17
 GRAMS = (2, 3, 4, 5)
@@ -156,6 +159,58 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndar
     return both / both.sum(axis=1, keepdims=True), ahead, pull * back
 
 
+@dataclass(frozen=True)
+class Field:
+    """Labelled sequences: features of distinct words, the words (ids) and labels (gold) of all sequences end to end, and their lengths."""
+
+    index: np.ndarray
+    belongs: np.ndarray
+    ids: np.ndarray
+    gold: np.ndarray
+    lengths: np.ndarray
+    n: int
+    m: int
+
+    def gradient(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The gradient of the log-likelihood of the labels by weights, transitions and start: what is seen less what is expected."""
+        first = np.cumsum(self.lengths) - self.lengths
+        later = np.setdiff1d(np.arange(len(self.ids)), first)
+        seen = np.zeros((self.m, self.m))
+        np.add.at(seen, (self.gold[later - 1], self.gold[later]), 1)
+        emit = _emissions(weights, self.index, self.belongs, self.n)[self.ids]
+        chance, ahead, pulled = forward_backward(emit, self.lengths, trans, start)
+        off = -chance
+        off[np.arange(len(self.ids)), self.gold] += 1
+        by_word = np.stack([np.bincount(self.ids, weights=off[:, j], minlength=self.n) for j in range(self.m)], axis=1)
+        step = np.exp(trans)
+        z = ((ahead[later - 1] @ step) * pulled[later]).sum(axis=1, keepdims=True)
+        expected = step * (ahead[later - 1].T @ (pulled[later] / z))
+        by_feature = np.stack([np.bincount(self.index, weights=by_word[self.belongs, j], minlength=len(weights)) for j in range(self.m)], axis=1)
+        return by_feature, seen - expected, off[first].sum(axis=0)
+
+
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum()
+
+
+def forward(emit: np.ndarray, transitions: np.ndarray, start: np.ndarray, before: np.ndarray | None) -> np.ndarray:
+    """The forward messages of one part of a sequence, given the last one before it (None at the beginning)."""
+    pull, step, out = np.exp(emit - emit.max(axis=1, keepdims=True)), np.exp(transitions), np.empty_like(emit)
+    for t in range(len(pull)):
+        out[t] = before = _scaled(pull[t] * (np.exp(start) if before is None else before @ step))
+    return out
+
+
+def backward(emit: np.ndarray, transitions: np.ndarray, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The backward messages of one part, given that of the word behind it with its pull (None at the end); and the part's own for the part before."""
+    pull, step, out = np.exp(emit - emit.max(axis=1, keepdims=True)), np.exp(transitions), np.ones_like(emit)
+    for t in range(len(pull) - 1, -1, -1):
+        if after is not None:
+            out[t] = _scaled(step @ after)
+        after = pull[t] * out[t]
+    return out, after
+
+
 def train(rows: list[tuple[str, str]]) -> Model | None:
     """Fits the field to (language, text) rows by its gradient (AdaGrad)."""
     labels = tuple(sorted({lang for lang, _ in rows}))
@@ -177,28 +232,14 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
     lengths = np.add.reduceat(sizes, np.arange(0, len(sizes), 4))
     index, belongs = _features(list(known))
     m, n = len(labels), len(known)
+    field = Field(index, belongs, ids, gold, lengths, n, m)
     weights, trans, start = np.zeros((1 << BITS, m)), np.zeros((m, m)), np.zeros(m)
     sums = [np.full_like(x, 1e-6) for x in (weights, trans, start)]
-    first = np.cumsum(lengths) - lengths
-    later = np.setdiff1d(np.arange(len(ids)), first)
-    truth = np.zeros((len(ids), m))
-    truth[np.arange(len(ids)), gold] = 1
-    pairs = np.zeros((m, m))
-    np.add.at(pairs, (gold[later - 1], gold[later]), 1)
     for _ in range(EPOCHS):
-        emit = _emissions(weights, index, belongs, n)[ids]
-        chance, ahead, pulled = forward_backward(emit, lengths, trans, start)
-        off = truth - chance
-        by_word = np.stack([np.bincount(ids, weights=off[:, j], minlength=n) for j in range(m)], axis=1)
-        step = np.exp(trans)
-        z = ((ahead[later - 1] @ step) * pulled[later]).sum(axis=1, keepdims=True)
-        expected = step * (ahead[later - 1].T @ (pulled[later] / z))
-        slopes = (
-            np.stack([np.bincount(index, weights=by_word[belongs, j], minlength=1 << BITS) for j in range(m)], axis=1) / len(ids) - DECAY * weights,
-            (pairs - expected) / len(ids) - DECAY * trans,
-            off[first].sum(axis=0) / len(first) - DECAY * start,
-        )
-        for value, total, slope in zip((weights, trans, start), sums, slopes, strict=True):
+        pull = field.gradient(weights, trans, start)
+        scales = (1 / len(ids), 1 / len(ids), 1 / len(lengths))
+        for value, total, slope, scale in zip((weights, trans, start), sums, pull, scales, strict=True):
+            slope = slope * scale - DECAY * value
             total += slope * slope
             value += RATE * slope / np.sqrt(total)
     texts = [(labels.index(lang), words_of(text)) for lang, text in rows]
@@ -208,14 +249,17 @@ def train(rows: list[tuple[str, str]]) -> Model | None:
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model from a bounded sample of the rows for which `learn` holds; None if they have no labelled word."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"), learn.alias("learn")).where("learn and text is not null and lang is not null").drop("learn")
-    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LABELS).collect()
+    langs = rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).orderBy("lang").collect()
     if not langs:
         return None
     place = F.pmod(F.xxhash64("text"), F.lit(1_000_003))
-    share = F.create_map(*(F.lit(x) for r in langs for x in (r["lang"], min(1.0, 1.5 * sample / r["n"]))))[F.col("lang")]
+    share = F.create_map(*(F.lit(x) for r in langs for x in (r["lang"], min(1.0, 1.5 * sample / max(1, r["n"])))))[F.col("lang")]
     start = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1) + 1
     chosen = rows.where(place < share * 1_000_003).select("lang", F.substring("text", start.cast("int"), F.lit(SAMPLE_CHARS)).alias("text"), F.xxhash64("text").alias("place"))
-    return train([(r["lang"], r["text"]) for r in chosen.orderBy("place", "lang", "text").limit(2 * sample * len(langs)).collect()])
+    chosen = chosen.groupBy("lang", "place").agg(F.min("text").alias("text"))  # copies count once
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= 2 * sample)
+    return train([(r["lang"], r["text"]) for r in chosen.orderBy("place", "lang").collect()])
 
 
 class _Scorer:
@@ -243,6 +287,36 @@ class _Scorer:
         return self.emit[np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))]
 
 
+def _borders(text: str) -> Iterator[tuple[int, int]]:
+    """Where the parts of a long text that hold words begin and end; none is cut within a run of letters."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + PART)
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        if words_of(text[at:end]):
+            yield at, end
+        at = end
+
+
+def _judge_long(text: str, scorer: _Scorer, model: Model) -> tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a long text: the number of words, the sum of their label probabilities and of their evidence, and the best label of each word by part."""
+    m, cuts, borders, evidence = len(model.labels), list(_borders(text)), [None], np.zeros(2)
+    for x, y in cuts:
+        got = scorer.of(words_of(text[x:y]))
+        borders.append(forward(got[:, :m], model.transitions, model.start, borders[-1])[-1])
+        evidence = evidence + (got[:, m:].sum(axis=0) if scorer.evidence else 0)
+    total, best, n, after = np.zeros(m), [], 0, None
+    for before, (x, y) in zip(borders[-2::-1], cuts[::-1], strict=True):
+        emit = scorer.of(words_of(text[x:y]))[:, :m]
+        back, after = backward(emit, model.transitions, after)
+        chance = forward(emit, model.transitions, model.start, before) * back
+        chance /= chance.sum(axis=1, keepdims=True)
+        total, n = total + chance.sum(axis=0), n + len(chance)
+        best.append(chance.argmax(axis=1).astype(np.int32))
+    return n, total, evidence, best[::-1]
+
+
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), spans: str | None = None, evidence: str | None = None) -> DataFrame:
     """docs with the predicted language and its score; spans: also a column of runs of words (first word, words, language);
     evidence: also how far a text's evidence lies above the bound (below it: negative; without words: null)."""
@@ -256,11 +330,15 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
         at = np.flatnonzero(np.diff(best, prepend=-1))
         return [{"first": int(a), "words": int(b - a), "lang": model.labels[best[a]]} for a, b in zip(at, [*at[1:], len(best)], strict=True)]
 
+    def lies_above(e: np.ndarray) -> float:
+        return float(e[0] / e[1] - model.usual + MARGIN + SHORT / np.sqrt(e[1]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()
         scorer = _Scorer(model, bool(evidence)) if model else None
         for batch in slices(batches, chars=1_000_000, column=text):
-            lists = [words_of(t) if model else [] for t in batch.column(text).to_pylist()]
+            texts = batch.column(text).to_pylist()
+            lists = [words_of(t) if model and len(t or "") <= LONG else [] for t in texts]
             lengths = np.array([len(ws) for ws in lists])
             some = np.flatnonzero(lengths)
             lang, score = [UNKNOWN] * len(lists), np.zeros(len(lists))
@@ -270,9 +348,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
                 n = lengths[some]
                 words = scorer.of([w for ws in lists for w in ws])
                 if evidence:
-                    total, grams = np.add.reduceat(words[:, -2:], np.cumsum(n) - n, axis=0).T
-                    for i, e in zip(some.tolist(), (total / grams - model.usual + MARGIN + SHORT / np.sqrt(grams)).tolist(), strict=True):
-                        above[i] = e
+                    for i, e in zip(some.tolist(), np.add.reduceat(words[:, -2:], np.cumsum(n) - n, axis=0), strict=True):
+                        above[i] = lies_above(e)
                     words = words[:, :-2]
                 chance = forward_backward(words, n, model.transitions, model.start)[0]
                 mean = np.add.reduceat(chance, np.cumsum(n) - n, axis=0) / n[:, None]
@@ -283,6 +360,13 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
                 if spans:
                     for i, part in zip(some.tolist(), np.split(chance.argmax(axis=1), np.cumsum(n)[:-1]), strict=True):
                         switched[i] = runs(part)
+            for i, t in enumerate(texts) if model else ():
+                if len(t or "") > LONG:
+                    n, total, seen, best = _judge_long(t, scorer, model)
+                    if n:
+                        lang[i], score[i] = model.labels[total.argmax()], min(1.0, total.max() / n)
+                        above[i] = lies_above(seen) if evidence else None
+                        switched[i] = runs(np.concatenate(best)) if spans else []
             columns = [*batch.columns, pa.array(lang), pa.array(score)]
             if spans:
                 columns.append(pa.array(switched, type=pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string())]))))
