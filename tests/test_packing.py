@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import packing
+from textloom.operators import packing, statistics
 
 
+# Three examples and the row that they make.
 def golden(spark):
     samples = [(0, 1, [1, 2, 3], [4, 5]), (0, 2, [6, 7], [8, 9, 10]), (0, 3, [11], [12])]
     return spark.createDataFrame(samples, "shard int, ord int, input_ids array<int>, label_ids array<int>").withColumn("n", F.size("input_ids") + F.size("label_ids"))
@@ -56,3 +57,30 @@ def test_too_large_fails(spark):
 def test_batches(spark):
     rows = spark.range(10).select(F.lit(0).alias("shard"), F.col("id").alias("pack_id"))
     assert [(r["batch_id"], r["row_in_batch"]) for r in packing.batches(rows, 4).orderBy("pack_id").collect()][-1] == (2, 1)
+
+
+def test_best_and_worst_fit_choose(spark):
+    items = spark.createDataFrame([(0, i, n) for i, n in enumerate([50, 70, 25, 40, 90, 90, 90])], "shard int, ord int, n int")
+    packs = lambda fit: [r["pack_id"] for r in packing.place(items, "n", 100, 4, fit=fit, rows=3).orderBy("ord").collect()]
+    assert packs("best")[:4] == [0, 1, 1, 0]
+    assert packs("worst")[:4] == [0, 1, 2, 2]
+    assert packs("best")[4:] == [2, 3, 4]  # none of the open rows takes the second 90: all are replaced
+
+
+def test_separator_rows(spark):
+    one = golden(spark).withColumn("n", packing.separator_cost(F.size("input_ids"), F.size("label_ids"), 2).cast("int"))
+    row = packing.dense_rows(packing.place(one, "n", 20, packing.separator_room(1, 2)), 20, separator=[77, 78]).first()
+    assert row["input_ids"] == [1, 2, 3, 77, 78, 4, 6, 7, 77, 78, 8, 9, 11, 77, 78] + [0] * 5
+    assert row["label_ids"] == [-100] * 4 + [4, 5] + [-100] * 3 + [8, 9, 10] + [-100] * 2 + [12] + [-100] * 5
+    assert row["attention_mask"] == [1] * 15 + [0] * 5
+    bare = golden(spark).limit(1).withColumn("label_ids", F.array().cast("array<int>")).withColumns({"n": F.lit(5), "shard": F.lit(0)})
+    assert packing.dense_rows(packing.place(bare, "n", 8, 2), 8, separator=[77, 78]).first()["label_ids"] == [-100] * 8
+
+
+@pytest.mark.parametrize("causal", [False, True])
+def test_attention_pairs_equal_the_condition(spark, causal):
+    rows = packing.dense_rows(packing.place(golden(spark), "n", 16, 4), 16)
+    at = rows.select(F.posexplode(F.arrays_zip("segment_ids", "attention_mask")).alias("pos", "p")).select("pos", "p.*")
+    q, k = at.alias("q"), at.alias("k")
+    sees = statistics.attends(*(F.col(f"{x}.{c}") for c in ("pos", "attention_mask", "segment_ids") for x in "qk"), causal=causal)
+    assert q.join(k, sees).count() == statistics.attention_pairs(rows, causal).first()["n_pairs"]

@@ -1,9 +1,14 @@
 """The coupled fold: leftovers, strict failures, and streams."""
 
+import time
+
+import numpy as np
+import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import config, spans
+from textloom.functions import tokens
+from textloom.operators import config, packing, spans
 from textloom.streaming import worker
 
 PLAIN = tuple(config.normalised([config.objective("next_token_prediction", 0.7, paradigm="A"), config.objective("copying", 0.3, paradigm="B")]))
@@ -48,13 +53,79 @@ def test_mixture_is_near_the_commanded_rates(spark):
     assert abs(rate["next_token_prediction"] - 0.7) < 0.12
 
 
-def test_stream_equals_fold(spark, tmp_path):
+def rows_of(frame):
+    return sorted(tuple(r) for r in frame.where("status = 'ok'").select("shard", "doc_id", "ex_seq", "objective", "pack_id", "segment", "start_off", "n_input", "n_label", "input_ids").collect())
+
+
+def in_order_written(spark, frame, folder, cuts):
+    """The texts as files of a stream, one a micro-batch, rows within a file in reverse order."""
+    n = frame.count()
+    for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, n], strict=True)):
+        frame.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)).orderBy(F.desc("doc_id")).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1 if k < len(cuts) else 0)  # files are read by age, in seconds
+    return spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@pytest.mark.parametrize("cuts", [[11], [5, 17]])
+def test_stream_equals_fold_however_it_is_cut(spark, tmp_path, cuts):
     frame = texts(spark, [f"{i} " * (i + 5) for i in range(30)])
-    frame.write.parquet(str(tmp_path / "in"))
-    stream = worker.stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), worker.Run(PLAIN, 128, 16))
-    query = stream.writeStream.format("memory").queryName("placed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run = worker.Run(PLAIN, 128, 16)
+    coming = in_order_written(spark, frame, str(tmp_path / "in"), cuts)
+    name = f"placed{len(cuts)}"
+    query = worker.stream(coming, run).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert spark.table("placed").agg(F.sum("n_label")).first()[0] == worker.fold(frame, worker.Run(PLAIN, 128, 16)).agg(F.sum("n_label")).first()[0]
+    assert rows_of(spark.table(name)) == rows_of(worker.fold(frame, run))
+
+
+def test_mixtures_change_between_micro_batches(spark, tmp_path):
+    frame = texts(spark, [f"{i} " * 40 for i in range(40)])
+    run, folder = worker.Run(PLAIN, 128, 16), str(tmp_path / "out")
+    with pytest.raises(Exception):
+        worker.mixture_at(spark, folder, 0)
+    worker.publish_mixture(spark, folder, list(PLAIN), 1, 0)
+    coming = in_order_written(spark, frame, str(tmp_path / "in"), [20])
+    worker.publish_mixture(spark, folder, [config.objective("copying", 0.9, paradigm="B"), config.objective("next_token_prediction", 0.1, paradigm="A")], 2, 1)
+    query = worker.stream_with_mixtures(coming, run, folder).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    got = spark.read.option("basePath", f"{folder}/placed").parquet(f"{folder}/placed")
+    ok = got.where("status = 'ok'")
+    share = {r["mixture"]: r["share"] for r in ok.groupBy("mixture").agg(F.avg((F.col("objective") == "copying").cast("double")).alias("share")).collect()}
+    assert abs(share[1] - 0.3) < 0.12 and abs(share[2] - 0.9) < 0.12
+    assert {(r["batch"], r["mixture"]) for r in got.select("batch", "mixture").distinct().collect()} == {(0, 1), (1, 2)}
+    assert ok.select("ex_seq").distinct().count() == ok.count()  # the second goes on where the first stopped
+    assert {r["doc_id"] for r in ok.collect()} == set(range(40)) and ok.groupBy("pack_id").agg(F.sum(F.col("n_input") + F.col("n_label")).alias("n")).where("n > 128").count() == 0
+
+
+TOK = tokens.BytePairs(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+
+
+def test_any_tokenizer(spark):
+    text = "The quick brown fox jumps over the lazy dog. 你好 " * 60
+    for entry in config.normalised(config.uniform_mixture()):
+        got = spans.one_example(text, entry, "k", tok=TOK)
+        assert got["status"] == "ok" and len(got["input_ids"]) + len(got["label_ids"]) <= 1024
+        assert TOK.decode(got["input_ids"]).startswith(entry.prompt) and got["unused_text"] == TOK.decode(TOK.encode(text)[got["original_length"] :])
+    made = worker.fold(texts(spark, [text, "short"]), worker.Run(PLAIN, 256, 16, tok=TOK)).collect()
+    assert sum(r["n_label"] for r in made if r["doc_id"] == 0) == len(TOK.encode(text))
+    assert "".join(TOK.decode(r["label_ids"]) for r in sorted(made, key=lambda r: r["ex_seq"]) if r["doc_id"] == 0) == text
+
+
+def test_objectives_of_the_user(spark):
+    config.register("reversing", lambda ids, options, prompt, tok, rng: ([*prompt, *ids[: options["most"]]], ids[: options["most"]][::-1], options["most"]) if ids else None, paradigm="<", most=5)
+    entries = tuple(config.normalised([config.objective("reversing", 1.0, most=7), config.objective("reversing", 1.0)]))
+    got = worker.fold(texts(spark, ["abcdefghijkl" * 3]), worker.Run(entries, 64, 4)).orderBy("ex_seq").collect()
+    assert {r["n_label"] for r in got} >= {5, 7} and sum(r["n_label"] for r in got) == 36
+    assert tokens.Characters().decode(got[0]["label_ids"]) == "abcdefghijkl"[: got[0]["n_label"]][::-1]
+    with pytest.raises(ValueError):
+        config.register("infilling", print)
+    assert entries[0].nickname != entries[1].nickname
+
+
+def test_batches_of_rows(spark):
+    rows = spark.range(10).select(F.lit(0).alias("shard"), F.col("id").alias("pack_id"), *(F.array(F.col("id").cast("int"), F.lit(1)).alias(c) for c in ("input_ids", "label_ids", "segment_ids", "attention_mask")))
+    found = list(worker.batches_of(packing.batches(rows, 4)))
+    assert [len(b["input_ids"]) for b in found] == [4, 4, 2] and found[1]["input_ids"][0].tolist() == [4, 1]
+    assert len(list(worker.batches_of(packing.batches(rows, 4), 2))) == 2
 
 
 def test_walks_keep_their_promises():
@@ -67,7 +138,7 @@ def test_walks_keep_their_promises():
                 assert got == spans.one_example(text, config.objective(name, rng_seed=seed), "k", exact)
                 assert len(got["input_ids"]) + len(got["label_ids"]) <= 1024
                 if name == "autoencoding":
-                    assert got["label_ids"] == spans.ids_of(text[: got["original_length"]])
+                    assert got["label_ids"] == tokens.Characters().encode(text[: got["original_length"]])
                 if name == "deshuffling":
                     assert sorted(got["label_ids"]) == sorted(got["input_ids"][len("<|DESHUFFLE|>") :])
     assert spans.one_example("short", config.objective("selective_copying"), "k")["status"] == "fail"
@@ -78,3 +149,27 @@ def test_presets():
     assert [len(m()) for m in (config.uniform_mixture, config.denoiser_mixture, config.character_denoiser_mixture, config.decoder_mixture, config.light_mixture, config.small_mixture)] == [8, 7, 7, 4, 15, 2]
     assert abs(sum(e.prob for e in config.normalised(config.light_mixture())) - 1) < 1e-9
     assert config.objective("infilling", paradigm_token="[R]").dropped == ["paradigm_token"]
+
+
+def test_exact_selective_copying_draws_the_rate_first():
+    """One round of the walk, drawn by hand: length, rate, chance, and the two lengths around the passage."""
+    rng, text = np.random.default_rng(5), "abcdefghij" * 30
+    options = config.objective("selective_copying", rng_seed=5, shuffle=False).options
+    at, passages = 8, []
+    while at <= len(text) - 8 - 2 and len(passages) < 3:
+        span = max(2, min(int(np.clip(rng.poisson(8), 2, 24)), len(text) - 8 - at))
+        rate = rng.uniform(0.25, 0.95)
+        if rng.uniform() >= rate:
+            at += int(rng.integers(1, 3))
+            continue
+        rng.integers(8, max(8, min(at, 64)) + 1)
+        rng.integers(8, max(8, min(len(text) - at - span, 64)) + 1)
+        passages.append(text[at : at + span])
+        at += span
+        break
+    got = spans.one_example(text, config.objective("selective_copying", rng_seed=5, shuffle=False), "k", exact=True)
+    answers = tokens.Characters().decode(got["label_ids"])
+    assert options["tokens_per_mask"] == 8
+    if got["attempts"] == 1:
+        behind = answers.removeprefix("[res 0]\n")
+        assert behind.startswith(passages[0])

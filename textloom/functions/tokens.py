@@ -1,7 +1,12 @@
-"""Character tokens as column expressions: a token is a character's code point plus OFFSET; ids below OFFSET are special."""
+"""Tokens. Characters are column expressions: a token is a code point plus OFFSET; ids below OFFSET are special. Other vocabularies are
+objects with `encode` and `decode`, which tasks use in Arrow batches."""
 
 from __future__ import annotations
 
+import base64
+from dataclasses import dataclass
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,3 +58,48 @@ def check(text: Column, room: int, min_room: int, min_length: int, max_length: i
 def not_blank(text: Column) -> Column:
     """Whether a text has a character that isn't white space."""
     return F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+
+
+@dataclass(frozen=True)
+class Characters:
+    """The character tokens, for tasks."""
+
+    def encode(self, text: str) -> list[int]:
+        return [ord(c) + OFFSET for c in text]
+
+    def decode(self, ids: list[int]) -> str:
+        return "".join(chr(i - OFFSET) for i in ids if i >= OFFSET)
+
+    def whole(self, ids: list[int], at: int) -> int:
+        """The last place up to `at` where no character is cut."""
+        return at
+
+
+@lru_cache(maxsize=4)
+def _ranked(path: str, pattern: str):
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("ranked", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+@dataclass(frozen=True)
+class BytePairs:
+    """A byte-level vocabulary from a rank file that every executor has; OFFSET ids stay free for special ones. A task reads it once."""
+
+    path: str
+    pattern: str
+
+    def encode(self, text: str) -> list[int]:
+        return [i + OFFSET for i in _ranked(self.path, self.pattern).encode_ordinary(text)]
+
+    def decode(self, ids: list[int]) -> str:
+        return _ranked(self.path, self.pattern).decode([i - OFFSET for i in ids if i >= OFFSET])
+
+    def whole(self, ids: list[int], at: int) -> int:
+        """The last place up to `at` where no character is cut: no token from there on begins within one."""
+        coder = _ranked(self.path, self.pattern)
+        while 0 < at < len(ids) and coder.decode_single_token_bytes(ids[at] - OFFSET)[0] & 0xC0 == 0x80:
+            at -= 1
+        return at

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field, fields, replace
+from collections.abc import Callable
+from dataclasses import dataclass, field, fields, replace
 
 # Names of objectives with their options and defaults.
 OPTIONS: dict[str, dict[str, object]] = {
@@ -24,6 +25,18 @@ OPTIONS: dict[str, dict[str, object]] = {
 COMMON = {"remaining_space": 1024, "minimum_remaining_space": 0, "minimum_sequence_length": -1, "maximum_sequence_length": -1, "rng_seed": 0}
 
 
+#: Objectives of the user: options, and the function that makes an example (see `register`).
+REGISTERED: dict[str, tuple[dict[str, object], Callable]] = {}
+
+
+def register(name: str, make: Callable, **options: object) -> None:
+    """Adds an objective. make(ids, options, prompt_ids, tokenizer, rng) gets a text's ids, and returns (input_ids, label_ids, ids used), or None
+    if it can't use the text; the prompt is the option paradigm. It travels with the entries, so executors need not know it."""
+    if name in OPTIONS:
+        raise ValueError(f"{name} is an objective already")
+    REGISTERED[name] = ({"paradigm": "", **options}, make)
+
+
 def prompt_of(name: str, options: dict[str, object]) -> str:
     return str(next(options[k] for k in ("paradigm", "paradigm_str", "paradigm_prompt") if k in options))
 
@@ -35,10 +48,13 @@ class Objective:
     name: str
     prob: float = 1.0
     overrides: tuple[tuple[str, object], ...] = field(default=())
+    #: Of an objective of the user: its function and default options.
+    make: Callable | None = field(default=None, compare=False, repr=False)
+    defaults: tuple[tuple[str, object], ...] = field(default=(), repr=False)
 
     def __post_init__(self) -> None:
-        if self.name not in OPTIONS:
-            raise ValueError(f"unknown objective {self.name!r}; there are {', '.join(OPTIONS)}")
+        if self.name not in OPTIONS and self.make is None:
+            raise ValueError(f"unknown objective {self.name!r}; there are {', '.join([*OPTIONS, *REGISTERED])}")
         rate = self.options["corruption_rate"] if "corruption_rate" in self.options else 0
         if not 0 <= float(rate) <= 1:
             raise ValueError("corruption_rate lies between 0 and 1")
@@ -49,12 +65,16 @@ class Objective:
     @property
     def options(self) -> dict[str, object]:
         """Defaults with this entry's overrides; overrides that the objective doesn't have take no effect."""
-        known = OPTIONS[self.name] | COMMON
+        known = self._known
         return known | {k: v for k, v in self.overrides if k in known}
 
     @property
     def dropped(self) -> list[str]:
-        return [k for k, _ in self.overrides if k not in OPTIONS[self.name] | COMMON]
+        return [k for k, _ in self.overrides if k not in self._known]
+
+    @property
+    def _known(self) -> dict[str, object]:
+        return (dict(self.defaults) if self.make else OPTIONS[self.name]) | COMMON
 
     @property
     def prompt(self) -> str:
@@ -62,7 +82,7 @@ class Objective:
 
     @property
     def hash_str(self) -> str:
-        return hashlib.sha256(json.dumps(asdict(self), sort_keys=True, default=str).encode()).hexdigest()[:8]
+        return hashlib.sha256(json.dumps({"name": self.name, "prob": self.prob, "overrides": self.overrides}, sort_keys=True, default=str).encode()).hexdigest()[:8]
 
     @property
     def nickname(self) -> str:
@@ -72,7 +92,8 @@ class Objective:
 def objective(name: str, prob: float = 1.0, **overrides: object) -> Objective:
     """An entry; options are given flat or as config_overrides, which win."""
     nested = overrides.pop("config_overrides", {})
-    return Objective(name, prob, tuple(sorted({**overrides, **nested}.items())))
+    defaults, make = REGISTERED.get(name, ({}, None))
+    return Objective(name, prob, tuple(sorted({**overrides, **nested}.items())), make, tuple(defaults.items()))
 
 
 def normalised(entries: list[Objective]) -> list[Objective]:

@@ -75,14 +75,38 @@ def with_ids(examples: DataFrame) -> DataFrame:
 
 def chunks(df: DataFrame, entry: Objective, text: str = "text") -> DataFrame:
     """All examples of each text: what one example leaves over is the next one's text. One row per chunk of equal size."""
-    room, p = int(entry.options["remaining_space"]), len(entry.prompt)
-    size = (room - p) // 2 if entry.name in ("next_token_prediction", "copying") else room - p
+    size = capacity(entry)
     if size < 1:
         raise ValueError("the budget leaves no room for text")
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0)))
     return df.where(F.length(text) > 0).withColumn("chunk_idx", F.explode(starts)).withColumn("chunk", F.substring(F.col(text), F.col("chunk_idx") * size + 1, F.lit(size)))
 
 
+def capacity(entry: Objective) -> int:
+    """The characters of text that one example of a plain objective takes at most."""
+    room, p = int(entry.options["remaining_space"]), len(entry.prompt)
+    if entry.name in ("next_token_prediction", "copying"):
+        return (room - p) // 2
+    return int((room // 2) * 0.90 - p) if entry.name == "deshuffling" else room - p
+
+
+def used_up(df: DataFrame, entries: list[Objective], *keys: str, text: str = "text", seed: int = 0) -> DataFrame:
+    """Every text in pieces that each entry can take whole, so that nothing of it is left over: df with chunk_idx, the piece in the place
+    of the text, and obj_idx drawn for each piece by the keys and chunk_idx. A piece that is too short for the prefix objective, which
+    needs two characters, goes to the first other entry."""
+    size = min(map(capacity, entries))
+    if size < 1:
+        raise ValueError("the budget leaves no room for text")
+    starts = F.sequence(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1)
+    cut = df.where(F.length(text) > 0).withColumn("chunk_idx", F.explode(starts)).withColumn(text, F.substring(F.col(text), F.col("chunk_idx") * size + 1, F.lit(size)))
+    drawn = choose(cut, entries, *keys, "chunk_idx", seed=seed)
+    pairs = [i for i, e in enumerate(entries) if e.name == "prefix_language_modeling"]
+    others = [i for i in range(len(entries)) if i not in pairs]
+    if not pairs or not others:
+        return drawn
+    return drawn.withColumn("obj_idx", F.when((F.length(text) < 2) & F.col("obj_idx").isin(pairs), others[0]).otherwise(F.col("obj_idx")))
+
+
 def choose(df: DataFrame, entries: list[Objective], *keys: str, seed: int = 0) -> DataFrame:
     """df with obj_idx: the entry that a weighted draw gives each row, a function of the seed and the keys."""
     u, total, pick = uniform(seed, *(F.col(k) for k in keys)), 0.0, F.lit(len(entries) - 1)

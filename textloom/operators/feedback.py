@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions.hashrand import pareto, uniform
+from textloom.functions.hashrand import draw, pareto, uniform
 
 #: Scale and shape of the candidates' Pareto draws, candidates of each kind, how many of the best are averaged,
 #: history that a fit sees, steps of the explore table.
@@ -37,10 +38,11 @@ def reward(old: Column, new: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(raw, F.lit(0.0)), F.lit(0.0))))
 
 
-def rewards(losses: DataFrame, partition: str = "obj_key", step: str = "step", loss: str = "loss") -> DataFrame:
-    """The reward of every step after the first, per objective."""
+def rewards(losses: DataFrame, partition: str = "obj_key", step: str = "step", loss: str = "loss", reward_of: Callable[[Column, Column], Column] = reward) -> DataFrame:
+    """The reward of every step after the first, per objective; the first evaluation is what the second is held against. reward_of: from old
+    and new loss, as columns."""
     old = F.lag(loss).over(Window.partitionBy(partition).orderBy(step))
-    return losses.withColumn("old_loss", old).where("old_loss is not null").withColumn("reward", reward(F.col("old_loss"), F.col(loss)))
+    return losses.withColumn("old_loss", old).where("old_loss is not null").withColumn("reward", reward_of(F.col("old_loss"), F.col(loss)))
 
 
 def cosine_decay(step: Column, total: int, low: float, high: float, warmup: int = 0, decay: float = 1.0, cook: int = 0, cook_value: float = 1.0) -> Column:
@@ -145,6 +147,37 @@ def next_mixture(losses: DataFrame, predictor: RidgePredictor, actions: DataFram
     return chosen.select("obj_idx", F.round(scaled(F.col("action"), F.col("loss")), 4).alias("prob"), F.round("loss", 4).alias("loss"))
 
 
-def due(step: int, every: int, last: int | None) -> bool:
-    """Whether a step evaluates: a multiple of `every` that hasn't been rewarded yet."""
-    return step % every == 0 and step != last
+def due(step: Column, every: int, last: Column) -> Column:
+    """Whether a step evaluates: a multiple of `every` that hasn't been rewarded yet (null: none has)."""
+    return (step % every == 0) & ~step.eqNullSafe(last)
+
+
+def remap(x: Column, in_min: Column, in_max: Column, out_min: float, out_max: float) -> Column:
+    """x, from [in_min, in_max] to [out_min, out_max] in a line."""
+    return F.lit(out_min) + (x - in_min) / (in_max - in_min + 1e-8) * (out_max - out_min)
+
+
+def stretched(x: Column, low: float, high: float, *over: str) -> Column:
+    """Numbers remapped from their own least and largest within `over` to [low, high]."""
+    window = Window.partitionBy(*over)
+    return remap(x, F.min(x).over(window), F.max(x).over(window), low, high)
+
+
+def update_and_sample(spark: SparkSession, losses: DataFrame, actions: DataFrame, classes: DataFrame, step: int, rate: float, predictor: RidgePredictor | None = None, seed: int = 0, reward_of: Callable[[Column, Column], Column] = reward, n: int = CANDIDATES) -> DataFrame:
+    """One turn of the loop: obj_idx, prob, explored. losses(step, obj_idx, loss) are the evaluations so far, actions(step, obj_idx, action) the
+    mixtures that led to them, classes(obj_idx, class_id, weight). At `rate`, or before a second evaluation, the turn explores; else the
+    predictor learns from all rewards and the best candidates give the mixture."""
+    seen = losses.agg(F.count_distinct("step"), F.max("step")).first()
+    if seen[0] < 2 or draw(f"{seed}:explore:{step}") < rate:
+        tried = explore_action(classes, seed, step)
+        return tried.select("obj_idx", F.round(F.col("action") / F.sum("action").over(Window.partitionBy()), 4).alias("prob"), F.lit(True).alias("explored"))
+    history = rewards(losses, "obj_idx", reward_of=reward_of).join(actions, ["step", "obj_idx"]).select("step", "obj_idx", "old_loss", "action", "reward")
+    now = losses.where(F.col("step") == seen[1]).select("obj_idx", "loss")
+    fitted = (predictor or RidgePredictor()).fit(history)
+    made = next_mixture(now, fitted, candidates(spark, now, n, seed, actions.where(F.col("step") == seen[1]).select("obj_idx", "action")), classes)
+    return made.select("obj_idx", "prob", F.lit(False).alias("explored"))
+
+
+def status_json(objectives: DataFrame, *columns: str) -> DataFrame:
+    """objectives with `status`, the given columns as one JSON object; nulls are left out."""
+    return objectives.withColumn("status", F.to_json(F.struct(*columns)))

@@ -100,10 +100,26 @@ def segment_arrays(input_ids: Column, label_ids: Column, segment: Column, start_
     }
 
 
-def dense_rows(placed: DataFrame, length: int = 1024, start_id: int = START_ID) -> DataFrame:
-    """Packed rows as arrays of `length`. A group is one row, at most `length` tokens."""
+def separator_arrays(input_ids: Column, label_ids: Column, separator: list[int], segment: Column) -> dict[str, Column]:
+    """An example whose labels follow a separator of several tokens, from the last of them on; all marks are 1, and labels may be missing."""
+    n, m, p = F.size(input_ids), F.size(label_ids), len(separator)
+    between = F.array(*(F.lit(t) for t in separator)).cast("array<int>")
+    slots = separator_cost(n, m, p).cast("int")
+    return {
+        "input_ids": F.concat(input_ids, between, F.slice(label_ids, F.lit(1), F.greatest(m - 1, F.lit(0)))),
+        "label_ids": F.concat(F.array_repeat(F.lit(IGNORE), slots - m), label_ids),
+        "segment_ids": F.array_repeat(segment.cast("int"), slots),
+        "attention_mask": F.array_repeat(F.lit(MASK_INPUT), slots),
+    }
+
+
+def dense_rows(placed: DataFrame, length: int = 1024, start_id: int = START_ID, separator: list[int] | None = None) -> DataFrame:
+    """Packed rows as arrays of `length`; separator: the tokens before labels, if not the start token alone. A group is one row, at most
+    `length` tokens."""
     names = ("input_ids", "label_ids", "segment_ids", "attention_mask")
-    parts = placed.select("shard", "pack_id", "segment", F.struct(*(c.alias(k) for k, c in segment_arrays(F.col("input_ids"), F.col("label_ids"), F.col("segment"), start_id).items())).alias("part"))
+    given = F.col("input_ids"), F.col("label_ids")
+    arrays = separator_arrays(*given, separator, F.col("segment")) if separator else segment_arrays(*given, F.col("segment"), start_id)
+    parts = placed.select("shard", "pack_id", "segment", F.struct(*(c.alias(k) for k, c in arrays.items())).alias("part"))
     rows = parts.groupBy("shard", "pack_id").agg(F.array_sort(F.collect_list(F.struct("segment", "part"))).alias("parts"))
     flat = {k: F.flatten(F.col("parts.part").getField(k)) for k in names}
     pad = {"input_ids": 0, "label_ids": IGNORE, "segment_ids": 0, "attention_mask": 0}
@@ -128,6 +144,11 @@ def latent_arrays(input_ids: Column, label_ids: Column, latents: int, latent_id:
     }
 
 
+def separator_room(min_room: int, separator: int) -> int:
+    """The room at which a row of examples with separators closes: min_room, or too little for a separator and a token."""
+    return max(min_room, separator)
+
+
 def separator_cost(n: Column, m: Column, separator: int) -> Column:
     """Slots of an example whose labels follow a separator of several tokens; labels may be missing."""
     return F.when(m > 0, n + separator + m - 1).otherwise(n + separator)

@@ -1,4 +1,5 @@
-"""Objectives that walk a text and cut spans out of it: infilling, autoencoding, selective copying, and shuffling with drawn numbers.
+"""Examples made text by text, over any tokenizer: the objectives that walk a text and cut spans out of it (infilling, autoencoding,
+selective copying), shuffling with drawn numbers, those of the user, and the plain ones where tokens are not characters.
 
 Each example is a function of its text, options and random numbers. `exact` takes seeded NumPy generators, `hashed` takes
 numbers from hashes of (seed, key, attempt, step), which SQL can draw as well. Spark deals the rows; a walk holds one text.
@@ -7,6 +8,7 @@ numbers from hashes of (seed, key, attempt, step), which SQL can draw as well. S
 from __future__ import annotations
 
 import gc
+import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from textloom.functions.hashrand import draw, poisson_table
-from textloom.functions.tokens import OFFSET
+from textloom.functions.tokens import Characters
 from textloom.operators.config import Objective
 
 EXAMPLE = T.StructType(
@@ -26,10 +28,7 @@ EXAMPLE = T.StructType(
 )
 #: Room that the budgets of both walks leave free.
 SLACK = 16
-
-
-def ids_of(text: str) -> list[int]:
-    return [ord(c) + OFFSET for c in text]
+CHARACTERS = Characters()
 
 
 class Hashed:
@@ -43,10 +42,11 @@ class Hashed:
 
     def three(self, low: float, high: float, mean: float) -> tuple[float, int, float]:
         """A rate, a Poisson length and a uniform number."""
-        at = f"{self.key}:{self.attempt}:{self.step}"
+        digest = hashlib.md5(f"{self.key}:{self.attempt}:{self.step}".encode()).hexdigest()
         self.step += 1
         table = self.tables.setdefault(mean, poisson_table(mean))
-        return low + (high - low) * draw(f"{at}:0"), bisect_right(table, draw(f"{at}:1")), draw(f"{at}:2")
+        first, second, third = (int(digest[8 * i : 8 * i + 8], 16) / 4294967296.0 for i in range(3))
+        return low + (high - low) * first, bisect_right(table, second), third
 
 
 class Exact:
@@ -62,55 +62,78 @@ class Exact:
         return self.rng.uniform(low, high), int(self.rng.poisson(mean)), self.rng.uniform(0.0, 1.0)
 
 
-def _walk(text: str, options: dict, prompt: str, source, keep_prefix: bool) -> dict:
+def _plain(units: list[int], entry: Objective, prompt: list[int], tok) -> dict:
+    """Next token prediction, copying and prefix language modelling. What is used ends between characters, so nothing of them is lost."""
+    room, p = int(entry.options["remaining_space"]), len(prompt)
+    if entry.name == "prefix_language_modeling":
+        used = units[: tok.whole(units, max(0, room - p))]
+        m = len(used)
+        if m < 2:
+            return _nothing(units, tok)
+        k = max(1, min(int(m * float(entry.options["prefix_fraction"])), m - 1))
+        return _made(prompt + used[:k], used[k:], units[m:], tok, original_length=m, attempts=1)
+    used = units[: tok.whole(units, max(0, (room - p) // 2))]
+    return _made(prompt + used, used, units[len(used) :], tok, original_length=len(used), attempts=1)
+
+
+def _made(inputs: list[int], labels: list[int], rest: list[int], tok, **figures) -> dict:
+    return {"status": "ok", "input_ids": inputs, "label_ids": labels, "unused_text": tok.decode(rest), "masked_count": None, "original_length": None, "spans": None, "attempts": None} | figures
+
+
+def _nothing(units: list[int], tok, attempts: int = 0) -> dict:
+    return {"status": "fail", "input_ids": [], "label_ids": [], "unused_text": tok.decode(units), "masked_count": 0, "original_length": 0, "spans": 0, "attempts": attempts}
+
+
+def _walk(units: list[int], options: dict, prompt: list[int], source, keep_prefix: bool, tok) -> dict:
     """Infilling, and with keep_prefix autoencoding (whose label is the text itself up to the furthest consumed token)."""
     room, p, rate = int(options["remaining_space"]), len(prompt), float(options["corruption_rate"])
     mean = float(options["tokens_per_mask"] if keep_prefix else options["mean_tokens_per_span"])
     low, high = max(0.0, rate * 0.5), min(0.95, 2 * rate)
     shortest, longest = (max(1, int(mean) // 3), max(1, 3 * int(mean))) if keep_prefix else (max(1.0, mean / 3), max(1.0, 3 * mean))
-    end = len(options["paradigm_end"])
-    limit = min(len(text), room - p - SLACK)
-    failed = {"status": "fail", "input_ids": [], "label_ids": [], "unused_text": text, "masked_count": 0, "original_length": 0, "spans": 0, "attempts": 0}
+    end = tok.encode(str(options["paradigm_end"]))
+    limit = min(len(units), room - p - SLACK)
     if limit <= 0:
-        return failed
+        return _nothing(units, tok)
     most = 1 << 31 if keep_prefix else int(options["max_mask_spans"])
+    holes: list[list[int]] = []
     for attempt in range(int(options["max_attempts"])):
         source.begin(attempt)
-        inp, lab, at, spans, masked = [prompt], [], 0, 0, 0
-        n_in, n_lab = p, 0
-        while at < limit and spans < most and n_in + n_lab + end < room:
+        inp, lab, at, spans, masked = [*prompt], [], 0, 0, 0
+        n_lab = 0
+        while at < limit and spans < most and len(inp) + n_lab + len(end) < room:
             chance, drawn, u = source.three(low, high, mean)
             span = int(max(1, min(max(shortest, min(drawn, longest)), limit - at)))
-            hole = f"{options['mask_prefix']}{spans}{options['mask_suffix']}"
+            if spans == len(holes):
+                holes.append(tok.encode(f"{options['mask_prefix']}{spans}{options['mask_suffix']}"))
+            hole = holes[spans]
             added = span if keep_prefix else len(hole) + span
-            if u < chance / span and limit - at >= span and n_in + len(hole) + n_lab + added + end <= room:
-                inp.append(hole)
-                n_in += len(hole)
+            if u < chance / span and limit - at >= span and len(inp) + len(hole) + n_lab + added + len(end) <= room:
+                inp += hole
                 if not keep_prefix:
-                    lab += [hole, text[at : at + span]]
+                    lab += hole + units[at : at + span]
                 n_lab, at, spans, masked = n_lab + added, at + span, spans + 1, masked + span
-            elif n_in + 1 + n_lab + (1 if keep_prefix else 0) + end <= room:
-                inp.append(text[at])
-                n_in, n_lab, at = n_in + 1, n_lab + (1 if keep_prefix else 0), at + 1
+            elif len(inp) + 1 + n_lab + (1 if keep_prefix else 0) + len(end) <= room:
+                inp.append(units[at])
+                n_lab, at = n_lab + (1 if keep_prefix else 0), at + 1
             else:
                 break
         if spans:
-            label = text[:at] if keep_prefix else "".join(lab)
-            if n_in + len(label) + end <= room:
-                label += options["paradigm_end"]
-            return {"status": "ok", "input_ids": ids_of("".join(inp)), "label_ids": ids_of(label), "unused_text": text[at:], "masked_count": masked, "original_length": at, "spans": spans, "attempts": attempt + 1}
-    return failed | {"attempts": int(options["max_attempts"])}
+            label = units[:at] if keep_prefix else lab
+            if len(inp) + len(label) + len(end) <= room:
+                label = label + end
+            return _made(inp, label, units[at:], tok, masked_count=masked, original_length=at, spans=spans, attempts=attempt + 1)
+    return _nothing(units, tok, int(options["max_attempts"]))
 
 
-def _shuffled(text: str, options: dict, prompt: str, rng: np.random.Generator) -> dict:
+def _shuffled(units: list[int], options: dict, prompt: list[int], rng: np.random.Generator, tok) -> dict:
     room = int(options["remaining_space"])
-    used = text[: max(0, int((room // 2) * 0.90 - len(prompt)))]
-    chars = np.array(list(used), dtype=object)
-    chosen = rng.choice(len(chars), int(len(chars) * float(options["percentage_to_shuffle"])), replace=False) if len(chars) else []
-    chars[chosen] = rng.permutation(chars[chosen])
-    inputs, labels = ids_of(prompt + "".join(chars)), ids_of(used)
-    fits = len(inputs) + len(labels) <= room
-    return {"status": "ok" if fits else "error", "input_ids": inputs if fits else [], "label_ids": labels if fits else [], "unused_text": text[len(used) :], "masked_count": None, "original_length": len(used), "spans": None, "attempts": 1}
+    used = units[: tok.whole(units, max(0, int((room // 2) * 0.90 - len(prompt))))]
+    mixed = np.array(used, dtype=np.int64)
+    chosen = rng.choice(len(mixed), int(len(mixed) * float(options["percentage_to_shuffle"])), replace=False) if len(mixed) else []
+    mixed[chosen] = rng.permutation(mixed[chosen])
+    if len(prompt) + 2 * len(used) > room:
+        return _made([], [], units[len(used) :], tok, original_length=len(used), attempts=1) | {"status": "error"}
+    return _made(prompt + mixed.tolist(), used, units[len(used) :], tok, original_length=len(used), attempts=1)
 
 
 # The texts around queries, answers and the context of selective copying.
@@ -120,24 +143,26 @@ CONTEXT, CONTEXT_END, DONE = "\n\n[ctx]\n", "\n[/ctx]", "\n\n[done]"
 OVERHEAD_SLACK = 38
 
 
-def _copied(text: str, options: dict, prompt: str, rng: np.random.Generator) -> dict:
+def _copied(units: list[int], options: dict, prompt: list[int], rng: np.random.Generator, tok) -> dict:
     """Questions by the text around a passage, answered by the passage. `spans` counts the questions."""
     room, mean = int(options["remaining_space"]), int(options["tokens_per_mask"])
     least, most = max(1, mean // 3), max(1, 3 * mean)
     rate = float(options["corruption_rate"])
     low, high = rate * 0.5, min(0.95, 2 * rate)
     pre, pre_most, suf, suf_most = (int(options[f"{a}_delimiter_{b}_length"]) for b in ("prefix", "suffix") for a in ("min", "max"))
-    fixed = len(prompt) + len(CONTEXT) + len(CONTEXT_END) + len(DONE) + OVERHEAD_SLACK
-    reach = min(len(text), room - fixed)
-    failed = {"status": "fail", "input_ids": [], "label_ids": [], "unused_text": text, "masked_count": 0, "original_length": 0, "spans": 0, "attempts": 0}
+    context, context_end, done, end = (tok.encode(t) for t in (CONTEXT, CONTEXT_END, DONE, str(options["paradigm_end"])))
+    around: list[tuple[list[int], ...]] = []  # of the k-th question: before it, between its ends, behind it, before the answer
+    fixed = len(prompt) + len(context) + len(context_end) + len(done) + OVERHEAD_SLACK
+    reach = min(len(units), room - fixed)
     if reach < pre + least + suf:
-        return failed
+        return _nothing(units, tok)
     floor = int(options["min_context_content_length"])
     for attempt in range(int(options["max_attempts"])):
         at, cost, found = pre, 0, []
         while at <= reach - suf - least:
             span = max(least, min(int(np.clip(rng.poisson(mean), least, most)), reach - suf - at))
-            if rng.uniform(0, 1) >= rng.uniform(low, high):
+            chance = rng.uniform(low, high)
+            if rng.uniform() >= chance:
                 at += int(rng.integers(1, least + 1))
                 continue
             before = int(rng.integers(pre, max(pre, min(at, pre_most)) + 1))
@@ -147,44 +172,53 @@ def _copied(text: str, options: dict, prompt: str, rng: np.random.Generator) ->
                 continue
             behind = int(rng.integers(suf, max(suf, min(left, suf_most)) + 1))
             k = len(found)
-            extra = sum(map(len, (QUERY.format(k), BETWEEN, QUERY_END.format(k), ANSWER.format(k)))) + before + behind + span
+            if k == len(around):
+                around.append(tuple(tok.encode(t) for t in (QUERY.format(k), BETWEEN, QUERY_END.format(k), ANSWER.format(k))))
+            extra = sum(map(len, around[k])) + before + behind + span
             if fixed + floor + cost + extra > room:
                 break
             cost += extra
-            found.append((text[at - before : at], text[at : at + span], text[at + span : at + span + behind]))
+            found.append((units[at - before : at], units[at : at + span], units[at + span : at + span + behind]))
             at += span + behind + int(rng.integers(1, max(1, pre // 2) + 1))
         if not found:
             continue
         order = rng.permutation(len(found)) if options["shuffle"] else range(len(found))
-        queries = "".join(QUERY.format(i) + found[j][0] + BETWEEN + found[j][2] + QUERY_END.format(i) for i, j in enumerate(order))
-        answers = "".join((ANSWER.format(i) if i else FIRST_ANSWER) + found[j][1] for i, j in enumerate(order)) + DONE + options["paradigm_end"]
-        shown = min(reach, room - len(prompt) - len(queries) - len(answers) - len(CONTEXT) - len(CONTEXT_END))
+        first = tok.encode(FIRST_ANSWER)
+        queries = [t for i, j in enumerate(order) for part in (around[i][0], found[j][0], around[i][1], found[j][2], around[i][2]) for t in part]
+        answers = [t for i, j in enumerate(order) for part in (around[i][3] if i else first, found[j][1]) for t in part] + done + end
+        shown = min(reach, room - len(prompt) - len(queries) - len(answers) - len(context) - len(context_end))
         if shown < floor:
             continue
-        context = CONTEXT + text[:shown] + CONTEXT_END
-        body = queries + context if options["format_style"] == "query_context" else context + queries
-        masked = sum(len(f[1]) for f in found)
-        return {"status": "ok", "input_ids": ids_of(prompt + body), "label_ids": ids_of(answers), "unused_text": text[shown:], "masked_count": masked, "original_length": shown, "spans": len(found), "attempts": attempt + 1}
-    return failed | {"attempts": int(options["max_attempts"])}
+        body = context + units[:shown] + context_end
+        body = queries + body if options["format_style"] == "query_context" else body + queries
+        return _made(prompt + body, answers, units[shown:], tok, masked_count=sum(len(f[1]) for f in found), original_length=shown, spans=len(found), attempts=attempt + 1)
+    return _nothing(units, tok, int(options["max_attempts"]))
 
 
-def one_example(text: str, entry: Objective, key: str, exact: bool = False) -> dict:
-    """The example of one text. key: what hashed draws, or the seed of exact ones, follow from."""
+def one_example(text: str, entry: Objective, key: str, exact: bool = False, tok=CHARACTERS) -> dict:
+    """The example of one text by any objective. key: what hashed draws, or the seed of exact ones, follow from."""
     options = entry.options
     seed = int(options["rng_seed"])
     mixed = seed if exact else int(draw(f"{seed}:{key}") * (1 << 32))
-    if entry.name in ("infilling", "autoencoding", "autoencoding_with_deshuffling"):
-        got = _walk(text, options, entry.prompt, Exact(seed) if exact else Hashed(f"{seed}:{key}"), entry.name != "infilling")
+    units, prompt = tok.encode(text), tok.encode(entry.prompt)
+    if entry.make:
+        made = entry.make(units, options, prompt, tok, np.random.default_rng(mixed))
+        if made is None or len(made[0]) + len(made[1]) > int(options["remaining_space"]):
+            got = _nothing(units, tok)
+        else:
+            got = _made(list(made[0]), list(made[1]), units[made[2] :], tok, original_length=made[2], attempts=1)
+    elif entry.name in ("infilling", "autoencoding", "autoencoding_with_deshuffling"):
+        got = _walk(units, options, prompt, Exact(seed) if exact else Hashed(f"{seed}:{key}"), entry.name != "infilling", tok)
     elif entry.name == "deshuffling":
-        got = _shuffled(text, options, entry.prompt, np.random.default_rng(mixed))
+        got = _shuffled(units, options, prompt, np.random.default_rng(mixed), tok)
     elif entry.name == "selective_copying":
-        got = _copied(text, options, entry.prompt, np.random.default_rng(mixed))
+        got = _copied(units, options, prompt, np.random.default_rng(mixed), tok)
     else:
-        raise ValueError(f"{entry.name} draws nothing; see textloom.operators.examples")
+        got = _plain(units, entry, prompt, tok)
     return {"objective": entry.name} | got
 
 
-def build(df: DataFrame, entry: Objective, key: str, text: str = "text", exact: bool = False) -> DataFrame:
+def build(df: DataFrame, entry: Objective, key: str, text: str = "text", exact: bool = False, tok=CHARACTERS) -> DataFrame:
     """The columns of df other than the text, and those of EXAMPLE; null texts count as empty. Errors of a walk fail the task."""
     rest = [f for f in df.schema.fields if f.name != text]
     schema = T.StructType([*rest, *EXAMPLE.fields])
@@ -194,7 +228,7 @@ def build(df: DataFrame, entry: Objective, key: str, text: str = "text", exact:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                rows = [one_example(t or "", entry, str(k), exact) for t, k in zip(part.column(text).to_pylist(), part.column(key).to_pylist(), strict=True)]
+                rows = [one_example(t or "", entry, str(k), exact, tok) for t, k in zip(part.column(text).to_pylist(), part.column(key).to_pylist(), strict=True)]
                 kinds = {"input_ids": pa.list_(pa.int32()), "label_ids": pa.list_(pa.int32()), "masked_count": pa.int32(), "original_length": pa.int32(), "spans": pa.int32(), "attempts": pa.int32()}
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in rest), *(pa.array([r[n] for r in rows], type=kinds.get(n, pa.string())) for n in EXAMPLE.names)], names=schema.names)
 

@@ -16,6 +16,7 @@ def rows(texts: DataFrame, entries: list[Objective], per_objective: int, length:
     """obj_key, item, input_ids, label_ids, attention_mask, segment_ids: labels from position 0 and cut to the input, mask 1, segments 0."""
     few = texts.where(tokens.not_blank(F.col("text"))).select(order, "text").orderBy(order).limit(per_objective)
     found = None
+    few = texts.sparkSession.createDataFrame(few.collect(), few.schema)  # per_objective rows, sorted out once for all objectives
     for e in entries:
         made = examples.with_ids(examples.build(few, e)) if e.name in PLAIN else spans.build(few, e, order)
         ok = made.where((F.col("status") == "ok") & (F.size("input_ids") > 0)).select(F.lit(e.nickname).alias("obj_key"), F.lit(e.name).alias("objective"), F.col(order).alias("item"), "input_ids", "label_ids")

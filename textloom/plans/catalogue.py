@@ -12,7 +12,9 @@ from textloom.operators import config, examples, feedback, packing, spans, stati
 from textloom.sources import text as sources
 from textloom.streaming import worker
 
-ROOM, SHARDS, BATCH = 1024, 8, 8
+ROOM, BATCH = 1024, 8
+#: Shards of the packing queries: one for so many documents, and so many at least; a shard is packed by one task.
+SHARD_DOCS, LEAST_SHARDS = 4096, 8
 MIXTURE = config.normalised([config.objective("next_token_prediction", 2, paradigm="A"), config.objective("copying", 1, paradigm="B"), config.objective("prefix_language_modeling", 1, paradigm_str="C", prefix_fraction=0.5)])
 MARKERS = {ord(c) + tokens.OFFSET: e.name for c, e in zip("ABC", MIXTURE, strict=True)}
 QUERIES: dict = {}
@@ -37,6 +39,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
 
 
+def shards(spark: SparkSession, sf_dir: str) -> int:
+    return max(LEAST_SHARDS, -(-table(spark, sf_dir, "documents", "doc_id").count() // SHARD_DOCS))
+
+
+SHARDS_SQL = f"(SELECT greatest({LEAST_SHARDS}, cast(ceil(count(*) / {SHARD_DOCS}.0) AS BIGINT)) FROM documents)"
+SHARD_SQL = f"cast('0x' || substr(md5(cast(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {SHARDS_SQL} AS shard"
+
+
 def digest(c):
     return F.md5(tokens.joined(c).cast("binary"))
 
@@ -54,8 +64,8 @@ def sql_md5(text: str) -> str:
     return f"md5(coalesce(array_to_string({sql_ids(text)}, ','), ''))"
 
 
-def sql_uniform(key: str) -> str:
-    return f"(cast('0x' || substr(md5({key}), 1, 8) AS BIGINT) / 4294967296.0)"
+def sql_uniform(key: str, part: int = 0) -> str:
+    return f"(cast('0x' || substr(md5({key}), {1 + 8 * part}, 8) AS BIGINT) / 4294967296.0)"
 
 
 def sql_example(prompt: str, room: int = ROOM) -> str:
@@ -64,22 +74,21 @@ def sql_example(prompt: str, room: int = ROOM) -> str:
         cast(greatest(length(text) - {(room - len(prompt)) // 2}, 0) AS BIGINT) AS unused_chars FROM documents"""
 
 
-#: One example per document by the mixture, with room for a whole row.
+#: All examples of each document by the mixture: pieces of 511 characters, the most that each of its objectives takes.
+PIECE = min(map(examples.capacity, MIXTURE))
 MIXED_SQL = f"""
-    drawn AS (SELECT doc_id, text, {sql_uniform("'0:' || doc_id")} AS u FROM documents WHERE length(text) >= 2),
-    used AS (SELECT *, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS obj_idx FROM drawn),
-    ex AS (SELECT doc_id, obj_idx, ['A', 'B', 'C'][obj_idx + 1] AS prompt, ['next_token_prediction', 'copying', 'prefix_language_modeling'][obj_idx + 1] AS objective,
-        CASE WHEN obj_idx < 2 THEN substr(text, 1, 511) ELSE substr(text, 1, cast(greatest(1, least(floor(least(length(text), 1023) * 0.5), least(length(text), 1023) - 1)) AS BIGINT)) END AS input_text,
-        CASE WHEN obj_idx < 2 THEN substr(text, 1, 511) ELSE substr(text, cast(greatest(1, least(floor(least(length(text), 1023) * 0.5), least(length(text), 1023) - 1)) AS BIGINT) + 1, cast(least(length(text), 1023) - greatest(1, least(floor(least(length(text), 1023) * 0.5), least(length(text), 1023) - 1)) AS BIGINT)) END AS label_text,
-        cast('0x' || substr(md5(cast(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {SHARDS} AS shard FROM used),
-    sized AS (SELECT *, length(input_text) + 1 AS n_input, length(label_text) AS n_label, row_number() OVER (PARTITION BY shard ORDER BY doc_id) AS rn FROM ex)"""
+    cut AS (SELECT doc_id, text AS whole, unnest(range(cast(ceil(length(text) / {PIECE}.0) AS BIGINT))) AS chunk_idx FROM documents WHERE length(text) > 0),
+    drawn AS (SELECT doc_id, chunk_idx, substr(whole, chunk_idx * {PIECE} + 1, {PIECE}) AS text, {sql_uniform("'0:' || doc_id || ':' || chunk_idx")} AS u FROM cut),
+    used AS (SELECT *, length(text) AS len, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 WHEN length(text) < 2 THEN 0 ELSE 2 END AS obj_idx FROM drawn),
+    halved AS (SELECT *, cast(greatest(1, least(floor(len * 0.5), len - 1)) AS BIGINT) AS k FROM used),
+    ex AS (SELECT doc_id, chunk_idx, obj_idx, ['A', 'B', 'C'][obj_idx + 1] AS prompt, ['next_token_prediction', 'copying', 'prefix_language_modeling'][obj_idx + 1] AS objective,
+        CASE WHEN obj_idx < 2 THEN text ELSE substr(text, 1, k) END AS input_text, CASE WHEN obj_idx < 2 THEN text ELSE substr(text, k + 1) END AS label_text, {SHARD_SQL} FROM halved),
+    sized AS (SELECT *, length(input_text) + 1 AS n_input, length(label_text) AS n_label, row_number() OVER (PARTITION BY shard ORDER BY doc_id, chunk_idx) AS rn FROM ex)"""
 PLACED_SQL = f"""WITH RECURSIVE {MIXED_SQL.strip()},
-    fit AS (SELECT shard, rn, doc_id, cast(0 AS BIGINT) AS pack_id, 1 AS segment, cast(0 AS BIGINT) AS start_off, n_input + n_label AS used FROM sized WHERE rn = 1
-        UNION ALL SELECT s.shard, s.rn, s.doc_id, CASE WHEN f.used + s.n_input + s.n_label > {ROOM} OR {ROOM} - f.used <= 64 THEN f.pack_id + 1 ELSE f.pack_id END,
-            CASE WHEN f.used + s.n_input + s.n_label > {ROOM} OR {ROOM} - f.used <= 64 THEN 1 ELSE f.segment + 1 END,
-            CASE WHEN f.used + s.n_input + s.n_label > {ROOM} OR {ROOM} - f.used <= 64 THEN 0 ELSE f.used END,
-            CASE WHEN f.used + s.n_input + s.n_label > {ROOM} OR {ROOM} - f.used <= 64 THEN 0 ELSE f.used END + s.n_input + s.n_label
-        FROM fit f JOIN sized s ON s.shard = f.shard AND s.rn = f.rn + 1),
+    items AS MATERIALIZED (SELECT shard, rn, n_input + n_label AS n FROM sized),
+    fit AS (SELECT shard, rn, cast(0 AS BIGINT) AS pack_id, 1 AS segment, cast(0 AS BIGINT) AS start_off, n AS used FROM items WHERE rn = 1
+        UNION ALL SELECT shard, rn, CASE WHEN new THEN pack_id + 1 ELSE pack_id END, CASE WHEN new THEN 1 ELSE segment + 1 END, CASE WHEN new THEN 0 ELSE used END, CASE WHEN new THEN 0 ELSE used END + n
+        FROM (SELECT s.shard, s.rn, s.n, f.pack_id, f.segment, f.used, f.used + s.n > {ROOM} OR {ROOM} - f.used <= 64 AS new FROM fit f JOIN items s ON s.shard = f.shard AND s.rn = f.rn + 1)),
     placed AS (SELECT s.*, f.pack_id, f.segment, f.start_off FROM sized s JOIN fit f USING (shard, rn)),
     rows_of AS (SELECT shard, pack_id, cast(sum(n_input + n_label) AS BIGINT) AS used, count(*) AS n_segments, max(pack_id) OVER (PARTITION BY shard) AS last FROM placed GROUP BY shard, pack_id),
     closed AS (SELECT shard, pack_id, used, n_segments FROM rows_of WHERE pack_id < last OR {ROOM} - used <= 64),
@@ -172,11 +181,11 @@ def mixture_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH d AS (SELECT cast('0x' || substr(md5(cast(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {SHARDS} AS shard, {sql_uniform("'0:' || doc_id")} AS u FROM documents), c AS (SELECT shard, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS obj_idx FROM d)
+    f"""WITH d AS (SELECT {SHARD_SQL}, {sql_uniform("'0:' || doc_id")} AS u FROM documents), c AS (SELECT shard, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS obj_idx FROM d)
     SELECT cast(shard AS INTEGER) AS shard, obj_idx, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY shard), 6) AS rate FROM c GROUP BY shard, obj_idx"""
 )
 def mixture_rate_by_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = examples.choose(documents(spark, sf_dir).withColumn("shard", sources.hashed_shard(F.col("doc_id"), SHARDS)), MIXTURE, "doc_id").groupBy("shard", "obj_idx").agg(F.count(F.lit(1)).alias("n"))
+    counted = examples.choose(documents(spark, sf_dir).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir))), MIXTURE, "doc_id").groupBy("shard", "obj_idx").agg(F.count(F.lit(1)).alias("n"))
     return counted.withColumn("rate", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("shard")), 6))
 
 
@@ -227,24 +236,38 @@ def conversation_grabber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- packing --------------------------------------------------------------------------------------------------------
 def placed(spark: SparkSession, sf_dir: str, ids: bool = False, **how) -> DataFrame:
-    """One example per document by the mixture, placed in rows."""
-    drawn = examples.choose(documents(spark, sf_dir).where(F.length("text") >= 2), MIXTURE, "doc_id").withColumn("shard", sources.hashed_shard(F.col("doc_id"), SHARDS))
+    """All examples of each document by the mixture, placed in rows."""
+    drawn = examples.used_up(documents(spark, sf_dir), MIXTURE, "doc_id").withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
     made = examples.mixed(drawn, MIXTURE).where(F.col("status") == "ok")
     made = made.withColumns({"n_input": F.length("input_text") + F.length("prompt"), "n_label": F.length("label_text")}).withColumn("n", F.col("n_input") + F.col("n_label"))
-    kept = ["shard", "doc_id", "obj_idx", "objective", "prompt", "n_input", "n_label", "n"]
+    kept = ["shard", "doc_id", "chunk_idx", "obj_idx", "objective", "prompt", "n_input", "n_label", "n"]
     if ids:
-        return packing.place(made.select(*kept, "input_text", "label_text"), "n", ROOM, order=("doc_id",), **how).withColumns({"input_ids": tokens.encode(F.concat("prompt", "input_text")), "label_ids": tokens.encode(F.col("label_text"))})
-    return packing.place(made.select(*kept), "n", ROOM, order=("doc_id",), **how)
+        return packing.place(made.select(*kept, "input_text", "label_text"), "n", ROOM, order=("doc_id", "chunk_idx"), **how).withColumns({"input_ids": tokens.encode(F.concat("prompt", "input_text")), "label_ids": tokens.encode(F.col("label_text"))})
+    return packing.place(made.select(*kept), "n", ROOM, order=("doc_id", "chunk_idx"), **how)
+
+
+@query("SELECT doc_id, cast(length(text) AS BIGINT) AS n_chars, cast(length(text) AS BIGINT) AS n_used FROM documents WHERE length(text) > 0")
+def texts_used_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of each document, and those that its examples hold (a text that is input and label counts once)."""
+    used = F.col("n_label") + F.when(F.col("objective") == "prefix_language_modeling", F.col("n_input") - F.length("prompt")).otherwise(0)
+    got = placed(spark, sf_dir).groupBy("doc_id").agg(F.sum(used).cast("long").alias("n_used"))
+    return documents(spark, sf_dir).select("doc_id", long(F.length("text")).alias("n_chars")).join(got, "doc_id")
 
 
-@query(f"{PLACED_SQL} SELECT doc_id, cast(shard AS INTEGER) AS shard, pack_id, segment, cast(start_off AS INTEGER) AS start_off, cast(n_input + n_label AS INTEGER) AS n FROM placed")
+@query(f"{PLACED_SQL} SELECT doc_id, cast(chunk_idx AS INTEGER) AS chunk_idx, cast(shard AS INTEGER) AS shard, pack_id, segment, cast(start_off AS INTEGER) AS start_off, cast(n_input + n_label AS INTEGER) AS n FROM placed")
 def nextfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed(spark, sf_dir).select("doc_id", "shard", "pack_id", "segment", "start_off", "n")
+    return placed(spark, sf_dir).select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
 
 
-@query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(unnest(range(len(i))) AS INTEGER) AS pos, unnest(i) AS input_id, unnest(l) AS label_id, unnest(s) AS segment, unnest(m) AS mask FROM dense")
+@query(
+    f"""{PLACED_SQL}, flat AS (SELECT shard, pack_id, unnest(range(len(i))) AS pos, unnest(i) AS input_id, unnest(l) AS label_id, unnest(s) AS segment, unnest(m) AS mask FROM dense)
+    SELECT cast(shard AS INTEGER) AS shard, pack_id, segment, cast(min(pos) AS INTEGER) AS first, cast(max(pos) AS INTEGER) AS last, cast(sum(input_id * (pos + 1)) AS BIGINT) AS input_sum, cast(sum(label_id * (pos + 1)) AS BIGINT) AS label_sum, cast(sum(mask * (pos + 1)) AS BIGINT) AS mask_sum FROM flat GROUP BY ALL"""
+)
 def packed_segment_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.alignment(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM)).select("shard", "pack_id", "pos", F.col("input_ids").alias("input_id"), F.col("label_ids").alias("label_id"), F.col("segment_ids").alias("segment"), F.col("attention_mask").alias("mask"))
+    """Where each segment lies in its row, with its ids, labels and marks as sums weighted by position."""
+    at = packing.alignment(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    weighted = lambda c: F.sum(F.col(c).cast("long") * (F.col("pos") + 1))
+    return at.groupBy("shard", "pack_id", F.col("segment_ids").alias("segment")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), weighted("input_ids").alias("input_sum"), weighted("label_ids").alias("label_sum"), weighted("attention_mask").alias("mask_sum"))
 
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, md5(array_to_string({pad_sql('i', 0)}, ',')) AS input_md5, md5(array_to_string({pad_sql('l', -100)}, ',')) AS label_md5, md5(array_to_string({pad_sql('s', 0)}, ',')) AS segment_md5, md5(array_to_string({pad_sql('m', 0)}, ',')) AS mask_md5 FROM dense")
@@ -299,32 +322,64 @@ def attention_pairs_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.attention_pairs(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
 
 
-@query(f"WITH {MIXED_SQL.strip()} SELECT doc_id, n_input + 16 + n_label - 1 AS cost, n_input + 16 AS cost_without_labels FROM sized")
+@query(f"WITH {MIXED_SQL.strip()} SELECT doc_id, cast(chunk_idx AS INTEGER) AS chunk_idx, n_input + 16 + n_label - 1 AS cost, n_input + 16 AS cost_without_labels FROM sized")
 def packer_v1_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What examples take when labels follow a separator of 16 tokens."""
     p = placed(spark, sf_dir)
-    return p.select("doc_id", long(packing.separator_cost(F.col("n_input"), F.col("n_label"), 16)).alias("cost"), long(packing.separator_cost(F.col("n_input"), F.lit(0), 16)).alias("cost_without_labels"))
+    return p.select("doc_id", "chunk_idx", long(packing.separator_cost(F.col("n_input"), F.col("n_label"), 16)).alias("cost"), long(packing.separator_cost(F.col("n_input"), F.lit(0), 16)).alias("cost_without_labels"))
 
 
-@query()
+def fit_sql(best: bool, rows: int = 4) -> str:
+    """A set of open rows as lists: the fullest (or emptiest) that takes the item; all are replaced when none does or all are full."""
+    key = "u" if best else "-u"
+    return f"""WITH RECURSIVE {MIXED_SQL.strip()}, items AS MATERIALIZED (SELECT shard, rn, n_input + n_label AS n FROM sized),
+    fit AS (SELECT shard, rn, cast(0 AS BIGINT) AS base, cast(1 AS BIGINT) AS i, cast(0 AS BIGINT) AS start_off, 1 AS segment, list_concat([n], {[0] * (rows - 1)}) AS used, list_concat([1], {[0] * (rows - 1)}) AS held FROM items WHERE rn = 1
+        UNION ALL SELECT shard, rn, base, i, used[i], held[i] + 1, list_transform(used, lambda u, j: CASE WHEN j = i THEN u + n ELSE u END), list_transform(held, lambda h, j: CASE WHEN j = i THEN h + 1 ELSE h END)
+        FROM (SELECT *, cast(list_position(list_transform(used, lambda u: CASE WHEN u + n <= {ROOM} THEN {key} ELSE -9999 END), list_max(list_transform(used, lambda u: CASE WHEN u + n <= {ROOM} THEN {key} ELSE -9999 END))) AS BIGINT) AS i
+        FROM (SELECT shard, rn, n, CASE WHEN fresh THEN base + {rows} ELSE base END AS base, CASE WHEN fresh THEN {[0] * rows} ELSE used END AS used, CASE WHEN fresh THEN {[0] * rows} ELSE held END AS held
+        FROM (SELECT s.shard, s.rn, s.n, f.base, f.used, f.held, len(list_filter(f.used, lambda u: u + s.n <= {ROOM})) = 0 OR len(list_filter(f.used, lambda u: {ROOM} - u > 64)) = 0 AS fresh FROM fit f JOIN items s ON s.shard = f.shard AND s.rn = f.rn + 1))))
+    SELECT doc_id, cast(chunk_idx AS INTEGER) AS chunk_idx, cast(shard AS INTEGER) AS shard, base + i - 1 AS pack_id, segment, cast(start_off AS INTEGER) AS start_off, cast(n_input + n_label AS INTEGER) AS n FROM sized JOIN fit USING (shard, rn)"""
+
+
+@query(
+    f"""WITH RECURSIVE {MIXED_SQL.strip()}, items AS MATERIALIZED (SELECT shard, rn, n_input + 16 + n_label - 1 AS n FROM sized),
+    fit AS (SELECT shard, rn, cast(0 AS BIGINT) AS pack_id, 1 AS segment, cast(0 AS BIGINT) AS start_off, n AS used FROM items WHERE rn = 1
+        UNION ALL SELECT shard, rn, CASE WHEN new THEN pack_id + 1 ELSE pack_id END, CASE WHEN new THEN 1 ELSE segment + 1 END, CASE WHEN new THEN 0 ELSE used END, CASE WHEN new THEN 0 ELSE used END + n
+        FROM (SELECT s.shard, s.rn, s.n, f.pack_id, f.segment, f.used, f.used + s.n > {ROOM + 64} OR {ROOM + 64} - f.used <= 16 AS new FROM fit f JOIN items s ON s.shard = f.shard AND s.rn = f.rn + 1))
+    SELECT doc_id, cast(chunk_idx AS INTEGER) AS chunk_idx, cast(shard AS INTEGER) AS shard, pack_id, segment, cast(start_off AS INTEGER) AS start_off FROM sized JOIN fit USING (shard, rn)"""
+)
+def packer_v1_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of examples whose labels follow a separator of 16 tokens; a row closes when no separator and token fit."""
+    drawn = examples.used_up(documents(spark, sf_dir), MIXTURE, "doc_id").withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
+    made = examples.mixed(drawn, MIXTURE).withColumn("n", packing.separator_cost(F.length("input_text") + F.length("prompt"), F.length("label_text"), 16).cast("int"))
+    placed_rows = packing.place(made.select("shard", "doc_id", "chunk_idx", "n"), "n", ROOM + 64, packing.separator_room(8, 16), order=("doc_id", "chunk_idx"))
+    return placed_rows.select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off")
+
+
+@query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(sum((n_input + n_label) * (n_input + n_label + 1) // 2) AS BIGINT) AS n_pairs FROM placed GROUP BY shard, pack_id")
+def attention_pairs_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.attention_pairs(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM), causal=True)
+
+
+@query(fit_sql(True))
 def bestfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed(spark, sf_dir, fit="best", rows=4).select("doc_id", "shard", "pack_id", "segment", "start_off", "n")
+    return placed(spark, sf_dir, fit="best", rows=4).select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
 
 
-@query()
+@query(fit_sql(False))
 def worstfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return placed(spark, sf_dir, fit="worst", rows=4).select("doc_id", "shard", "pack_id", "segment", "start_off", "n")
+    return placed(spark, sf_dir, fit="worst", rows=4).select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
 
 
 @query(
-    f"""WITH {MIXED_SQL.strip()}, z AS (SELECT doc_id, n_input AS n, n_label AS m, greatest(n_input, 8) AS e, 8.0 / n_input AS ratio, {sql_ids("prompt || input_text")} AS i, {sql_ids("label_text")} AS l FROM sized)
-    SELECT doc_id, n + 8 + m AS slots, md5(array_to_string(list_concat(list_concat(list_concat(i, list_transform(range(8), lambda x: 98)), [2]), list_slice(l, 1, m - 1)), ',')) AS input_md5,
+    f"""WITH {MIXED_SQL.strip()}, z AS (SELECT doc_id, cast(chunk_idx AS INTEGER) AS chunk_idx, n_input AS n, n_label AS m, greatest(n_input, 8) AS e, 8.0 / n_input AS ratio, {sql_ids("prompt || input_text")} AS i, {sql_ids("label_text")} AS l FROM sized)
+    SELECT doc_id, chunk_idx, n + 8 + m AS slots, md5(array_to_string(list_concat(list_concat(list_concat(i, list_transform(range(8), lambda x: 98)), [2]), list_slice(l, 1, m - 1)), ',')) AS input_md5,
         md5(array_to_string(list_concat(list_concat(list_transform(range(n), lambda x: cast(floor(x * e / n) AS INTEGER)), list_transform(range(8), lambda x: cast(floor(x * e / 8) AS INTEGER))), list_transform(range(m), lambda x: cast(floor(e + x * greatest(cast(m AS DOUBLE), m * (8.0 / n)) / m) AS INTEGER))), ',')) AS position_md5 FROM z"""
 )
 def latent_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = packing.latent_arrays(F.col("input_ids"), F.col("label_ids"), 8, 98, F.lit(1))
-    got = placed(spark, sf_dir, ids=True).select("doc_id", laid["input_ids"].alias("laid_ids"), laid["position_ids"].alias("laid_positions"))
-    return got.select("doc_id", long(F.size("laid_ids")).alias("slots"), digest(F.col("laid_ids")).alias("input_md5"), digest(F.col("laid_positions")).alias("position_md5"))
+    got = placed(spark, sf_dir, ids=True).select("doc_id", "chunk_idx", laid["input_ids"].alias("laid_ids"), laid["position_ids"].alias("laid_positions"))
+    return got.select("doc_id", "chunk_idx", long(F.size("laid_ids")).alias("slots"), digest(F.col("laid_ids")).alias("input_md5"), digest(F.col("laid_positions")).alias("position_md5"))
 
 
 # ---- walks ----------------------------------------------------------------------------------------------------------
@@ -350,8 +405,8 @@ def walk_sql(prompt: int, mean: float, rate: float, shortest: float, longest: fl
 
     table_sql = "[" + ", ".join(repr(x) for x in poisson_table(mean)) + "]"
     low, high = max(0.0, rate * 0.5), min(0.95, 2 * rate)
-    key = "('0:' || doc_id || ':' || attempt || ':' || step || ':"
-    span = f"cast(floor(greatest(1, least(greatest({shortest}, least(len(list_filter({table_sql}, lambda x: x <= {sql_uniform(key + '1' + chr(39) + ')')})), {longest})), lim - idx))) AS BIGINT)"
+    key = "'0:' || doc_id || ':' || attempt || ':' || step"
+    span = f"cast(floor(greatest(1, least(greatest({shortest}, least(len(list_filter({table_sql}, lambda x: x <= {sql_uniform(key, 1)})), {longest})), lim - idx))) AS BIGINT)"
     going = f"idx < lim AND spans < {most} AND n_in + n_lab < {ROOM} AND NOT stop"
     return f"""WITH RECURSIVE d AS (SELECT doc_id, least(length(text), {ROOM - prompt - 16}) AS lim, length(text) AS n FROM documents),
     w AS (SELECT doc_id, lim, n, 0 AS attempt, 0 AS step, cast(0 AS BIGINT) AS idx, cast(0 AS BIGINT) AS spans, cast({prompt} AS BIGINT) AS n_in, cast(0 AS BIGINT) AS n_lab, cast(0 AS BIGINT) AS masked, false AS stop FROM d
@@ -361,7 +416,7 @@ def walk_sql(prompt: int, mean: float, rate: float, shortest: float, longest: fl
         CASE WHEN NOT going THEN {prompt} WHEN mask THEN n_in + {hole} WHEN lit THEN n_in + 1 ELSE n_in END, CASE WHEN NOT going THEN 0 WHEN mask THEN n_lab + {added} WHEN lit THEN n_lab + {one} ELSE n_lab END,
         CASE WHEN NOT going THEN 0 WHEN mask THEN masked + span ELSE masked END, going AND NOT mask AND NOT lit
       FROM (SELECT *, u < chance / span AND lim - idx >= span AND n_in + {hole} + n_lab + {added} <= {ROOM} AS mask, n_in + 1 + n_lab + {one} <= {ROOM} AS lit
-        FROM (SELECT *, {going} AS going, {low} + ({high} - {low}) * {sql_uniform(key + "0')")} AS chance, {span} AS span, {sql_uniform(key + "2')")} AS u FROM w WHERE lim > 0 AND (({going}) OR spans = 0 AND attempt + 1 < {attempts})))),
+        FROM (SELECT *, {going} AS going, {low} + ({high} - {low}) * {sql_uniform(key)} AS chance, {span} AS span, {sql_uniform(key, 2)} AS u FROM w WHERE lim > 0 AND (({going}) OR spans = 0 AND attempt + 1 < {attempts})))),
     e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY attempt DESC, step DESC) AS r FROM w)
     SELECT doc_id, CASE WHEN spans > 0 THEN 'ok' ELSE 'fail' END AS status, cast(spans AS INTEGER) AS spans, cast(CASE WHEN spans > 0 THEN n_in ELSE 0 END AS BIGINT) AS n_input, cast(CASE WHEN spans > 0 THEN n_lab ELSE 0 END AS BIGINT) AS n_label,
       cast(CASE WHEN spans > 0 THEN masked ELSE 0 END AS INTEGER) AS masked_count, cast(CASE WHEN spans > 0 THEN n - idx ELSE n END AS BIGINT) AS unused_chars, CASE WHEN lim <= 0 THEN 0 ELSE attempt + 1 END AS attempts FROM e WHERE r = 1"""
@@ -396,7 +451,7 @@ def deshuffle_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walked(spans.build(documents(spark, sf_dir), config.objective("deshuffling", rng_seed=7), "doc_id", exact=True))
 
 
-@query()
+@query(f"SELECT doc_id, spans, spans AS in_input, spans AS in_label FROM ({walk_sql(len("<|INFILL|>"), 3.0, 0.15, 1.0, 9.0, False, 20)}) WHERE status = 'ok'")
 def infilling_placeholder_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Placeholders in input and label of each infilling example; they are equal in number."""
     made = spans.build(documents(spark, sf_dir), config.objective("infilling"), "doc_id")
@@ -404,11 +459,51 @@ def infilling_placeholder_balance(spark: SparkSession, sf_dir: str) -> DataFrame
     return made.where(F.col("status") == "ok").select("doc_id", "spans", holes("input_ids").alias("in_input"), holes("label_ids").alias("in_label"))
 
 
+PLAIN = config.normalised([config.objective("next_token_prediction", 2), config.objective("copying", 1), config.objective("prefix_language_modeling", 1)])
+
+
+@query(
+    f"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, text, length(text) AS n, {SHARD_SQL}, row_number() OVER (PARTITION BY {SHARD_SQL.removesuffix(" AS shard")} ORDER BY doc_id) AS rn FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')),
+    w AS (SELECT shard, cast(1 AS BIGINT) AS rn, cast(0 AS BIGINT) AS pos, cast(0 AS BIGINT) AS seq, cast(0 AS BIGINT) AS pack, cast(0 AS BIGINT) AS used, 0 AS segment, cast(NULL AS BIGINT) AS doc_id, cast(NULL AS BIGINT) AS ex_seq, cast(NULL AS INTEGER) AS obj, cast(NULL AS BIGINT) AS pack_id, cast(NULL AS INTEGER) AS seg, cast(NULL AS BIGINT) AS start_off, cast(NULL AS BIGINT) AS n_input, cast(NULL AS BIGINT) AS n_label, cast(NULL AS BIGINT) AS unused, cast(NULL AS VARCHAR) AS status
+        FROM (SELECT DISTINCT shard FROM t)
+      UNION ALL SELECT shard, CASE WHEN ok AND pos + took < n THEN rn ELSE rn + 1 END, CASE WHEN ok AND pos + took < n THEN pos + took ELSE 0 END, seq + 1,
+        CASE WHEN ok AND {ROOM} - (start + need) <= 64 THEN start_pack + 1 WHEN ok THEN start_pack ELSE pack END, CASE WHEN ok AND {ROOM} - (start + need) <= 64 THEN 0 WHEN ok THEN start + need ELSE used END,
+        CASE WHEN ok AND {ROOM} - (start + need) <= 64 THEN 0 WHEN ok THEN start_segment + 1 ELSE segment END,
+        doc_id, seq, obj, CASE WHEN ok THEN start_pack END, CASE WHEN ok THEN start_segment + 1 END, CASE WHEN ok THEN start END, CASE WHEN ok THEN n_in END, CASE WHEN ok THEN n_lab END, CASE WHEN ok THEN n - pos - took END, CASE WHEN ok THEN 'ok' ELSE bad END
+      FROM (SELECT *, n_in + n_lab AS need, n_in + n_lab > {ROOM} - used AS fresh, CASE WHEN n_in + n_lab > {ROOM} - used THEN 0 ELSE used END AS start, CASE WHEN n_in + n_lab > {ROOM} - used THEN pack + 1 ELSE pack END AS start_pack, CASE WHEN n_in + n_lab > {ROOM} - used THEN 0 ELSE segment END AS start_segment, bad IS NULL AS ok
+        FROM (SELECT *, CASE WHEN obj = 2 THEN p + half ELSE p + took END AS n_in, CASE WHEN obj = 2 THEN took - half ELSE took END AS n_lab, CASE WHEN obj = 2 AND took < 2 THEN 'fail' WHEN obj < 2 AND took = 0 THEN 'empty_label_ids' END AS bad
+        FROM (SELECT *, CASE WHEN obj = 2 THEN cast(greatest(1, least(floor(took * 0.75), took - 1)) AS BIGINT) ELSE 0 END AS half
+        FROM (SELECT *, greatest(0, least(n - pos, CASE WHEN obj = 2 THEN {ROOM} - used - p ELSE ({ROOM} - used - p) // 2 END)) AS took
+        FROM (SELECT *, {[len(e.prompt) for e in PLAIN]}[obj + 1] AS p
+        FROM (SELECT w.shard, w.rn, w.pos, w.seq, w.pack, w.used, w.segment, t.doc_id, t.n, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS obj
+        FROM (SELECT *, {sql_uniform("'0:' || shard || ':' || seq")} AS u FROM w) w JOIN t ON t.shard = w.shard AND t.rn = w.rn)))))))
+    SELECT cast(shard AS INTEGER) AS shard, doc_id, ex_seq, {[e.name for e in PLAIN]}[obj + 1] AS objective, pack_id, seg AS segment, cast(start_off AS INTEGER) AS start_off, n_input, n_label, unused, status FROM w WHERE doc_id IS NOT NULL"""
+)
+def coupled_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coupled fold with objectives that draw nothing within a text, so that SQL can follow it."""
+    texts = documents(spark, sf_dir).where(tokens.not_blank(F.col("text"))).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
+    return worker.fold(texts, worker.Run(tuple(PLAIN), ROOM, strict=False), order=("doc_id",)).drop("input_ids", "label_ids")
+
+
+@query(f"SELECT doc_id, 'ok' AS status, cast(length(text) AS BIGINT) AS n_text, cast(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents WHERE length(text) BETWEEN 1 AND 900")
+def user_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An objective that a user registers: the text without its blanks, to be spelled out again."""
+
+    def squeeze(ids, options, prompt, tok, rng):
+        blank = tok.encode(" ")[0]
+        return [*prompt, *(i for i in ids if i != blank)], ids, len(ids)
+
+    if "squeezing" not in config.REGISTERED:
+        config.register("squeezing", squeeze, paradigm="<|SQUEEZE|>")
+    made = spans.build(documents(spark, sf_dir).where(F.length("text").between(1, 900)), config.objective("squeezing", remaining_space=2048), "doc_id")
+    return made.select("doc_id", "status", long(F.size("label_ids")).alias("n_text"), long(F.size("label_ids") + len("<|SQUEEZE|>") - F.size("input_ids")).alias("blanks"))
+
+
 @query()
 def coupled_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, objectives and rows in one fold per shard, leftovers included; failures are kept as rows."""
     entries = tuple(config.normalised([config.objective("next_token_prediction", 3), config.objective("copying", 2), config.objective("prefix_language_modeling", 2), config.objective("infilling", 2), config.objective("autoencoding", 1)]))
-    texts = documents(spark, sf_dir).withColumn("shard", sources.hashed_shard(F.col("doc_id"), SHARDS))
+    texts = documents(spark, sf_dir).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
     return worker.fold(texts, worker.Run(entries, ROOM, strict=False), order=("doc_id",)).drop("input_ids", "label_ids")
 
 
@@ -495,6 +590,52 @@ def topk_action_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.best_mean(totals, actions).select("obj_idx", F.round("action", 6).alias("action"))
 
 
+@query("SELECT event_type AS obj_key, round(sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END) / greatest(1, sum(CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END)), 6) AS mean_loss FROM events GROUP BY event_type")
+def masked_mean_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean losses over the events that have a label."""
+    label = F.when(F.col("event_id") % 3 == 0, tokens.IGNORE).otherwise(1)
+    return losses(spark, sf_dir).groupBy("obj_key").agg(F.round(statistics.masked_mean(F.col("loss"), label), 6).alias("mean_loss"))
+
+
+@query("SELECT cast(i AS BIGINT) AS step, i % 250 = 0 AND i <> 500 AS due FROM range(2000) t(i)")
+def evaluation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(2000).select(F.col("id").alias("step"), feedback.due(F.col("id"), 250, F.lit(500)).alias("due"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(-1 + (l_quantity - 1) / (49 + 1e-8) * 2, 6) + 0.0 AS remapped, round(CASE WHEN true THEN 2 + (l_discount - min(l_discount) OVER w) / (max(l_discount) OVER w - min(l_discount) OVER w + 1e-8) * 3 END, 6) AS stretched FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+def remapped_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), F.col("l_discount").cast("double").alias("d"))
+    return lines.select("l_orderkey", "l_linenumber", (F.round(feedback.remap(F.col("q"), F.lit(1.0), F.lit(50.0), -1.0, 1.0), 6) + F.lit(0.0)).alias("remapped"), F.round(feedback.stretched(F.col("d"), 2.0, 5.0, "l_orderkey"), 6).alias("stretched"))
+
+
+@query("SELECT event_type AS obj_key, '{\"obj_key\":\"' || event_type || '\",\"n\":' || count(value) || '}' AS status FROM events GROUP BY event_type")
+def objective_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    means = feedback.mean_losses(losses(spark, sf_dir))
+    return feedback.status_json(means, "obj_key", "n").select("obj_key", "status")
+
+
+@query(
+    f"""WITH c AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 6), (2, 1, 6), (3, 1, 6), (4, 1, 6), (5, 1, 6), (6, 1, 6)) t(obj_idx, class_id, size)),
+    k AS (SELECT class_id, row_number() OVER (ORDER BY {sql_uniform("'3:5:pick:' || class_id")}, class_id) AS r FROM (SELECT DISTINCT class_id FROM c)),
+    b AS (SELECT c.*, r, CASE WHEN {sql_uniform("'3:count:5'")} < 0.5 THEN 1 ELSE 2 END AS n_pick, {sql_uniform("'3:5:weight:' || obj_idx")} AS weight FROM c JOIN k USING (class_id)),
+    a AS (SELECT obj_idx, CASE WHEN r <= n_pick THEN weight / sum(weight) OVER (PARTITION BY class_id) ELSE 7.0 / greatest(1, 7 - n_pick) * 0.005 * n_pick / size END AS action FROM b)
+    SELECT obj_idx, round(action / sum(action) OVER (), 4) AS prob, true AS explored FROM a"""
+)
+def explored_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn of the loop before there is anything to learn from, which explores."""
+    classes = feedback.class_scaling(spark.createDataFrame([(i, e.name) for i, e in enumerate(config.denoiser_mixture())], "obj_idx int, name string"))
+    nothing = spark.createDataFrame([], "step long, obj_idx int, loss double")
+    return feedback.update_and_sample(spark, nothing, nothing.withColumnRenamed("loss", "action"), classes, 5, 0.0, seed=3)
+
+
+@query()
+def learned_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn that learns: daily losses are the evaluations, hashes the mixtures that led to them."""
+    daily = losses(spark, sf_dir).join(F.broadcast(keys(spark)), "obj_key").groupBy("obj_idx", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("step")).agg(F.avg("loss").alias("loss"))
+    tried = daily.select("step", "obj_idx", uniform(1, F.col("step"), F.col("obj_idx")).alias("action"))
+    return feedback.update_and_sample(spark, daily, tried, feedback.class_scaling(keys(spark), "obj_key"), 7, 0.0)
+
+
 @query()
 def next_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole round: daily losses become rewards, a predictor is fitted on them, and the best candidates give the next mixture."""

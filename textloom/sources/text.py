@@ -10,6 +10,8 @@ from textloom.functions.hashrand import uniform
 
 #: Order keys are counted in so many ranges; positions follow from the counts, so no task sees more than a range.
 RANGES = 64
+#: Keys from which the ranges of strings are told.
+SAMPLE = 8192
 
 
 def grab(df: DataFrame, text: Column | str = "text", strict: bool = False) -> DataFrame:
@@ -32,11 +34,16 @@ def shuffled_key(key: Column, seed: int = 0) -> Column:
 def positions(df: DataFrame, order: str, into: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
     """df with each row's place (from 0) in the order of a column of numbers or strings: counts by range, then places within it."""
     if dict(df.dtypes)[order] == "string":
-        bucket = F.col("_head")
-        headed = df.withColumn("_head", F.substring(order, 1, 3))
+        # bounds are texts at even steps of a sample, so ranges hold about as many rows whatever the texts begin with
+        share = min(1.0, SAMPLE / max(1, df.count()))
+        some = df.select(F.col(order).alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct().orderBy("k").limit(2 * SAMPLE)
+        keys = [r["k"] for r in some.collect() if r["k"] is not None]
+        bounds = sorted({keys[i * len(keys) // RANGES] for i in range(1, RANGES)}) if keys else []
+        kind = "array<string>"
     else:
-        bounds = sorted(set(df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)))
-        headed, bucket = df.withColumn("_head", F.size(F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: b < F.col(order)))), F.col("_head")
+        bounds = [float(b) for b in sorted(set(df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)))]
+        kind = "array<double>"
+    headed, bucket = df.withColumn("_head", F.size(F.filter(F.array(*map(F.lit, bounds)).cast(kind), lambda b: b < F.col(order)))), F.col("_head")
     counts = headed.groupBy(bucket.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_head", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n")).alias("_before"))  # one row per range
     place = F.row_number().over(Window.partitionBy("_head").orderBy(order, *ties)) - 1
@@ -57,6 +64,18 @@ def contiguous(df: DataFrame, shards: int, order: str) -> DataFrame:
     return positions(df, order).withColumn("shard", shard.cast("int"))
 
 
+def addressed(shards_of_task: int, tasks: int, task: int) -> range:
+    """The shards that one of several jobs reads, when each reads `shards_of_task` of them: its place times their number, and on."""
+    if not 0 <= task < tasks:
+        raise ValueError("a job's place lies below the number of jobs")
+    return range(shards_of_task * task, shards_of_task * (task + 1))
+
+
+def load(spark: SparkSession, source: str, path: str, defaults: dict[str, object] | None = None, **overrides: object) -> DataFrame:
+    """A source by its format; options are the defaults, of which overrides take precedence."""
+    return spark.read.format(source).options(**{**(defaults or {}), **overrides}).load(path)
+
+
 def hashed_shard(key: Column, shards: int) -> Column:
     """A shard that needs no count or sort."""
     return (F.conv(F.substring(F.md5(key.cast("string").cast("binary")), 1, 8), 16, 10).cast("long") % shards).cast("int")

@@ -6,18 +6,22 @@ What a shard holds between texts is four numbers; examples leave as soon as they
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.functions.hashrand import draw
-from textloom.operators.config import Objective, objective
-from textloom.operators.spans import ids_of, one_example
+from textloom.operators.config import Objective, normalised, objective
+from textloom.operators.spans import CHARACTERS, one_example
 
 PLACED = "shard int, doc_id long, ex_seq long, objective string, pack_id long, segment int, start_off int, n_input int, n_label int, input_ids array<int>, label_ids array<int>, unused long, status string"
+MIXTURES = "mixture int, from_batch long, obj_idx int, name string, prob double, overrides string"
 STATE = "seq long, pack long, used int, segment int"
 
 
@@ -38,6 +42,7 @@ class Run:
     min_room: int = 64
     seed: int = 0
     strict: bool = True
+    tok: object = CHARACTERS
 
     def __post_init__(self) -> None:
         if not 0 <= self.min_room < self.length:
@@ -46,28 +51,13 @@ class Run:
             raise ValueError("a mixture has entries")
 
 
-def _plain(text: str, entry: Objective, room: int) -> dict:
-    p = len(entry.prompt)
-    if entry.name == "prefix_language_modeling":
-        used = text[: max(0, room - p)]
-        m = len(used)
-        if m < 2:
-            return {"status": "fail", "input_ids": [], "label_ids": [], "unused_text": text}
-        k = max(1, min(int(m * float(entry.options["prefix_fraction"])), m - 1))
-        return {"status": "ok", "input_ids": ids_of(entry.prompt + used[:k]), "label_ids": ids_of(used[k:]), "unused_text": text[m:]}
-    used = text[: max(0, (room - p) // 2)]
-    return {"status": "ok", "input_ids": ids_of(entry.prompt + used), "label_ids": ids_of(used), "unused_text": text[len(used) :]}
-
-
-def _example(text: str, entry: Objective, room: int, key: str) -> dict:
+def _example(text: str, entry: Objective, room: int, key: str, tok) -> dict:
     options = entry.options
     if 0 <= room < int(options["minimum_remaining_space"]):
         return {"status": "not_enough_space"}
     if len(text) < int(options["minimum_sequence_length"]) or 0 <= int(options["maximum_sequence_length"]) < len(text):
         return {"status": "error"}
-    if entry.name in ("next_token_prediction", "copying", "prefix_language_modeling"):
-        return _plain(text, entry, room)
-    return one_example(text, objective(entry.name, entry.prob, **dict(entry.overrides), remaining_space=room), key)
+    return one_example(text, replace(entry, overrides=(*entry.overrides, ("remaining_space", room))), key, tok=tok)
 
 
 class ShardFold:
@@ -101,7 +91,7 @@ class ShardFold:
         left: str | None = text
         while left:
             entry = self.choose()
-            got = _example(left, entry, run.length - self.used, f"{self.shard}:{self.seq}")
+            got = _example(left, entry, run.length - self.used, f"{self.shard}:{self.seq}", run.tok)
             if got["status"] == "not_enough_space" and self.used:
                 self.close()
                 continue
@@ -126,6 +116,10 @@ class ShardFold:
                 self.close()
             left = rest if rest and rest != left else None
 
+    def told(self) -> list[tuple]:
+        """The state as a row of status `state`."""
+        return [(self.shard, None, self.seq, None, self.pack, self.segment, self.used, None, None, None, None, None, "state")]
+
     def failed(self, doc_id: int, reason: str, message: str, name: str | None = None) -> Iterator[tuple]:
         if self.run.strict:
             raise PipelineError(reason, message)
@@ -135,43 +129,90 @@ class ShardFold:
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.strip().split(" ")[0] for c in PLACED.split(",")]
     frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({c: "Int64" for c in ("pack_id", "segment", "start_off", "n_input", "n_label", "unused")})
+    return frame.astype({c: "Int64" for c in ("doc_id", "ex_seq", "pack_id", "segment", "start_off", "n_input", "n_label", "unused")})
+
 
+def fold(texts: DataFrame, run: Run, order: tuple[str, ...] = ("ord",), states: DataFrame | None = None) -> DataFrame:
+    """Placed examples of texts(shard, doc_id, text, and the order columns). A shard is read as sorted batches, never as a whole. states: rows
+    of status `state` from an earlier fold, where its shards go on; with them, the result ends each shard with such a row."""
 
-def fold(texts: DataFrame, run: Run, order: tuple[str, ...] = ("ord",)) -> DataFrame:
-    """Placed examples of texts(shard, doc_id, text, and the order columns). A shard is read as sorted batches, never as a whole."""
+    keeps = states is not None
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at: ShardFold | None = None
         for frame in frames:
             rows: list[tuple] = []
-            for shard, doc_id, text in zip(frame["shard"], frame["doc_id"], frame["text"], strict=True):
+            for shard, doc_id, text, state in zip(frame["shard"], frame["doc_id"], frame["text"], frame["state"], strict=True):
                 if at is None or at.shard != shard:
+                    rows += at.told() if at and keeps else ()
                     at = ShardFold(run, int(shard))
+                if state is not None:
+                    at = ShardFold(run, int(shard), tuple(map(int, state)))
+                    continue
                 rows += at.feed(int(doc_id), text)
                 if len(rows) > 2000:
                     yield _frame(rows)
                     rows = []
             yield _frame(rows)
+        if at and keeps:
+            yield _frame(at.told())
 
-    return texts.repartition("shard").sortWithinPartitions("shard", *order).select("shard", "doc_id", "text").mapInPandas(walk, PLACED)
+    keys = [c for c in dict.fromkeys([*order, "doc_id"]) if c != "text"]
+    kept = texts.select("shard", *keys, "text").withColumn("state", F.lit(None).cast("array<long>"))
+    if states is not None:  # a shard's state comes before its texts
+        before = states.where("status = 'state'").select("shard", *(F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in keys), F.lit(None).cast("string").alias("text"), F.array("ex_seq", "pack_id", F.col("start_off").cast("long"), F.col("segment").cast("long")).alias("state"))
+        kept = kept.unionByName(before)
+    return kept.withColumn("_later", F.col("state").isNull()).repartition("shard").sortWithinPartitions("shard", "_later", *order).select("shard", "doc_id", "text", "state").mapInPandas(walk, PLACED)
 
 
 def stream(texts: DataFrame, run: Run) -> DataFrame:
-    """The same over a stream: a shard's four numbers are its state. Within a micro-batch, texts go by doc_id."""
+    """The same over a stream: a shard's four numbers are its state. Within a micro-batch, a shard's texts go by doc_id (then text), whatever the
+    order they came in; so a micro-batch's texts of one shard are held together."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at = ShardFold(run, int(key[0]), tuple(state.get) if state.exists else (0, 0, 0, 0))
-        for frame in frames:
-            rows: list[tuple] = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                rows += at.feed(int(doc_id), text)
-            yield _frame(rows)
+        every = pd.concat(list(frames)).sort_values(["doc_id", "text"], kind="stable")
+        rows: list[tuple] = []
+        for doc_id, text in zip(every["doc_id"], every["text"], strict=True):
+            rows += at.feed(int(doc_id), text)
+            if len(rows) > 2000:
+                yield _frame(rows)
+                rows = []
+        yield _frame(rows)
         state.update(at.state)
 
     return texts.select("shard", "doc_id", "text").groupBy("shard").applyInPandasWithState(step, PLACED, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def publish_mixture(spark: SparkSession, folder: str, entries: list[Objective], version: int, from_batch: int) -> None:
+    """Adds a mixture to the table of mixtures in `folder`: micro-batches from `from_batch` on draw from it, until a later one takes over."""
+    rows = [(version, from_batch, i, e.name, e.prob, json.dumps(dict(e.overrides), default=str)) for i, e in enumerate(normalised(entries))]
+    spark.createDataFrame(rows, MIXTURES).coalesce(1).write.mode("overwrite").parquet(f"{folder}/mixtures/version={version}")
+
+
+def mixture_at(spark: SparkSession, folder: str, batch: int) -> tuple[int, tuple[Objective, ...]]:
+    """The version and entries that a micro-batch draws from. A mixture has a few dozen rows."""
+    rows = spark.read.schema(MIXTURES).parquet(f"{folder}/mixtures/version=*").where(F.col("from_batch") <= batch).orderBy("from_batch", "mixture", "obj_idx").collect()
+    if not rows:
+        raise PipelineError("no_mixture", f"none is published for micro-batch {batch}")
+    last = rows[-1]["mixture"]
+    return last, tuple(objective(r["name"], r["prob"], **json.loads(r["overrides"])) for r in rows if r["mixture"] == last)
+
+
+def stream_with_mixtures(texts: DataFrame, run: Run, folder: str) -> DataStreamWriter:
+    """A stream whose mixture may change between micro-batches. Each writes its rows, with the mixture's version, to `folder`/placed/batch=N,
+    and its shards' states among them, from which the next goes on; a repeated micro-batch overwrites its own rows with the same ones."""
+
+    def step(frame: DataFrame, batch: int) -> None:
+        spark = frame.sparkSession
+        version, entries = mixture_at(spark, folder, batch)
+        states = spark.createDataFrame([], PLACED) if batch == 0 else spark.read.schema(PLACED).parquet(f"{folder}/placed/batch={batch - 1}")
+        placed = fold(frame, replace(run, entries=entries), ("doc_id", "text"), states)
+        placed.withColumn("mixture", F.lit(version)).write.mode("overwrite").parquet(f"{folder}/placed/batch={batch}")
+
+    return texts.writeStream.foreachBatch(step)
+
+
 def batches_of(rows: DataFrame, most: int = -1) -> Iterator[dict]:
     """Packed rows by batch on the driver, one batch at a time (rows sorted by shard, batch_id, row_in_batch); at most `most`."""
     import numpy as np
