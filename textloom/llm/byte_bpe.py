@@ -14,7 +14,6 @@ new column's name with one of theirs is the caller's error and raises.
 from __future__ import annotations
 
 import base64
-import gc
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import LONGEST_KEY, PIECES, WHITE_SPACE, read, slices
+from textloom.llm._common import LONGEST_KEY, PIECES, WHITE_SPACE, lean, read, slices
 
 #: Pre-tokens of over so many bytes get a tree of their own.
 WIDE = 32
@@ -215,13 +214,12 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", into: str
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType(), False), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # there are no cycles here, only many small objects
         encoder = Encoder(_merges(path, pattern))
         for batch in slices(batches, column=text):
             ids = _lists(encoder.encode(batch.column(text).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -237,7 +235,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", into: str =
             out = [merges.decode(np.asarray(v.values)).tobytes() if v.is_valid else b"" for v in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=pa.binary())], names=[*batch.schema.names, into])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

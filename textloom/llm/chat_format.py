@@ -14,7 +14,6 @@ so its turns meet in one task; turns are encoded before that, wherever they are.
 
 from __future__ import annotations
 
-import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import read, slices
+from textloom.llm._common import lean, read, slices
 from textloom.llm._public_bpe import PublicBpe, public_bpe
 
 #: The control strings, in the order of their reserved ids, which follow the vocabulary's.
@@ -59,7 +58,6 @@ def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
     """A row per turn with the ids of its two segments, wherever its row lies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         coder = public_bpe(path, pattern)
         for batch in slices(batches):
             roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
@@ -69,7 +67,7 @@ def encode_turns(turns: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["conv_id", "turn", "role", "role_ids", "text_ids"],
             )
 
-    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, f"conv_id {_kind(turns)}, turn long, role string, role_ids binary, text_ids binary")
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(run), f"conv_id {_kind(turns)}, turn long, role string, role_ids binary, text_ids binary")
 
 
 def assemble(coded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -100,7 +98,7 @@ def assemble(coded: DataFrame, path: str, pattern: str) -> DataFrame:
                 masks.append(np.cumsum(steps[:-1], dtype=np.int8))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(ids, type=pa.list_(pa.int32())), pa.array(masks, type=pa.list_(pa.int8()))], names=["conv_id", "input_ids", "loss_mask"])
 
-    return whole.mapInArrow(run, FORMATTED.format(_kind(coded)))
+    return whole.mapInArrow(lean(run), FORMATTED.format(_kind(coded)))
 
 
 def format_conversations(turns: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -134,7 +132,7 @@ def parse_conversations(formatted: DataFrame, path: str, pattern: str) -> DataFr
             types = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), *(pa.array([r[i] for r in rows], type=t) for i, t in enumerate(types))], names=["conv_id", *names])
 
-    return formatted.mapInArrow(run, PARSED.format(_kind(formatted)))
+    return formatted.mapInArrow(lean(run), PARSED.format(_kind(formatted)))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,6 @@ bits. An empty table gives no rows. Other columns are not read. Documents that d
 
 from __future__ import annotations
 
-import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm._common import Memo, cut, read, slices
+from textloom.llm._common import Memo, cut, lean, read, slices
 
 #: Bytes of context.
 ORDER = 5
@@ -133,7 +132,6 @@ def _gatherer(head: np.ndarray):
     each once or a few times; those of the head (sorted) it tells once per task, with no block."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         often = np.zeros(len(head), dtype=np.int64)
         place_of = {k: i for i, k in enumerate(head.tolist()) if k < 0}
         key_of = Memo(_word_key, 200_000)
@@ -185,7 +183,7 @@ def _head(dealt: DataFrame) -> np.ndarray:
     share = min(1.0, HEAD_ROWS / max(1, dealt.count()))
     some = dealt.where(F.octet_length("text") <= HEAD_LONGEST).where(F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     nothing = np.zeros(0, dtype=np.int64)
-    counts = some.select("text", F.lit(True).alias("learn"), "run", "block").mapInArrow(_gatherer(nothing), "block long, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = some.select("text", F.lit(True).alias("learn"), "run", "block").mapInArrow(lean(_gatherer(nothing)), "block long, key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counts = cut(counts.where("n > 1"), "lm-head")
     best = [counts.where(which).orderBy(F.desc("n"), "key").limit(most).select("key").toPandas()["key"].to_numpy(np.int64) for which, most in (("key >= 0", HEAD), ("key < 0", HEAD_WORDS))]
     return np.sort(np.concatenate(best))
@@ -232,7 +230,7 @@ def score(docs: DataFrame, learn: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     piece = F.pmod(F.xxhash64("row"), F.col("pieces"))
     dealt = stored.join(F.broadcast(heavy) if heavy.count() <= BROADCAST else heavy, "run", "left").select("doc_id", "text", "learn", "run", F.when(F.col("pieces").isNull(), F.col("run")).otherwise(F.xxhash64("run", piece)).alias("block"))
     head = _head(dealt)
-    held = cut(dealt.select("text", "learn", "run", "block").mapInArrow(_gatherer(head), "block long, key long, n long"), "lm-gathered")
+    held = cut(dealt.select("text", "learn", "run", "block").mapInArrow(lean(_gatherer(head)), "block long, key long, n long"), "lm-gathered")
     pairs, words = held.where("key >= 0"), held.where("key < 0")
     codes = cut(code_lengths(pairs.groupBy(F.col("key").alias("code")).agg(F.sum("n").alias("n"))), "lm-codes")
     given = spark.createDataFrame(pd.DataFrame({"code": head}), "code long")  # HEAD + HEAD_WORDS rows at most
@@ -243,7 +241,6 @@ def score(docs: DataFrame, learn: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     book = pairs.where("block is not null").join(codes.select(F.col("code").alias("key"), "value"), "key").select("block", "key", "value").unionByName(counted)
 
     def rate(mine: pa.Table, has: pa.Table) -> pa.Table:
-        gc.disable()
         keys, values = np.concatenate([head_keys, has.column("key").to_numpy()]), np.concatenate([head_values, has.column("value").to_numpy()])
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]

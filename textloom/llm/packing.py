@@ -14,7 +14,6 @@ interchangeable. An empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from textloom.llm._common import cut, read, slices
+from textloom.llm._common import cut, lean, read, slices
 from textloom.llm._public_bpe import public_bpe
 
 SEQUENCE = 1024
@@ -43,7 +42,6 @@ def pieces(docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, e
     step = 4 * sequence
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         coder = public_bpe(path, pattern)
         for batch in slices(batches):
             rows: list[list] = [[] for _ in schema.names]
@@ -55,7 +53,7 @@ def pieces(docs: DataFrame, path: str, pattern: str, sequence: int = SEQUENCE, e
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], type=kind)] + [pa.array(c, type=pa.int64()) for c in rows[1:5]] + [pa.array(c, type=pa.list_(pa.int32())) for c in rows[5:]], names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE) -> list[tuple[tuple[int, ...], int]]:
@@ -125,7 +123,7 @@ def pack(cut_pieces: DataFrame, sequence: int = SEQUENCE, buckets: int | None =
             kept = [batch.column(c) for c in schema.names[:-2]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(off)], names=schema.names)
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(lean(place), schema)
 
 
 def sequences(packed: DataFrame, sequence: int = SEQUENCE, pad_id: int = 0) -> DataFrame:

@@ -16,7 +16,6 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import PIECES, read, slices
+from textloom.llm._common import PIECES, lean, read, slices
 from textloom.llm._public_bpe import PublicBpe, public_bpe
 
 #: Pieces that one leaf may hold before the leaves are laid out anew.
@@ -111,7 +110,6 @@ def build_index(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id"
     """doc_id, text, chars and tokens of the leaves; edits: a column of edits to carry along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         coder = public_bpe(path, pattern)
         for batch in slices(batches):
             cut = [PIECES.findall(t) for t in batch.column("text").to_pylist()]
@@ -119,7 +117,7 @@ def build_index(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(chars, type=pa.list_(pa.int32())), pa.array(tokens, type=pa.list_(pa.int32())), batch.column("edits")], names=["doc_id", "text", "leaf_chars", "leaf_tokens", "edits"])
 
     edits = F.lit(None) if edits is None else edits
-    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), edits.cast(EDIT).alias("edits")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text string, leaf_chars array<int>, leaf_tokens array<int>, edits {EDIT}")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), edits.cast(EDIT).alias("edits")).mapInArrow(lean(run), f"doc_id {docs.schema[doc_id].dataType.simpleString()}, text string, leaf_chars array<int>, leaf_tokens array<int>, edits {EDIT}")
 
 
 def attach_edits(index: DataFrame, edits: DataFrame) -> DataFrame:
@@ -134,7 +132,6 @@ def recount(index: DataFrame, path: str, pattern: str) -> DataFrame:
     schema = f"doc_id {index.schema['doc_id'].dataType.simpleString()}, text string, leaf_chars array<int>, leaf_tokens array<int>, n_edits long, tokens_before long, n_tokens long, encoded_again long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         coder = public_bpe(path, pattern)
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
@@ -150,7 +147,7 @@ def recount(index: DataFrame, path: str, pattern: str) -> DataFrame:
             types = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, type=t) for c, t in zip(out, types, strict=True))], names=["doc_id", "text", "leaf_chars", "leaf_tokens", "n_edits", "tokens_before", "n_tokens", "encoded_again"])
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(lean(run), schema)
 
 
 def planned_edits(doc_id: str = "doc_id", text: str = "text", n: int = EDITS) -> Column:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm._common import cut, read, scratch, slices
+from textloom.llm._common import cut, lean, read, scratch, slices
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -142,7 +142,7 @@ def write_monolithic(planned: DataFrame, folder: str) -> DataFrame:
         _publish(path, fill)
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], type=pa.int64())], names=["file", "n"])
 
-    return planned.mapInArrow(run, "file string, n long")
+    return planned.mapInArrow(lean(run), "file string, n long")
 
 
 def _inflated(stream, size: int) -> Iterator[bytes]:
@@ -211,7 +211,7 @@ def normalise(files: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(found)), pa.array([o for o, _, _ in found], type=pa.int64()), pa.array([n for _, n, _ in found], type=pa.int64()), pa.array([r for _, _, r in found])], names=["file", "offset", "length", "record_id"])
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("file").repartition(n, "file").mapInArrow(run, INDEX)
+    return files.select("file").repartition(n, "file").mapInArrow(lean(run), INDEX)
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
@@ -234,7 +234,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
 
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = index.withColumn("range", F.floor(F.col("offset") / RANGE_BYTES)).repartition(n, "file", "range").sortWithinPartitions("file", "offset")
-    return ranges.select("file", "offset", "length").mapInArrow(run, RECORDS)
+    return ranges.select("file", "offset", "length").mapInArrow(lean(run), RECORDS)
 
 
 def archive(pages: DataFrame, folder: str) -> DataFrame:
