@@ -22,7 +22,6 @@ unread; clashing names of new columns raise.
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from textloom.llm._common import fresh, read, slices
+from textloom.llm._common import fresh, lean, read, slices
 
 SAMPLE = 250
 SAMPLE_CHARS = 3000
@@ -159,6 +158,30 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndar
     return both / both.sum(axis=1, keepdims=True), ahead, pull * back
 
 
+def marginals(emit: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The label probabilities alone, with one array beside the emissions: the backward messages are kept for one step only."""
+    pull = np.exp(emit - emit.max(axis=1, keepdims=True))
+    step, first = np.exp(transitions), np.exp(start)
+    begins = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    begins, lengths = begins[order], lengths[order]
+    active = np.searchsorted(-lengths, -np.arange(1, (lengths[0] if len(lengths) else 0) + 1), side="right")
+    chance = np.empty_like(pull)
+    for t, k in enumerate(active.tolist()):
+        rows = begins[:k] + t
+        now = pull[rows] * (first if t == 0 else chance[rows - 1] @ step)
+        chance[rows] = now / now.sum(axis=1, keepdims=True)
+    back = np.ones((len(lengths), pull.shape[1]))  # of each sequence, at its current place
+    for t in range(len(active) - 2, -1, -1):
+        k = active[t + 1]
+        rows = begins[:k] + t
+        now = (pull[rows + 1] * back[:k]) @ step.T
+        back[:k] = now / now.sum(axis=1, keepdims=True)
+        both = chance[rows] * back[:k]
+        chance[rows] = both / both.sum(axis=1, keepdims=True)
+    return chance
+
+
 @dataclass(frozen=True)
 class Field:
     """Labelled sequences: features of distinct words, the words (ids) and labels (gold) of all sequences end to end, and their lengths."""
@@ -334,9 +357,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
         return float(e[0] / e[1] - model.usual + MARGIN + SHORT / np.sqrt(e[1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         scorer = _Scorer(model, bool(evidence)) if model else None
-        for batch in slices(batches, chars=1_000_000, column=text):
+        for batch in slices(batches, chars=4_000_000, column=text):
             texts = batch.column(text).to_pylist()
             lists = [words_of(t) if model and len(t or "") <= LONG else [] for t in texts]
             lengths = np.array([len(ws) for ws in lists])
@@ -351,7 +373,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
                     for i, e in zip(some.tolist(), np.add.reduceat(words[:, -2:], np.cumsum(n) - n, axis=0), strict=True):
                         above[i] = lies_above(e)
                     words = words[:, :-2]
-                chance = forward_backward(words, n, model.transitions, model.start)[0]
+                chance = marginals(words, n, model.transitions, model.start)
                 mean = np.add.reduceat(chance, np.cumsum(n) - n, axis=0) / n[:, None]
                 best = mean.argmax(axis=1)
                 score[some] = np.minimum(mean[np.arange(len(some)), best], 1)
@@ -374,7 +396,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tupl
                 columns.append(pa.array(above, type=pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def fold(doc_id: str = "doc_id", folds: int = 5) -> Column:
