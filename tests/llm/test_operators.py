@@ -393,6 +393,7 @@ def test_field_equals_enumeration():
     log_likelihood(weights, trans, start, want)
     emit = language_id._emissions(weights, index, belongs, 5)[ids]
     assert np.allclose(language_id.forward_backward(emit, lengths, trans, start)[0], want)
+    assert np.allclose(language_id.marginals(emit, lengths, trans, start), want)
     one, before = emit[:4], None
     ahead = []
     for part in (one[:2], one[2:3], one[3:]):

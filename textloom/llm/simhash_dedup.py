@@ -25,7 +25,6 @@ are there. An empty table gives no rows. Columns other than doc_id and text are
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import Memo, cut, fresh, read, slices
+from textloom.llm._common import Memo, cut, fresh, lean, read, slices
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -54,8 +53,8 @@ FEW = 6
 SIMILAR_WORDS = 5
 LEAST = (4, 5)
 #: Bands of least hashes. Two sketches (a byte of each least hash) that agree in fewer than AGREE are not of texts of LEAST: of 54 bytes that
-#: agree by 0.8 each, fewer than 27 do in one of some ten million cases.
-BANDS, BAND_ROWS, AGREE = 18, 3, 27
+#: agree by 0.8 each, fewer than 30 do in two of a million cases.
+BANDS, BAND_ROWS, AGREE = 18, 3, 30
 #: Fixed values of the splitmix64 generator: its step and the multipliers of its output.
 STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -98,12 +97,11 @@ def with_fingerprint(docs: DataFrame, into: str, shingle: int = SHINGLE_WORDS, t
     schema = T.StructType([*docs.schema.fields, T.StructField(into, T.LongType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for batch in slices(batches, column=text):
             prints = np.array([fingerprint(t, shingle) for t in batch.column(text).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def _chain_keys() -> list[tuple[int, int]]:
@@ -240,13 +238,12 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
         return edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for part, cuts in _whole_runs(batches, by):
             three = np.array(forest(part, cuts), dtype=np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(three[:, i]) for i in range(3)], names=["seed", "a", "b"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "seed long, a long, b long").distinct()
+    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "seed long, a long, b long").distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -323,7 +320,6 @@ def with_sketches(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     schema = T.StructType([*docs.schema.fields, *schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         hashed = _hasher()
         for batch in slices(batches, 1_000_000):
             node, prints, sets = [], [], []
@@ -345,7 +341,7 @@ def with_sketches(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
             more = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), lists(np.array(prints, dtype=np.uint64).view(np.int64)), lists(bands), pa.array([row.tobytes() for row in sketch], type=pa.binary()), pa.array(sizes)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFrame:
@@ -358,7 +354,6 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFram
     one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         hashed = _hasher()
         last, mine = None, np.zeros(0, dtype=np.uint64)
         for batch in slices(batches, 1_000_000, column="b_text"):
@@ -371,7 +366,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFram
                 holds.append(both * LEAST[1] >= LEAST[0] * (len(mine) + len(others) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(holds)), batch.column("b").filter(pa.array(holds))], names=["a", "b"])
 
-    return cut(pairs.join(two, "b").join(one, "a").sortWithinPartitions("a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long"), "confirmed")
+    return cut(pairs.join(two, "b").join(one, "a").sortWithinPartitions("a").select("a", "b", "a_text", "b_text").mapInArrow(lean(run), "a long, b long"), "confirmed")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame, *columns: Column | str) -> DataFrame:
@@ -388,7 +383,7 @@ def _alike(pairs: DataFrame) -> DataFrame:
             holds = pa.array((one == two).sum(axis=1) >= AGREE)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(holds), batch.column("b").filter(holds)], names=["a", "b"])
 
-    return pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(lean(run), "a long, b long")
 
 
 def band_leads(nodes: DataFrame) -> DataFrame:
@@ -403,18 +398,19 @@ def band_leads(nodes: DataFrame) -> DataFrame:
 
 def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame:
     """(a, b): nodes of different roots that share a bucket and may be similar by their sizes and sketches."""
-    keyed = _rooted(nodes, roots, F.explode("bands").alias("key"), "sketch", "size")
+    short = F.transform("bands", lambda b: F.hash(b))
+    keyed = _rooted(nodes, roots, F.posexplode("bands").alias("band", "key"), short.alias("short"), "sketch", "size")
     mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks"))
     dealt = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     by = ("key", "lo", "hi")
     p, q = LEAST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()
         for part, cuts in _whole_runs(batches, by):
             edges = [np.zeros((0, 2), dtype=np.int64)]
             width = BANDS * BAND_ROWS
             sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, width)
+            short = np.stack(part["short"])
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 low = np.flatnonzero(part["block"][x:y] == part["lo"][x]) + x
                 high = low if part["lo"][x] == part["hi"][x] else np.flatnonzero(part["block"][x:y] == part["hi"][x]) + x
@@ -424,14 +420,16 @@ def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFram
                     if high is low:
                         near &= part["node"][some][:, None] < part["node"][high]
                     i, j = np.nonzero(near)
-                    agree = (sketch[some[i]] == sketch[high[j]]).sum(axis=1) >= AGREE
-                    edges.append(np.stack([part["node"][some[i][agree]], part["node"][high[j][agree]]], axis=1))
+                    i, j = some[i], high[j]
+                    # a pair is told by the first band that it shares
+                    alike = ((sketch[i] == sketch[j]).sum(axis=1) >= AGREE) & ((short[i] == short[j]).argmax(axis=1) == part["band"][i])
+                    edges.append(np.stack([part["node"][i[alike]], part["node"][j[alike]]], axis=1))
             found = np.concatenate(edges)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = _cells(dealt.select("key", "node", "root", "sketch", "size", "block", "blocks"))
-    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long").distinct()
+    cells = _cells(dealt.select("key", "band", "node", "root", "short", "sketch", "size", "block", "blocks"))
+    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def keep_one_similar(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
