@@ -9,6 +9,7 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import ann, byte_bpe, chat_format, language_id, lm_scoring, packing, quality, simhash_dedup, token_counts, warc
+from textloom.llm import _common, ann, byte_bpe, chat_format, language_id, lm_scoring, packing, quality, simhash_dedup, token_counts, warc
 from textloom.llm._public_bpe import public_bpe
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -225,6 +226,14 @@ def test_links_are_complete_and_never_all_pairs(spark):
         assert sorted(groups.values()) == sorted(mine.values())
 
 
+def test_scratch_is_cleared(spark):
+    simhash_dedup.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")).count()
+    at = Path(_common.shared_dir(spark)) / "textloom"
+    assert len(list(at.glob("edges-*"))) >= 1
+    _common.clear_scratch(spark)
+    assert not at.exists()
+
+
 # ---- 4 --------------------------------------------------------------------------------------------------------------
 def test_warc_round_trip(spark, tmp_path):
     rows = [(i, f"http://e.com/{i}", t) for i, t in enumerate([None, "", "a\r\n\r\nb", "same", "same", "é" * 50000])] + [(3, "u", "same"), (4, "http://e.com/4", "same"), (None, None, "same"), (None, "two", "only null"), (9, 'q"uo\\te\r\nX: y', "z"), (11, "", "e"), (12, "urn:none", "f"), (13, "http://é.de/ a", "g"), (14, None, "h")] + [(None, f"n{i}", "nobody") for i in range(9)]

@@ -52,13 +52,28 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again, so that its lineage ends there and lost executors cost nothing."""
-    path = scratch(df.sparkSession, what)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes df to a path and reads it again."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Writes df to the shared folder and reads it again, so that its lineage ends there and lost executors cost nothing."""
+    return stored(df, scratch(df.sparkSession, what))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all that these operators have left in the shared folder; for use when no result of theirs is still to be read."""
+    discard(spark, f"{shared_dir(spark)}/textloom")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import Memo, cut, fresh, lean, read, slices
+from textloom.llm._common import Memo, cut, discard, fresh, lean, read, scratch, slices, stored
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -248,8 +248,11 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b) that is not the smallest of its component, which is the root.
-    Rounds of large-star and small-star; each is one table in the shared folder."""
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    Rounds of large-star and small-star; each is one table in the shared folder, which the next replaces. Joins on the root of a large
+    component rely on Spark's splitting of skewed partitions."""
+    spark = edges.sparkSession
+    path = scratch(spark, "edges")
+    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), path)
     before = None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -257,7 +260,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        now = cut(small, "edges")
+        old, path = path, scratch(spark, "edges")
+        now = stored(small, path)
+        discard(spark, old)
         n, stars, total = now.agg(F.count(F.lit(1)), F.count_distinct("a"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if n == stars and before == (n, total):
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
