@@ -151,11 +151,12 @@ def test_lm_long_texts_go_in_parts(monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHARS", 50)
     groups = list(lm_scoring._grouped(texts))
     assert len(whole) == len(texts) and len(groups) > 20 and max(sum(len(s) for *_, s in g) for g in groups) < 700
-    codes, rows = (np.concatenate(x) for x in zip(*map(lm_scoring._codes, groups), strict=True))
-    want, owner = lm_scoring._codes(whole)
-    assert (codes == want).all() and (rows == owner).all()
-    words = [[w for g in groups for row, ws, *_ in g if row == i for w in ws] for i in range(len(texts))]
-    assert words == [ws for _, ws, *_ in whole]
+    pieces = [(key[:n], key[n:], rows[:n], rows[n:]) for key, rows, n in map(lm_scoring._keys, groups)]
+    key, rows, n = lm_scoring._keys(whole)
+    for got, want in zip(map(np.concatenate, zip(*pieces, strict=True)), (key[:n], key[n:], rows[:n], rows[n:]), strict=True):
+        assert (got == want).all()
+    words = [w for t in texts for w in [*(t or "").encode().lower().split(), b"\n"]]
+    assert len(key) - n == len(words) and len(set(key[n:].tolist())) == len(set(words)) == len(set(zip(words, key[n:].tolist(), strict=True))) and (key[n:] < 0).all()
 
 
 # ---- 3 --------------------------------------------------------------------------------------------------------------

@@ -22,19 +22,17 @@ bits. An empty table gives no rows. Other columns are not read. Documents that d
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.llm._common import Memo, cut, lean, read, slices
+from textloom.llm._common import cut, lean, read, slices
 
 #: Bytes of context.
 ORDER = 5
@@ -45,7 +43,9 @@ BLOCK_BYTES, BLOCK_ROWS, BROADCAST = 32 << 20, 32_768, 100_000
 #: Pairs and words given to all tasks; rows (by hash) and their longest length in bytes, from which these are chosen.
 HEAD, HEAD_WORDS, HEAD_ROWS, HEAD_LONGEST = 1 << 18, 1 << 16, 2048, 1 << 16
 #: Bytes worked on at once, and pairs and words held before they are told.
-CHARS, HELD = 1_000_000, 1_500_000
+CHARS, HELD = 1_000_000, 1_200_000
+#: Fixed values of the splitmix64 generator: its step and the multipliers of its output.
+STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Fixed value of the base score: what is added to each count.
 ADDED = 0.1
 
@@ -62,22 +62,22 @@ def _segments(text: str | None, most: int = 0) -> Iterator[tuple[list[bytes], bo
     yield raw[at:].split() if at else raw.split(), True
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, list[bytes], bytes, bytes]]:
-    """Texts in order, long ones in several parts: row, words (the end behind the last), the context before the part, its stream."""
+def _parts(texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
+    """Texts in order, long ones in several parts: row, the context before the part, and its stream."""
     for row, text in enumerate(texts):
         lead = END * ORDER
         for words, last in _segments(text):
             stream = b" ".join([*words, END if last else b""])
-            yield row, [*words, END] if last else words, lead, stream
+            yield row, lead, stream
             lead = (lead + stream)[-ORDER:]
 
 
-def _grouped(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes], bytes, bytes]]]:
+def _grouped(texts: list[str | None]) -> Iterator[list[tuple[int, bytes, bytes]]]:
     """The parts in lists of about CHARS bytes."""
     some, size = [], 0
     for part in _parts(texts):
         some.append(part)
-        size += len(part[3])
+        size += len(part[2])
         if size >= CHARS:
             yield some
             some, size = [], 0
@@ -85,40 +85,72 @@ def _grouped(texts: list[str | None]) -> Iterator[list[tuple[int, list[bytes], b
         yield some
 
 
-def _codes(parts: list[tuple[int, list[bytes], bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """For every symbol of some parts, context and symbol as one number, and the row it is in."""
-    data = np.frombuffer(b"".join(x for _, _, lead, stream in parts for x in (lead, stream)), dtype=np.uint8)
+def _keys(parts: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Context and symbol as one number for every symbol of some parts and, behind them, a negative key for every word (END is one);
+    the row of each; and the number of the former."""
+    data = np.frombuffer(b"".join(x for _, lead, stream in parts for x in (lead, stream)), dtype=np.uint8)
     code = np.zeros(len(data) - ORDER, dtype=np.int64)
     for k in range(ORDER + 1):
         code <<= 8
         code |= data[k : len(data) - ORDER + k]
-    sizes = [len(stream) for *_, stream in parts]
+    sizes = np.array([len(stream) for *_, stream in parts])
     place = np.repeat(np.arange(len(parts)), sizes)
     # the symbols of a part stand behind its own lead and the leads and streams before it
-    return code[np.arange(len(place)) + ORDER * place], np.repeat([row for row, *_ in parts], sizes)
+    code = code[np.arange(len(place)) + ORDER * place]
+    owner = np.array([row for row, *_ in parts])[place]
+    begin, end = _word_places(code.astype(np.uint8), sizes)
+    return np.concatenate([code, _word_keys(code.astype(np.uint8), begin, end)]), np.concatenate([owner, owner[begin]]), len(code)
 
 
-def _word_key(word: bytes) -> int:
-    """A negative number for a word; codes of pairs are not negative."""
-    return -1 - (xxhash.xxh64_intdigest(word) >> 1)
+def _word_places(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last places of the runs of bytes other than blanks, each within one part."""
+    inside = np.concatenate([[False], symbols != 32, [False]])
+    new = np.zeros(len(symbols) + 1, dtype=bool)
+    new[np.cumsum(sizes)[:-1]] = True  # a part begins here
+    return np.flatnonzero(inside[1:-1] & (~inside[:-2] | new[:-1])), np.flatnonzero(inside[1:-1] & (~inside[2:] | new[1:]))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * MIX_ONE
+    x = (x ^ (x >> np.uint64(27))) * MIX_TWO
+    return x ^ (x >> np.uint64(31))
+
+
+#: For the hash of a word: a number for each byte, and an odd base with its inverse modulo 2^64.
+BYTES = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(STEP))
+BASE, INVERSE = np.uint64(STEP), np.uint64(pow(STEP, -1, 1 << 64))
+
+
+def _word_keys(symbols: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Negative keys of words: polynomials of their bytes, as differences of prefix sums, brought to the same power and mixed."""
+    n = len(symbols)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[symbols] * np.cumprod(np.full(n, BASE)))])
+    value = (sums[end + 1] - sums[begin]) * np.cumprod(np.full(n, INVERSE))[begin]
+    return -1 - (_mixed(value) >> np.uint64(1)).astype(np.int64)
 
 
 class _Told:
-    """What a block has gathered and not told yet."""
+    """What a block has gathered and not told yet: keys and counts, the first of `parts` summed up, the others to be."""
 
     def __init__(self, block: int):
-        self.block, self.codes, self.words, self.size = block, [], Counter(), 0
+        self.block, self.parts, self.size = block, [], 0
 
     def add(self, found: np.ndarray, n: np.ndarray) -> None:
-        self.codes.append(pd.Series(n, index=found))
-        if len(self.codes) > 5:
-            self.codes = [pd.concat(self.codes).groupby(level=0, sort=False).sum()]
-        self.size = sum(map(len, self.codes)) + len(self.words)
+        self.parts.append((found, n))
+        if sum(len(k) for k, _ in self.parts[1:]) > max(200_000, len(self.parts[0][0])):
+            self.sum_up()
+        self.size = sum(len(k) for k, _ in self.parts)
+
+    def sum_up(self) -> None:
+        key, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order = np.argsort(key)
+        key, n = key[order], n[order]
+        first = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
+        self.parts = [(key[first], np.add.reduceat(n, first) if len(first) else n)]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        total = pd.concat(self.codes).groupby(level=0, sort=False).sum()
-        key = np.concatenate([total.index.to_numpy(np.int64), np.fromiter(self.words, dtype=np.int64, count=len(self.words))])
-        return _rows(self.block, key, np.concatenate([total.to_numpy(np.int64), np.fromiter(self.words.values(), dtype=np.int64, count=len(self.words))]))
+        self.sum_up()
+        return _rows(self.block, *self.parts[0])
 
 
 def _rows(block: int | None, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -133,8 +165,6 @@ def _gatherer(head: np.ndarray):
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.zeros(len(head), dtype=np.int64)
-        place_of = {k: i for i, k in enumerate(head.tolist()) if k < 0}
-        key_of = Memo(_word_key, 200_000)
         now, open_now = None, {}
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -154,21 +184,14 @@ def _gatherer(head: np.ndarray):
                 learn = learned[rows]
                 for parts in _grouped([texts[i] for i in rows]):
                     mine = open_now.setdefault(block, _Told(block))
-                    code, owner = _codes(parts)
-                    inverse, found = pd.factorize(code)
+                    key, owner, _ = _keys(parts)
+                    inverse, found = pd.factorize(key)
                     n = np.bincount(inverse, weights=learn[owner], minlength=len(found)).astype(np.int64)
                     if len(head):
                         at = np.minimum(np.searchsorted(head, found), len(head) - 1)
                         known = head[at] == found
                         often[at[known]] += n[known]
                         found, n = found[~known], n[~known]
-                    for row, words, *_ in parts:
-                        for w, c in Counter(words).items():
-                            k = key_of[w]
-                            if (i := place_of.get(k)) is None:
-                                mine.words[k] += c * int(learn[row])
-                            else:
-                                often[i] += c * learn[row]
                     mine.add(found, n)
                     if sum(t.size for t in open_now.values()) > HELD:
                         yield from told()
@@ -244,24 +267,19 @@ def score(docs: DataFrame, learn: str, block_bytes: int = BLOCK_BYTES) -> DataFr
         keys, values = np.concatenate([head_keys, has.column("key").to_numpy()]), np.concatenate([head_values, has.column("value").to_numpy()])
         order = np.argsort(keys, kind="stable")
         keys, values = keys[order], values[order]
-        key_of = Memo(_word_key, 200_000)
-
-        def of(found: np.ndarray) -> np.ndarray:
-            place = np.searchsorted(keys, found)
-            if (place == len(keys)).any() or (keys[place] != found).any():
-                raise ValueError("a block holds pairs or words that it did not tell of")
-            return values[place]
 
         out: list[np.ndarray] = []
         for batch in slices(mine.select(["text"]).to_batches(), CHARS):
             rows = np.zeros((4, batch.num_rows))
             for parts in _grouped(batch.column("text").to_pylist()):
-                code, owner = _codes(parts)
-                inverse, found = pd.factorize(code)
-                rows[3] += np.bincount(owner, weights=of(found)[inverse], minlength=batch.num_rows)
-                owner = np.repeat([row for row, *_ in parts], [len(ws) for _, ws, *_ in parts])
-                inverse, found = pd.factorize(np.fromiter((key_of[w] for _, ws, *_ in parts for w in ws), dtype=np.int64, count=len(owner)))
-                c = of(found)[inverse]
+                key, owner, n = _keys(parts)
+                inverse, found = pd.factorize(key)
+                place = np.searchsorted(keys, found)
+                if (place == len(keys)).any() or (keys[place] != found).any():
+                    raise ValueError("a block holds pairs or words that it did not tell of")
+                value = values[place][inverse]
+                rows[3] += np.bincount(owner[:n], weights=value[:n], minlength=batch.num_rows)
+                owner, c = owner[n:], value[n:]
                 for i, each in enumerate((None, c > 0, np.log10(c + ADDED))):
                     rows[i] += np.bincount(owner, weights=each, minlength=batch.num_rows)
             out.append(rows)
