@@ -26,6 +26,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -194,12 +195,18 @@ class Field:
     n: int
     m: int
 
-    def gradient(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The gradient of the log-likelihood of the labels by weights, transitions and start: what is seen less what is expected."""
+    @cached_property
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where sequences begin, the words behind the first, and how often each pair of labels is seen."""
         first = np.cumsum(self.lengths) - self.lengths
         later = np.setdiff1d(np.arange(len(self.ids)), first)
         seen = np.zeros((self.m, self.m))
         np.add.at(seen, (self.gold[later - 1], self.gold[later]), 1)
+        return first, later, seen
+
+    def gradient(self, weights: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The gradient of the log-likelihood of the labels by weights, transitions and start: what is seen less what is expected."""
+        first, later, seen = self.places
         emit = _emissions(weights, self.index, self.belongs, self.n)[self.ids]
         chance, ahead, pulled = forward_backward(emit, self.lengths, trans, start)
         off = -chance
