@@ -44,6 +44,8 @@ def test_buckets_of_many_texts_are_cut(spark):
     want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and a % 2 == b % 2 and 7 not in (a, b) and root(a) != root(b)}
     for cell in (4, 2048):
         assert {tuple(sorted(r)) for r in simhash_dedup.band_pairs(nodes, roots, cell=cell).collect()} == want
+    best = simhash_dedup.band_pairs(nodes, roots, cell=4, best=True).collect()
+    assert len({(min(root(a), root(b)), max(root(a), root(b))) for a, b in best}) == len(best) == len({tuple(sorted((root(a), root(b)))) for a, b in want})
 
 
 def test_unrelated_long_texts_over_few_words_stay(spark):

@@ -401,8 +401,18 @@ def band_leads(nodes: DataFrame) -> DataFrame:
     return _alike(pairs.join(one, "a").join(two, "b").where(f"{q} * least(a_size, b_size) >= {p} * greatest(a_size, b_size)"))
 
 
-def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFrame:
-    """(a, b): nodes of different roots that share a bucket and may be similar by their sizes and sketches."""
+def _best(lo: np.ndarray, hi: np.ndarray, agree: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
+    """Of rows of equal (lo, hi), the one that agrees most."""
+    order = np.lexsort((-agree, hi, lo))
+    lo, hi = lo[order], hi[order]
+    first = np.ones(len(lo), dtype=bool)
+    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    return [lo[first], hi[first], *(x[order][first] for x in (agree, *more))]
+
+
+def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL, best: bool = False) -> DataFrame:
+    """(a, b): nodes of different roots that share a bucket and may be similar by their sizes and sketches. best: for two roots, only the pair
+    whose sketches agree most, as one link joins them."""
     short = F.transform("bands", lambda b: F.hash(b))
     keyed = _rooted(nodes, roots, F.posexplode("bands").alias("band", "key"), short.alias("short"), "sketch", "size")
     mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks"))
@@ -412,29 +422,35 @@ def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, cuts in _whole_runs(batches, by):
-            edges = [np.zeros((0, 2), dtype=np.int64)]
+            edges = [[np.zeros(0, dtype=np.int64)] * 5]
             width = BANDS * BAND_ROWS
             sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, width)
-            short = np.stack(part["short"])
+            short, node, root, size = np.stack(part["short"]), part["node"], part["root"], part["size"]
             for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 low = np.flatnonzero(part["block"][x:y] == part["lo"][x]) + x
                 high = low if part["lo"][x] == part["hi"][x] else np.flatnonzero(part["block"][x:y] == part["hi"][x]) + x
                 for at in range(0, len(low), 64):
                     some = low[at : at + 64]
-                    near = (part["root"][some][:, None] != part["root"][high]) & (q * np.minimum(part["size"][some][:, None], part["size"][high]) >= p * np.maximum(part["size"][some][:, None], part["size"][high]))
+                    near = (root[some][:, None] != root[high]) & (q * np.minimum(size[some][:, None], size[high]) >= p * np.maximum(size[some][:, None], size[high]))
                     if high is low:
-                        near &= part["node"][some][:, None] < part["node"][high]
+                        near &= node[some][:, None] < node[high]
                     i, j = np.nonzero(near)
                     i, j = some[i], high[j]
+                    agree = (sketch[i] == sketch[j]).sum(axis=1)
                     # a pair is told by the first band that it shares
-                    alike = ((sketch[i] == sketch[j]).sum(axis=1) >= AGREE) & ((short[i] == short[j]).argmax(axis=1) == part["band"][i])
-                    edges.append(np.stack([part["node"][i[alike]], part["node"][j[alike]]], axis=1))
-            found = np.concatenate(edges)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                    alike = (agree >= AGREE) & ((short[i] == short[j]).argmax(axis=1) == part["band"][i])
+                    i, j = i[alike], j[alike]
+                    found = [np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), agree[alike], node[i], node[j]]
+                    edges.append(_best(*found) if best else found)
+            found = [np.concatenate(c) for c in zip(*edges, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_best(*found) if best else found)], names=["root_a", "root_b", "agree", "a", "b"])
 
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = _cells(dealt.select("key", "band", "node", "root", "short", "sketch", "size", "block", "blocks"))
-    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "a long, b long").distinct()
+    pairs = cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "root_a long, root_b long, agree long, a long, b long")
+    if best:
+        return pairs.groupBy("root_a", "root_b").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b")
+    return pairs.select("a", "b").distinct()
 
 
 def keep_one_similar(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
@@ -452,9 +468,12 @@ def keep_one_similar(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ..
     near = links(named.select("seed", "fp"), radius).join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
     same = several.join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
     sure = confirmed(near.unionByName(same).unionByName(band_leads(nodes)), nodes, marked)
-    # pairs that are joined need no second look
-    sure = sure.unionByName(confirmed(band_pairs(nodes, components(sure)), nodes, marked))
-    placed = _rooted(nodes, components(sure), "least")
+    # nodes that are joined need no second look; of two groups, first the pair that agrees most, and then, if that is none, all
+    roots = components(sure)
+    for best in (True, False):
+        more = confirmed(band_pairs(nodes, roots, best=best), nodes, marked)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    placed = _rooted(nodes, roots, "least")
     return _least_of(docs, order, marked.select("id", "hash"), placed)
 
 
