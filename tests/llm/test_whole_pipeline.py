@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from textloom.llm import quality, simhash_dedup
+from textloom.llm import quality
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -35,19 +35,6 @@ def test_near_duplicates_of_any_edit_pattern(spark):
     assert len({*range(40)} & set(group)) == 40 and len(set(group)) < 90
 
 
-def test_buckets_of_many_texts_are_cut(spark):
-    sketch = bytes(simhash_dedup.BANDS * simhash_dedup.BAND_ROWS)
-    rows = [(n, [n % 3], sketch if n % 2 else sketch[:10] + b"\1" * 44, 10 + 10 * (n == 7)) for n in range(60)]
-    nodes = spark.createDataFrame(rows, "node long, bands array<long>, sketch binary, size long")
-    roots = spark.createDataFrame([(n, n - 1) for n in range(3, 60, 6)], "node long, root long")
-    root = lambda n: n - 1 if n % 6 == 3 else n
-    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if a % 3 == b % 3 and a % 2 == b % 2 and 7 not in (a, b) and root(a) != root(b)}
-    for cell in (4, 2048):
-        assert {tuple(sorted(r)) for r in simhash_dedup.band_pairs(nodes, roots, cell=cell).collect()} == want
-    best = simhash_dedup.band_pairs(nodes, roots, cell=4, best=True).collect()
-    assert len({(min(root(a), root(b)), max(root(a), root(b))) for a, b in best}) == len(best) == len({tuple(sorted((root(a), root(b)))) for a, b in want})
-
-
 def test_unrelated_long_texts_over_few_words_stay(spark):
     rng = np.random.default_rng(8)
     long = [" ".join(f"w{i}" for i in rng.integers(0, 3000, n)) for n in (20_000, 20_000, 10_000, 10_000, 5_000)]

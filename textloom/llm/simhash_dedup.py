@@ -13,10 +13,8 @@ large-star and small-star joins over tables in the shared folder; only counts re
 
 Four bits are narrow for edited copies: two texts whose five-word shingles agree by 0.8 differ in ten bits or so of a shingle
 fingerprint. `keep_one_similar`, the pipeline's stage, therefore takes fingerprints of the set of a text's words, which edits move little,
-and takes links within the radius as candidates only. To them it adds texts that agree in one of BANDS groups of BAND_ROWS least hashes of
-their five-word shingles, which a pair of LEAST or more does but for (1 - 0.8^3)^18 = 2.5 in a million, whatever the edit. Each
-candidate is confirmed by the similarity of the two sets of shingles. Within a band's bucket texts are first held against one of
-them; only those that this does not join, against each other, by sketches and in cells of bounded size.
+and takes links within the radius as candidates only. To them it adds the banded candidates of `odd_sketch`, whatever the edit was. Each candidate is
+confirmed by the similarity of the two sets of shingles.
 
 Defined results: a null or wordless text has the fingerprint 0, which links like any other. Null doc_ids are ignored when the
 smallest is sought; a component of null ids has a null component_id. Repeated rows come back as often as they
@@ -34,7 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import Memo, cut, discard, fresh, lean, read, scratch, slices, stored
+from textloom.llm import odd_sketch
+from textloom.llm._common import cut, fresh, lean, read, slices
+from textloom.llm._graph import STEP, cells, components, mixed, whole_runs
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -49,14 +49,8 @@ CELL = 2048
 BROADCAST = 200_000
 #: Buckets of at most so many are compared row by row; they hold few pairs.
 FEW = 6
-#: Words of the shingles by which the stage calls two texts similar, and the least Jaccard similarity as a fraction.
-SIMILAR_WORDS = 5
-LEAST = (4, 5)
-#: Bands of least hashes. Two sketches (a byte of each least hash) that agree in fewer than AGREE are not of texts of LEAST: of 54 bytes that
-#: agree by 0.8 each, fewer than 30 do in two of a million cases.
-BANDS, BAND_ROWS, AGREE = 18, 3, 30
-#: Fixed values of the splitmix64 generator: its step and the multipliers of its output.
-STEP, MIX_ONE, MIX_TWO = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: What the stage calls similar: five-word shingles, a Jaccard similarity of 0.8 or more.
+LIKE = odd_sketch.Likeness(5, (4, 5), ascii_only=False)
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -80,16 +74,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE_WORDS, seed: int = SEED
     return _majority(np.fromiter((digest(line[a:b], seed) for a, b in zip(starts[:n], stops, strict=True)), dtype=np.uint64, count=n))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * MIX_ONE
-    x = (x ^ (x >> np.uint64(27))) * MIX_TWO
-    return x ^ (x >> np.uint64(31))
-
-
 def word_fingerprints(hashes: np.ndarray, seeds: tuple[int, ...] = SEEDS) -> list[int]:
     """The SimHashes of a set of word hashes, one per seed, for each of which the hashes are mixed anew; of no word: 0."""
     hashes = np.unique(hashes)
-    return [_majority(_mixed(hashes + np.uint64(seed * STEP % (1 << 64)))) if len(hashes) else 0 for seed in seeds]
+    return [_majority(mixed(hashes + np.uint64(seed * STEP % (1 << 64)))) if len(hashes) else 0 for seed in seeds]
 
 
 def with_fingerprint(docs: DataFrame, into: str, shingle: int = SHINGLE_WORDS, text: str = "text") -> DataFrame:
@@ -170,38 +158,6 @@ def _forest(a: np.ndarray, b: np.ndarray | None, start: int, radius: int) -> lis
     return edges
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
-    """Sorted batches as arrays of whole runs of rows equal in `by`, and where runs begin (and the last ends)."""
-    rest = None
-
-    def cuts(part: dict[str, np.ndarray]) -> np.ndarray:
-        n = len(part[by[0]])
-        turn = np.zeros(n, dtype=bool)
-        for c in by:
-            turn[1:] |= part[c][1:] != part[c][:-1]
-        return np.array([0, *np.flatnonzero(turn).tolist(), n])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        if rest is not None:
-            part = {c: np.concatenate([rest[c], v]) for c, v in part.items()}
-        at = cuts(part)
-        keep = int(at[-2])  # the last run may go on in the next batch
-        if keep:
-            yield {c: v[:keep] for c, v in part.items()}, at[:-1]
-        rest = {c: v[keep:] for c, v in part.items()}
-    if rest is not None:
-        yield rest, cuts(rest)
-
-
-def _cells(rows: DataFrame) -> DataFrame:
-    """Rows with `block` of `blocks` of their bucket, once for each pair of blocks (lo, hi) that they belong to."""
-    pairs = F.expr("transform(sequence(0, blocks - 1), j -> named_struct('lo', least(j, block), 'hi', greatest(j, block)))")
-    return rows.withColumn("cell", F.explode(pairs)).select(*(c for c in rows.columns if c != "blocks"), "cell.lo", "cell.hi")
-
-
 def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFrame:
     """(seed, a, b) pairs of distinct fingerprints (columns seed and fp) of one seed within the radius, whose components are
     those of all such pairs."""
@@ -214,7 +170,7 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
     large = keyed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell // 2)
     large = cut(large.select("kind", "key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks")), "large-buckets")
     dealt = keyed.join(F.broadcast(large) if large.count() <= BROADCAST else large, ["kind", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cells = _cells(dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("fp", "kind", "key", "block", "blocks"))
+    told = cells(dealt.withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).select("fp", "kind", "key", "block", "blocks"))
     by = ("kind", "key", "lo", "hi")
 
     def forest(part: dict[str, np.ndarray], cuts: np.ndarray) -> list[tuple[int, int, int]]:
@@ -238,36 +194,12 @@ def links(prints: DataFrame, radius: int = RADIUS, cell: int = CELL) -> DataFram
         return edges
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cuts in _whole_runs(batches, by):
+        for part, cuts in whole_runs(batches, by):
             three = np.array(forest(part, cuts), dtype=np.uint64).reshape(-1, 3).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(three[:, i]) for i in range(3)], names=["seed", "a", "b"])
 
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "seed long, a long, b long").distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges (a, b) that is not the smallest of its component, which is the root.
-    Rounds of large-star and small-star; each is one table in the shared folder, which the next replaces. Joins on the root of a large
-    component rely on Spark's splitting of skewed partitions."""
-    spark = edges.sparkSession
-    path = scratch(spark, "edges")
-    now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), path)
-    before = None
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-        old, path = path, scratch(spark, "edges")
-        now = stored(small, path)
-        discard(spark, old)
-        n, stars, total = now.agg(F.count(F.lit(1)), F.count_distinct("a"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if n == stars and before == (n, total):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = (n, total)
-    raise RuntimeError("the components did not settle")
+    return told.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "seed long, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE_WORDS) -> DataFrame:
@@ -294,186 +226,21 @@ def _least_of(docs: DataFrame, order: Column, marked: DataFrame, placed: DataFra
     return found.drop(hashed)
 
 
-#: Odd multipliers: of words by their place in a shingle, and of shingles for each least hash.
-_PLACES = _mixed(np.arange(1, SIMILAR_WORDS + 1, dtype=np.uint64) * np.uint64(STEP)) | np.uint64(1)
-_TURNS = _mixed(np.arange(101, 101 + BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(STEP)) | np.uint64(1)
-
-
-def words_of(text: str | None) -> list[str]:
-    return text.lower().split() if text else []
-
-
-def shingle_hashes(words: np.ndarray) -> np.ndarray:
-    """The set (sorted) of 64-bit hashes of the five-word shingles of a sequence of word hashes; fewer words are one shingle."""
-    k = min(SIMILAR_WORDS, len(words))
-    found = np.full(max(1, len(words) - SIMILAR_WORDS + 1), k, dtype=np.uint64)
-    for i in range(k):
-        found += words[i : i + len(found)] * _PLACES[i]
-    return np.unique(_mixed(found))
-
-
-def _hasher():
-    """A function from words to their hashes."""
-    known = Memo(lambda w: xxhash.xxh64_intdigest(w, SEED), 200_000)
-    return lambda words: np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
-def with_sketches(docs: DataFrame, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
-    """docs (a text column, and others) with `node`, a hash of the text's words; `prints`, the fingerprints of their set; `bands`, a key for
-    each group of least hashes of its shingles; `sketch`, a byte of each of these; and `size`, the number of shingles."""
-    schema = T.StructType.fromDDL("node long, prints array<long>, bands array<long>, sketch binary, size long")
-    schema = T.StructType([*docs.schema.fields, *schema.fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _hasher()
-        for batch in slices(batches, 1_000_000):
-            node, prints, sets = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                node.append(xxhash.xxh64_intdigest(" ".join(words), SEED))
-                hashes = hashed(words)
-                prints.append(word_fingerprints(hashes, seeds))
-                sets.append(shingle_hashes(hashes))
-            sizes = np.array([len(x) for x in sets])
-            every, begin = np.concatenate(sets), np.cumsum(sizes) - sizes
-            least = np.stack([np.minimum.reduceat(every * turn, begin) for turn in _TURNS], axis=1)
-            bands = np.zeros((len(sets), BANDS), dtype=np.uint64)
-            for i in range(BAND_ROWS):
-                bands = _mixed(bands + least[:, i::BAND_ROWS])
-            bands = (bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(STEP)).view(np.int64)
-            sketch = (least >> np.uint64(20)).astype(np.uint8)
-            lists = lambda rows: pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], type=pa.int32()), pa.array(rows.ravel()))
-            more = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), lists(np.array(prints, dtype=np.uint64).view(np.int64)), lists(bands), pa.array([row.tobytes() for row in sketch], type=pa.binary()), pa.array(sizes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=schema.names)
-
-    return docs.mapInArrow(lean(run), schema)
-
-
-def confirmed(pairs: DataFrame, nodes: DataFrame, marked: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have a similarity of LEAST or more; nodes name the row of `marked` that has their text."""
-    pairs = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = cut(nodes.join(asked, "node", "left_semi").select(F.col("least.id").alias("wanted_id"), F.col("least.hash").alias("wanted_hash")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
-    texts = marked.join(wanted, F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("hash") == F.col("wanted_hash")), "left_semi").select("node", "text").dropDuplicates(["node"])
-    one, two = (texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text")) for c in "ab")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _hasher()
-        last, mine = None, np.zeros(0, dtype=np.uint64)
-        for batch in slices(batches, 1_000_000, column="b_text"):
-            ids, firsts, holds = batch.column("a").to_pylist(), batch.column("a_text"), []
-            for i, (a, other) in enumerate(zip(ids, batch.column("b_text").to_pylist(), strict=True)):
-                if a != last:
-                    last, mine = a, shingle_hashes(hashed(words_of(firsts[i].as_py())))
-                others = shingle_hashes(hashed(words_of(other)))
-                both = len(np.intersect1d(mine, others, assume_unique=True))
-                holds.append(both * LEAST[1] >= LEAST[0] * (len(mine) + len(others) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(holds)), batch.column("b").filter(pa.array(holds))], names=["a", "b"])
-
-    return cut(pairs.join(two, "b").join(one, "a").sortWithinPartitions("a").select("a", "b", "a_text", "b_text").mapInArrow(lean(run), "a long, b long"), "confirmed")
-
-
-def _rooted(nodes: DataFrame, roots: DataFrame, *columns: Column | str) -> DataFrame:
-    """Nodes with their roots, which are themselves where `roots` has none."""
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *columns)
-
-
-def _alike(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b, a_sketch, b_sketch), those whose sketches agree in AGREE places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            one, two = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BANDS * BAND_ROWS) for c in ("a_sketch", "b_sketch"))
-            holds = pa.array((one == two).sum(axis=1) >= AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(holds), batch.column("b").filter(holds)], names=["a", "b"])
-
-    return pairs.select("a", "b", "a_sketch", "b_sketch").mapInArrow(lean(run), "a long, b long")
-
-
-def band_leads(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with the least node of each bucket that it is in, if they may be similar by their sizes and sketches."""
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
-    leads = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("most")).where("a < most").select("key", "a")
-    pairs = keyed.join(leads, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    one, two = (nodes.select(F.col("node").alias(c), F.col("sketch").alias(f"{c}_sketch"), F.col("size").alias(f"{c}_size")) for c in "ab")
-    p, q = LEAST
-    return _alike(pairs.join(one, "a").join(two, "b").where(f"{q} * least(a_size, b_size) >= {p} * greatest(a_size, b_size)"))
-
-
-def _best(lo: np.ndarray, hi: np.ndarray, agree: np.ndarray, *more: np.ndarray) -> list[np.ndarray]:
-    """Of rows of equal (lo, hi), the one that agrees most."""
-    order = np.lexsort((-agree, hi, lo))
-    lo, hi = lo[order], hi[order]
-    first = np.ones(len(lo), dtype=bool)
-    first[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-    return [lo[first], hi[first], *(x[order][first] for x in (agree, *more))]
-
-
-def band_pairs(nodes: DataFrame, roots: DataFrame, cell: int = CELL, best: bool = False) -> DataFrame:
-    """(a, b): nodes of different roots that share a bucket and may be similar by their sizes and sketches. best: for two roots, only the pair
-    whose sketches agree most, as one link joins them."""
-    short = F.transform("bands", lambda b: F.hash(b))
-    keyed = _rooted(nodes, roots, F.posexplode("bands").alias("band", "key"), short.alias("short"), "sketch", "size")
-    mixed = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("n") / F.lit(cell // 2)).cast("int").alias("blocks"))
-    dealt = keyed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    by = ("key", "lo", "hi")
-    p, q = LEAST
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, cuts in _whole_runs(batches, by):
-            edges = [[np.zeros(0, dtype=np.int64)] * 5]
-            width = BANDS * BAND_ROWS
-            sketch = np.frombuffer(b"".join(part["sketch"]), dtype=np.uint8).reshape(-1, width)
-            short, node, root, size = np.stack(part["short"]), part["node"], part["root"], part["size"]
-            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                low = np.flatnonzero(part["block"][x:y] == part["lo"][x]) + x
-                high = low if part["lo"][x] == part["hi"][x] else np.flatnonzero(part["block"][x:y] == part["hi"][x]) + x
-                for at in range(0, len(low), 64):
-                    some = low[at : at + 64]
-                    near = (root[some][:, None] != root[high]) & (q * np.minimum(size[some][:, None], size[high]) >= p * np.maximum(size[some][:, None], size[high]))
-                    if high is low:
-                        near &= node[some][:, None] < node[high]
-                    i, j = np.nonzero(near)
-                    i, j = some[i], high[j]
-                    agree = (sketch[i] == sketch[j]).sum(axis=1)
-                    # a pair is told by the first band that it shares
-                    alike = (agree >= AGREE) & ((short[i] == short[j]).argmax(axis=1) == part["band"][i])
-                    i, j = i[alike], j[alike]
-                    found = [np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), agree[alike], node[i], node[j]]
-                    edges.append(_best(*found) if best else found)
-            found = [np.concatenate(c) for c in zip(*edges, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (_best(*found) if best else found)], names=["root_a", "root_b", "agree", "a", "b"])
-
-    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = _cells(dealt.select("key", "band", "node", "root", "short", "sketch", "size", "block", "blocks"))
-    pairs = cells.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(lean(run), "root_a long, root_b long, agree long, a long, b long")
-    if best:
-        return pairs.groupBy("root_a", "root_b").agg(F.max(F.struct("agree", "a", "b")).alias("best")).select("best.a", "best.b")
-    return pairs.select("a", "b").distinct()
-
-
 def keep_one_similar(docs: DataFrame, radius: int = RADIUS, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """The document of the smallest id of each group of near copies, with all its columns. Of rows that share this id, one stays; of a group
     of null ids, one. Groups: texts linked by a similarity of LEAST or more of their five-word shingles, whatever edit made them,
-    also through others. Texts of the same words are one node, named by a 64-bit hash."""
+    also through others. Texts of the same words are one node, named by a 128-bit digest of their shingles."""
     order = F.xxhash64(*(F.col(c) for c in docs.columns))
-    mine = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), order.alias("hash"))
-    marked = cut(with_sketches(mine, seeds), "sketches")
-    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least")
-    nodes = cut(marked.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("prints", "bands", "sketch", "size"))), "nodes")
-    several = nodes.select("node", F.posexplode("prints").alias("seed", "fp"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), order.alias("hash"))
+    marked = cut(odd_sketch.with_sets(rows, LIKE, lambda words: [_signed(x) for x in word_fingerprints(words, seeds)]), "sets")
+    nodes = odd_sketch.named_nodes(marked, "prints")
+    several = nodes.where("size > 0").select("node", F.posexplode("prints").alias("seed", "fp"))
     named = cut(several.groupBy("seed", "fp").agg(F.min("node").alias("name")), "named")
     one, two = (named.select("seed", F.col("fp").alias(x), F.col("name").alias(f"{x}_name")) for x in "ab")
     near = links(named.select("seed", "fp"), radius).join(one, ["seed", "a"]).join(two, ["seed", "b"]).select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
     same = several.join(named, ["seed", "fp"]).where("node <> name").select(F.col("node").alias("a"), F.col("name").alias("b"))
-    sure = confirmed(near.unionByName(same).unionByName(band_leads(nodes)), nodes, marked)
-    # nodes that are joined need no second look; of two groups, first the pair that agrees most, and then, if that is none, all
-    roots = components(sure)
-    for best in (True, False):
-        more = confirmed(band_pairs(nodes, roots, best=best), nodes, marked)
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    placed = _rooted(nodes, roots, "least")
+    roots = odd_sketch.linked(nodes, rows, LIKE, near.unionByName(same))
+    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "least")
     return _least_of(docs, order, marked.select("id", "hash"), placed)
 
 
