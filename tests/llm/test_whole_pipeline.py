@@ -1,5 +1,7 @@
 """The pipeline's stages do their whole job: near copies of any edit pattern, foreign and random texts."""
 
+import time
+
 import numpy as np
 
 import corpus_pipeline
@@ -82,7 +84,9 @@ def test_quality_rules_know_scripts_without_case_and_punctuation(spark):
     measured = frame_of(spark, [HINDI, CHINESE, ARABIC]).select("doc_id", quality.measures().alias("m")).select("doc_id", "m.*").orderBy("doc_id").collect()
     assert [r["lost_share"] for r in measured] == [0, 0, 0] and measured[2]["kept"] and measured[0]["kept"]
     texts = [HINDI, PROSE, PROSE.upper(), words, " ".join(f"w{i} ?!?!?!" for i in range(30)), f"{words}.", CHINESE, ARABIC, "Et. In. Un."]
-    assert kept(spark, texts) == {0, 1, 5, 6, 7, 8}
+    assert kept(spark, texts) == {0, 1, 3, 5, 6, 7, 8}
+    prose = "\n".join([PROSE] * 3)
+    assert kept(spark, [f"{prose}\n{words}\n{words}\n{words}", words.replace("word", "Verse ")]) == {1}  # marks are missed only where the text has them
 
 
 def test_quality_rules_are_relative_to_the_line(spark):
@@ -98,3 +102,20 @@ def test_quality_stage_removes_failed_lines(spark):
     more = ["Tous droits réservés. 2020", "Datenschutzerklärung und Impressum", "https://e.com/a www.e.com/b", "Leer  más aquí"]
     got = corpus_pipeline.quality_rules(spark, frame_of(spark, ["\n".join([text, *more])]), "").first()
     assert got["text"] == f"{PROSE}\nAnother one follows, with other things to say." and got["n_chars"] == len(got["text"])
+
+
+def test_quality_rules_know_tables_and_forms(spark):
+    table = "| Name | Size | Price |\n|------|:-----|-------|\n" + "\n".join(f"| thing {i} | {i} cm | {i} Euro |" for i in range(9))
+    claims = "\n".join(f"Copyright {2000 + i} Example GmbH number {i}" for i in range(12))
+    pages = "\n".join(f"Seite {i} von 20" for i in range(1, 13))
+    law = "The copyright act of 1976 changed a great many things for authors, and so did the treaties that followed it over the years."
+    assert kept(spark, [table, claims, pages, law, f"{PROSE}\n© 2020 Example", "| Home | About | Shop | Help |"]) == {0, 3, 4}
+
+
+def test_quality_rules_are_linear_in_a_line(spark):
+    for unit in ("+", "=", "😀", "| ", "a ", "[ ] "):
+        text = unit * (1_000_000 // len(unit))
+        began = time.time()
+        kept(spark, [text])
+        assert time.time() - began < 20
+    assert kept(spark, ["+" * 30_000, "😀" * 500]) == set()
