@@ -330,10 +330,10 @@ def test_quality_rules(spark):
 def test_token_counts_equal_a_full_count(spark):
     coder = public_bpe(JSON, P.PATTERN)
     rng = np.random.default_rng(4)
-    letters = list("ab  \n\t　é.'s")
-    for _ in range(300):
+    letters = list("ab  \n\t　é.'srlev1中")
+    for _ in range(400):
         text = "".join(rng.choice(letters, rng.integers(0, 80)))
-        pieces = token_counts.PIECES.findall(text)
+        pieces = coder.pre.findall(text)
         tree = token_counts.CountTree([len(p) for p in pieces], [coder.counts[p] for p in pieces])
         for _ in range(6):
             inserted = "".join(rng.choice(letters, rng.integers(0, 200 if rng.random() < 0.1 else 8)))
@@ -347,6 +347,18 @@ def test_token_counts_equal_a_full_count(spark):
     assert {r["text"] for r in got if r["doc_id"] == 5} == {"frzznt a  b\t\n c "} and {r["text"] for r in got if r["doc_id"] == 6} == {"x" * 3000 + " end"}
 
 
+@pytest.mark.parametrize("text", ["人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，" * 340, "a1,b2;c3," * 2000, "word, " * 900_000])
+def test_an_edit_encodes_little_again(text):
+    coder = public_bpe(JSON, P.PATTERN)
+    pieces = coder.pre.findall(text)
+    tree = token_counts.CountTree([len(p) for p in pieces], [coder.counts[p] for p in pieces])
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        text, again = token_counts.edit(coder, text, tree, int(rng.integers(0, len(text))), int(rng.integers(0, 3)), "好,x"[: int(rng.integers(0, 4))])
+        assert again < 100
+    assert (tree.chars, tree.tokens) == (len(text), len(coder.ids(text)))
+
+
 def test_token_count_query(spark):
     coder = public_bpe(JSON, P.PATTERN)
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}

@@ -47,9 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/textloom/{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/textloom/{what}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, within that of this application."""
+    return f"{_own_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -70,8 +74,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Deletes all that these operators have left in the shared folder; for use when no result of theirs is still to be read."""
-    discard(spark, f"{shared_dir(spark)}/textloom")
+    """Deletes all that these operators have left in the shared folder for this application; for use when no result of theirs is still to be read."""
+    discard(spark, _own_dir(spark))
 
 
 def fresh(df: DataFrame, name: str) -> str:

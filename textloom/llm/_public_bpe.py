@@ -7,9 +7,15 @@ import re
 from array import array
 from functools import lru_cache
 
+import regex
 import tiktoken
 
-from textloom.llm._common import PIECES, Memo
+from textloom.llm._common import PIECES, WHITE_SPACE, Memo
+
+
+def pre_tokens(pattern: str) -> regex.Pattern:
+    """The pattern of pre-tokens, in which white space is what the tokenizers take for it."""
+    return regex.compile(pattern.replace(r"[^\s\p", rf"[^{WHITE_SPACE}\p").replace(r"(?!\S)", rf"(?![^{WHITE_SPACE}])").replace(r"\s", f"[{WHITE_SPACE}]"))
 
 
 @lru_cache(maxsize=1)
@@ -34,6 +40,7 @@ class PublicBpe:
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
         self.size = max([*special, *ranks.values()]) + 1
         self.coder = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.pre = pre_tokens(pattern)
         self.memo = Memo(lambda piece: array("I", self.coder.encode_ordinary(piece)).tobytes(), most)
         self.counts = Memo(lambda piece: len(self.memo[piece]) // 4, most)
 

@@ -20,12 +20,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm._common import LONGEST_KEY, PIECES, WHITE_SPACE, lean, read, slices
+from textloom.llm._common import LONGEST_KEY, PIECES, lean, read, slices
+from textloom.llm._public_bpe import pre_tokens
 
 #: Pre-tokens of over so many bytes get a tree of their own.
 WIDE = 32
@@ -50,7 +50,7 @@ class Merges:
         keys = np.array([a << 32 | b for a, b in pairs], dtype=np.int64)
         order = np.argsort(keys)
         self.keys, self.of = keys[order], np.array(list(pairs.values()), dtype=np.int64)[order]
-        self.pattern = regex.compile(pattern.replace(r"[^\s\p", rf"[^{WHITE_SPACE}\p").replace(r"(?!\S)", rf"(?![^{WHITE_SPACE}])").replace(r"\s", f"[{WHITE_SPACE}]"))
+        self.pattern = pre_tokens(pattern)
         lengths = np.zeros(max(self.tokens) + 2, dtype=np.int64)
         for i, t in self.tokens.items():
             lengths[i + 1] = len(t)

@@ -1,10 +1,10 @@
-"""Operator 8, token counts under edits: a segment tree over the pre-token pieces of each document.
+"""Operator 8, token counts under edits: a segment tree over the pre-tokens of each document.
 
-Leaf i holds the characters and tokens of piece i (white space and the text behind it), an inner node the sums of its
-children. An edit finds its place by the characters, re-encodes the touched leaves and the neighbours whose pre-tokens may
-change, and walks the changed leaves up to the root; the rest of the document isn't read again. If the new text has more pieces
-than the touched leaves, the last of them holds several, up to MAX_RUN; beyond that the leaves are laid out anew, but
-only the touched text is encoded.
+Leaf i holds the characters and tokens of pre-token i, an inner node the sums of its children. An edit finds its place by the characters and goes back
+to a leaf before which no pre-token can depend on what changed: a match of the public pattern looks LOOK characters past its end at most, or past the white
+space there. From that leaf on, pre-tokens are matched in the new text until one ends where an old leaf ended behind the edit; the
+changed leaves walk up to the root, and the rest of the document isn't read again. If there are more pre-tokens than leaves, the last leaf holds several, up to
+MAX_RUN; beyond that the leaves are laid out anew, but only the touched text is encoded.
 
 The index is a table (text and leaves by document), so counts can be kept and updated as edits come.
 
@@ -16,6 +16,7 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textloom.llm._common import PIECES, lean, read, slices
+from textloom.llm._common import PIECES, WHITE_SPACE, Memo, lean, read, slices
 from textloom.llm._public_bpe import PublicBpe, public_bpe
 
-#: Pieces that one leaf may hold before the leaves are laid out anew.
+#: Characters that the end of a pre-token may depend on: those of the longest contraction.
+LOOK = 3
+#: Pre-tokens that one leaf may hold before the leaves are laid out anew.
 MAX_RUN = 64
 #: Edits of each document in the registered query, and their longest deletion and insertion in characters.
 EDITS, REMOVED, INSERTED = 3, 40, 60
 
+BLANKS = re.compile(f"[{WHITE_SPACE}]*")
 EDIT = "array<struct<start:int,removed:int,inserted:string>>"
 
 
@@ -41,6 +45,8 @@ class CountTree:
         self.layout(np.asarray(chars, dtype=np.int64), np.asarray(tokens, dtype=np.int64))
 
     def layout(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        if not len(chars):  # an empty text is one empty leaf
+            chars, tokens = np.zeros((2, 1), dtype=np.int64)
         self.n = len(chars)
         self.width = 1 << max(0, self.n - 1).bit_length()
         self.sums = np.zeros((2 * self.width, 2), dtype=np.int64)
@@ -98,12 +104,35 @@ def edit(coder: PublicBpe, text: str, tree: CountTree, start: int, removed: int,
     if start == stop and not inserted:
         return text, 0
     first, begin = tree.find(start - 1) if start else (0, 0)
-    last, end = tree.find(stop) if stop < len(text) else (max(0, tree.n - 1), 0)
-    end = end + int(tree.sums[tree.width + last, 0]) if stop < len(text) else len(text)
-    touched = text[begin:start] + inserted + text[stop:end]
-    pieces = PIECES.findall(touched)
-    tree.replace(first, last, [len(p) for p in pieces], [coder.counts[p] for p in pieces])
-    return text[:start] + inserted + text[stop:], len(touched)
+    while begin and BLANKS.match(text, begin, start).end() + LOOK > start:
+        first, begin = tree.find(begin - 1)
+    at, edge = tree.find(stop) if stop < len(text) else (tree.n, len(text))
+    size = lambda leaf: int(tree.sums[tree.width + leaf, 0])
+    new, moved = text[:start] + inserted + text[stop:], len(inserted) - (stop - start)
+    chars, tokens, end = [], [], begin
+    for match in coder.pre.finditer(new, begin):
+        chars.append(len(match[0]))
+        tokens.append(coder.counts[match[0]])
+        end = match.end()
+        while edge < end - moved and at < tree.n:
+            edge += size(at)
+            at += 1
+        if end - moved >= stop and edge == end - moved and at > first:
+            break
+    else:
+        at = tree.n
+    tree.replace(first, at - 1, chars, tokens)
+    return new, end - begin
+
+
+def leaves(coder: PublicBpe) -> Memo:
+    """Characters and tokens of the pre-tokens of a piece (white space and the text behind it), remembered."""
+
+    def of(piece: str) -> tuple[list[int], list[int]]:
+        parts = coder.pre.findall(piece)
+        return list(map(len, parts)), list(map(coder.counts.__getitem__, parts))
+
+    return Memo(of, 200_000)
 
 
 def build_index(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", edits: Column | None = None) -> DataFrame:
@@ -111,9 +140,10 @@ def build_index(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = public_bpe(path, pattern)
+        known = leaves(coder)
         for batch in slices(batches):
-            cut = [PIECES.findall(t) for t in batch.column("text").to_pylist()]
-            chars, tokens = [list(map(len, ps)) for ps in cut], [list(map(coder.counts.__getitem__, ps)) for ps in cut]
+            cut = [list(map(known.__getitem__, PIECES.findall(t))) for t in batch.column("text").to_pylist()]
+            chars, tokens = ([[n for piece in pieces for n in piece[i]] for pieces in cut] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(chars, type=pa.list_(pa.int32())), pa.array(tokens, type=pa.list_(pa.int32())), batch.column("edits")], names=["doc_id", "text", "leaf_chars", "leaf_tokens", "edits"])
 
     edits = F.lit(None) if edits is None else edits
