@@ -173,3 +173,21 @@ def test_exact_selective_copying_draws_the_rate_first():
     if got["attempts"] == 1:
         behind = answers.removeprefix("[res 0]\n")
         assert behind.startswith(passages[0])
+
+
+def test_fold_is_linear_in_a_text():
+    entries = tuple(config.normalised([config.objective("next_token_prediction", 3), config.objective("infilling", 2), config.objective("autoencoding", 1)]))
+    text = "abcdefgh " * 50_000
+    began = time.time()
+    rows = list(worker.ShardFold(worker.Run(entries, 1024, strict=False), 0).feed(1, text))
+    assert time.time() - began < 10
+    assert rows[-1][-2] == 0 and {r[-1] for r in rows} == {"ok"}
+
+
+def test_characters_that_a_walk_cuts_are_kept():
+    """With byte-level tokens, what one example leaves of a character goes on to the next."""
+    text = "中文字符𝄞 और 😀" * 200
+    run = worker.Run(tuple(config.normalised([config.objective("autoencoding", tokens_per_mask=2)])), 256, 16, strict=False, tok=TOK)
+    rows = list(worker.ShardFold(run, 0).feed(1, text))
+    labels = [i for r in rows for i in r[10]]
+    assert {r[-1] for r in rows} == {"ok"} and TOK.decode(labels) == text

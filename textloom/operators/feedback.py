@@ -15,6 +15,8 @@ from textloom.functions.hashrand import draw, pareto, uniform
 #: history that a fit sees, steps of the explore table.
 PARETO = ((5.0, 3.0), (3.0, 2.0), (2.0, 1.0))
 CANDIDATES, BEST, HISTORY, EXPLORE_STEPS = 4096, 8, 2048, 128_000
+#: Fixed value: exploration rates up to this count as none.
+OFF = 1e-4
 
 
 def mean_losses(losses: DataFrame, key: str = "obj_key", loss: str = "loss") -> DataFrame:
@@ -56,10 +58,17 @@ def cosine_decay(step: Column, total: int, low: float, high: float, warmup: int
     return F.when(step < cook, cook_value).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
+def explores(step: Column, rate: Column, total: int, low: float, high: float, seed: int = 0, steps: int = EXPLORE_STEPS) -> Column:
+    """Whether a step explores, at its rate. Draws repeat after `steps`; there is none at a highest rate of OFF or less, or past the decay at such a
+    lowest one."""
+    drawn = uniform(seed, F.pmod(step, F.lit(steps))) < rate
+    return drawn & F.lit(high > OFF) & ~((step > total) & F.lit(low <= OFF))
+
+
 def explore_table(spark: SparkSession, total: int, low: float, high: float, steps: int = EXPLORE_STEPS, seed: int = 0, **schedule) -> DataFrame:
     """step, rate, explore: whether a step explores."""
-    step = F.col("id")
-    return spark.range(steps).select(step.alias("step"), cosine_decay(step, total, low, high, **schedule).alias("rate"), uniform(seed, step).alias("u")).select("step", "rate", (F.col("u") < F.col("rate")).alias("explore"))
+    rate = cosine_decay(F.col("id"), total, low, high, **schedule)
+    return spark.range(steps).select(F.col("id").alias("step"), rate.alias("rate"), explores(F.col("id"), rate, total, low, high, seed, steps).alias("explore"))
 
 
 def class_scaling(objectives: DataFrame, name: str = "name") -> DataFrame:
@@ -110,34 +119,39 @@ def explore_action(classes: DataFrame, seed: int, step: int) -> DataFrame:
 
 def best_mean(predicted: DataFrame, actions: DataFrame, best: int = BEST) -> DataFrame:
     """The mean action of the `best` candidates by their summed rewards. predicted(cand, obj_idx, reward), actions(cand, obj_idx, action)."""
-    top = predicted.groupBy("cand").agg(F.sum("reward").alias("total")).orderBy(F.desc("total"), "cand").limit(best)
+    top = predicted.groupBy("cand").agg(F.round(F.sum("reward"), 9).alias("total")).orderBy(F.desc("total"), "cand").limit(best)
     return actions.join(F.broadcast(top.select("cand")), "cand").groupBy("obj_idx").agg(F.avg("action").alias("action"))
 
 
 class RidgePredictor:
-    """Rewards per objective as a linear function of old loss and action, fitted on the last HISTORY steps by Spark ML."""
+    """Rewards per objective as a linear function of old loss and action, by ridge regression on the last HISTORY steps. One aggregation gives the
+    moments of all objectives; the fitted model is a table with a row per objective."""
 
     def __init__(self, strength: float = 0.1):
-        self.strength, self.models = strength, {}
+        self.strength = strength
+        self.model: DataFrame | None = None
 
     def fit(self, history: DataFrame) -> RidgePredictor:
         """history(step, obj_idx, old_loss, action, reward)"""
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.regression import LinearRegression
-
-        last = history.agg(F.max("step")).first()[0] or 0
-        rows = VectorAssembler(inputCols=["old_loss", "action"], outputCol="x").transform(history.where(F.col("step") > last - HISTORY))
-        for (i,) in sorted(history.select("obj_idx").distinct().collect()):
-            self.models[i] = LinearRegression(featuresCol="x", labelCol="reward", regParam=self.strength).fit(rows.where(F.col("obj_idx") == i))
+        last = history.agg(F.max("step").alias("last"))
+        recent = history.crossJoin(F.broadcast(last)).where(F.col("step") > F.col("last") - HISTORY)
+        x, a, y = "old_loss", "action", "reward"
+        means = {f"m{c[0]}": F.avg(c) for c in (x, a, y)}
+        moments = {"xx": (x, x), "aa": (a, a), "xa": (x, a), "xy": (x, y), "ay": (a, y)}
+        sums = recent.groupBy("obj_idx").agg(*(e.alias(k) for k, e in means.items()), *(F.covar_pop(*c).alias(k) for k, c in moments.items()))
+        p, q = F.col("xx") + self.strength, F.col("aa") + self.strength
+        det = p * q - F.col("xa") * F.col("xa")
+        by_loss, by_action = (q * F.col("xy") - F.col("xa") * F.col("ay")) / det, (p * F.col("ay") - F.col("xa") * F.col("xy")) / det
+        self.model = sums.select("obj_idx", by_loss.alias("by_loss"), by_action.alias("by_action"), (F.col("mr") - by_loss * F.col("mo") - by_action * F.col("ma")).alias("level"))
         return self
 
     def predict(self, losses: DataFrame, actions: DataFrame) -> DataFrame:
-        """cand, obj_idx, reward. Coefficients are a few literals per objective."""
-        value = F.lit(0.0)
-        for i, m in self.models.items():
-            a, b = m.coefficients
-            value = F.when(F.col("obj_idx") == i, F.tanh(float(a) * F.col("loss") + float(b) * F.col("action") + float(m.intercept))).otherwise(value)
-        return actions.join(F.broadcast(losses.select("obj_idx", "loss")), "obj_idx").select("cand", "obj_idx", value.alias("reward"))
+        """cand, obj_idx, reward; an objective without history is predicted none."""
+        if self.model is None:
+            raise ValueError("fit comes first")
+        told = losses.select("obj_idx", "loss").join(self.model, "obj_idx", "left")
+        value = F.tanh(F.col("by_loss") * F.col("loss") + F.col("by_action") * F.col("action") + F.col("level"))
+        return actions.join(F.broadcast(told), "obj_idx").select("cand", "obj_idx", F.coalesce(value, F.lit(0.0)).alias("reward"))
 
 
 def next_mixture(losses: DataFrame, predictor: RidgePredictor, actions: DataFrame, classes: DataFrame) -> DataFrame:
@@ -165,17 +179,26 @@ def stretched(x: Column, low: float, high: float, *over: str) -> Column:
 
 def update_and_sample(spark: SparkSession, losses: DataFrame, actions: DataFrame, classes: DataFrame, step: int, rate: float, predictor: RidgePredictor | None = None, seed: int = 0, reward_of: Callable[[Column, Column], Column] = reward, n: int = CANDIDATES) -> DataFrame:
     """One turn of the loop: obj_idx, prob, explored. losses(step, obj_idx, loss) are the evaluations so far, actions(step, obj_idx, action) the
-    mixtures that led to them, classes(obj_idx, class_id, weight). At `rate`, or before a second evaluation, the turn explores; else the
-    predictor learns from all rewards and the best candidates give the mixture."""
+    mixtures that led to them, classes(obj_idx, class_id, weight). The first evaluation is only what the second is held against: it leaves the mixture as it is.
+    From the second on, the predictor learns from all rewards and picks among candidates, of which the first n are uniform draws, or, in a turn that
+    explores (at `rate`), the drawn explore action, so that this is tried against the others."""
     seen = losses.agg(F.count_distinct("step"), F.max("step")).first()
-    if seen[0] < 2 or draw(f"{seed}:explore:{step}") < rate:
-        tried = explore_action(classes, seed, step)
-        return tried.select("obj_idx", F.round(F.col("action") / F.sum("action").over(Window.partitionBy()), 4).alias("prob"), F.lit(True).alias("explored"))
+    if seen[0] < 2:
+        last = actions.agg(F.max("step")).first()[0]
+        return actions.where(F.col("step") == last).select("obj_idx", F.round("action", 4).alias("prob"), F.lit(False).alias("explored"))
+    exploring = rate > OFF and draw(f"{seed}:explore:{step}") < rate
     history = rewards(losses, "obj_idx", reward_of=reward_of).join(actions, ["step", "obj_idx"]).select("step", "obj_idx", "old_loss", "action", "reward")
     now = losses.where(F.col("step") == seen[1]).select("obj_idx", "loss")
-    fitted = (predictor or RidgePredictor()).fit(history)
-    made = next_mixture(now, fitted, candidates(spark, now, n, seed, actions.where(F.col("step") == seen[1]).select("obj_idx", "action")), classes)
-    return made.select("obj_idx", "prob", F.lit(False).alias("explored"))
+    base = explore_action(classes, seed, step) if exploring else None
+    made = next_mixture(now, (predictor or RidgePredictor()).fit(history), candidates(spark, now, n, seed, base), classes)
+    return made.select("obj_idx", "prob", F.lit(exploring).alias("explored"))
+
+
+def losses_by_name(objectives: DataFrame, means: DataFrame, *names: str) -> DataFrame:
+    """objectives with the mean loss under the first of their names that they have (nickname, hash, name; null: has none), 0 if there is none under it."""
+    key = F.coalesce(*(F.col(c) for c in names))
+    found = means.select(F.col("obj_key").alias("_key"), "mean_loss")
+    return objectives.withColumn("_found", key).join(found, F.col("_found") == F.col("_key"), "left").withColumn("loss", F.coalesce("mean_loss", F.lit(0.0))).drop("_found", "_key", "mean_loss")
 
 
 def status_json(objectives: DataFrame, *columns: str) -> DataFrame:

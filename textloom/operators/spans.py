@@ -63,25 +63,25 @@ class Exact:
 
 
 def _plain(units: list[int], entry: Objective, prompt: list[int], tok) -> dict:
-    """Next token prediction, copying and prefix language modelling. What is used ends between characters, so nothing of them is lost."""
+    """Next token prediction, copying and prefix language modelling. What is used ends between characters."""
     room, p = int(entry.options["remaining_space"]), len(prompt)
     if entry.name == "prefix_language_modeling":
-        used = units[: tok.whole(units, max(0, room - p))]
-        m = len(used)
+        m = tok.whole(units, min(len(units), max(0, room - p)))
         if m < 2:
-            return _nothing(units, tok)
+            return _nothing()
         k = max(1, min(int(m * float(entry.options["prefix_fraction"])), m - 1))
-        return _made(prompt + used[:k], used[k:], units[m:], tok, original_length=m, attempts=1)
-    used = units[: tok.whole(units, max(0, (room - p) // 2))]
-    return _made(prompt + used, used, units[len(used) :], tok, original_length=len(used), attempts=1)
+        return _made(prompt + units[:k], units[k:m], m, original_length=m, attempts=1)
+    used = units[: tok.whole(units, min(len(units), max(0, (room - p) // 2)))]
+    return _made(prompt + used, used, len(used), original_length=len(used), attempts=1)
 
 
-def _made(inputs: list[int], labels: list[int], rest: list[int], tok, **figures) -> dict:
-    return {"status": "ok", "input_ids": inputs, "label_ids": labels, "unused_text": tok.decode(rest), "masked_count": None, "original_length": None, "spans": None, "attempts": None} | figures
+def _made(inputs: list[int], labels: list[int], used: int, **figures) -> dict:
+    """An example that uses so many of the units that it was given."""
+    return {"status": "ok", "input_ids": inputs, "label_ids": labels, "used": used, "masked_count": None, "original_length": None, "spans": None, "attempts": None} | figures
 
 
-def _nothing(units: list[int], tok, attempts: int = 0) -> dict:
-    return {"status": "fail", "input_ids": [], "label_ids": [], "unused_text": tok.decode(units), "masked_count": 0, "original_length": 0, "spans": 0, "attempts": attempts}
+def _nothing(attempts: int = 0) -> dict:
+    return {"status": "fail", "input_ids": [], "label_ids": [], "used": 0, "masked_count": 0, "original_length": 0, "spans": 0, "attempts": attempts}
 
 
 def _walk(units: list[int], options: dict, prompt: list[int], source, keep_prefix: bool, tok) -> dict:
@@ -93,7 +93,7 @@ def _walk(units: list[int], options: dict, prompt: list[int], source, keep_prefi
     end = tok.encode(str(options["paradigm_end"]))
     limit = min(len(units), room - p - SLACK)
     if limit <= 0:
-        return _nothing(units, tok)
+        return _nothing()
     most = 1 << 31 if keep_prefix else int(options["max_mask_spans"])
     holes: list[list[int]] = []
     for attempt in range(int(options["max_attempts"])):
@@ -121,8 +121,8 @@ def _walk(units: list[int], options: dict, prompt: list[int], source, keep_prefi
             label = units[:at] if keep_prefix else lab
             if len(inp) + len(label) + len(end) <= room:
                 label = label + end
-            return _made(inp, label, units[at:], tok, masked_count=masked, original_length=at, spans=spans, attempts=attempt + 1)
-    return _nothing(units, tok, int(options["max_attempts"]))
+            return _made(inp, label, at, masked_count=masked, original_length=at, spans=spans, attempts=attempt + 1)
+    return _nothing(int(options["max_attempts"]))
 
 
 def _shuffled(units: list[int], options: dict, prompt: list[int], rng: np.random.Generator, tok) -> dict:
@@ -132,8 +132,8 @@ def _shuffled(units: list[int], options: dict, prompt: list[int], rng: np.random
     chosen = rng.choice(len(mixed), int(len(mixed) * float(options["percentage_to_shuffle"])), replace=False) if len(mixed) else []
     mixed[chosen] = rng.permutation(mixed[chosen])
     if len(prompt) + 2 * len(used) > room:
-        return _made([], [], units[len(used) :], tok, original_length=len(used), attempts=1) | {"status": "error"}
-    return _made(prompt + mixed.tolist(), used, units[len(used) :], tok, original_length=len(used), attempts=1)
+        return _made([], [], len(used), original_length=len(used), attempts=1) | {"status": "error"}
+    return _made(prompt + mixed.tolist(), used, len(used), original_length=len(used), attempts=1)
 
 
 # The texts around queries, answers and the context of selective copying.
@@ -155,7 +155,7 @@ def _copied(units: list[int], options: dict, prompt: list[int], rng: np.random.G
     fixed = len(prompt) + len(context) + len(context_end) + len(done) + OVERHEAD_SLACK
     reach = min(len(units), room - fixed)
     if reach < pre + least + suf:
-        return _nothing(units, tok)
+        return _nothing()
     floor = int(options["min_context_content_length"])
     for attempt in range(int(options["max_attempts"])):
         at, cost, found = pre, 0, []
@@ -191,33 +191,47 @@ def _copied(units: list[int], options: dict, prompt: list[int], rng: np.random.G
             continue
         body = context + units[:shown] + context_end
         body = queries + body if options["format_style"] == "query_context" else body + queries
-        return _made(prompt + body, answers, units[shown:], tok, masked_count=sum(len(f[1]) for f in found), original_length=shown, spans=len(found), attempts=attempt + 1)
-    return _nothing(units, tok, int(options["max_attempts"]))
+        return _made(prompt + body, answers, shown, masked_count=sum(len(f[1]) for f in found), original_length=shown, spans=len(found), attempts=attempt + 1)
+    return _nothing(int(options["max_attempts"]))
 
 
-def one_example(text: str, entry: Objective, key: str, exact: bool = False, tok=CHARACTERS) -> dict:
-    """The example of one text by any objective. key: what hashed draws, or the seed of exact ones, follow from."""
+def example_at(units: list[int], at: int, entry: Objective, key: str, exact: bool = False, tok=CHARACTERS) -> dict:
+    """The example of a text's units from a place on, and how many of them are `used`. Objectives other than the user's look at no more units than
+    they have room for, so a long text costs no more than a short one. key: what hashed draws, or the seed of exact ones, follow from."""
     options = entry.options
-    seed = int(options["rng_seed"])
+    seed, room = int(options["rng_seed"]), int(options["remaining_space"])
     mixed = seed if exact else int(draw(f"{seed}:{key}") * (1 << 32))
-    units, prompt = tok.encode(text), tok.encode(entry.prompt)
+    prompt = tok.encode(entry.prompt)
     if entry.make:
-        made = entry.make(units, options, prompt, tok, np.random.default_rng(mixed))
-        if made is None or len(made[0]) + len(made[1]) > int(options["remaining_space"]):
-            got = _nothing(units, tok)
+        rest = units[at:]
+        made = entry.make(rest, options, prompt, tok, np.random.default_rng(mixed))
+        if made is None or len(made[0]) + len(made[1]) > room:
+            got = _nothing()
         else:
-            got = _made(list(made[0]), list(made[1]), units[made[2] :], tok, original_length=made[2], attempts=1)
-    elif entry.name in ("infilling", "autoencoding", "autoencoding_with_deshuffling"):
-        got = _walk(units, options, prompt, Exact(seed) if exact else Hashed(f"{seed}:{key}"), entry.name != "infilling", tok)
+            got = _made(list(made[0]), list(made[1]), min(len(rest), made[2]), original_length=made[2], attempts=1)
+        return {"objective": entry.name} | got
+    some = units[at : at + max(0, room) + 1]  # one more, to tell whether a cut lies within a character
+    if entry.name in ("infilling", "autoencoding", "autoencoding_with_deshuffling"):
+        got = _walk(some, options, prompt, Exact(seed) if exact else Hashed(f"{seed}:{key}"), entry.name != "infilling", tok)
     elif entry.name == "deshuffling":
-        got = _shuffled(units, options, prompt, np.random.default_rng(mixed), tok)
+        got = _shuffled(some, options, prompt, np.random.default_rng(mixed), tok)
     elif entry.name == "selective_copying":
-        got = _copied(units, options, prompt, np.random.default_rng(mixed), tok)
+        got = _copied(some, options, prompt, np.random.default_rng(mixed), tok)
     else:
-        got = _plain(units, entry, prompt, tok)
+        got = _plain(some, entry, prompt, tok)
     return {"objective": entry.name} | got
 
 
+def one_example(text: str, entry: Objective, key: str, exact: bool = False, tok=CHARACTERS) -> dict:
+    """The example of one text by any objective, with the text that it leaves."""
+    if isinstance(tok, Characters) and not entry.make:  # a unit is a character
+        got = example_at(tok.encode(text[: max(0, int(entry.options["remaining_space"])) + 1]), 0, entry, key, exact, tok)
+        return got | {"unused_text": text[got.pop("used") :]}
+    units = tok.encode(text)
+    got = example_at(units, 0, entry, key, exact, tok)
+    return got | {"unused_text": tok.decode(units[got.pop("used") :])}
+
+
 def build(df: DataFrame, entry: Objective, key: str, text: str = "text", exact: bool = False, tok=CHARACTERS) -> DataFrame:
     """The columns of df other than the text, and those of EXAMPLE; null texts count as empty. Errors of a walk fail the task."""
     rest = [f for f in df.schema.fields if f.name != text]

@@ -161,18 +161,25 @@ def blank_text_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("SELECT * FROM (VALUES (0, 'infilling', 'corruption_rate', '0.15', true), (0, 'infilling', 'mean_tokens_per_span', '9.0', true), (0, 'infilling', 'paradigm_token', '[R]', false), (1, 'copying', 'paradigm', 'B', true)) t(obj_idx, objective, option, value, taken)")
+@query("SELECT coalesce(source, '') AS source, option, value, option <> 'paradigm_token' AS taken FROM (SELECT source, round(least(1.0, avg(length(text)) / 10000), 6) AS rate, count(*) AS n FROM documents GROUP BY source), LATERAL (VALUES ('corruption_rate', cast(rate AS VARCHAR)), ('mean_tokens_per_span', cast(n AS VARCHAR)), ('paradigm_token', '[R]')) t(option, value)")
 def config_override_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [config.objective("infilling", corruption_rate=0.15, mean_tokens_per_span=9.0, paradigm_token="[R]"), config.objective("copying", config_overrides={"paradigm": "B"})]
-    rows = [(i, e.name, k, str(v), k not in e.dropped) for i, e in enumerate(entries) for k, v in e.overrides]
-    return spark.createDataFrame(rows, "obj_idx int, objective string, option string, value string, taken boolean")
+    """An objective for each source of documents, with options told by its documents: which of them the objective takes."""
+    told = table(spark, sf_dir, "documents", "source", "text").groupBy("source").agg(F.round(F.least(F.lit(1.0), F.avg(F.length("text")) / 10000), 6).alias("rate"), F.count(F.lit(1)).alias("n"))
+    rows = []
+    for r in told.collect():  # a row per objective
+        entry = config.objective("infilling", corruption_rate=r["rate"], mean_tokens_per_span=r["n"], paradigm_token="[R]")
+        rows += [(r["source"] or "", k, str(v), k not in entry.dropped) for k, v in entry.overrides]
+    return spark.createDataFrame(rows, "source string, option string, value string, taken boolean")
 
 
 # ---- mixture --------------------------------------------------------------------------------------------------------
-@query("SELECT obj_idx, name, round(p / 4.0, 6) AS prob, round(1 / 3.0, 6) AS prob_if_zero FROM (VALUES (0, 'next_token_prediction', 2.0), (1, 'copying', 1.0), (2, 'prefix_language_modeling', 1.0)) t(obj_idx, name, p)")
+@query("SELECT name, round(p / sum(p) OVER (), 6) AS prob, round(1.0 / count(*) OVER (), 6) AS prob_if_zero FROM (SELECT ['next_token_prediction', 'copying', 'prefix_language_modeling'][CASE WHEN length(lang) IS NULL THEN 1 WHEN lang < 'e' THEN 2 ELSE 3 END] AS name, count(*) AS p FROM documents GROUP BY name)")
 def normalize_objective_probs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zero = config.normalised([config.objective(e.name, 0) for e in MIXTURE])
-    return spark.createDataFrame([(i, e.name, round(e.prob, 6), round(z.prob, 6)) for i, (e, z) in enumerate(zip(MIXTURE, zero, strict=True))], "obj_idx int, name string, prob double, prob_if_zero double")
+    """A mixture weighted by counts of documents."""
+    kind = F.when(F.col("lang").isNull(), "next_token_prediction").when(F.col("lang") < "e", "copying").otherwise("prefix_language_modeling")
+    counts = table(spark, sf_dir, "documents", "lang").groupBy(kind.alias("name")).count().orderBy("name").collect()  # a row per objective
+    mixture, zero = (config.normalised([config.objective(r["name"], p(r["count"])) for r in counts]) for p in (float, lambda n: 0.0))
+    return spark.createDataFrame([(e.name, round(e.prob, 6), round(z.prob, 6)) for e, z in zip(mixture, zero, strict=True)], "name string, prob double, prob_if_zero double")
 
 
 @query(f"SELECT doc_id, CASE WHEN u < 0.5 THEN 0 WHEN u < 0.75 THEN 1 ELSE 2 END AS obj_idx FROM (SELECT doc_id, {sql_uniform("'0:' || doc_id")} AS u FROM documents)")
@@ -211,9 +218,11 @@ def split_and_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.epochs(table(spark, sf_dir, "documents", "doc_id").withColumn("split", sources.split_of(F.col("doc_id"), 0.9, 0.05)), 2).select("doc_id", "split", "epoch")
 
 
-@query("SELECT cast(i AS BIGINT) AS doc_id, cast([24, 48, 96, 256, 1024][i % 5 + 1] AS BIGINT) AS n, md5(substr(repeat('abcdefghijklmnopqrstuvwxyz ', 40), 1, [24, 48, 96, 256, 1024][i % 5 + 1])) AS text_md5 FROM range(2000) t(i)")
+@query("SELECT doc_id, cast([24, 48, 96, 256, 1024][doc_id % 5 + 1] AS BIGINT) AS n, md5(substr(repeat('abcdefghijklmnopqrstuvwxyz ', 40), 1, [24, 48, 96, 256, 1024][doc_id % 5 + 1])) AS text_md5 FROM documents")
 def synthetic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.synthetic(spark, 2000, (24, 48, 96, 256, 1024)).select("doc_id", long(F.length("text")).alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    """A text of planned length in the place of every document."""
+    made = table(spark, sf_dir, "documents", "doc_id").withColumn("text", sources.synthetic_text(F.col("doc_id"), (24, 48, 96, 256, 1024)))
+    return made.select("doc_id", long(F.length("text")).alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(
@@ -482,21 +491,26 @@ PLAIN = config.normalised([config.objective("next_token_prediction", 2), config.
 def coupled_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coupled fold with objectives that draw nothing within a text, so that SQL can follow it."""
     texts = documents(spark, sf_dir).where(tokens.not_blank(F.col("text"))).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
-    return worker.fold(texts, worker.Run(tuple(PLAIN), ROOM, strict=False), order=("doc_id",)).drop("input_ids", "label_ids")
+    return worker.fold(texts, worker.Run(tuple(PLAIN), ROOM, strict=False, ids=False), order=("doc_id",)).drop("input_ids", "label_ids")
 
 
-@query(f"SELECT doc_id, 'ok' AS status, cast(length(text) AS BIGINT) AS n_text, cast(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS blanks FROM documents WHERE length(text) BETWEEN 1 AND 900")
+SQUEEZE = 900
+
+
+@query(f"SELECT doc_id, cast(piece AS BIGINT) AS ex_seq, cast(length(part) AS BIGINT) AS n_text, cast(length(part) - length(replace(part, ' ', '')) AS BIGINT) AS blanks FROM (SELECT doc_id, piece, substr(text, {SQUEEZE} * piece + 1, {SQUEEZE}) AS part FROM (SELECT doc_id, text, unnest(range((length(text) + {SQUEEZE - 1}) // {SQUEEZE})) AS piece FROM documents WHERE regexp_matches(text, '[^ \\t\\n\\r]')))")
 def user_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An objective that a user registers: the text without its blanks, to be spelled out again."""
+    """An objective that a user registers: parts of a text without their blanks, to be spelled out again. All of each text is used up by the fold."""
 
     def squeeze(ids, options, prompt, tok, rng):
-        blank = tok.encode(" ")[0]
-        return [*prompt, *(i for i in ids if i != blank)], ids, len(ids)
+        part, blank = ids[: options["most"]], tok.encode(" ")[0]
+        return [*prompt, *(i for i in part if i != blank)], part, len(part)
 
     if "squeezing" not in config.REGISTERED:
-        config.register("squeezing", squeeze, paradigm="<|SQUEEZE|>")
-    made = spans.build(documents(spark, sf_dir).where(F.length("text").between(1, 900)), config.objective("squeezing", remaining_space=2048), "doc_id")
-    return made.select("doc_id", "status", long(F.size("label_ids")).alias("n_text"), long(F.size("label_ids") + len("<|SQUEEZE|>") - F.size("input_ids")).alias("blanks"))
+        config.register("squeezing", squeeze, paradigm="<|SQUEEZE|>", most=SQUEEZE)
+    texts = documents(spark, sf_dir).where(tokens.not_blank(F.col("text"))).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
+    made = worker.fold(texts, worker.Run(tuple(config.normalised([config.objective("squeezing", minimum_remaining_space=2 * SQUEEZE + 16)])), 2048, ids=False), order=("doc_id",))
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ex_seq")) - 1
+    return made.select("doc_id", long(n).alias("ex_seq"), long("n_label").alias("n_text"), long(F.col("n_label") + len("<|SQUEEZE|>") - F.col("n_input")).alias("blanks"))
 
 
 @query()
@@ -504,7 +518,7 @@ def coupled_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts, objectives and rows in one fold per shard, leftovers included; failures are kept as rows."""
     entries = tuple(config.normalised([config.objective("next_token_prediction", 3), config.objective("copying", 2), config.objective("prefix_language_modeling", 2), config.objective("infilling", 2), config.objective("autoencoding", 1)]))
     texts = documents(spark, sf_dir).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
-    return worker.fold(texts, worker.Run(entries, ROOM, strict=False), order=("doc_id",)).drop("input_ids", "label_ids")
+    return worker.fold(texts, worker.Run(entries, ROOM, strict=False, ids=False), order=("doc_id",)).drop("input_ids", "label_ids")
 
 
 # ---- validation and feedback ----------------------------------------------------------------------------------------
@@ -555,14 +569,23 @@ def reward_from_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.rewards(daily, step="day").select("obj_key", F.col("day").cast("string").alias("day"), F.round("loss", 6).alias("loss"), (F.round("reward", 5) + F.lit(0.0)).alias("reward"))
 
 
-@query(f"SELECT cast(i AS BIGINT) AS step, round(CASE WHEN i < 50 THEN 0.9 ELSE greatest(0.05, least(0.8, 0.425 + 0.375 * cos(pi() * least(greatest(i - 100, 0), 1899) / 1899.0))) END, 6) AS rate, {sql_uniform("'0:' || i")} < CASE WHEN i < 50 THEN 0.9 ELSE greatest(0.05, least(0.8, 0.425 + 0.375 * cos(pi() * least(greatest(i - 100, 0), 1899) / 1899.0))) END AS explore FROM range(128000) t(i)")
+RATE_SQL = "CASE WHEN event_id < 50 THEN 0.9 ELSE greatest(0.05, least(0.8, 0.425 + 0.375 * cos(pi() * least(greatest(event_id - 100, 0), 1899) / 1899.0))) END"
+
+
+@query(f"SELECT event_id AS step, round({RATE_SQL}, 6) AS rate, {sql_uniform("'0:' || event_id % 128000")} < {RATE_SQL} AS explore, {sql_uniform("'0:' || event_id % 128000")} < 0.4 AND event_id <= 2000 AS fading FROM events")
 def explore_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feedback.explore_table(spark, 2000, 0.05, 0.8, warmup=100, cook=50, cook_value=0.9).select("step", F.round("rate", 6).alias("rate"), "explore")
+    """The rate of every step, whether it explores, and whether it does by a schedule that ends."""
+    step = F.col("event_id")
+    rate = feedback.cosine_decay(step, 2000, 0.05, 0.8, warmup=100, cook=50, cook_value=0.9)
+    return table(spark, sf_dir, "events", "event_id").select(step.alias("step"), F.round(rate, 6).alias("rate"), feedback.explores(step, rate, 2000, 0.05, 0.8).alias("explore"), feedback.explores(step, F.lit(0.4), 2000, 0.0, 0.4).alias("fading"))
 
 
-@query("WITH o AS (SELECT * FROM (VALUES (0, 'prefix_language_modeling'), (1, 'infilling'), (2, 'infilling'), (3, 'infilling'), (4, 'infilling'), (5, 'infilling'), (6, 'infilling')) t(obj_idx, name)), c AS (SELECT name, min(obj_idx) AS f, count(*) AS n FROM o GROUP BY name), k AS (SELECT *, row_number() OVER (ORDER BY f) - 1 AS class_id, count(*) OVER () AS nc FROM c) SELECT obj_idx, name, cast(class_id AS INTEGER) AS class_id, round(nc / n, 6) AS weight FROM o JOIN k USING (name)")
+@query("WITH o AS (SELECT cast(row_number() OVER (ORDER BY event_type, hour) AS INTEGER) AS obj_idx, event_type AS name FROM (SELECT DISTINCT event_type, hour(ts) AS hour FROM events WHERE hour(ts) < 3 * length(event_type))), c AS (SELECT name, min(obj_idx) AS f, count(*) AS n FROM o GROUP BY name), k AS (SELECT *, row_number() OVER (ORDER BY f) - 1 AS class_id, count(*) OVER () AS nc FROM c) SELECT obj_idx, name, cast(class_id AS INTEGER) AS class_id, round(nc / n, 6) AS weight FROM o JOIN k USING (name)")
 def explore_class_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = spark.createDataFrame([(i, e.name) for i, e in enumerate(config.denoiser_mixture())], "obj_idx int, name string")
+    """Objectives are the kinds of events of each hour, classes the kinds; the longer a kind's name, the more hours count."""
+    hour = F.hour("ts")
+    found = table(spark, sf_dir, "events", "event_type", "ts").where(hour < 3 * F.length("event_type")).select(F.col("event_type").alias("name"), hour.alias("hour")).distinct()
+    entries = found.select(F.row_number().over(Window.orderBy("name", "hour")).alias("obj_idx"), "name")  # 24 rows a kind at most
     return feedback.class_scaling(entries).withColumn("weight", F.round("weight", 6))
 
 
@@ -597,9 +620,9 @@ def masked_mean_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return losses(spark, sf_dir).groupBy("obj_key").agg(F.round(statistics.masked_mean(F.col("loss"), label), 6).alias("mean_loss"))
 
 
-@query("SELECT cast(i AS BIGINT) AS step, i % 250 = 0 AND i <> 500 AS due FROM range(2000) t(i)")
+@query("SELECT event_id AS step, event_id % 250 = 0 AND event_id <> 500 AS due FROM events")
 def evaluation_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(2000).select(F.col("id").alias("step"), feedback.due(F.col("id"), 250, F.lit(500)).alias("due"))
+    return table(spark, sf_dir, "events", "event_id").select(F.col("event_id").alias("step"), feedback.due(F.col("event_id"), 250, F.lit(500)).alias("due"))
 
 
 @query("SELECT l_orderkey, l_linenumber, round(-1 + (l_quantity - 1) / (49 + 1e-8) * 2, 6) + 0.0 AS remapped, round(CASE WHEN true THEN 2 + (l_discount - min(l_discount) OVER w) / (max(l_discount) OVER w - min(l_discount) OVER w + 1e-8) * 3 END, 6) AS stretched FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
@@ -614,29 +637,81 @@ def objective_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feedback.status_json(means, "obj_key", "n").select("obj_key", "status")
 
 
-@query(
-    f"""WITH c AS (SELECT * FROM (VALUES (0, 0, 1), (1, 1, 6), (2, 1, 6), (3, 1, 6), (4, 1, 6), (5, 1, 6), (6, 1, 6)) t(obj_idx, class_id, size)),
-    k AS (SELECT class_id, row_number() OVER (ORDER BY {sql_uniform("'3:5:pick:' || class_id")}, class_id) AS r FROM (SELECT DISTINCT class_id FROM c)),
-    b AS (SELECT c.*, r, CASE WHEN {sql_uniform("'3:count:5'")} < 0.5 THEN 1 ELSE 2 END AS n_pick, {sql_uniform("'3:5:weight:' || obj_idx")} AS weight FROM c JOIN k USING (class_id)),
-    a AS (SELECT obj_idx, CASE WHEN r <= n_pick THEN weight / sum(weight) OVER (PARTITION BY class_id) ELSE 7.0 / greatest(1, 7 - n_pick) * 0.005 * n_pick / size END AS action FROM b)
-    SELECT obj_idx, round(action / sum(action) OVER (), 4) AS prob, true AS explored FROM a"""
-)
-def explored_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn of the loop before there is anything to learn from, which explores."""
-    classes = feedback.class_scaling(spark.createDataFrame([(i, e.name) for i, e in enumerate(config.denoiser_mixture())], "obj_idx int, name string"))
-    nothing = spark.createDataFrame([], "step long, obj_idx int, loss double")
-    return feedback.update_and_sample(spark, nothing, nothing.withColumnRenamed("loss", "action"), classes, 5, 0.0, seed=3)
+#: Objectives of the loop's queries, of two classes.
+LOOP = ((0, "click", "deed"), (1, "purchase", "deed"), (2, "view", "look"), (3, "error", "look"), (4, "signup", "deed"))
+REWARD_SQL = "greatest(-1, least(1, coalesce(CASE WHEN isnan(r) THEN 0 ELSE r END, 0)))"
+
+
+def loop_sql(step: int, rate: float, seed: int = 0, strength: float = 0.1, objectives: tuple = LOOP, overall: bool = False) -> str:
+    """A turn of the loop over daily losses: rewards, a ridge regression by moments, candidates, the best of them. overall: for the losses of all
+    days, and with them, not for those of the last one."""
+    from textloom.functions.hashrand import draw
+
+    explored = draw(f"{seed}:explore:{step}") < rate
+    first = "e.action" if explored else "u"
+    kinds = {k: i for i, k in enumerate(dict.fromkeys(o[2] for o in objectives))}
+    number = " ".join(f"WHEN '{k}' THEN {i}" for k, i in kinds.items())
+    return f"""WITH o AS (SELECT * FROM (VALUES {", ".join(map(str, objectives))}) t(obj_idx, obj_key, kind)),
+    k AS (SELECT obj_idx, CASE kind {number} END AS class_id, count(*) OVER (PARTITION BY kind) AS size, {len(kinds)}.0 / count(*) OVER (PARTITION BY kind) AS weight FROM o),
+    d AS (SELECT obj_idx, date_diff('day', DATE '1970-01-01', cast(ts AS DATE)) AS step, avg(value) AS loss FROM events JOIN o ON event_type = obj_key GROUP BY ALL),
+    h AS (SELECT *, lag(loss) OVER (PARTITION BY obj_idx ORDER BY step) AS old FROM d),
+    y AS (SELECT *, -100 * tanh(sqrt(loss * old) * pow((loss - old) / (old + 1e-8), 3) * exp(1)) * exp(1) AS r, {sql_uniform("'1:' || step || ':' || obj_idx")} AS action FROM h WHERE old IS NOT NULL),
+    m AS (SELECT obj_idx, avg(old) AS mx, avg(action) AS ma, avg({REWARD_SQL}) AS my, covar_pop(old, old) + {strength} AS p, covar_pop(action, action) + {strength} AS q, covar_pop(old, action) AS xa, covar_pop(old, {REWARD_SQL}) AS xy, covar_pop(action, {REWARD_SQL}) AS ay FROM y GROUP BY obj_idx),
+    b AS (SELECT obj_idx, mx, ma, my, (q * xy - xa * ay) / (p * q - xa * xa) AS by_loss, (p * ay - xa * xy) / (p * q - xa * xa) AS by_action FROM m),
+    v AS ({'SELECT obj_idx, avg(value) AS loss FROM events JOIN o ON event_type = obj_key GROUP BY obj_idx' if overall else 'SELECT obj_idx, loss FROM d WHERE step = (SELECT max(step) FROM d)'}),
+    ck AS (SELECT class_id, row_number() OVER (ORDER BY {sql_uniform(f"'{seed}:{step}:pick:' || class_id")}, class_id) AS r FROM (SELECT DISTINCT class_id FROM k)),
+    ec AS (SELECT k.*, r, CASE WHEN {sql_uniform(f"'{seed}:count:{step}'")} < 0.5 THEN 1 ELSE 2 END AS n_pick, {sql_uniform(f"'{seed}:{step}:weight:' || obj_idx")} AS drawn FROM k JOIN ck USING (class_id)),
+    e AS (SELECT obj_idx, CASE WHEN r <= n_pick THEN drawn / sum(drawn) OVER (PARTITION BY class_id) ELSE {len(objectives)}.0 / greatest(1, {len(objectives)} - n_pick) * 0.005 * n_pick / size END AS action FROM ec),
+    g AS (SELECT cand, obj_idx, loss, {sql_uniform(f"'{seed}:' || cand || ':' || obj_idx")} AS u FROM range(16384) c(cand), v),
+    w AS (SELECT cand, obj_idx, loss, loss * CASE WHEN cand < 4096 THEN {first} WHEN cand < 8192 THEN 5.0 / pow(1 - u, 1 / 3.0) WHEN cand < 12288 THEN 3.0 / pow(1 - u, 0.5) ELSE 2.0 / (1 - u) END AS x FROM g JOIN e USING (obj_idx)),
+    a AS (SELECT cand, obj_idx, loss, (x - least(0, min(x) OVER (PARTITION BY cand))) / sum(x - 0) OVER (PARTITION BY cand) AS action FROM w),
+    t AS (SELECT cand, round(sum(weight * tanh(by_loss * loss + by_action * action + my - by_loss * mx - by_action * ma)), 9) AS total FROM a JOIN b USING (obj_idx) JOIN k USING (obj_idx) GROUP BY cand ORDER BY total DESC, cand LIMIT 8),
+    f AS (SELECT obj_idx, loss, loss * avg(action) AS x FROM a JOIN t USING (cand) GROUP BY obj_idx, loss)
+    SELECT cast(obj_idx AS INTEGER) AS obj_idx, round(x / sum(x) OVER (), 4) AS prob, {'round(loss, 4) AS loss' if overall else f'{str(explored).lower()} AS explored'} FROM f"""
+
+
+def _turn(spark: SparkSession, sf_dir: str, step: int, rate: float, days: int | None = None) -> DataFrame:
+    """Daily losses are the evaluations, hashes the mixtures that led to them."""
+    objectives = spark.createDataFrame(LOOP, "obj_idx int, obj_key string, kind string")
+    daily = losses(spark, sf_dir).join(F.broadcast(objectives), "obj_key").groupBy("obj_idx", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("step")).agg(F.avg("loss").alias("loss"))
+    if days is not None:
+        daily = daily.join(F.broadcast(daily.select("step").distinct().orderBy("step").limit(days)), "step", "left_semi")
+    tried = daily.select("step", "obj_idx", uniform(1, F.col("step"), F.col("obj_idx")).alias("action"))
+    return feedback.update_and_sample(spark, daily, tried, feedback.class_scaling(objectives, "kind"), step, rate)
 
 
-@query()
+@query(loop_sql(7, 0.0))
 def learned_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn that learns: daily losses are the evaluations, hashes the mixtures that led to them."""
-    daily = losses(spark, sf_dir).join(F.broadcast(keys(spark)), "obj_key").groupBy("obj_idx", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("step")).agg(F.avg("loss").alias("loss"))
-    tried = daily.select("step", "obj_idx", uniform(1, F.col("step"), F.col("obj_idx")).alias("action"))
-    return feedback.update_and_sample(spark, daily, tried, feedback.class_scaling(keys(spark), "obj_key"), 7, 0.0)
+    """A turn that learns and doesn't explore."""
+    return _turn(spark, sf_dir, 7, 0.0)
 
 
-@query()
+@query(loop_sql(5, 1.0))
+def explored_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn that explores: the drawn action is the base of the candidates."""
+    return _turn(spark, sf_dir, 5, 1.0)
+
+
+@query(f"SELECT obj_idx, round({sql_uniform("'1:' || date_diff('day', DATE '1970-01-01', (SELECT min(cast(ts AS DATE)) FROM events)) || ':' || obj_idx")}, 4) AS prob, false AS explored FROM (VALUES {", ".join(map(str, LOOP))}) t(obj_idx, obj_key, kind)")
+def first_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn after the first evaluation, which leaves the mixture as it is."""
+    return _turn(spark, sf_dir, 5, 1.0, days=1)
+
+
+NAMED_SQL = "SELECT user_id % 10 AS obj_idx, CASE WHEN user_id % 10 < 3 THEN ['click', 'view', 'none'][user_id % 10 + 1] END AS nickname, CASE WHEN user_id % 10 < 6 THEN 'purchase' END AS hash, CASE WHEN user_id % 10 < 9 THEN 'signup' ELSE 'none' END AS name FROM events GROUP BY ALL"
+
+
+@query(f"SELECT obj_idx, coalesce(nickname, hash, name) AS obj_key, round(coalesce(m, 0.0), 6) AS loss FROM ({NAMED_SQL}) LEFT JOIN (SELECT event_type, avg(value) AS m FROM events GROUP BY event_type) ON event_type = coalesce(nickname, hash, name)")
+def losses_by_nickname(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objectives look for their loss under their nickname, else their hash, else their name."""
+    i = F.col("obj_idx")
+    named = table(spark, sf_dir, "events", (F.col("user_id") % 10).alias("obj_idx")).distinct()
+    named = named.select("obj_idx", F.when(i == 0, "click").when(i == 1, "view").when(i == 2, "none").alias("nickname"), F.when(i < 6, "purchase").alias("hash"), F.when(i < 9, "signup").otherwise("none").alias("name"))
+    found = feedback.losses_by_name(named, feedback.mean_losses(losses(spark, sf_dir)), "nickname", "hash", "name")
+    return found.select("obj_idx", F.coalesce("nickname", "hash", "name").alias("obj_key"), F.round("loss", 6).alias("loss"))
+
+
+@query(loop_sql(0, 0.0, objectives=tuple((i, k, k) for i, k in enumerate(OBJECTIVES)), overall=True))
 def next_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole round: daily losses become rewards, a predictor is fitted on them, and the best candidates give the next mixture."""
     daily = losses(spark, sf_dir).join(F.broadcast(keys(spark)), "obj_key").groupBy("obj_idx", F.to_date("ts").alias("day")).agg(F.avg("loss").alias("loss"))

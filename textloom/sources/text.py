@@ -86,10 +86,15 @@ def epochs(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
 
+def synthetic_text(key: Column, lengths: tuple[int, ...], base: str = "abcdefghijklmnopqrstuvwxyz ") -> Column:
+    """A text whose length a whole number chooses, in turns."""
+    size = F.element_at(F.array(*(F.lit(n) for n in lengths)), (F.pmod(key, F.lit(len(lengths))) + 1).cast("int"))
+    return F.substring(F.repeat(F.lit(base), (F.ceil(size / len(base))).cast("int")), F.lit(1), size)
+
+
 def synthetic(spark: SparkSession, rows: int, lengths: tuple[int, ...], base: str = "abcdefghijklmnopqrstuvwxyz ") -> DataFrame:
     """Texts whose lengths take turns."""
-    size = F.element_at(F.array(*(F.lit(n) for n in lengths)), (F.col("id") % len(lengths) + 1).cast("int"))
-    return spark.range(rows).select(F.col("id").alias("doc_id"), F.substring(F.repeat(F.lit(base), (F.ceil(size / len(base))).cast("int")), F.lit(1), size).alias("text"))
+    return spark.range(rows).select(F.col("id").alias("doc_id"), synthetic_text(F.col("id"), lengths, base).alias("text"))
 
 
 def collapse_runs(lines: DataFrame, within: str, order: str, line: str) -> DataFrame:

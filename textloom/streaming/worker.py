@@ -17,8 +17,9 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from textloom.functions.hashrand import draw
-from textloom.operators.config import Objective, normalised, objective
-from textloom.operators.spans import CHARACTERS, one_example
+from textloom.functions.tokens import Characters
+from textloom.operators.config import OPTIONS, REGISTERED, Objective, normalised, objective
+from textloom.operators.spans import CHARACTERS, example_at
 
 PLACED = "shard int, doc_id long, ex_seq long, objective string, pack_id long, segment int, start_off int, n_input int, n_label int, input_ids array<int>, label_ids array<int>, unused long, status string"
 MIXTURES = "mixture int, from_batch long, obj_idx int, name string, prob double, overrides string"
@@ -43,6 +44,8 @@ class Run:
     seed: int = 0
     strict: bool = True
     tok: object = CHARACTERS
+    #: Whether examples carry their ids, or only their sizes and places.
+    ids: bool = True
 
     def __post_init__(self) -> None:
         if not 0 <= self.min_room < self.length:
@@ -51,13 +54,13 @@ class Run:
             raise ValueError("a mixture has entries")
 
 
-def _example(text: str, entry: Objective, room: int, key: str, tok) -> dict:
+def _example(ids: list[int], at: int, chars: int, entry: Objective, room: int, key: str, tok) -> dict:
     options = entry.options
     if 0 <= room < int(options["minimum_remaining_space"]):
         return {"status": "not_enough_space"}
-    if len(text) < int(options["minimum_sequence_length"]) or 0 <= int(options["maximum_sequence_length"]) < len(text):
+    if chars < int(options["minimum_sequence_length"]) or 0 <= int(options["maximum_sequence_length"]) < chars:
         return {"status": "error"}
-    return one_example(text, replace(entry, overrides=(*entry.overrides, ("remaining_space", room))), key, tok=tok)
+    return example_at(ids, at, replace(entry, overrides=(*entry.overrides, ("remaining_space", room))), key, tok=tok)
 
 
 class ShardFold:
@@ -88,18 +91,18 @@ class ShardFold:
         if not isinstance(text, str) or not text.strip():
             yield from self.failed(doc_id, "empty_text", "a text is blank or missing")
             return
-        left: str | None = text
-        while left:
+        ids, at, chars = run.tok.encode(text), 0, len(text)  # a text is encoded once, whatever the number of its examples
+        while at < len(ids):
             entry = self.choose()
-            got = _example(left, entry, run.length - self.used, f"{self.shard}:{self.seq}", run.tok)
+            got = _example(ids, at, chars, entry, run.length - self.used, f"{self.shard}:{self.seq}", run.tok)
             if got["status"] == "not_enough_space" and self.used:
                 self.close()
                 continue
             self.seq += 1
             if got["status"] != "ok":
-                yield from self.failed(doc_id, got["status"], f"{entry.name} can't use {len(left)} characters in {run.length - self.used} slots", entry.name)
+                yield from self.failed(doc_id, got["status"], f"{entry.name} can't use {chars} characters in {run.length - self.used} slots", entry.name)
                 return
-            n, m = len(got["input_ids"]), len(got["label_ids"])
+            n, m, used = len(got["input_ids"]), len(got["label_ids"]), got["used"]
             if not n or not m:
                 yield from self.failed(doc_id, "empty_input_ids" if not n else "empty_label_ids", f"{entry.name} made an empty example", entry.name)
                 return
@@ -108,13 +111,15 @@ class ShardFold:
                 if n + m > run.length:
                     yield from self.failed(doc_id, "sample_too_large_for_packer", f"{n + m} slots", entry.name)
                     return
-            rest = got["unused_text"]
+            at += used
+            chars = 0 if at >= len(ids) else max(1, chars - (used if isinstance(run.tok, Characters) else len(run.tok.decode(ids[at - used : at]))))
             self.segment += 1
-            yield (self.shard, doc_id, self.seq - 1, entry.name, self.pack, self.segment, self.used, n, m, got["input_ids"], got["label_ids"], len(rest), "ok")
+            yield (self.shard, doc_id, self.seq - 1, entry.name, self.pack, self.segment, self.used, n, m, *((got["input_ids"], got["label_ids"]) if run.ids else (None, None)), chars, "ok")
             self.used += n + m
             if run.length - self.used <= run.min_room:
                 self.close()
-            left = rest if rest and rest != left else None
+            if not used:
+                return
 
     def told(self) -> list[tuple]:
         """The state as a row of status `state`."""
@@ -196,6 +201,9 @@ def mixture_at(spark: SparkSession, folder: str, batch: int) -> tuple[int, tuple
     if not rows:
         raise PipelineError("no_mixture", f"none is published for micro-batch {batch}")
     last = rows[-1]["mixture"]
+    missing = sorted({r["name"] for r in rows if r["mixture"] == last} - {*OPTIONS, *REGISTERED})
+    if missing:
+        raise PipelineError("unknown_objective", f"register {', '.join(missing)} in this driver before its mixture is read")
     return last, tuple(objective(r["name"], r["prob"], **json.loads(r["overrides"])) for r in rows if r["mixture"] == last)
 
 
