@@ -650,12 +650,13 @@ def loop_sql(step: int, rate: float, seed: int = 0, strength: float = 0.1, objec
     explored = draw(f"{seed}:explore:{step}") < rate
     first = "e.action" if explored else "u"
     kinds = {k: i for i, k in enumerate(dict.fromkeys(o[2] for o in objectives))}
+    day = "cast(DATE '1970-01-01' + cast(step AS INTEGER) AS VARCHAR)" if overall else "step"  # what the hashed mixtures are keyed by
     number = " ".join(f"WHEN '{k}' THEN {i}" for k, i in kinds.items())
     return f"""WITH o AS (SELECT * FROM (VALUES {", ".join(map(str, objectives))}) t(obj_idx, obj_key, kind)),
     k AS (SELECT obj_idx, CASE kind {number} END AS class_id, count(*) OVER (PARTITION BY kind) AS size, {len(kinds)}.0 / count(*) OVER (PARTITION BY kind) AS weight FROM o),
     d AS (SELECT obj_idx, date_diff('day', DATE '1970-01-01', cast(ts AS DATE)) AS step, avg(value) AS loss FROM events JOIN o ON event_type = obj_key GROUP BY ALL),
     h AS (SELECT *, lag(loss) OVER (PARTITION BY obj_idx ORDER BY step) AS old FROM d),
-    y AS (SELECT *, -100 * tanh(sqrt(loss * old) * pow((loss - old) / (old + 1e-8), 3) * exp(1)) * exp(1) AS r, {sql_uniform("'1:' || step || ':' || obj_idx")} AS action FROM h WHERE old IS NOT NULL),
+    y AS (SELECT *, -100 * tanh(sqrt(loss * old) * pow((loss - old) / (old + 1e-8), 3) * exp(1)) * exp(1) AS r, {sql_uniform(f"'1:' || {day} || ':' || obj_idx")} AS action FROM h WHERE old IS NOT NULL),
     m AS (SELECT obj_idx, avg(old) AS mx, avg(action) AS ma, avg({REWARD_SQL}) AS my, covar_pop(old, old) + {strength} AS p, covar_pop(action, action) + {strength} AS q, covar_pop(old, action) AS xa, covar_pop(old, {REWARD_SQL}) AS xy, covar_pop(action, {REWARD_SQL}) AS ay FROM y GROUP BY obj_idx),
     b AS (SELECT obj_idx, mx, ma, my, (q * xy - xa * ay) / (p * q - xa * xa) AS by_loss, (p * ay - xa * xy) / (p * q - xa * xa) AS by_action FROM m),
     v AS ({'SELECT obj_idx, avg(value) AS loss FROM events JOIN o ON event_type = obj_key GROUP BY obj_idx' if overall else 'SELECT obj_idx, loss FROM d WHERE step = (SELECT max(step) FROM d)'}),
