@@ -68,3 +68,42 @@ def attends(q: Column, k: Column, q_mask: Column, k_mask: Column, q_segment: Col
     """Whether position q sees position k: the condition that attention_pairs counts."""
     sees = q >= k if causal else ((q_mask == 1) & (k_mask == 1)) | (q >= k)
     return sees & (q_segment == k_segment) & (q_segment > 0)
+
+
+def _tile_spans(segments: DataFrame, block: int) -> DataFrame:
+    """Of segments(shard, pack_id, start_off, n_input, n_label): first and last block that they touch, the last that their inputs touch, and the
+    first and last that they, and their inputs, fill."""
+    s, t, e = F.col("start_off"), F.col("start_off") + F.col("n_input"), F.col("start_off") + F.col("n_input") + F.col("n_label")
+    whole = lambda x: x.cast("long")
+    last = lambda x: F.floor((x - 1) / block)
+    return segments.where((F.col("n_input") + F.col("n_label")) > 0).select(
+        "shard", "pack_id", "start_off", whole(F.floor(s / block)).alias("a"), whole(last(e)).alias("b"), whole(F.when(F.col("n_input") > 0, last(t)).otherwise(F.floor(s / block) - 1)).alias("c"),
+        whole(F.ceil(s / block)).alias("fa"), whole(F.floor(e / block) - 1).alias("fb"), whole(F.floor(t / block) - 1).alias("fc"),
+    )
+
+
+def tile_counts(segments: DataFrame, block: int, length: int) -> DataFrame:
+    """Per packed row, how many tiles of block x block positions attention fills, fills in part, and leaves empty, by the rule of `attends`. Segments
+    are intervals, so their tiles are triangles and squares of blocks: they are counted, no tile or pair is formed."""
+    touched, inputs = F.col("b") - F.col("a") + 1, F.greatest(F.lit(0), F.col("c") - F.col("a") + 1)
+    filled, filled_inputs = F.greatest(F.lit(0), F.col("fb") - F.col("fa") + 1), F.greatest(F.lit(0), F.col("fc") - F.col("fa") + 1)
+    some = F.expr("m * (m + 1) div 2 + p * (p - 1) div 2")  # from the diagonal on, and before it among inputs
+    full = F.expr("f * (f - 1) div 2 + g * (g + 1) div 2")
+    shared = (F.lag("b").over(Window.partitionBy("shard", "pack_id").orderBy("start_off")) == F.col("a")).cast("long")  # neighbours meet in a diagonal tile only
+    per = _tile_spans(segments, block).select("shard", "pack_id", touched.alias("m"), inputs.alias("p"), filled.alias("f"), filled_inputs.alias("g"), F.coalesce(shared, F.lit(0)).alias("shared"))
+    rows = per.groupBy("shard", "pack_id").agg(F.sum(some - F.col("shared")).alias("n_some"), F.sum(full).alias("n_full"))
+    tiles = (-(-length // block)) ** 2
+    return rows.select("shard", "pack_id", "n_full", (F.col("n_some") - F.col("n_full")).alias("n_partial"), (F.lit(tiles) - F.col("n_some")).alias("n_empty"))
+
+
+def tile_map(segments: DataFrame, block: int) -> DataFrame:
+    """shard, pack_id, query_block, key_block, full: the tiles that attention touches, for a kernel that skips the others."""
+    spans = _tile_spans(segments, block)
+    queries = spans.withColumn("query_block", F.explode(F.sequence("a", "b")))
+    # keys up to the query's block, and beyond it those of the inputs, if the query's block has inputs
+    last = F.when(F.col("query_block") <= F.col("c"), F.greatest("query_block", "c")).otherwise(F.col("query_block"))
+    tiles = queries.withColumn("key_block", F.explode(F.sequence("a", last)))
+    q, k = F.col("query_block"), F.col("key_block")
+    inside = lambda x, end: (x >= F.col("fa")) & (x <= F.col(end))
+    full = F.when(q > k, inside(q, "fb") & inside(k, "fb")).otherwise(inside(q, "fc") & inside(k, "fc"))
+    return tiles.groupBy("shard", "pack_id", "query_block", "key_block").agg(F.max(full).alias("full"))

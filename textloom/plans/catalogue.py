@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from textloom.functions import tokens
 from textloom.functions.hashrand import pareto, uniform
 from textloom.operators import config, examples, feedback, packing, spans, statistics, validation
+from textloom.sources import connector
 from textloom.sources import text as sources
+from textloom.sources.shared import shared_folder
+from textloom.streaming import losses as loss_stream
 from textloom.streaming import worker
 
 ROOM, BATCH = 1024, 8
@@ -225,6 +228,32 @@ def synthetic_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", long(F.length("text")).alias("n"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("WITH o AS (SELECT doc_id, text, row_number() OVER (ORDER BY md5('0:' || doc_id)) - 1 AS pos FROM documents) SELECT cast(pos % 4 AS INTEGER) AS worker, cast(e AS INTEGER) AS epoch, pos // 4 AS position, cast(doc_id AS VARCHAR) AS key, md5(text) AS text_md5 FROM o, range(2) r(e)")
+def connected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as shuffled shards, read through the connector by four workers for two epochs."""
+    folder = shared_folder(spark, "shards")
+    connector.publish(documents(spark, sf_dir), folder, 4, "doc_id")
+    name = f"shards_{folder.rpartition('-')[2]}"
+    spark.dataSource.register(connector.shards(name, folder))
+    read = connector.read(spark, name, workers=4, epochs=2)
+    return read.select("worker", "epoch", "position", "key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+EXPECTED = {"click": 5, "view": 6, "purchase": 4}
+
+
+@query(
+    f"""WITH w AS (SELECT * FROM (VALUES {", ".join(map(str, EXPECTED.items()))}) t(obj_key, wanted)),
+    r AS (SELECT date_diff('day', DATE '1970-01-01', cast(ts AS DATE)) AS evaluation, obj_key, wanted, value, row_number() OVER (PARTITION BY cast(ts AS DATE), obj_key ORDER BY event_id) AS rank FROM events JOIN w ON obj_key = event_type WHERE value IS NOT NULL),
+    m AS (SELECT evaluation, obj_key, wanted, avg(value) AS mean_loss, count(*) AS n FROM r WHERE rank <= wanted GROUP BY ALL)
+    SELECT evaluation, obj_key, round(mean_loss, 6) AS mean_loss, n FROM m WHERE evaluation IN (SELECT evaluation FROM m WHERE n >= wanted GROUP BY evaluation HAVING count(*) = {len(EXPECTED)})"""
+)
+def completed_evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days that have all losses that are expected of them, with their means."""
+    e = table(spark, sf_dir, "events", loss_stream.evaluation_of(F.col("ts")).alias("evaluation"), F.col("event_id").alias("loss_id"), F.col("event_type").alias("obj_key"), F.col("value").alias("loss"))
+    return loss_stream.completed(e, EXPECTED).withColumn("mean_loss", F.round("mean_loss", 6))
+
+
 @query(
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
     m AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND line = lag(line) OVER w THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM m)
@@ -370,6 +399,23 @@ def attention_pairs_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.attention_pairs(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM), causal=True)
 
 
+TILE = 128
+TILES_SQL = f"""{PLACED_SQL.rstrip()}, spots AS (SELECT shard, pack_id, segment, n_input, start_off, unnest(range(start_off, start_off + n_input + n_label)) AS i FROM placed),
+    per AS (SELECT shard, pack_id, segment, i // {TILE} AS block, count(*) AS n, count(*) FILTER (WHERE i < start_off + n_input) AS k FROM spots GROUP BY ALL),
+    pairs AS (SELECT q.shard, q.pack_id, q.block AS query_block, k.block AS key_block, sum(CASE WHEN q.block > k.block THEN q.n * k.n WHEN q.block = k.block THEN q.n * (q.n + 1) // 2 + q.k * (q.k - 1) // 2 ELSE q.k * k.k END) AS n
+        FROM per q JOIN per k ON q.shard = k.shard AND q.pack_id = k.pack_id AND q.segment = k.segment GROUP BY ALL)"""
+
+
+@query(f"{TILES_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, count(*) FILTER (WHERE n = {TILE * TILE}) AS n_full, count(*) FILTER (WHERE n > 0 AND n < {TILE * TILE}) AS n_partial, {(ROOM // TILE) ** 2} - count(*) FILTER (WHERE n > 0) AS n_empty FROM pairs GROUP BY shard, pack_id")
+def attention_tile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.tile_counts(placed(spark, sf_dir), TILE, ROOM)
+
+
+@query(f"{TILES_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, query_block, key_block, n = {TILE * TILE} AS full FROM pairs WHERE n > 0")
+def attention_tile_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.tile_map(placed(spark, sf_dir), TILE)
+
+
 @query(fit_sql(True))
 def bestfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(spark, sf_dir, fit="best", rows=4).select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
