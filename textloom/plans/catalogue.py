@@ -569,8 +569,8 @@ def coupled_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- validation and feedback ----------------------------------------------------------------------------------------
 @query(
-    f"""WITH f AS (SELECT doc_id, text FROM documents WHERE regexp_matches(text, '\\S') ORDER BY doc_id LIMIT 4),
-    a AS (SELECT doc_id, 'next_token_prediction' AS objective, {sql_ids("'<|NTP|>' || substr(text, 1, 508)")} AS i, {sql_ids("substr(text, 1, 508)")} AS l FROM f UNION ALL SELECT doc_id, 'copying', {sql_ids("'<|COPY|>' || substr(text, 1, 508)")}, {sql_ids("substr(text, 1, 508)")} FROM f)
+    f"""WITH f AS (SELECT obj_idx, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY obj_idx ORDER BY u, doc_id) AS r FROM (SELECT o.obj_idx, doc_id, text, {sql_uniform("'0:validation:' || o.obj_idx || ':' || doc_id")} AS u FROM documents, range(2) o(obj_idx) WHERE regexp_matches(text, '\\S'))) WHERE r <= 4),
+    a AS (SELECT doc_id, 'next_token_prediction' AS objective, {sql_ids("'<|NTP|>' || substr(text, 1, 508)")} AS i, {sql_ids("substr(text, 1, 508)")} AS l FROM f WHERE obj_idx = 0 UNION ALL SELECT doc_id, 'copying', {sql_ids("'<|COPY|>' || substr(text, 1, 508)")}, {sql_ids("substr(text, 1, 508)")} FROM f WHERE obj_idx = 1)
     SELECT objective, doc_id AS item, md5(array_to_string({pad_sql('i', 0)}, ',')) AS input_md5, md5(array_to_string({pad_sql('l', -100)}, ',')) AS label_md5, cast({ROOM} AS BIGINT) AS mask_sum FROM a"""
 )
 def validation_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.functions.hashrand import uniform
+from textloom.sources.shared import shared_folder
 
-#: Order keys are counted in so many ranges; positions follow from the counts, so no task sees more than a range.
-RANGES = 64
-#: Keys from which the ranges of strings are told.
-SAMPLE = 8192
+#: Rows of a range of an order, if there are more of them than the session has shuffle partitions for.
+RANGE_ROWS = 4_000_000
 
 
 def grab(df: DataFrame, text: Column | str = "text", strict: bool = False) -> DataFrame:
@@ -31,23 +30,25 @@ def shuffled_key(key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
 
 
+def ranged(df: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df sorted in ranges of about as many rows each, stored, with `_id`: the range's number and, in the 33 lowest bits, the place within it. Bounds come from
+    Spark's sample of the sort keys, the last of which is a hash of the row, so runs of equal keys are split like others."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    keys = [F.col(order), *map(F.col, ties), F.col("_tie")]
+    held = df.withColumn("_tie", F.xxhash64(*(F.col(c) for c in df.columns))).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
+    path = shared_folder(spark, "ranges")
+    held.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)  # a sample is drawn once; what follows reads one outcome
+    return spark.read.parquet(path)
+
+
 def positions(df: DataFrame, order: str, into: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
-    """df with each row's place (from 0) in the order of a column of numbers or strings: counts by range, then places within it."""
-    if dict(df.dtypes)[order] == "string":
-        # bounds are texts at even steps of a sample, so ranges hold about as many rows whatever the texts begin with
-        share = min(1.0, SAMPLE / max(1, df.count()))
-        some = df.select(F.col(order).alias("k")).where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).distinct().orderBy("k").limit(2 * SAMPLE)
-        keys = [r["k"] for r in some.collect() if r["k"] is not None]
-        bounds = sorted({keys[i * len(keys) // RANGES] for i in range(1, RANGES)}) if keys else []
-        kind = "array<string>"
-    else:
-        bounds = [float(b) for b in sorted(set(df.stat.approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.001)))]
-        kind = "array<double>"
-    headed, bucket = df.withColumn("_head", F.size(F.filter(F.array(*map(F.lit, bounds)).cast(kind), lambda b: b < F.col(order)))), F.col("_head")
-    counts = headed.groupBy(bucket.alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_head", (F.sum("_n").over(Window.orderBy("_head")) - F.col("_n")).alias("_before"))  # one row per range
-    place = F.row_number().over(Window.partitionBy("_head").orderBy(order, *ties)) - 1
-    return headed.withColumn("_place", place).join(F.broadcast(before), "_head").withColumn(into, (F.col("_place") + F.col("_before")).cast("long")).drop("_head", "_place", "_before")
+    """df with each row's place (from 0) in the order of a column: places within ranges, and counts of the ranges before. No window holds rows."""
+    found = ranged(df, order, ties)
+    counts = found.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row per range
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return found.withColumn("_range", F.shiftright("_id", 33)).join(F.broadcast(before), "_range").withColumn(into, place.cast("long")).drop("_range", "_id", "_before")
 
 
 def strided(df: DataFrame, shards: int, order: str) -> DataFrame:
