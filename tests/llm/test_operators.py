@@ -229,10 +229,12 @@ def test_links_are_complete_and_never_all_pairs(spark):
 
 def test_scratch_is_cleared(spark):
     simhash_dedup.components(spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")).count()
-    at = Path(_common.shared_dir(spark)) / "textloom"
+    at = Path(_common.shared_dir(spark).removeprefix("file:")) / "textloom" / spark.sparkContext.applicationId
+    other = at.parent / "another-application"
+    other.mkdir(parents=True)
     assert len(list(at.glob("edges-*"))) >= 1
     _common.clear_scratch(spark)
-    assert not at.exists()
+    assert not at.exists() and other.exists()  # tables of other applications stay
 
 
 # ---- 4 --------------------------------------------------------------------------------------------------------------
