@@ -37,6 +37,14 @@ def _next_fit(length: int, min_room: int, most: int):
     return place
 
 
+def row_for(n: int, used: list[int], count: list[int], length: int, min_room: int, most: int, best: bool) -> int | None:
+    """The fullest (best) or emptiest of a set of open rows that takes n; none if the set is to be replaced."""
+    takes = [i for i, u in enumerate(used) if count[i] < most and u + n <= length]
+    if not takes or all(length - u <= min_room for u in used):
+        return None
+    return max(takes, key=lambda i: (used[i], -i)) if best else min(takes, key=lambda i: (used[i], i))
+
+
 def _fit(length: int, min_room: int, most: int, rows: int, best: bool):
     """A set of open rows: the fullest (best) or emptiest that takes the item; all are replaced when none does."""
     base, used, count = 0, [0] * rows, [0] * rows
@@ -45,11 +53,9 @@ def _fit(length: int, min_room: int, most: int, rows: int, best: bool):
         nonlocal base, used, count
         if n > length:
             raise ValueError(f"an example of {n} tokens does not fit a row of {length}")
-        open_rows = [i for i in range(rows) if count[i] < most and used[i] + n <= length]
-        if not open_rows or all(length - u <= min_room for u in used):
-            base, used, count = base + rows, [0] * rows, [0] * rows
-            open_rows = list(range(rows))
-        i = max(open_rows, key=lambda i: (used[i], -i)) if best else min(open_rows, key=lambda i: (used[i], i))
+        i = row_for(n, used, count, length, min_room, most, best)
+        if i is None:
+            base, used, count, i = base + rows, [0] * rows, [0] * rows, 0
         at, used[i], count[i] = used[i], used[i] + n, count[i] + 1
         return base + i, count[i], at
 
@@ -83,6 +89,27 @@ def close_rows(placed: DataFrame, size: str, length: int = 1024, min_room: int =
     return rows.join(last, "shard").where((F.col("pack_id") < F.col("last")) | (length - F.col("used") <= min_room)).drop("last")
 
 
+def readiness(open_rows: DataFrame, length: int, min_room: int = MIN_ROOM) -> DataFrame:
+    """shard, max_room, min_room, ready of open rows (shard, used): the most and least room of a shard's rows, and whether all are full enough to go."""
+    room = F.lit(length) - F.col("used")
+    return open_rows.groupBy("shard").agg(F.max(room).alias("max_room"), F.min(room).alias("min_room"), F.max(room > min_room).alias("_some")).select("shard", "max_room", "min_room", (~F.col("_some")).alias("ready"))
+
+
+def open_rows(placed: DataFrame, size: str, rows: int) -> DataFrame:
+    """shard, pack_id, used, n_segments of each shard's last set of `rows` rows, as best and worst fit leave it; rows that hold nothing are among them."""
+    held = placed.groupBy("shard", "pack_id").agg(F.sum(size).cast("long").alias("used"), F.count(F.lit(1)).alias("n_segments"))
+    last = held.groupBy("shard").agg((F.floor(F.max("pack_id") / rows) * rows).cast("long").alias("base"))
+    every = last.select("shard", F.explode(F.sequence(F.col("base"), F.col("base") + rows - 1)).alias("pack_id"))
+    return every.join(held, ["shard", "pack_id"], "left").select("shard", "pack_id", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
+
+
+def forced(placed: DataFrame, size: str, rows: int) -> DataFrame:
+    """Every packed row as if the last sets were told to close as they are: shard, pack_id, used, n_segments, and whether it took that."""
+    held = close_rows(placed, size, keep_tail=True)
+    last = held.groupBy("shard").agg(F.max("pack_id").alias("_last"))
+    return held.join(last, "shard").withColumn("forced", F.floor(F.col("pack_id") / rows) == F.floor(F.col("_last") / rows)).drop("_last")
+
+
 def batches(rows: DataFrame, batch_size: int) -> DataFrame:
     """rows with batch_id and row_in_batch, in order within each shard."""
     n = F.row_number().over(Window.partitionBy("shard").orderBy("pack_id")) - 1

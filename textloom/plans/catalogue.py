@@ -13,7 +13,7 @@ from textloom.sources import connector
 from textloom.sources import text as sources
 from textloom.sources.shared import shared_folder
 from textloom.streaming import losses as loss_stream
-from textloom.streaming import worker
+from textloom.streaming import open_rows, worker
 
 ROOM, BATCH = 1024, 8
 #: Shards of the packing queries: one for so many documents, and so many at least; a shard is packed by one task.
@@ -421,6 +421,34 @@ def bestfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(spark, sf_dir, fit="best", rows=4).select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
 
 
+OPEN_ROWS = 4
+LAST_SETS_SQL = f"""WITH plan AS ({fit_sql(True)}), held AS (SELECT shard, pack_id, cast(sum(n) AS BIGINT) AS used, count(*) AS n_segments, max(pack_id) OVER (PARTITION BY shard) // {OPEN_ROWS} AS last FROM plan GROUP BY shard, pack_id)"""
+
+
+@query(f"{LAST_SETS_SQL} SELECT shard, CASE WHEN count(*) < {OPEN_ROWS} THEN {ROOM} ELSE {ROOM} - min(used) END AS max_room, {ROOM} - max(used) AS min_room, count(*) = {OPEN_ROWS} AND {ROOM} - min(used) <= 64 AS ready FROM held WHERE pack_id // {OPEN_ROWS} = last GROUP BY shard")
+def open_row_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The room in each shard's open rows after its last example, and whether they are ready to go."""
+    return packing.readiness(packing.open_rows(placed(spark, sf_dir, fit="best", rows=OPEN_ROWS), "n", OPEN_ROWS), ROOM)
+
+
+@query(f"{LAST_SETS_SQL} SELECT shard, pack_id, used, n_segments, pack_id // {OPEN_ROWS} = last AS forced FROM held")
+def forced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed rows when the open ones are closed as they are."""
+    return packing.forced(placed(spark, sf_dir, fit="best", rows=OPEN_ROWS), "n", OPEN_ROWS)
+
+
+@query(fit_sql(True))
+def streamed_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All examples as a stream whose open rows are state; the stream's table is read when it has taken them all."""
+    folder, items = shared_folder(spark, "streamed"), placed(spark, sf_dir).select("shard", "doc_id", "chunk_idx", "n")
+    items.write.parquet(f"{folder}/items")
+    told = open_rows.rows_of(spark.readStream.schema(items.schema).parquet(f"{folder}/items"), "n", ROOM, order=("doc_id", "chunk_idx"), rows=OPEN_ROWS)
+    with open_rows.rocks(spark):
+        told.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/told", format="parquet").awaitTermination()
+    got = spark.read.schema(told.schema).parquet(f"{folder}/told").where(F.col("event") == open_rows.PLACED)
+    return got.select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
+
+
 @query(fit_sql(False))
 def worstfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(spark, sf_dir, fit="worst", rows=4).select("doc_id", "chunk_idx", "shard", "pack_id", "segment", "start_off", "n")
