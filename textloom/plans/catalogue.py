@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,7 +13,7 @@ from textloom.sources import connector
 from textloom.sources import text as sources
 from textloom.sources.shared import shared_folder
 from textloom.streaming import losses as loss_stream
-from textloom.streaming import open_rows, worker
+from textloom.streaming import figures, open_rows, worker
 
 ROOM, BATCH = 1024, 8
 #: Shards of the packing queries: one for so many documents, and so many at least; a shard is packed by one task.
@@ -265,6 +265,27 @@ def run_length_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", long("first"), "n", F.md5(sources.shown_runs(runs, "line").cast("binary")).alias("shown_md5"))
 
 
+def stream_runs_sql(lines: str, order: str) -> str:
+    return f"""WITH l AS ({lines}), m AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND line IS NOT DISTINCT FROM lag(line) OVER w THEN 0 ELSE 1 END AS fresh FROM l WINDOW w AS (ORDER BY {order})),
+    r AS (SELECT *, sum(fresh) OVER (ORDER BY {order}) AS run FROM m)"""
+
+
+@query(
+    f"""{stream_runs_sql("SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents", "doc_id, pos")}
+    SELECT max(doc_id) FILTER (WHERE fresh = 1) AS doc_id, max(pos) FILTER (WHERE fresh = 1) AS pos, count(*) AS n, md5(any_value(line)) AS line_md5 FROM r GROUP BY run"""
+)
+def corpus_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of all documents as one stream, its runs collapsed."""
+    lines = documents(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return sources.collapse_stream(lines, ("doc_id", "pos"), "line").select("doc_id", long("pos"), "n", F.md5(F.col("line").cast("binary")).alias("line_md5"))
+
+
+@query(f"{stream_runs_sql("SELECT ts, event_id, event_type AS line FROM events", "ts, event_id")} SELECT max(event_id) FILTER (WHERE fresh = 1) AS event_id, any_value(line) AS event_type, count(*) AS n FROM r GROUP BY run")
+def event_run_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of events of one type, in the order of time."""
+    return sources.collapse_stream(table(spark, sf_dir, "events", "ts", "event_id", "event_type"), ("ts", "event_id"), "event_type").select("event_id", "event_type", "n")
+
+
 @query("SELECT conv_id, count(*) AS n_turns, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS text_md5 FROM conversations GROUP BY conv_id")
 def conversation_grabber(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -332,6 +353,15 @@ def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.fill(packing.close_rows(placed(spark, sf_dir), "n", ROOM), ROOM)
 
 
+@query(f"{PLACED_SQL} SELECT count(*) AS n_rows, cast(ceil(count(*) / {BATCH}.0) AS BIGINT) AS n_batches, cast(sum(n_segments) AS BIGINT) AS total_samples, cast(sum(used) AS BIGINT) AS active_slots, count(*) * {ROOM} AS total_slots, round(sum(used) / (count(*) * {ROOM}), 6) AS fill_rate FROM closed")
+def observed_run_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run reports of the packed rows that it writes, without reading them again."""
+    seen = Observation()
+    figures.observed(packing.close_rows(placed(spark, sf_dir), "n", ROOM), seen).write.parquet(shared_folder(spark, "packed"))
+    got = figures.of(seen, ROOM, BATCH)
+    return spark.createDataFrame([(got.n_rows, got.batches, got.total_samples, got.active_slots, got.total_slots, got.fill_rate)], "n_rows long, n_batches long, total_samples long, active_slots long, total_slots long, fill_rate double")
+
+
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, segment, cast(start_off AS INTEGER) AS pos, unicode(prompt) + 3 AS token FROM placed")
 def segment_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.segment_starts(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))

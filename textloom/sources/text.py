@@ -106,6 +106,30 @@ def collapse_runs(lines: DataFrame, within: str, order: str, line: str) -> DataF
     return marked.groupBy(within, "_run").agg(F.min(order).alias("first"), F.first(line).alias(line), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
+def collapse_stream(lines: DataFrame, order: tuple[str, ...], line: str) -> DataFrame:
+    """Runs of equal neighbours in one long order of lines that no key divides: the order columns of a run's first line, the line (null equals null), and n.
+
+    Each sorted range of the order is collapsed by itself. What a range says to others is its first and last run only: a run that ends a range and one that begins the
+    next are the same run if their lines are equal, and a range that is all one run hands on what it was given. So runs of any length meet in one row without
+    meeting in one task. Lines equal in all order columns lie in no defined order."""
+    spark = lines.sparkSession
+    found = ranged(lines.select(*order, line), order[0], order[1:]).withColumn("_range", F.shiftright("_id", 33))
+    within = Window.partitionBy("_range").orderBy("_id")  # a range
+    fresh = F.coalesce((F.row_number().over(within) == 1) | ~F.col(line).eqNullSafe(F.lag(line).over(within)), F.lit(True))
+    marked = found.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(within))
+    path = shared_folder(spark, "runs")
+    marked.groupBy("_range", "_run").agg(F.min(F.struct("_id", *order)).alias("_first"), F.first(line).alias(line), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    runs = spark.read.parquet(path)
+    last = runs.groupBy("_range").agg(F.max("_run").alias("_last"))
+    edges = runs.join(F.broadcast(last), "_range").where((F.col("_run") == 1) | (F.col("_run") == F.col("_last"))).select("_range", "_run", F.sha2(line, 256).alias("_line"), F.col("n").alias("_n"))
+    across = Window.orderBy("_range", "_run")  # two rows per range
+    goes_on = F.lag("_line").over(across).eqNullSafe(F.col("_line")) & (F.lag("_range").over(across) != F.col("_range"))
+    joined = edges.withColumn("_head", F.coalesce(~goes_on, F.lit(True))).withColumn("_whole", F.sum(F.col("_head").cast("int")).over(across))
+    joined = joined.withColumn("_total", F.sum("_n").over(Window.partitionBy("_whole"))).select("_range", "_run", "_head", "_total")
+    kept = runs.join(F.broadcast(joined), ["_range", "_run"], "left").where(F.coalesce("_head", F.lit(True)))
+    return kept.select(*(F.col(f"_first.{c}").alias(c) for c in order), line, F.coalesce("_total", "n").alias("n"))
+
+
 def shown_runs(runs: DataFrame, line: str) -> Column:
     """A run as text: the line, and how often it was repeated."""
     return F.when(F.col("n") > 1, F.concat(line, F.lit("\n  [Last line repeated "), (F.col("n") - 1).cast("string"), F.lit(" times...]"))).otherwise(F.col(line))
