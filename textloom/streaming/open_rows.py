@@ -19,7 +19,7 @@ from textloom.operators import packing
 
 #: What is told: an item's place, a row that closed by the rules, a row that was closed by its age.
 PLACED, CLOSED, FORCED = "placed", "closed", "forced"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 TOLD = [("event", T.StringType()), ("pack_id", T.LongType()), ("segment", T.IntegerType()), ("start_off", T.IntegerType()), ("used", T.IntegerType()), ("n_segments", T.IntegerType())]
 
 
@@ -102,14 +102,16 @@ def rows_of(items: DataFrame, size: str, length: int = 1024, min_room: int = pac
 
 @contextmanager
 def rocks(spark: SparkSession) -> Iterator[None]:
-    """Streams started within have RocksDB as their state store."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, ROCKS)
+    """Streams started within have RocksDB as their state store, without the 4 MB that each store of a partition would claim on disk beforehand: a shard's
+    state is a few numbers."""
+    before = {k: spark.conf.get(k, None) for k in ROCKS}
+    for k, v in ROCKS.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
 
 
 def peek(spark: SparkSession, checkpoint: str, length: int = 1024, min_room: int = packing.MIN_ROOM) -> DataFrame:
