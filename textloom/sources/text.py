@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from textloom.functions.hashrand import uniform
@@ -30,13 +36,18 @@ def shuffled_key(key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
 
 
+def sorted_ranges(df: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """df sorted in partitions of about as many rows each, in the order of the partitions. Bounds come from Spark's sample of the sort keys, the last of which is
+    a hash of the row, so runs of equal keys are split like others."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    keys = [F.col(order), *map(F.col, ties), F.col("_tie")]
+    return df.withColumn("_tie", F.xxhash64(*(F.col(c) for c in df.columns))).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
+
+
 def ranged(df: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
-    """df sorted in ranges of about as many rows each, stored, with `_id`: the range's number and, in the 33 lowest bits, the place within it. Bounds come from
-    Spark's sample of the sort keys, the last of which is a hash of the row, so runs of equal keys are split like others."""
+    """Sorted ranges, stored, with `_id`: the range's number and, in the 33 lowest bits, the place within it."""
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
-    keys = [F.col(order), *map(F.col, ties), F.col("_tie")]
-    held = df.withColumn("_tie", F.xxhash64(*(F.col(c) for c in df.columns))).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
+    held = sorted_ranges(df, order, ties)
     path = shared_folder(spark, "ranges")
     held.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)  # a sample is drawn once; what follows reads one outcome
     return spark.read.parquet(path)
@@ -106,6 +117,37 @@ def collapse_runs(lines: DataFrame, within: str, order: str, line: str) -> DataF
     return marked.groupBy(within, "_run").agg(F.min(order).alias("first"), F.first(line).alias(line), F.count(F.lit(1)).alias("n")).drop("_run")
 
 
+def _runs_of(batches: Iterator[pa.RecordBatch], line: str) -> Iterator[pa.RecordBatch]:
+    """Runs of a sorted partition: each one's first row, with its number (from 1) and length. Only the run that is still open goes from batch to batch."""
+    head, held, number = None, 0, 1
+
+    def told(rows: pa.RecordBatch, sizes: np.ndarray) -> pa.RecordBatch:
+        places = np.arange(number, number + len(sizes), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(places), pa.array(sizes.astype(np.int64))], names=[*rows.schema.names, "_run", "n"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(line)
+        a, b = column.slice(0, len(column) - 1), column.slice(1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate([[True], ~same.astype(bool)]))
+        sizes, rows = np.diff(np.append(starts, len(column))), batch.take(pa.array(starts))
+        if head is not None:
+            if head.column(line)[0].as_py() == rows.column(line)[0].as_py():
+                held, rows, sizes = held + int(sizes[0]), rows.slice(1), sizes[1:]
+            if not len(sizes):
+                continue
+            yield told(head, np.array([held]))
+            number += 1
+        if len(sizes) > 1:
+            yield told(rows.slice(0, len(sizes) - 1), sizes[:-1])
+            number += len(sizes) - 1
+        head, held = rows.slice(len(sizes) - 1), int(sizes[-1])
+    if head is not None:
+        yield told(head, np.array([held]))
+
+
 def collapse_stream(lines: DataFrame, order: tuple[str, ...], line: str) -> DataFrame:
     """Runs of equal neighbours in one long order of lines that no key divides: the order columns of a run's first line, the line (null equals null), and n.
 
@@ -113,12 +155,10 @@ def collapse_stream(lines: DataFrame, order: tuple[str, ...], line: str) -> Data
     next are the same run if their lines are equal, and a range that is all one run hands on what it was given. So runs of any length meet in one row without
     meeting in one task. Lines equal in all order columns lie in no defined order."""
     spark = lines.sparkSession
-    found = ranged(lines.select(*order, line), order[0], order[1:]).withColumn("_range", F.shiftright("_id", 33))
-    within = Window.partitionBy("_range").orderBy("_id")  # a range
-    fresh = F.coalesce((F.row_number().over(within) == 1) | ~F.col(line).eqNullSafe(F.lag(line).over(within)), F.lit(True))
-    marked = found.withColumn("_new", fresh.cast("int")).withColumn("_run", F.sum("_new").over(within))
+    found = sorted_ranges(lines.select(*order, line), order[0], order[1:]).withColumn("_range", F.spark_partition_id())
+    schema = T.StructType([*found.schema.fields, T.StructField("_run", T.LongType()), T.StructField("n", T.LongType())])
     path = shared_folder(spark, "runs")
-    marked.groupBy("_range", "_run").agg(F.min(F.struct("_id", *order)).alias("_first"), F.first(line).alias(line), F.count(F.lit(1)).alias("n")).write.parquet(path)
+    found.mapInArrow(lambda batches: _runs_of(batches, line), schema).write.parquet(path)  # ranges are drawn once; what follows reads one outcome
     runs = spark.read.parquet(path)
     last = runs.groupBy("_range").agg(F.max("_run").alias("_last"))
     edges = runs.join(F.broadcast(last), "_range").where((F.col("_run") == 1) | (F.col("_run") == F.col("_last"))).select("_range", "_run", F.sha2(line, 256).alias("_line"), F.col("n").alias("_n"))
@@ -127,7 +167,7 @@ def collapse_stream(lines: DataFrame, order: tuple[str, ...], line: str) -> Data
     joined = edges.withColumn("_head", F.coalesce(~goes_on, F.lit(True))).withColumn("_whole", F.sum(F.col("_head").cast("int")).over(across))
     joined = joined.withColumn("_total", F.sum("_n").over(Window.partitionBy("_whole"))).select("_range", "_run", "_head", "_total")
     kept = runs.join(F.broadcast(joined), ["_range", "_run"], "left").where(F.coalesce("_head", F.lit(True)))
-    return kept.select(*(F.col(f"_first.{c}").alias(c) for c in order), line, F.coalesce("_total", "n").alias("n"))
+    return kept.select(*(F.col(c) for c in order), line, F.coalesce("_total", "n").alias("n"))
 
 
 def shown_runs(runs: DataFrame, line: str) -> Column:
