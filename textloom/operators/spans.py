@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import gc
 import hashlib
-from bisect import bisect_right
+import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,35 +34,33 @@ SLACK = 16
 CHARACTERS = Characters()
 
 
-class Hashed:
-    """Draws that follow from a key; numbered by attempt and step."""
-
-    def __init__(self, key: str):
-        self.key, self.attempt, self.step, self.tables = key, 0, 0, {}
-
-    def begin(self, attempt: int) -> None:
-        self.attempt, self.step = attempt, 0
-
-    def three(self, low: float, high: float, mean: float) -> tuple[float, int, float]:
-        """A rate, a Poisson length and a uniform number."""
-        digest = hashlib.md5(f"{self.key}:{self.attempt}:{self.step}".encode()).hexdigest()
-        self.step += 1
-        table = self.tables.setdefault(mean, poisson_table(mean))
-        first, second, third = (int(digest[8 * i : 8 * i + 8], 16) / 4294967296.0 for i in range(3))
-        return low + (high - low) * first, bisect_right(table, second), third
-
-
-class Exact:
-    """Draws from a seeded generator, one stream for all attempts."""
-
-    def __init__(self, seed: int):
-        self.rng = np.random.default_rng(seed)
-
-    def begin(self, attempt: int) -> None:
-        pass
-
-    def three(self, low: float, high: float, mean: float) -> tuple[float, int, float]:
-        return self.rng.uniform(low, high), int(self.rng.poisson(mean)), self.rng.uniform(0.0, 1.0)
+@lru_cache(maxsize=64)
+def skip_tables(mean: float, shortest: float, longest: float, low: float, high: float) -> tuple[list[float], list[list[float]]]:
+    """What a walk that skips draws from. A token starts a hole with chance rate / span, for a uniform rate and a clipped Poisson span that ends with
+    the text; so, by the number of tokens left: the hazards of a hole, summed up to there, and the cumulative chances of spans given a hole. From the longest span on both
+    stay as they are: sums grow by the last difference."""
+    chances: dict[int, float] = {}
+    reached = [0.0, *poisson_table(mean), 1.0]
+    for k, (before, upto) in enumerate(zip(reached, reached[1:], strict=False)):
+        span = int(max(1, shortest, min(k, longest)))
+        chances[span] = chances.get(span, 0.0) + upto - before
+    hazard, spans = [0.0], []
+    for left in range(1, max(chances) + 1):
+        weights = [0.0] * left
+        for span, p in chances.items():
+            weights[min(span, left) - 1] += p / min(span, left)
+        total = sum(weights)
+        hazard.append(hazard[-1] - math.log1p(-(low + high) / 2 * total))
+        spans.append([w / total for w in accumulate(weights)][:-1])
+    return hazard, spans
+
+
+def _next_hole(left: int, u: float, hazard: list[float]) -> int:
+    """How many tokens are left where the next hole starts (0: there is none), from how many are left now."""
+    most = len(hazard) - 1
+    growth = hazard[most] - hazard[most - 1]
+    at = (hazard[most] + (left - most) * growth if left > most else hazard[left]) + math.log(1 - u)
+    return min(left, most + math.ceil((at - hazard[most]) / growth) if at > hazard[most] else bisect_left(hazard, at))
 
 
 def _plain(units: list[int], entry: Objective, prompt: list[int], tok) -> dict:
@@ -84,45 +85,101 @@ def _nothing(attempts: int = 0) -> dict:
     return {"status": "fail", "input_ids": [], "label_ids": [], "used": 0, "masked_count": 0, "original_length": 0, "spans": 0, "attempts": attempts}
 
 
-def _walk(units: list[int], options: dict, prompt: list[int], source, keep_prefix: bool, tok) -> dict:
-    """Infilling, and with keep_prefix autoencoding (whose label is the text itself up to the furthest consumed token)."""
-    room, p, rate = int(options["remaining_space"]), len(prompt), float(options["corruption_rate"])
-    mean = float(options["tokens_per_mask"] if keep_prefix else options["mean_tokens_per_span"])
-    low, high = max(0.0, rate * 0.5), min(0.95, 2 * rate)
-    shortest, longest = (max(1, int(mean) // 3), max(1, 3 * int(mean))) if keep_prefix else (max(1.0, mean / 3), max(1.0, 3 * mean))
-    end = tok.encode(str(options["paradigm_end"]))
-    limit = min(len(units), room - p - SLACK)
-    if limit <= 0:
-        return _nothing()
-    most = 1 << 31 if keep_prefix else int(options["max_mask_spans"])
-    holes: list[list[int]] = []
-    for attempt in range(int(options["max_attempts"])):
-        source.begin(attempt)
-        inp, lab, at, spans, masked = [*prompt], [], 0, 0, 0
-        n_lab = 0
-        while at < limit and spans < most and len(inp) + n_lab + len(end) < room:
-            chance, drawn, u = source.three(low, high, mean)
-            span = int(max(1, min(max(shortest, min(drawn, longest)), limit - at)))
-            if spans == len(holes):
-                holes.append(tok.encode(f"{options['mask_prefix']}{spans}{options['mask_suffix']}"))
-            hole = holes[spans]
-            added = span if keep_prefix else len(hole) + span
-            if u < chance / span and limit - at >= span and len(inp) + len(hole) + n_lab + added + len(end) <= room:
-                inp += hole
-                if not keep_prefix:
-                    lab += hole + units[at : at + span]
-                n_lab, at, spans, masked = n_lab + added, at + span, spans + 1, masked + span
-            elif len(inp) + 1 + n_lab + (1 if keep_prefix else 0) + len(end) <= room:
-                inp.append(units[at])
-                n_lab, at = n_lab + (1 if keep_prefix else 0), at + 1
-            else:
-                break
-        if spans:
-            label = units[:at] if keep_prefix else lab
-            if len(inp) + len(label) + len(end) <= room:
-                label = label + end
-            return _made(inp, label, at, masked_count=masked, original_length=at, spans=spans, attempts=attempt + 1)
-    return _nothing(int(options["max_attempts"]))
+class Walk:
+    """Infilling, and with keep_prefix autoencoding (whose label is the text itself up to the furthest consumed token): budgets, what has been made
+    so far, and its steps. A token that is kept costs a place in the input, and one in the label if that is the text."""
+
+    def __init__(self, units: list[int], options: dict, prompt: list[int], keep_prefix: bool, tok):
+        self.units, self.options, self.prompt, self.keep_prefix, self.tok = units, options, prompt, keep_prefix, tok
+        rate = float(options["corruption_rate"])
+        self.mean = float(options["tokens_per_mask"] if keep_prefix else options["mean_tokens_per_span"])
+        self.low, self.high = max(0.0, rate * 0.5), min(0.95, 2 * rate)
+        self.shortest, self.longest = (max(1, int(self.mean) // 3), max(1, 3 * int(self.mean))) if keep_prefix else (max(1.0, self.mean / 3), max(1.0, 3 * self.mean))
+        self.end = tok.encode(str(options["paradigm_end"]))
+        self.room = int(options["remaining_space"]) - len(self.end)
+        self.limit = min(len(units), int(options["remaining_space"]) - len(prompt) - SLACK)
+        self.most = 1 << 31 if keep_prefix else int(options["max_mask_spans"])
+        self.cost = 2 if keep_prefix else 1
+        self.holes: list[list[int]] = []
+
+    def begin(self) -> None:
+        self.inp, self.lab, self.n_lab, self.at, self.spans, self.masked = [*self.prompt], [], 0, 0, 0, 0
+
+    def free(self) -> int:
+        return self.room - len(self.inp) - self.n_lab
+
+    def going(self) -> bool:
+        return self.at < self.limit and self.spans < self.most and self.free() > 0
+
+    def keep(self, n: int) -> bool:
+        """Keeps so many tokens, or as many as there is room for; whether there was room for all."""
+        fit = min(n, self.free() // self.cost)
+        self.inp += self.units[self.at : self.at + fit]
+        self.n_lab, self.at = self.n_lab + (self.cost - 1) * fit, self.at + fit
+        return fit == n
+
+    def mask(self, span: int) -> bool:
+        """Makes a hole if there is room for it."""
+        if self.spans == len(self.holes):
+            self.holes.append(self.tok.encode(f"{self.options['mask_prefix']}{self.spans}{self.options['mask_suffix']}"))
+        hole = self.holes[self.spans]
+        added = span if self.keep_prefix else len(hole) + span
+        if self.limit - self.at < span or len(hole) + added > self.free():
+            return False
+        self.inp += hole
+        if not self.keep_prefix:
+            self.lab += hole + self.units[self.at : self.at + span]
+        self.n_lab, self.at, self.spans, self.masked = self.n_lab + added, self.at + span, self.spans + 1, self.masked + span
+        return True
+
+    def made(self, attempts: int) -> dict:
+        label = self.units[: self.at] if self.keep_prefix else self.lab
+        if len(self.inp) + len(label) <= self.room:
+            label = label + self.end
+        return _made(self.inp, label, self.at, masked_count=self.masked, original_length=self.at, spans=self.spans, attempts=attempts)
+
+    def exact(self, seed: int):
+        """Three numbers of a seeded generator for each token, one stream for all attempts."""
+        rng = np.random.default_rng(seed)
+
+        def walk(attempt: int) -> None:
+            while self.going():
+                chance, drawn, u = rng.uniform(self.low, self.high), int(rng.poisson(self.mean)), rng.uniform(0.0, 1.0)
+                span = int(max(1, min(max(self.shortest, min(drawn, self.longest)), self.limit - self.at)))
+                if not (u < chance / span and self.mask(span)) and not self.keep(1):
+                    break
+
+        return walk
+
+    def hashed(self, key: str):
+        """Two numbers for each hole, from hashes of key, attempt and step: the way to it and its span. Examples are distributed as those of `exact`."""
+        hazard, spans = skip_tables(self.mean, self.shortest, self.longest, self.low, self.high)
+
+        def walk(attempt: int) -> None:
+            step = 0
+            while self.going():
+                digest = hashlib.md5(f"{key}:{attempt}:{step}".encode()).hexdigest()
+                step += 1
+                left = _next_hole(self.limit - self.at, int(digest[:8], 16) / 4294967296.0, hazard)
+                if not self.keep(self.limit - left - self.at) or not left:
+                    break
+                span = 1 + bisect_right(spans[min(left, len(spans)) - 1], int(digest[8:16], 16) / 4294967296.0)
+                if not self.mask(span) and not self.keep(1):
+                    break
+
+        return walk
+
+    def run(self, walk) -> dict:
+        """The first attempt that makes a hole."""
+        if self.limit <= 0:
+            return _nothing()
+        tries = int(self.options["max_attempts"])
+        for attempt in range(tries):
+            self.begin()
+            walk(attempt)
+            if self.spans:
+                return self.made(attempt + 1)
+        return _nothing(tries)
 
 
 def _shuffled(units: list[int], options: dict, prompt: list[int], rng: np.random.Generator, tok) -> dict:
@@ -212,7 +269,8 @@ def example_at(units: list[int], at: int, entry: Objective, key: str, exact: boo
         return {"objective": entry.name} | got
     some = units[at : at + max(0, room) + 1]  # one more, to tell whether a cut lies within a character
     if entry.name in ("infilling", "autoencoding", "autoencoding_with_deshuffling"):
-        got = _walk(some, options, prompt, Exact(seed) if exact else Hashed(f"{seed}:{key}"), entry.name != "infilling", tok)
+        walk = Walk(some, options, prompt, entry.name != "infilling", tok)
+        got = walk.run(walk.exact(seed) if exact else walk.hashed(f"{seed}:{key}"))
     elif entry.name == "deshuffling":
         got = _shuffled(some, options, prompt, np.random.default_rng(mixed), tok)
     elif entry.name == "selective_copying":

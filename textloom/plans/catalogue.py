@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -510,29 +512,30 @@ def deshuffle_portable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def walk_sql(prompt: int, mean: float, rate: float, shortest: float, longest: float, prefix: bool, most: int, attempts: int = 100) -> str:
-    """The walk as recursion: a row per document and step, attempts one after another. `used` counts what labels take."""
+    """The walk as recursion: a row per document and hole, attempts one after another. `used` counts what labels take."""
     hole = "(10 + length(cast(spans AS VARCHAR)))"
     added = "span" if prefix else f"{hole} + span"
     one = 1 if prefix else 0
-    from textloom.functions.hashrand import poisson_table
-
-    table_sql = "[" + ", ".join(repr(x) for x in poisson_table(mean)) + "]"
-    low, high = max(0.0, rate * 0.5), min(0.95, 2 * rate)
+    hazard, chances = spans.skip_tables(mean, shortest, longest, max(0.0, rate * 0.5), min(0.95, 2 * rate))
+    top, growth, reach = repr(hazard[-1]), repr(hazard[-1] - hazard[-2]), len(chances)
+    hazards, tables = (f"cast({json.dumps(x)} AS {kind})" for x, kind in ((hazard, "DOUBLE[]"), (chances, "DOUBLE[][]")))
     key = "'0:' || doc_id || ':' || attempt || ':' || step"
-    span = f"cast(floor(greatest(1, least(greatest({shortest}, least(len(list_filter({table_sql}, lambda x: x <= {sql_uniform(key, 1)})), {longest})), lim - idx))) AS BIGINT)"
     going = f"idx < lim AND spans < {most} AND n_in + n_lab < {ROOM} AND NOT stop"
-    return f"""WITH RECURSIVE d AS (SELECT doc_id, least(length(text), {ROOM - prompt - 16}) AS lim, length(text) AS n FROM documents),
-    w AS (SELECT doc_id, lim, n, 0 AS attempt, 0 AS step, cast(0 AS BIGINT) AS idx, cast(0 AS BIGINT) AS spans, cast({prompt} AS BIGINT) AS n_in, cast(0 AS BIGINT) AS n_lab, cast(0 AS BIGINT) AS masked, false AS stop FROM d
-      UNION ALL SELECT doc_id, lim, n,
+    drawn = f"SELECT *, {going} AS going, CASE WHEN lim - idx > {reach} THEN {top} + (lim - idx - {reach}) * {growth} ELSE {hazards}[lim - idx + 1] END + ln(1 - {sql_uniform(key)}) AS x FROM w WHERE lim > 0 AND (({going}) OR spans = 0 AND attempt + 1 < {attempts})"
+    found = f"SELECT *, cast(least(lim - idx, CASE WHEN x > {top} THEN {reach} + ceil((x - {top}) / {growth}) ELSE len(list_filter({hazards}, lambda h: h < x)) END) AS BIGINT) AS lft FROM ({drawn})"
+    kept = f"SELECT *, lim - lft - idx AS way, least(lim - lft - idx, ({ROOM} - n_in - n_lab) // {1 + one}) AS n, 1 + len(list_filter({tables}[greatest(1, least(lft, {reach}))], lambda q: q <= {sql_uniform(key, 1)})) AS span FROM ({found})"
+    there = f"SELECT * REPLACE (idx + n AS idx, n_in + n AS n_in, n_lab + {one} * n AS n_lab), n < way AS short FROM ({kept})"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, least(length(text), {ROOM - prompt - 16}) AS lim, length(text) AS n_text FROM documents),
+    w AS (SELECT doc_id, lim, n_text, 0 AS attempt, 0 AS step, cast(0 AS BIGINT) AS idx, cast(0 AS BIGINT) AS spans, cast({prompt} AS BIGINT) AS n_in, cast(0 AS BIGINT) AS n_lab, cast(0 AS BIGINT) AS masked, false AS stop FROM d
+      UNION ALL SELECT doc_id, lim, n_text,
         CASE WHEN going THEN attempt ELSE attempt + 1 END, CASE WHEN going THEN step + 1 ELSE 0 END,
         CASE WHEN NOT going THEN 0 WHEN mask THEN idx + span WHEN lit THEN idx + 1 ELSE idx END, CASE WHEN NOT going THEN 0 WHEN mask THEN spans + 1 ELSE spans END,
         CASE WHEN NOT going THEN {prompt} WHEN mask THEN n_in + {hole} WHEN lit THEN n_in + 1 ELSE n_in END, CASE WHEN NOT going THEN 0 WHEN mask THEN n_lab + {added} WHEN lit THEN n_lab + {one} ELSE n_lab END,
         CASE WHEN NOT going THEN 0 WHEN mask THEN masked + span ELSE masked END, going AND NOT mask AND NOT lit
-      FROM (SELECT *, u < chance / span AND lim - idx >= span AND n_in + {hole} + n_lab + {added} <= {ROOM} AS mask, n_in + 1 + n_lab + {one} <= {ROOM} AS lit
-        FROM (SELECT *, {going} AS going, {low} + ({high} - {low}) * {sql_uniform(key)} AS chance, {span} AS span, {sql_uniform(key, 2)} AS u FROM w WHERE lim > 0 AND (({going}) OR spans = 0 AND attempt + 1 < {attempts})))),
+      FROM (SELECT *, NOT short AND lft > 0 AND n_in + {hole} + n_lab + {added} <= {ROOM} AS mask, NOT short AND lft > 0 AND n_in + 1 + n_lab + {one} <= {ROOM} AS lit FROM ({there}))),
     e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY attempt DESC, step DESC) AS r FROM w)
     SELECT doc_id, CASE WHEN spans > 0 THEN 'ok' ELSE 'fail' END AS status, cast(spans AS INTEGER) AS spans, cast(CASE WHEN spans > 0 THEN n_in ELSE 0 END AS BIGINT) AS n_input, cast(CASE WHEN spans > 0 THEN n_lab ELSE 0 END AS BIGINT) AS n_label,
-      cast(CASE WHEN spans > 0 THEN masked ELSE 0 END AS INTEGER) AS masked_count, cast(CASE WHEN spans > 0 THEN n - idx ELSE n END AS BIGINT) AS unused_chars, CASE WHEN lim <= 0 THEN 0 ELSE attempt + 1 END AS attempts FROM e WHERE r = 1"""
+      cast(CASE WHEN spans > 0 THEN masked ELSE 0 END AS INTEGER) AS masked_count, cast(CASE WHEN spans > 0 THEN n_text - idx ELSE n_text END AS BIGINT) AS unused_chars, CASE WHEN lim <= 0 THEN 0 ELSE attempt + 1 END AS attempts FROM e WHERE r = 1"""
 
 
 def _walked(made: DataFrame) -> DataFrame:
