@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import tokens
 from textloom.functions.hashrand import pareto, uniform
-from textloom.operators import config, examples, feedback, packing, spans, statistics, validation
+from textloom.operators import config, examples, feedback, packing, predictor, spans, statistics, validation
 from textloom.sources import connector
 from textloom.sources import text as sources
 from textloom.sources.shared import shared_folder
@@ -778,14 +778,19 @@ def loop_sql(step: int, rate: float, seed: int = 0, strength: float = 0.1, objec
     SELECT cast(obj_idx AS INTEGER) AS obj_idx, round(x / sum(x) OVER (), 4) AS prob, {'round(loss, 4) AS loss' if overall else f'{str(explored).lower()} AS explored'} FROM f"""
 
 
-def _turn(spark: SparkSession, sf_dir: str, step: int, rate: float, days: int | None = None) -> DataFrame:
-    """Daily losses are the evaluations, hashes the mixtures that led to them."""
+def daily_turns(spark: SparkSession, sf_dir: str, days: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Daily losses as the evaluations, hashes as the mixtures that led to them, and the objectives."""
     objectives = spark.createDataFrame(LOOP, "obj_idx int, obj_key string, kind string")
     daily = losses(spark, sf_dir).join(F.broadcast(objectives), "obj_key").groupBy("obj_idx", F.datediff("ts", F.lit("1970-01-01")).cast("long").alias("step")).agg(F.avg("loss").alias("loss"))
     if days is not None:
         daily = daily.join(F.broadcast(daily.select("step").distinct().orderBy("step").limit(days)), "step", "left_semi")
     tried = daily.select("step", "obj_idx", uniform(1, F.col("step"), F.col("obj_idx")).alias("action"))
-    return feedback.update_and_sample(spark, daily, tried, feedback.class_scaling(objectives, "kind"), step, rate)
+    return daily, tried, objectives
+
+
+def _turn(spark: SparkSession, sf_dir: str, step: int, rate: float, days: int | None = None, model=None) -> DataFrame:
+    daily, tried, objectives = daily_turns(spark, sf_dir, days)
+    return feedback.update_and_sample(spark, daily, tried, feedback.class_scaling(objectives, "kind"), step, rate, model)
 
 
 @query(loop_sql(7, 0.0))
@@ -806,6 +811,12 @@ def first_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn(spark, sf_dir, 5, 1.0, days=1)
 
 
+@query()
+def history_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn that learns from the losses of all objectives, the present ones and those of two evaluations before."""
+    return _turn(spark, sf_dir, 7, 0.0, model=predictor.NetPredictor())
+
+
 NAMED_SQL = "SELECT user_id % 10 AS obj_idx, CASE WHEN user_id % 10 < 3 THEN ['click', 'view', 'none'][user_id % 10 + 1] END AS nickname, CASE WHEN user_id % 10 < 6 THEN 'purchase' END AS hash, CASE WHEN user_id % 10 < 9 THEN 'signup' ELSE 'none' END AS name FROM events GROUP BY ALL"
 
 
