@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.functions.casts import shown
 from textloom.functions.hashrand import draw, pareto, uniform
 
 #: Scale and shape of the candidates' Pareto draws, candidates of each kind, how many of the best are averaged,
@@ -204,3 +205,34 @@ def losses_by_name(objectives: DataFrame, means: DataFrame, *names: str) -> Data
 def status_json(objectives: DataFrame, *columns: str) -> DataFrame:
     """objectives with `status`, the given columns as one JSON object; nulls are left out."""
     return objectives.withColumn("status", F.to_json(F.struct(*columns)))
+
+
+def _latest(objectives: DataFrame, history: DataFrame, value: str) -> DataFrame:
+    """objectives with the latest step's values, `_n` (how many there are) and `_whole` (whether they are those of exactly these objectives). A mixture
+    has a few dozen rows."""
+    now = history.join(F.broadcast(history.agg(F.max("step").alias("step"))), "step").select("obj_idx", value)
+    every = Window.partitionBy()
+    told = objectives.join(now, "obj_idx", "left").crossJoin(F.broadcast(now.agg(F.count(F.lit(1)).alias("_n"))))
+    size = F.count(F.lit(1)).over(every)
+    return told.withColumn("_size", size).withColumn("_whole", (F.count(value).over(every) == size) & (F.col("_n") == size))
+
+
+def current_action(objectives: DataFrame, actions: DataFrame) -> DataFrame:
+    """objectives(obj_idx, ...) with `prob`, the latest of actions(step, obj_idx, action): equal shares if that doesn't fit the objectives, null if there is none."""
+    told = _latest(objectives, actions, "action")
+    prob = F.when(F.col("_whole"), F.col("action")).when(F.col("_n") > 0, 1 / F.col("_size"))
+    return told.withColumn("prob", prob.cast("double")).drop("action", "_n", "_size", "_whole")
+
+
+def current_losses(objectives: DataFrame, losses: DataFrame) -> DataFrame:
+    """objectives(obj_idx, ...) with `loss`, the latest of losses(step, obj_idx, loss); null for all if those don't fit the objectives."""
+    told = _latest(objectives, losses, "loss")
+    return told.withColumn("loss", F.when(F.col("_whole"), F.col("loss")).cast("double")).drop("_n", "_size", "_whole")
+
+
+def verbose_action(objectives: DataFrame, actions: DataFrame, losses: DataFrame, *names: str) -> DataFrame:
+    """obj_idx, obj_key (the first of an objective's names that it has, else its number), prob, loss, and both `told` for people."""
+    key = F.coalesce(*(F.col(c) for c in names), F.concat(F.lit("objective_"), F.col("obj_idx").cast("string")))
+    state = current_losses(current_action(objectives, actions), losses)
+    told = F.concat_ws(" ", F.concat(F.col("obj_key"), F.lit(":")), shown(F.col("prob")), F.concat(F.lit("loss "), shown(F.col("loss"))))
+    return state.withColumn("obj_key", key).select("obj_idx", "obj_key", "prob", "loss", told.alias("told"))

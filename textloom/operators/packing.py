@@ -103,6 +103,12 @@ def open_rows(placed: DataFrame, size: str, rows: int) -> DataFrame:
     return every.join(held, ["shard", "pack_id"], "left").select("shard", "pack_id", F.coalesce("used", F.lit(0)).alias("used"), F.coalesce("n_segments", F.lit(0)).alias("n_segments"))
 
 
+def popped(open_rows: DataFrame, length: int, min_room: int = MIN_ROOM, peek: bool = False) -> DataFrame:
+    """The open rows (shard, pack_id, used, ...) that go now: sets whose rows are all full enough. peek: every one, with whether it would go as `popped`."""
+    told = open_rows.join(readiness(open_rows, length, min_room).select("shard", F.col("ready").alias("popped")), "shard")
+    return told if peek else told.where("popped").drop("popped")
+
+
 def forced(placed: DataFrame, size: str, rows: int) -> DataFrame:
     """Every packed row as if the last sets were told to close as they are: shard, pack_id, used, n_segments, and whether it took that."""
     held = close_rows(placed, size, keep_tail=True)

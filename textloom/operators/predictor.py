@@ -119,18 +119,15 @@ class NetPredictor:
         return self._inputs(losses, action), np.nan_to_num(reward), ~np.isnan(reward)
 
     def gradient(self, examples: DataFrame, params: np.ndarray) -> np.ndarray:
-        """The error's sum and its gradient over all examples: partitions sum theirs, Spark sums those by place."""
+        """The error's sum and its gradient over all examples: each partition sums its own into one row, of which there are HISTORY / STEPS_PER_TASK at most."""
 
         def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(len(params) + 1)
             for frame in frames:
                 total += summed_gradient(params, *self._rows(list(frame["told"])), self.hidden)
-            yield pd.DataFrame({"place": np.arange(len(total)), "value": total})
+            yield pd.DataFrame({"total": [total]})
 
-        sums = examples.select("told").mapInPandas(part, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
-        total = np.zeros(len(params) + 1)
-        total[sums["place"].to_numpy()] = sums["value"].to_numpy()
-        return total
+        return np.sum([r["total"] for r in examples.select("told").mapInPandas(part, "total array<double>").collect()], axis=0)
 
     def start(self) -> np.ndarray:
         rng = np.random.default_rng(self.seed)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textloom.functions import tokens
+from textloom.functions import casts, tokens
 from textloom.functions.hashrand import pareto, uniform
 from textloom.operators import config, examples, feedback, packing, predictor, spans, statistics, validation
 from textloom.sources import connector
@@ -213,6 +213,12 @@ def shard_strided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.strided(keyed, 7, "h").select("doc_id", "shard")
 
 
+@query("SELECT doc_id, shard, row_number() OVER (PARTITION BY shard ORDER BY md5('5:' || doc_id)) - 1 AS pos FROM (SELECT doc_id, cast((row_number() OVER (ORDER BY doc_id) - 1) % 7 AS INTEGER) AS shard FROM documents)")
+def sharded_then_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh document goes to one shard; each shard is shuffled by itself."""
+    return sources.shuffled_within(sources.strided(table(spark, sf_dir, "documents", "doc_id"), 7, "doc_id").drop("pos"), "shard", "doc_id", 5).select("doc_id", "shard", "pos")
+
+
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('5:' || doc_id)) - 1 AS pos FROM documents")
 def hash_shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.positions(table(spark, sf_dir, "documents", "doc_id").withColumn("h", sources.shuffled_key(F.col("doc_id"), 5)), "h").select("doc_id", "pos")
@@ -463,6 +469,16 @@ def open_row_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.readiness(packing.open_rows(placed(spark, sf_dir, fit="best", rows=OPEN_ROWS), "n", OPEN_ROWS), ROOM)
 
 
+@query(
+    f"""{LAST_SETS_SQL}, b AS (SELECT shard, max(last) * {OPEN_ROWS} AS base, count(*) FILTER (WHERE pack_id // {OPEN_ROWS} = last) = {OPEN_ROWS} AND {ROOM} - min(used) FILTER (WHERE pack_id // {OPEN_ROWS} = last) <= 64 AS popped FROM held GROUP BY shard),
+    r AS (SELECT shard, base + i AS pack_id, popped FROM b, range({OPEN_ROWS}) t(i))
+    SELECT r.shard, r.pack_id, coalesce(used, 0) AS used, coalesce(n_segments, 0) AS n_segments, popped FROM r LEFT JOIN held ON held.shard = r.shard AND held.pack_id = r.pack_id"""
+)
+def peeked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A look at each shard's open rows, and whether they would go now."""
+    return packing.popped(packing.open_rows(placed(spark, sf_dir, fit="best", rows=OPEN_ROWS), "n", OPEN_ROWS), ROOM, peek=True)
+
+
 @query(f"{LAST_SETS_SQL} SELECT shard, pack_id, used, n_segments, pack_id // {OPEN_ROWS} = last AS forced FROM held")
 def forced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed rows when the open ones are closed as they are."""
@@ -811,6 +827,30 @@ def first_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turn(spark, sf_dir, 5, 1.0, days=1)
 
 
+@query(
+    f"""WITH o AS (SELECT * FROM (VALUES {", ".join(map(str, LOOP))}) t(obj_idx, obj_key, kind)),
+    d AS (SELECT obj_idx, date_diff('day', DATE '1970-01-01', cast(ts AS DATE)) AS step, avg(value) AS loss FROM events JOIN o ON event_type = obj_key GROUP BY ALL),
+    n AS (SELECT *, {sql_uniform("'1:' || step || ':' || obj_idx")} AS action FROM d WHERE step = (SELECT max(step) FROM d)),
+    s AS (SELECT o.obj_idx, CASE WHEN o.obj_idx < 4 THEN obj_key ELSE 'objective_' || o.obj_idx END AS obj_key, CASE WHEN (SELECT count(*) FROM n) = {len(LOOP)} THEN action ELSE {1 / len(LOOP)} END AS prob, CASE WHEN (SELECT count(loss) FROM n) = {len(LOOP)} THEN loss END AS loss FROM o LEFT JOIN n USING (obj_idx))
+    SELECT cast(obj_idx AS INTEGER) AS obj_idx, obj_key, round(prob, 6) AS prob, round(loss, 6) AS loss, obj_key || ': ' || printf('%.3f', prob) || CASE WHEN loss IS NULL THEN '' ELSE ' loss ' || printf('%.3f', loss) END AS told FROM s"""
+)
+def verbose_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture in force and the last losses, for people; the last objective has no name."""
+    daily, tried, objectives = daily_turns(spark, sf_dir)
+    named = objectives.withColumn("name", F.when(F.col("obj_idx") < 4, F.col("obj_key"))).select("obj_idx", "name")
+    return feedback.verbose_action(named, tried, daily, "name").select("obj_idx", "obj_key", F.round("prob", 6).alias("prob"), F.round("loss", 6).alias("loss"), "told")
+
+
+@query("SELECT event_id, try_cast(raw AS DOUBLE) AS number, CASE WHEN try_cast(raw AS DOUBLE) IS NULL THEN raw END AS kept, cast(length(event_type) AS INTEGER) AS n_letters, CASE WHEN value IS NULL THEN 0 ELSE 1 END AS n_values FROM (SELECT *, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN regexp_extract(props, '([0-9]+)', 1) ELSE props END AS raw FROM events)")
+def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings that may be numbers, and columns as lists."""
+    events = table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
+    kind = F.col("event_id") % 3
+    raw = F.when(kind == 0, F.col("event_type")).when(kind == 1, F.regexp_extract("props", "([0-9]+)", 1)).otherwise(F.col("props"))
+    number, kept = casts.number_or_kept(raw)
+    return events.select("event_id", number.alias("number"), kept.alias("kept"), F.size(casts.as_list(events, "event_type")).alias("n_letters"), F.size(casts.as_list(events, "value")).alias("n_values"))
+
+
 @query()
 def history_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A turn that learns from the losses of all objectives, the present ones and those of two evaluations before."""

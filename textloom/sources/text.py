@@ -67,6 +67,14 @@ def strided(df: DataFrame, shards: int, order: str) -> DataFrame:
     return positions(df, order).withColumn("shard", (F.col("pos") % shards).cast("int"))
 
 
+def shuffled_within(df: DataFrame, shard: str, key: str, seed: int = 0, into: str = "pos") -> DataFrame:
+    """df with each row's place (from 0) in its shard, shuffled by seed and key. Shards are stretches of one order, so none has to fit a task."""
+    keyed = df.withColumn("_key", F.concat_ws(":", F.format_string("%012d", F.col(shard).cast("long")), shuffled_key(F.col(key), seed)))
+    placed = positions(keyed, "_key", "_pos")
+    first = placed.groupBy(F.col(shard).alias("_shard")).agg(F.min("_pos").alias("_first"))
+    return placed.join(first, F.col(shard).eqNullSafe(F.col("_shard"))).withColumn(into, F.col("_pos") - F.col("_first")).drop("_key", "_pos", "_shard", "_first")
+
+
 def contiguous(df: DataFrame, shards: int, order: str) -> DataFrame:
     """Blocks of neighbours; the first (rows mod shards) blocks have one row more."""
     n = df.count()
