@@ -191,3 +191,11 @@ def test_characters_that_a_walk_cuts_are_kept():
     rows = list(worker.ShardFold(run, 0).feed(1, text))
     labels = [i for r in rows for i in r[10]]
     assert {r[-1] for r in rows} == {"ok"} and TOK.decode(labels) == text
+
+
+def test_failed_examples_keep_their_own_number():
+    """A failure has the number that its objective was drawn by; the next example has the next."""
+    run = worker.Run((config.objective("prefix_language_modeling"),), 1024, strict=False)
+    at = worker.ShardFold(run, 0)
+    rows = [r for doc, text in enumerate(["ab", "c", "de"]) for r in at.feed(doc, text)]
+    assert [(r[1], r[2], r[-1]) for r in rows] == [(0, 0, "ok"), (1, 1, "fail"), (2, 2, "ok")]

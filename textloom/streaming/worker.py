@@ -100,16 +100,16 @@ class ShardFold:
                 continue
             self.seq += 1
             if got["status"] != "ok":
-                yield from self.failed(doc_id, got["status"], f"{entry.name} can't use {chars} characters in {run.length - self.used} slots", entry.name)
+                yield from self.failed(doc_id, got["status"], f"{entry.name} can't use {chars} characters in {run.length - self.used} slots", entry.name, self.seq - 1)
                 return
             n, m, used = len(got["input_ids"]), len(got["label_ids"]), got["used"]
             if not n or not m:
-                yield from self.failed(doc_id, "empty_input_ids" if not n else "empty_label_ids", f"{entry.name} made an empty example", entry.name)
+                yield from self.failed(doc_id, "empty_input_ids" if not n else "empty_label_ids", f"{entry.name} made an empty example", entry.name, self.seq - 1)
                 return
             if n + m > run.length - self.used:
                 self.close()
                 if n + m > run.length:
-                    yield from self.failed(doc_id, "sample_too_large_for_packer", f"{n + m} slots", entry.name)
+                    yield from self.failed(doc_id, "sample_too_large_for_packer", f"{n + m} slots", entry.name, self.seq - 1)
                     return
             at += used
             chars = 0 if at >= len(ids) else max(1, chars - (used if isinstance(run.tok, Characters) else len(run.tok.decode(ids[at - used : at]))))
@@ -125,10 +125,11 @@ class ShardFold:
         """The state as a row of status `state`."""
         return [(self.shard, None, self.seq, None, self.pack, self.segment, self.used, None, None, None, None, None, "state")]
 
-    def failed(self, doc_id: int, reason: str, message: str, name: str | None = None) -> Iterator[tuple]:
+    def failed(self, doc_id: int, reason: str, message: str, name: str | None = None, seq: int | None = None) -> Iterator[tuple]:
+        """A failure as a row. seq: the number of the example that failed; without one, that of the next."""
         if self.run.strict:
             raise PipelineError(reason, message)
-        yield (self.shard, doc_id, self.seq, name, None, None, None, None, None, None, None, None, reason)
+        yield (self.shard, doc_id, self.seq if seq is None else seq, name, None, None, None, None, None, None, None, None, reason)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
