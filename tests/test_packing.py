@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import tokens
 from textloom.operators import packing, statistics
+from textloom.plans import catalogue
 
 
 # Three examples and the row that they make.
@@ -84,3 +86,29 @@ def test_attention_pairs_equal_the_condition(spark, causal):
     q, k = at.alias("q"), at.alias("k")
     sees = statistics.attends(*(F.col(f"{x}.{c}") for c in ("pos", "attention_mask", "segment_ids") for x in "qk"), causal=causal)
     assert q.join(k, sees).count() == statistics.attention_pairs(rows, causal).first()["n_pairs"]
+
+
+def test_rows_of_texts_equal_dense_rows(spark):
+    """Rows made in the placing pass are those that an exchange gathers, also where a row spans batches, and shards follow each other in a partition."""
+    items = spark.range(3000).select((F.col("id") % 7).cast("int").alias("shard"), F.col("id").alias("ord"), F.lit("Pé").alias("prompt"), F.repeat(F.lit("a\U0001f600b"), (F.col("id") * 37 % 9).cast("int")).alias("input_text"), F.repeat(F.lit("üx"), (F.col("id") * 13 % 6 + 1).cast("int")).alias("label_text"))
+    items = items.withColumn("n", F.length("prompt") + F.length("input_text") + F.length("label_text"))
+    placed = packing.place(items, "n", 64, 8).withColumns({"input_ids": tokens.encode(F.concat("prompt", "input_text")), "label_ids": tokens.encode(F.col("label_text"))})
+    shown = lambda rows: sorted(tuple(map(str, r)) for r in rows.collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        got = shown(packing.rows_of_texts(packing.in_order(items), "n", 64, 8))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == shown(packing.dense_rows(placed, 64))
+    with pytest.raises(Exception, match="does not fit"):
+        packing.rows_of_texts(packing.in_order(items), "n", 16, 1).collect()
+
+
+#: Exchanges of the queries over packed rows: documents to their shards, and what a query itself groups.
+EXCHANGES = {"segment_starts": 1}
+
+
+@pytest.mark.parametrize("name", EXCHANGES)
+def test_packed_rows_are_made_without_another_exchange(spark, name):
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == EXCHANGES[name]

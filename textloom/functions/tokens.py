@@ -7,6 +7,7 @@ import base64
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ def encode(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c) + OFFSET)).otherwise(F.array().cast("array<int>"))
 
 
+def character_ids(text: str) -> np.ndarray:
+    """The same in Python."""
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int32) + OFFSET
+
+
 def decode(ids: Column) -> Column:
     """The text of token ids; special ids are dropped."""
     kept = F.filter(ids, lambda i: i >= OFFSET)

@@ -5,20 +5,24 @@ A shard is packed by one pass over its sorted rows; what is held between batches
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from textloom.functions.tokens import IGNORE
+from textloom.functions.tokens import IGNORE, character_ids
 
 #: Fixed values of the row layout: the token before the labels, and the attention marks of input, latent and label positions.
 START_ID = 2
 MASK_INPUT, MASK_LATENT, MASK_LABEL = 1, 2, 3
+ARRAYS = ("input_ids", "label_ids", "segment_ids", "attention_mask")
 MIN_ROOM = 64
+#: Items that are laid out at once.
+LAID = 1024
 
 
 def _next_fit(length: int, min_room: int, most: int):
@@ -62,22 +66,76 @@ def _fit(length: int, min_room: int, most: int, rows: int, best: bool):
     return place
 
 
+PLACES = [T.StructField("pack_id", T.LongType()), T.StructField("segment", T.IntegerType()), T.StructField("start_off", T.IntegerType())]
+
+
+def _places(batches: Iterator[pa.RecordBatch], shard: str, size: str, placer_of: Callable) -> Iterator[pa.RecordBatch]:
+    """The batches of sorted shards with the places of their items."""
+    at, placer = object(), None
+    for batch in batches:
+        out = []
+        for s, n in zip(batch.column(shard).to_pylist(), batch.column(size).to_pylist(), strict=True):
+            if s != at:
+                at, placer = s, placer_of()
+            out.append(placer(n))
+        pack, segment, start = zip(*out, strict=True) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pack, type=pa.int64()), pa.array(segment, type=pa.int32()), pa.array(start, type=pa.int32())], names=[*batch.schema.names, *(f.name for f in PLACES)])
+
+
+def in_order(items: DataFrame, order: tuple[str, ...] = ("ord",), shard: str = "shard") -> DataFrame:
+    """Whole shards in partitions, sorted."""
+    return items.repartition(shard).sortWithinPartitions(shard, *order)
+
+
 def place(items: DataFrame, size: str, length: int = 1024, min_room: int = MIN_ROOM, order: tuple[str, ...] = ("ord",), shard: str = "shard", fit: str = "next", rows: int = 1, most: int = 1 << 31) -> DataFrame:
     """items with pack_id, segment (from 1) and start_off, by shard. fit: next, best or worst; rows: open rows of best and worst."""
-    schema = T.StructType([*items.schema.fields, T.StructField("pack_id", T.LongType()), T.StructField("segment", T.IntegerType()), T.StructField("start_off", T.IntegerType())])
+    placer_of = lambda: _next_fit(length, min_room, most) if fit == "next" else _fit(length, min_room, most, rows, fit == "best")
+    return in_order(items, order, shard).mapInArrow(lambda batches: _places(batches, shard, size, placer_of), T.StructType([*items.schema.fields, *PLACES]))
+
+
+def _laid(items: pa.Table, length: int, start_id: int) -> pa.RecordBatch:
+    """Whole packed rows of the items of character tokens that lie in them, in order."""
+    inputs = [p + t for p, t in zip(items.column("prompt").to_pylist(), items.column("input_text").to_pylist(), strict=True)]
+    labels = items.column("label_text").to_pylist()
+    n, m = (np.fromiter(map(len, texts), np.int64, len(texts)) for texts in (inputs, labels))
+    shard, pack, segment, start = (items.column(c).to_numpy() for c in ("shard", "pack_id", "segment", "start_off"))
+    size, before = n + m, np.cumsum(n + m) - n - m
+    first = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (pack[1:] != pack[:-1])]))
+    row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(shard))))
+    at = np.repeat(row * length + start - before, size) + np.arange(size.sum())
+    labelled = np.repeat(np.tile([False, True], len(n)), np.column_stack([n, m]).ravel())
+    shown = character_ids("".join(c for i, t in zip(inputs, labels, strict=True) for c in ((i, "\0", t[:-1]) if t else (i,))))
+    shown[(before + n)[m > 0]] = start_id
+    wanted = np.full(len(at), IGNORE, dtype=np.int32)
+    wanted[labelled] = character_ids("".join(labels))
+
+    def spread(values: np.ndarray, pad: int) -> pa.ListArray:
+        out = np.full(len(first) * length, pad, dtype=np.int32)
+        out[at] = values
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * length), pa.array(out))
+
+    arrays = spread(shown, 0), spread(wanted, IGNORE), spread(np.repeat(segment, size), 0), spread(np.where(labelled, MASK_LABEL, MASK_INPUT), 0)
+    return pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(pack[first]), *arrays], names=["shard", "pack_id", *ARRAYS])
+
+
+def rows_of_texts(items: DataFrame, size: str, length: int = 1024, min_room: int = MIN_ROOM, start_id: int = START_ID, most: int = 1 << 31) -> DataFrame:
+    """dense_rows of items(shard, prompt, input_text, label_text) that lie in order (see in_order), of character tokens and by next fit, made in the pass that places them: as
+    a row's items are neighbours, none is exchanged for it. Between batches the items of the open row are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, placer = object(), None
-        for batch in batches:
-            out = []
-            for s, n in zip(batch.column(shard).to_pylist(), batch.column(size).to_pylist(), strict=True):
-                if s != at:
-                    at, placer = s, _next_fit(length, min_room, most) if fit == "next" else _fit(length, min_room, most, rows, fit == "best")
-                out.append(placer(n))
-            pack, segment, start = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pack, type=pa.int64()), pa.array(segment, type=pa.int32()), pa.array(start, type=pa.int32())], names=schema.names)
+        held = None
+        for batch in _places((b.slice(i, LAID) for b in batches for i in range(0, b.num_rows, LAID)), "shard", size, lambda: _next_fit(length, min_room, most)):
+            items = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            shard, pack = items.column("shard").to_numpy(), items.column("pack_id").to_numpy()
+            last = int(np.flatnonzero((shard != shard[-1]) | (pack != pack[-1])).max(initial=-1)) + 1
+            if last:
+                yield _laid(items.slice(0, last), length, start_id)
+            held = items.slice(last)
+        if held is not None:
+            yield _laid(held, length, start_id)
 
-    return items.repartition(shard).sortWithinPartitions(shard, *order).mapInArrow(run, schema)
+    schema = T.StructType([items.schema["shard"], PLACES[0], *(T.StructField(c, T.ArrayType(T.IntegerType())) for c in ARRAYS)])
+    return items.select("shard", size, "prompt", "input_text", "label_text").mapInArrow(run, schema)
 
 
 def close_rows(placed: DataFrame, size: str, length: int = 1024, min_room: int = MIN_ROOM, keep_tail: bool = False) -> DataFrame:
@@ -149,12 +207,11 @@ def separator_arrays(input_ids: Column, label_ids: Column, separator: list[int],
 def dense_rows(placed: DataFrame, length: int = 1024, start_id: int = START_ID, separator: list[int] | None = None) -> DataFrame:
     """Packed rows as arrays of `length`; separator: the tokens before labels, if not the start token alone. A group is one row, at most
     `length` tokens."""
-    names = ("input_ids", "label_ids", "segment_ids", "attention_mask")
     given = F.col("input_ids"), F.col("label_ids")
     arrays = separator_arrays(*given, separator, F.col("segment")) if separator else segment_arrays(*given, F.col("segment"), start_id)
     parts = placed.select("shard", "pack_id", "segment", F.struct(*(c.alias(k) for k, c in arrays.items())).alias("part"))
     rows = parts.groupBy("shard", "pack_id").agg(F.array_sort(F.collect_list(F.struct("segment", "part"))).alias("parts"))
-    flat = {k: F.flatten(F.col("parts.part").getField(k)) for k in names}
+    flat = {k: F.flatten(F.col("parts.part").getField(k)) for k in ARRAYS}
     pad = {"input_ids": 0, "label_ids": IGNORE, "segment_ids": 0, "attention_mask": 0}
     return rows.select("shard", "pack_id", *(F.concat(v, F.array_repeat(F.lit(pad[k]), F.lit(length) - F.size(v))).alias(k) for k, v in flat.items()))
 

@@ -26,10 +26,14 @@ def fill(rows: DataFrame, length: int) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum("n_segments"), F.lit(0)).alias("total_samples"), F.coalesce(F.sum("used"), F.lit(0)).alias("active_slots"), (F.count(F.lit(1)) * length).alias("total_slots")).withColumn("fill_rate", F.round(F.when(F.col("total_slots") > 0, F.col("active_slots") / F.col("total_slots")).otherwise(0.0), 6))
 
 
+def _segments() -> Column:
+    return F.array_remove(F.array_distinct("segment_ids"), F.lit(0))
+
+
 def segment_starts(dense: DataFrame) -> DataFrame:
-    """Where each segment of a packed row begins and its first token; within the row's own arrays."""
-    starts = F.filter(F.transform(F.sequence(F.lit(0), F.size("segment_ids") - 1), lambda i: F.struct(i.alias("pos"), F.get("segment_ids", i).alias("segment"), F.get("input_ids", i).alias("token"), F.coalesce(F.get("segment_ids", i - 1), F.lit(0)).alias("before"))), lambda s: (s["segment"] > 0) & (s["segment"] != s["before"]))
-    return dense.select("shard", "pack_id", F.explode(starts).alias("s")).select("shard", "pack_id", "s.segment", "s.pos", "s.token")
+    """Where each segment of a packed row begins and its first token; within the row's own arrays, where a segment's positions are neighbours."""
+    starts = F.transform(_segments(), lambda s: F.struct(s.alias("segment"), (F.array_position("segment_ids", s) - 1).cast("int").alias("pos")))
+    return dense.select("shard", "pack_id", "input_ids", F.explode(starts).alias("s")).select("shard", "pack_id", "s.segment", "s.pos", F.get("input_ids", F.col("s.pos")).alias("token"))
 
 
 def named(starts: DataFrame, markers: dict[int, str]) -> DataFrame:

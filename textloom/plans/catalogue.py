@@ -302,11 +302,24 @@ def conversation_grabber(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---- packing --------------------------------------------------------------------------------------------------------
+def sharded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """All examples of each document by the mixture, with their sizes."""
+    made = examples.mixed(examples.used_up(docs, MIXTURE, "doc_id"), MIXTURE).where(F.col("status") == "ok")
+    return made.withColumns({"n_input": F.length("input_text") + F.length("prompt"), "n_label": F.length("label_text")}).withColumn("n", F.col("n_input") + F.col("n_label"))
+
+
+def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed rows of all examples as arrays. Documents go to their shards once; pieces, examples and rows are made from there on."""
+    return packing.rows_of_texts(sized(packing.in_order(sharded(spark, sf_dir), ("doc_id",))), "n", ROOM)
+
+
 def placed(spark: SparkSession, sf_dir: str, ids: bool = False, **how) -> DataFrame:
     """All examples of each document by the mixture, placed in rows."""
-    drawn = examples.used_up(documents(spark, sf_dir), MIXTURE, "doc_id").withColumn("shard", sources.hashed_shard(F.col("doc_id"), shards(spark, sf_dir)))
-    made = examples.mixed(drawn, MIXTURE).where(F.col("status") == "ok")
-    made = made.withColumns({"n_input": F.length("input_text") + F.length("prompt"), "n_label": F.length("label_text")}).withColumn("n", F.col("n_input") + F.col("n_label"))
+    made = sized(sharded(spark, sf_dir))
     kept = ["shard", "doc_id", "chunk_idx", "obj_idx", "objective", "prompt", "n_input", "n_label", "n"]
     if ids:
         return packing.place(made.select(*kept, "input_text", "label_text"), "n", ROOM, order=("doc_id", "chunk_idx"), **how).withColumns({"input_ids": tokens.encode(F.concat("prompt", "input_text")), "label_ids": tokens.encode(F.col("label_text"))})
@@ -372,7 +385,7 @@ def observed_run_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, segment, cast(start_off AS INTEGER) AS pos, unicode(prompt) + 3 AS token FROM placed")
 def segment_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.segment_starts(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    return statistics.segment_starts(dense(spark, sf_dir))
 
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(sum(n_label) AS INTEGER) AS n_labels FROM placed GROUP BY shard, pack_id")
