@@ -352,7 +352,7 @@ def packed_segment_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, md5(array_to_string({pad_sql('i', 0)}, ',')) AS input_md5, md5(array_to_string({pad_sql('l', -100)}, ',')) AS label_md5, md5(array_to_string({pad_sql('s', 0)}, ',')) AS segment_md5, md5(array_to_string({pad_sql('m', 0)}, ',')) AS mask_md5 FROM dense")
 def packed_rows_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM)
+    rows = dense(spark, sf_dir)
     return rows.select("shard", "pack_id", *(digest(F.col(c)).alias(n) for c, n in (("input_ids", "input_md5"), ("label_ids", "label_md5"), ("segment_ids", "segment_md5"), ("attention_mask", "mask_md5"))))
 
 
