@@ -45,7 +45,7 @@ def named(starts: DataFrame, markers: dict[int, str]) -> DataFrame:
 
 
 def label_density(dense: DataFrame) -> DataFrame:
-    return dense.select("shard", "pack_id", F.size(F.filter("label_ids", lambda x: x != IGNORE)).alias("n_labels"))
+    return dense.select("shard", "pack_id", F.size(F.array_remove("label_ids", F.lit(IGNORE))).alias("n_labels"))
 
 
 def efficiency(dense: DataFrame) -> DataFrame:

@@ -390,7 +390,7 @@ def segment_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(sum(n_label) AS INTEGER) AS n_labels FROM placed GROUP BY shard, pack_id")
 def label_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.label_density(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    return statistics.label_density(dense(spark, sf_dir))
 
 
 @query(f"{PLACED_SQL} SELECT objective, count(*) AS n, CASE WHEN objective IS NULL THEN count(*) ELSE 0 END AS unknown FROM (SELECT CASE WHEN prompt IN ('A', 'B') THEN objective END AS objective FROM placed) GROUP BY objective")
