@@ -396,7 +396,7 @@ def label_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{PLACED_SQL} SELECT objective, count(*) AS n, CASE WHEN objective IS NULL THEN count(*) ELSE 0 END AS unknown FROM (SELECT CASE WHEN prompt IN ('A', 'B') THEN objective END AS objective FROM placed) GROUP BY objective")
 def marker_lookup_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments by the objective that their first token marks, with one marker left out so that some are unknown."""
-    starts = statistics.segment_starts(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    starts = statistics.segment_starts(dense(spark, sf_dir))
     known = {k: v for k, v in MARKERS.items() if k != ord("C") + tokens.OFFSET}
     return statistics.named(starts, known).groupBy("objective").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("objective").isNull()).alias("unknown"))
 
