@@ -345,7 +345,7 @@ def nextfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def packed_segment_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each segment lies in its row, with its ids, labels and marks as sums weighted by position."""
-    at = packing.alignment(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    at = packing.alignment(dense(spark, sf_dir))
     weighted = lambda c: F.sum(F.col(c).cast("long") * (F.col("pos") + 1))
     return at.groupBy("shard", "pack_id", F.col("segment_ids").alias("segment")).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), weighted("input_ids").alias("input_sum"), weighted("label_ids").alias("label_sum"), weighted("attention_mask").alias("mask_sum"))
 
