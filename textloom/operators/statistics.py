@@ -62,10 +62,18 @@ def masked_mean(loss: Column, label: Column) -> Column:
 
 def attention_pairs(dense: DataFrame, causal: bool = False) -> DataFrame:
     """How many position pairs attend, per row: within a segment, forwards, and between input positions both ways unless causal.
-    Counted from segment and input lengths, so no pair is formed."""
-    per = dense.select("shard", "pack_id", F.explode(F.arrays_zip("segment_ids", "attention_mask")).alias("p")).where("p.segment_ids > 0").groupBy("shard", "pack_id", "p.segment_ids").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p.attention_mask") == 1).alias("k"))
-    both = F.lit(0) if causal else F.expr("k * (k - 1) div 2")
-    return per.groupBy("shard", "pack_id").agg(F.sum(F.expr("n * (n + 1) div 2") + both).alias("n_pairs"))
+    Counted from segment and input lengths within the row's own arrays, so no pair is formed."""
+    count = lambda array, s: (F.size(array) - F.size(F.array_remove(array, s))).cast("long")
+    half = lambda x: F.shiftright(x, 1)
+
+    def total(inputs: Column) -> Column:
+        """The pairs, from the segments of input positions."""
+        forwards = F.transform(_segments(), lambda s: half(count(F.col("segment_ids"), s) * (count(F.col("segment_ids"), s) + 1)))
+        both = F.array() if causal else F.transform(_segments(), lambda s: half(count(inputs, s) * (count(inputs, s) - 1)))
+        return F.aggregate(F.concat(forwards, both.cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x)
+
+    inputs = F.zip_with("segment_ids", "attention_mask", lambda s, m: F.when(m == 1, s).otherwise(0))
+    return dense.select("shard", "pack_id", F.get(F.transform(F.array(inputs), total), 0).alias("n_pairs"))
 
 
 def attends(q: Column, k: Column, q_mask: Column, k_mask: Column, q_segment: Column, k_segment: Column, causal: bool = False) -> Column:

@@ -408,7 +408,7 @@ def max_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(sum((n_input + n_label) * (n_input + n_label + 1) // 2 + n_input * (n_input - 1) // 2) AS BIGINT) AS n_pairs FROM placed GROUP BY shard, pack_id")
 def attention_pairs_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.attention_pairs(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    return statistics.attention_pairs(dense(spark, sf_dir))
 
 
 @query(f"WITH {MIXED_SQL.strip()} SELECT doc_id, cast(chunk_idx AS INTEGER) AS chunk_idx, n_input + 16 + n_label - 1 AS cost, n_input + 16 AS cost_without_labels FROM sized")
