@@ -447,7 +447,7 @@ def packer_v1_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(sum((n_input + n_label) * (n_input + n_label + 1) // 2) AS BIGINT) AS n_pairs FROM placed GROUP BY shard, pack_id")
 def attention_pairs_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.attention_pairs(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM), causal=True)
+    return statistics.attention_pairs(dense(spark, sf_dir), causal=True)
 
 
 TILE = 128
