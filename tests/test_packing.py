@@ -105,7 +105,7 @@ def test_rows_of_texts_equal_dense_rows(spark):
 
 
 #: Exchanges of the queries over packed rows: documents to their shards, and what a query itself groups.
-EXCHANGES = {"segment_starts": 1, "packed_rows_dense": 1, "label_density": 1, "marker_lookup_unknown": 2, "packed_segment_layout": 2, "attention_pairs_count": 1, "attention_pairs_causal": 1}
+EXCHANGES = {"segment_starts": 1, "packed_rows_dense": 1, "label_density": 1, "marker_lookup_unknown": 2, "packed_segment_layout": 2, "attention_pairs_count": 1, "attention_pairs_causal": 1, "max_token_ids": 1}
 
 
 @pytest.mark.parametrize("name", EXCHANGES)

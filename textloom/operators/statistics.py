@@ -50,7 +50,7 @@ def label_density(dense: DataFrame) -> DataFrame:
 
 def efficiency(dense: DataFrame) -> DataFrame:
     """Per row: tokens other than padding, their share, and the largest ids."""
-    used = F.size(F.filter("input_ids", lambda x: x != 0))
+    used = F.size(F.array_remove("input_ids", F.lit(0)))
     return dense.select("shard", "pack_id", used.alias("used"), F.round(used / F.size("input_ids"), 6).alias("share"), F.array_max("input_ids").alias("max_input_id"), F.array_max("label_ids").alias("max_label_id"))
 
 

@@ -403,7 +403,7 @@ def marker_lookup_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(len(i) AS INTEGER) AS used, round(len(i) / {ROOM}.0, 6) AS share, list_max(i) AS max_input_id, list_max(l) AS max_label_id FROM dense")
 def max_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.efficiency(packing.dense_rows(placed(spark, sf_dir, ids=True), ROOM))
+    return statistics.efficiency(dense(spark, sf_dir))
 
 
 @query(f"{PLACED_SQL} SELECT cast(shard AS INTEGER) AS shard, pack_id, cast(sum((n_input + n_label) * (n_input + n_label + 1) // 2 + n_input * (n_input - 1) // 2) AS BIGINT) AS n_pairs FROM placed GROUP BY shard, pack_id")
