@@ -81,3 +81,22 @@ def test_shards_into_the_coupled_fold(spark, tmp_path):
     placed.writeStream.format("memory").queryName("folded_rows").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
     got = spark.table("folded_rows").where("status = 'ok'")
     assert {r["doc_id"] for r in got.collect()} == set(range(40)) and {r["shard"] for r in got.collect()} == {0, 1}
+
+
+def test_shards_are_files_that_tasks_read_apart(spark, tmp_path, monkeypatch):
+    """No task of a batch reads, and none writes, more than about so many rows of a shard; the places go on from file to file."""
+    monkeypatch.setattr(connector, "FILE_ROWS", 100)
+    frame = spark.range(1500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    folder = str(tmp_path / "shards")
+    assert connector.publish(frame, folder, 2, "doc_id") == [750, 750]
+    spark.dataSource.register(connector.shards("apart", folder))
+    read = connector.read(spark, "apart", workers=2, epochs=2)
+    per = read.groupBy(F.spark_partition_id(), "worker", "epoch").count().collect()
+    assert max(r["count"] for r in per) <= 300 and sum(r["count"] for r in per) == 3000
+    got = sorted((r["epoch"], r["worker"], r["position"], int(r["key"])) for r in read.collect())
+    want = [r["doc_id"] for r in frame.orderBy(F.md5(F.concat(F.lit("0:"), F.col("doc_id").cast("string")).cast("binary"))).collect()]
+    assert got == [(e, w, i, want[2 * i + w]) for e in range(2) for w in range(2) for i in range(750)]
+    assert [int(r["key"]) for r in connector.Shard(folder, 1).starting_at(333)] == [k for e, w, i, k in got if e == 0 and w == 1 and i >= 333]
+    connector.publish(frame.limit(0), str(tmp_path / "none"), 2, "doc_id")
+    spark.dataSource.register(connector.shards("nothing", str(tmp_path / "none")))
+    assert connector.read(spark, "nothing", workers=2).count() == 0

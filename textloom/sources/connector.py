@@ -5,7 +5,8 @@ stream reads so many rows of each worker a micro-batch; its offsets are an epoch
 nothing more to give until the next epoch. Offsets only depend on where the stream is and on the workers' sizes, so a repeated micro-batch reads the
 same rows, and a restarted stream neither skips nor repeats any.
 
-`publish` writes a table as shuffled shards, one for each worker, and `shards` is a generator over them, which skips to a place by the files' own counts.
+`publish` writes a table as shuffled shards, one for each worker, in files of bounded size, and `shards` is a generator over them, which skips to a place by the files' counts.
+A batch reads a worker's files by a task each.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from textloom.sources.text import shuffled_key, strided
 SCHEMA = "worker int, epoch int, position long, key string, text string"
 #: Rows that a worker hands over at once, and rows of each worker a micro-batch, if not given as option `rows`.
 HANDED, ROWS = 1024, 10_000
+#: Rows of a file of a published shard, about.
+FILE_ROWS = 16_384
 
 
 @dataclass
@@ -50,6 +53,7 @@ class Contract:
     epochs: int
     reseed: bool
     rows: int
+    cuts: Callable[[str, int, int], list[int]] | None = None
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         items = self.generator(self.split, part.worker, self.workers, self.seed + (part.epoch if self.reseed else 0))
@@ -77,7 +81,11 @@ class Batches(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.contract.epochs < 1:
             raise ValueError("a batch needs a number of epochs")
-        return [Part(w, e, 0, -1) for e in range(self.contract.epochs) for w in range(self.contract.workers)]
+        parts = []
+        for w in range(self.contract.workers):
+            ends = self.contract.cuts(self.contract.split, w, self.contract.workers) if self.contract.cuts else [-1]
+            parts += [Part(w, e, begin, end) for e in range(self.contract.epochs) for begin, end in zip([0, *ends], ends, strict=False)]
+        return parts or [Part(0, 0, 0, 0)]
 
     def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return self.contract.read(partition)
@@ -125,9 +133,10 @@ class Stream(DataSourceStreamReader):
         return self.contract.read(partition)
 
 
-def source(name: str, generator: Callable[[str, int, int, int], Iterable], size: Callable[[str, int, int], int], grab: Callable[[object], tuple[str | None, str | None]] | None = None) -> type[DataSource]:
+def source(name: str, generator: Callable[[str, int, int, int], Iterable], size: Callable[[str, int, int], int], grab: Callable[[object], tuple[str | None, str | None]] | None = None, cuts: Callable[[str, int, int], list[int]] | None = None) -> type[DataSource]:
     """A data source for spark.dataSource.register, then spark.read.format(name) or spark.readStream.format(name). size(split, worker_id, num_workers): how many
-    items the generator has. grab: key and text of an item, which is the text itself if not given. Options: split, workers, seed, epochs (of a stream: 0 for
+    items the generator has. grab: key and text of an item, which is the text itself if not given. cuts(split, worker_id, num_workers): places where the stretches
+    end that tasks of a batch may read apart, the last of them the worker's size, for generators with `starting_at`; a task reads a worker if not given. Options: split, workers, seed, epochs (of a stream: 0 for
     no end), reseed (true: each epoch adds its number to the seed), rows (of each worker, a micro-batch), progress (of a stream: a file of its own)."""
     taken = grab or (lambda item: (None, item))
 
@@ -144,7 +153,7 @@ def source(name: str, generator: Callable[[str, int, int, int], Iterable], size:
             workers, rows = int(o.get("workers", 1)), int(o.get("rows", ROWS))
             if workers < 1 or rows < 1:
                 raise ValueError("workers and rows are at least 1")
-            return Contract(generator, size, taken, o.get("split", "train"), workers, int(o.get("seed", 0)), int(o.get("epochs", 1)), str(o.get("reseed", "false")).lower() == "true", rows)
+            return Contract(generator, size, taken, o.get("split", "train"), workers, int(o.get("seed", 0)), int(o.get("epochs", 1)), str(o.get("reseed", "false")).lower() == "true", rows, cuts)
 
         def reader(self, schema) -> DataSourceReader:
             return Batches(self._contract())
@@ -163,20 +172,33 @@ def _filesystem(path: str):
     return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
 
 
+def _told(folder: str, name: str):
+    fs, path = _filesystem(f"{folder}/{name}")
+    with fs.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
+def _tell(folder: str, name: str, value: object) -> None:
+    fs, path = _filesystem(f"{folder}/{name}")
+    with fs.open_output_stream(path) as f:
+        f.write(json.dumps(value).encode())
+
+
 class Shard:
-    """The rows of a published shard, from any place on: whole row groups before it are passed over by their counts."""
+    """The rows of a published shard, from any place on: whole files and row groups before it are passed over by their counts."""
 
     def __init__(self, folder: str, worker: int):
         self.folder, self.worker = folder, worker
 
     def starting_at(self, place: int) -> Iterator[dict]:
-        import pyarrow.fs
         import pyarrow.parquet as pq
 
         fs, path = _filesystem(f"{self.folder}/shard={self.worker}")
-        found = fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
-        for info in sorted((i for i in found if i.base_name.endswith(".parquet")), key=lambda i: i.base_name):
-            with pq.ParquetFile(fs.open_input_file(info.path)) as file:
+        for name, size in _told(self.folder, "_files.json")[self.worker]:
+            if place >= size:
+                place -= size
+                continue
+            with pq.ParquetFile(fs.open_input_file(f"{path}/{name}")) as file:
                 for group in range(file.num_row_groups):
                     n = file.metadata.row_group(group).num_rows
                     if place >= n:
@@ -192,34 +214,37 @@ class Shard:
 
 
 def publish(df: DataFrame, folder: str, workers: int, key: str, text: str = "text", seed: int = 0) -> list[int]:
-    """Writes df as a shard for each worker: row i of the shuffled order goes to worker i mod workers. The shards' sizes, which are stored beside them."""
+    """Writes df as a shard for each worker: row i of the shuffled order goes to worker i mod workers. The shards' sizes, which are stored beside them, as are the files' (a row
+    for each file): a shard is a row of files, each written by one task from a range of the shard's places."""
     spark = df.sparkSession
     held = df.select(F.col(key).cast("string").alias("key"), F.col(text).cast("string").alias("text")).withColumn("order", shuffled_key(F.col("key"), seed))
-    shards = strided(held, workers, "order").select("shard", "pos", "key", "text")
-    shards.repartition(workers, "shard").sortWithinPartitions("shard", "pos").write.mode("overwrite").partitionBy("shard").parquet(folder)
-    counts = {r["shard"]: r["count"] for r in spark.read.parquet(folder).groupBy("shard").count().collect()} if not held.isEmpty() else {}
-    sizes = [counts.get(w, 0) for w in range(workers)]
-    fs, path = _filesystem(f"{folder}/_sizes.json")
-    with fs.open_output_stream(path) as f:
-        f.write(json.dumps(sizes).encode())
+    shards = strided(held, workers, "order", FILE_ROWS).select("shard", "pos", "key", "text")
+    files = max(workers, -(-shards.count() // FILE_ROWS))
+    shards.repartitionByRange(files, "shard", "pos").sortWithinPartitions("shard", "pos").write.mode("overwrite").partitionBy("shard").parquet(folder)
+    found = spark.read.parquet(folder).groupBy("shard", F.col("_metadata.file_name").alias("name")).count().collect() if not shards.isEmpty() else []
+    told = [sorted(([r["name"], r["count"]] for r in found if r["shard"] == w), key=lambda f: int(f[0].split("-")[1])) for w in range(workers)]  # part-N: the range's number
+    sizes = [sum(n for _, n in of) for of in told]
+    _tell(folder, "_files.json", told)
+    _tell(folder, "_sizes.json", sizes)
     return sizes
 
 
 def shards(name: str, folder: str) -> type[DataSource]:
     """A source over the shards that `publish` wrote to a folder that driver and executors share."""
 
-    def sizes() -> list[int]:
-        fs, path = _filesystem(f"{folder}/_sizes.json")
-        with fs.open_input_stream(path) as f:
-            return json.loads(f.read())
+    def held(what: str, worker: int, workers: int):
+        every = _told(folder, what)
+        if workers != len(every):
+            raise ValueError(f"there are {len(every)} shards, not {workers}")
+        return every[worker]
 
     def size(split: str, worker: int, workers: int) -> int:
-        held = sizes()
-        if workers != len(held):
-            raise ValueError(f"there are {len(held)} shards, not {workers}")
-        return held[worker]
+        return held("_sizes.json", worker, workers)
+
+    def cuts(split: str, worker: int, workers: int) -> list[int]:
+        return list(itertools.accumulate(n for _, n in held("_files.json", worker, workers)))
 
-    return source(name, lambda split, worker, workers, seed: Shard(folder, worker), size, lambda row: (row["key"], row["text"]))
+    return source(name, lambda split, worker, workers, seed: Shard(folder, worker), size, lambda row: (row["key"], row["text"]), cuts)
 
 
 def read(spark: SparkSession, name: str, **options: object) -> DataFrame:

@@ -36,35 +36,35 @@ def shuffled_key(key: Column, seed: int = 0) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary"))
 
 
-def sorted_ranges(df: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+def sorted_ranges(df: DataFrame, order: str, ties: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
     """df sorted in partitions of about as many rows each, in the order of the partitions. Bounds come from Spark's sample of the sort keys, the last of which is
-    a hash of the row, so runs of equal keys are split like others."""
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // RANGE_ROWS))
+    a hash of the row, so runs of equal keys are split like others. rows: about the most in a range; fewer for long rows."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
     keys = [F.col(order), *map(F.col, ties), F.col("_tie")]
     return df.withColumn("_tie", F.xxhash64(*(F.col(c) for c in df.columns))).repartitionByRange(n, *keys).sortWithinPartitions(*keys).drop("_tie")
 
 
-def ranged(df: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+def ranged(df: DataFrame, order: str, ties: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
     """Sorted ranges, stored, with `_id`: the range's number and, in the 33 lowest bits, the place within it."""
     spark = df.sparkSession
-    held = sorted_ranges(df, order, ties)
+    held = sorted_ranges(df, order, ties, rows)
     path = shared_folder(spark, "ranges")
     held.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)  # a sample is drawn once; what follows reads one outcome
     return spark.read.parquet(path)
 
 
-def positions(df: DataFrame, order: str, into: str = "pos", ties: tuple[str, ...] = ()) -> DataFrame:
+def positions(df: DataFrame, order: str, into: str = "pos", ties: tuple[str, ...] = (), rows: int = RANGE_ROWS) -> DataFrame:
     """df with each row's place (from 0) in the order of a column: places within ranges, and counts of the ranges before. No window holds rows."""
-    found = ranged(df, order, ties)
+    found = ranged(df, order, ties, rows)
     counts = found.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row per range
     place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
     return found.withColumn("_range", F.shiftright("_id", 33)).join(F.broadcast(before), "_range").withColumn(into, place.cast("long")).drop("_range", "_id", "_before")
 
 
-def strided(df: DataFrame, shards: int, order: str) -> DataFrame:
+def strided(df: DataFrame, shards: int, order: str, rows: int = RANGE_ROWS) -> DataFrame:
     """Row i goes to shard i mod shards."""
-    return positions(df, order).withColumn("shard", (F.col("pos") % shards).cast("int"))
+    return positions(df, order, rows=rows).withColumn("shard", (F.col("pos") % shards).cast("int"))
 
 
 def shuffled_within(df: DataFrame, shard: str, key: str, seed: int = 0, into: str = "pos") -> DataFrame:
