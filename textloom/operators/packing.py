@@ -230,7 +230,8 @@ def latent_arrays(input_ids: Column, label_ids: Column, latents: int, latent_id:
         "label_ids": F.concat(F.array_repeat(F.lit(IGNORE), n + z), label_ids),
         "segment_ids": F.array_repeat(segment.cast("int"), n + z + m),
         "attention_mask": F.concat(F.array_repeat(F.lit(MASK_INPUT), n), F.array_repeat(F.lit(MASK_LATENT), latents), F.array_repeat(F.lit(MASK_LABEL), m)),
-        "position_ids": F.concat(linspace(F.lit(0), wide, n), linspace(F.lit(0), wide, z), linspace(wide, wide + F.greatest(m.cast("double"), m * (z / n)), m)),
+        "position_ids": F.when((n >= z) & (m > 0), F.concat(F.sequence(F.lit(0), n - 1), linspace(F.lit(0), wide, z), F.sequence(n, n + m - 1)))  # no stretch: steps of 1
+        .otherwise(F.concat(linspace(F.lit(0), wide, n), linspace(F.lit(0), wide, z), linspace(wide, wide + F.greatest(m.cast("double"), m * (z / n)), m))),
     }
 
 

@@ -317,12 +317,10 @@ def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.rows_of_texts(sized(packing.in_order(sharded(spark, sf_dir), ("doc_id",))), "n", ROOM)
 
 
-def placed(spark: SparkSession, sf_dir: str, ids: bool = False, **how) -> DataFrame:
+def placed(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
     """All examples of each document by the mixture, placed in rows."""
     made = sized(sharded(spark, sf_dir))
     kept = ["shard", "doc_id", "chunk_idx", "obj_idx", "objective", "prompt", "n_input", "n_label", "n"]
-    if ids:
-        return packing.place(made.select(*kept, "input_text", "label_text"), "n", ROOM, order=("doc_id", "chunk_idx"), **how).withColumns({"input_ids": tokens.encode(F.concat("prompt", "input_text")), "label_ids": tokens.encode(F.col("label_text"))})
     return packing.place(made.select(*kept), "n", ROOM, order=("doc_id", "chunk_idx"), **how)
 
 
@@ -522,7 +520,7 @@ def worstfit_pack_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def latent_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid = packing.latent_arrays(F.col("input_ids"), F.col("label_ids"), 8, 98, F.lit(1))
-    got = placed(spark, sf_dir, ids=True).select("doc_id", "chunk_idx", laid["input_ids"].alias("laid_ids"), laid["position_ids"].alias("laid_positions"))
+    got = examples.with_ids(sized(documents(spark, sf_dir))).select("doc_id", "chunk_idx", laid["input_ids"].alias("laid_ids"), laid["position_ids"].alias("laid_positions"))
     return got.select("doc_id", "chunk_idx", long(F.size("laid_ids")).alias("slots"), digest(F.col("laid_ids")).alias("input_md5"), digest(F.col("laid_positions")).alias("position_md5"))
 
 
