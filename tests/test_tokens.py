@@ -1,14 +1,24 @@
-"""Layouts that need no exchange."""
+"""Character tokens as columns, there and back; layouts that need no exchange."""
 
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
+from textloom.functions import tokens
 from textloom.operators import packing
 from textloom.plans import catalogue
 
 
+def test_texts_come_back(spark):
+    """Byte order marks, the code points about 256, and those beyond the basic plane among them."""
+    texts = ["", "plain", "﻿first", "in ﻿ it", "﻿", "a\u0000b", "éÿ", "ÿĀ", "日本", "x\U0001f600y", "\u0080 "]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").withColumn("ids", tokens.encode(F.col("t")))
+    got = rows.select("i", "ids", tokens.decode(F.col("ids")).alias("back"), tokens.decode(F.concat(F.array(F.lit(0), F.lit(2)), "ids")).alias("special")).orderBy("i").collect()
+    assert [r["back"] for r in got] == texts == [r["special"] for r in got]
+    assert [r["ids"] for r in got] == [[ord(c) + tokens.OFFSET for c in t] for t in texts] == [tokens.character_ids(t).tolist() for t in texts]
+
+
 def test_latent_layout_needs_no_exchange(spark):
     assert "Exchange" not in catalogue.latent_layout(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
 

@@ -27,9 +27,12 @@ def character_ids(text: str) -> np.ndarray:
 
 
 def decode(ids: Column) -> Column:
-    """The text of token ids; special ids are dropped."""
+    """The text of token ids; special ids are dropped. Texts of code points below 256 go character by character; others at once, behind a byte order mark, so
+    that one in the text stays."""
     kept = F.filter(ids, lambda i: i >= OFFSET)
-    return F.array_join(F.transform(kept, lambda i: F.decode(F.unhex(F.lpad(F.hex(i - OFFSET), 8, "0")), "UTF-32")), "")
+    short = F.array_join(F.transform(kept, lambda i: F.char(i - OFFSET)), "")
+    wide = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(F.transform(kept, lambda i: F.lpad(F.hex(i - OFFSET), 8, "0")), ""))), "UTF-32")
+    return F.when(F.array_max(ids) < OFFSET + 256, short).otherwise(wide)
 
 
 def prompt_ids(prompt: str) -> Column:
