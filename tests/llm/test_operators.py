@@ -494,3 +494,31 @@ def test_ann_odd_vectors(spark):
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(frame, F.col("vec_id") % 20 == 0, k=4).collect()]
     assert sorted(got) == [(0, 1, 5, 1.0), (0, 2, 6, 1.0), (0, 3, 7, 0.5), (0, 4, 7, 0.25), (60, 1, 7, 6.0), (60, 2, 0, 0.0), (60, 3, 5, 0.0), (60, 4, 6, 0.0)]
     assert ann.search(frame.limit(0), F.lit(True)).count() == 0
+
+
+def test_few_verified_vectors_need_exact_products():
+    """The k best of a block are those of all exact products, ties included, though most verified vectors are ruled out by their estimates."""
+
+    class Counted(np.ndarray):
+        rows = 0
+
+        def __getitem__(self, i):
+            if self.ndim == 2 and isinstance(i, np.ndarray):
+                Counted.rows += len(i)
+            return super().__getitem__(i)
+
+    data = np.random.default_rng(3).standard_normal((2000, 32))
+    data[1000:1100] = data[:100]
+    data /= np.linalg.norm(data, axis=1, keepdims=True)
+    for scale in (1.0, 1e-40, 1e40):
+        Counted.rows = 0
+        ids, asks = np.arange(2000), np.arange(0, 2000, 50)
+        got, checked = ann._search(ids, (data * scale).view(Counted), asks, data[asks] * scale, scale * 1.0000001, 20)
+        assert Counted.rows < checked / 2
+        hits = 0
+        for (found, scores), own in zip(got, asks, strict=True):
+            exact = ((data * scale) * (data[own] * scale)).sum(axis=1)
+            assert [float(s) for s in scores] == [float(exact[i]) for i in found]
+            order = np.lexsort((ids, -exact))
+            hits += len(set(found.tolist()) & set(order[order != own][:20].tolist()))
+        assert hits >= 0.9 * 20 * len(asks)

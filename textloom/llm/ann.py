@@ -4,7 +4,7 @@ Inner products become distances by one more coordinate, sqrt(R^2 - |x|^2), with
 PROJECTIONS random lines maps vectors to numbers; within a block of vectors the numbers of a line are one sorted array. A query
 opens a window around its own number on every line. Virtual rehashing widens all windows together by RATIO; a vector
 collides once for each line whose window holds it, and one that collides on at least COLLISIONS lines is verified
-by its exact inner product. Windows widen until they reach REACH times as far as the k-th best verified vector, or hold all.
+by its exact inner product, unless an estimate, good to 1e-12 of the lengths, shows that k verified ones beat it. Windows widen until they reach REACH times as far as the k-th best verified vector, or hold all.
 Lines and windows are worked out on vectors scaled by a power of two, so that no finite vector is too large or small.
 
 Data lie in blocks and queries in groups of bounded size; a task holds one block and one group, gives its k best per query, and these
@@ -43,6 +43,8 @@ FIRST_WIDTH = 0.6
 #: Vectors in a block and queries in a group, about.
 BLOCK, GROUP = 16_384, 8192
 SEED = 7
+#: Queries whose estimates are worked out together.
+AT_ONCE = 64
 
 
 def _lines(dim: int, n: int = PROJECTIONS) -> np.ndarray:
@@ -63,17 +65,22 @@ def _search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: n
     apart = gap * np.arange(len(places))
     spread = float(places.std()) or 1.0
     flat = (np.take_along_axis(places, order, axis=1) + apart[:, None]).ravel()
-    order = order.ravel()
+    order = order.ravel().astype(np.int64)
     n = len(data)
     first = n * np.arange(len(places))
     found, checked = [], 0
-    for own, query, ask, at in zip(query_ids, queries, asks, asked, strict=True):
+    plain = 1e-100 < math.ldexp(radius, -shift) < 1e100  # neither products nor their sums leave the range of numbers
+    for j, (own, query, ask, at) in enumerate(zip(query_ids, queries, asks, asked, strict=True)):
+        if j % AT_ONCE == 0:
+            estimates = asks[j : j + AT_ONCE] @ small.T
+        estimate = estimates[j % AT_ONCE]
         counts = np.zeros(n, dtype=np.int64)
         low = np.clip(np.searchsorted(flat, at + apart), first, first + n)
         high, width = low.copy(), FIRST_WIDTH * spread
         verified = np.zeros(n, dtype=bool)
         near_ids, near, close = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
         length = float(ask @ ask)
+        error = 1e-12 * len(ask) * radius * math.sqrt(length)  # far over the rounding of an estimate
         while True:
             reach = min(width, gap / 2)
             a, b = np.searchsorted(flat, at - reach + apart), np.searchsorted(flat, at + reach + apart, side="right")
@@ -86,6 +93,9 @@ def _search(ids: np.ndarray, data: np.ndarray, query_ids: np.ndarray, queries: n
             new = np.flatnonzero((counts >= COLLISIONS) & ~verified)
             verified[new] = True
             new = new[ids[new] != own]
+            if plain and length > 1e-100 and len(new) > k:  # those that k verified ones surely beat need no exact product
+                about = estimate[new]
+                new = new[about >= np.partition(about, -k)[-k] - 2 * error]
             near_ids = np.concatenate([near_ids, ids[new]])
             near = np.concatenate([near, (data[new] * query).sum(axis=1)])
             close = np.concatenate([close, (small[new] * ask).sum(axis=1)])
